@@ -51,6 +51,19 @@ FROM e GROUP BY conv_id
 """
 
 
+_OP7 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+FROM m
+"""
+
+
 def _stop() -> str:
     from .quality import STOP_WORDS
 
@@ -59,5 +72,6 @@ def _stop() -> str:
 
 SQL = {
     "op3_quality": _OP3.replace("STOP", _stop()),
+    "op7_warc": _OP7,
     "op10_chat": _OP10,
 }
