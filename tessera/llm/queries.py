@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, quality, sharding, warc, wordpiece
+from . import chat, decontam, langid, packing, quality, sharding, warc, wordpiece
 from ._util import scratch, table
 
 
@@ -43,6 +43,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.hits(docs, table(spark, sf_dir, "benchmark")).withColumn("contaminated", F.col("n_hit") > 0)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch(spark))
 
@@ -63,5 +68,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_token_counts, op2_sharding, op3_quality, op5_packing, op7_warc, op9_language, op10_chat)
+        op1_token_counts, op2_sharding, op3_quality, op5_packing, op6_decontamination, op7_warc, op9_language, op10_chat)
 }
