@@ -107,8 +107,8 @@ class WaveletMatrix:
 
 class FMIndex:
     def __init__(self, text: np.ndarray, bits: int) -> None:
-        """text: numbers under 2 ** bits, 0 a separator that no pattern has."""
-        text = np.append(text, 0)
+        """text: numbers under 2 ** bits - 1, 0 a separator that no pattern has; the end is less than all."""
+        text = np.append(text + 1, 0)
         order = suffix_array(text)
         self.n = len(text)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1 << bits))])
@@ -119,7 +119,7 @@ class FMIndex:
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [low, high) of every row of patterns, which have one length."""
         low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        for c in patterns.T[::-1]:
+        for c in patterns.T[::-1] + 1:
             low, high = (self.first[c] + self.ranks.rank(c, x) for x in (low, high))
         return low, np.maximum(low, high)
 
@@ -148,7 +148,7 @@ class Block:
             n = min(window, len(own))
             for i in range(len(own) - n + 1 if n else 0):
                 found.setdefault(n, {}).setdefault(tuple(own[i:i + n]), set()).add(item)
-        self.bits = (len(self.ids) + 1).bit_length()
+        self.bits = (len(self.ids) + 2).bit_length()
         self.windows = {n: (np.array(list(w), np.int64), list(w.values())) for n, w in found.items()}
         self.least = min(found, default=0)
 
