@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, packing, quality, sharding, warc, wordpiece
+from . import chat, decontam, jaccard, langid, packing, quality, sharding, warc, wordpiece
 from ._util import scratch, table
 
 
@@ -52,6 +52,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch(spark))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.identified(docs, langid.Trees(langid.training_sample(docs)))
@@ -68,5 +72,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_token_counts, op2_sharding, op3_quality, op5_packing, op6_decontamination, op7_warc, op9_language, op10_chat)
+        op1_token_counts, op2_sharding, op3_quality, op5_packing, op6_decontamination, op7_warc, op8_jaccard, op9_language, op10_chat)
 }
