@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, packing, quality, sharding, warc, wordpiece
+from . import chat, decontam, jaccard, langid, packing, quality, sharding, substrings, warc, wordpiece
 from ._util import scratch, table
 
 
@@ -37,6 +37,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), with_ids=False).select(
@@ -72,5 +76,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_token_counts, op2_sharding, op3_quality, op5_packing, op6_decontamination, op7_warc, op8_jaccard, op9_language, op10_chat)
+        op1_token_counts, op2_sharding, op3_quality, op4_repeats, op5_packing, op6_decontamination, op7_warc, op8_jaccard, op9_language, op10_chat)
 }
