@@ -83,14 +83,14 @@ def measured(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(
         F.transform("_p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - x, F.lit(3)))),
         F.lit(0), lambda a, x: a + x)
-    long = lambda c: c.cast("long")
-    return base.select(
-        *carried, long(F.size("_w")).alias("n_words"),
-        long(F.length(F.translate("_t", _SPACE, ""))).alias("word_chars"),
-        long(F.length("_t") - F.length(F.translate("_t", _SYMBOLS, ""))).alias("n_symbols"),
-        long(F.size("_l")).alias("n_lines"), long(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
-        long(F.coalesce(covered, F.lit(0))).alias("n_repeat_words"),
-        long(F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS)))).alias("n_stop_words"))
+    long = lambda c, name: c.cast("long").alias(name)
+    # A one-row generator: filters on measures stay above it, so nothing below is computed twice.
+    return base.select(*carried, F.inline(F.array(F.struct(
+        long(F.size("_w"), "n_words"), long(F.length(F.translate("_t", _SPACE, "")), "word_chars"),
+        long(F.length("_t") - F.length(F.translate("_t", _SYMBOLS, "")), "n_symbols"),
+        long(F.size("_l"), "n_lines"), long(F.size("_l") - F.size(F.array_distinct("_l")), "n_dup_lines"),
+        long(F.coalesce(covered, F.lit(0)), "n_repeat_words"),
+        long(F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))), "n_stop_words")))))
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
