@@ -8,10 +8,14 @@ first n - ceil(t * n) + 1 of both, so only those go to the inverted lists.
 Index level: a list is read in order of set size, entries with the position at which the token
 stands. Sizes and positions bound what a pair can still share, and entries beyond are skipped.
 
-Answer level: a set is first compared with its nearest neighbour in each list, most often a highly
-similar set. A verified link makes the two share their answers: the sets of one component are not
-compared again in any list, as their answers derive from the neighbour's. Only pairs of different
-components that positions and sizes leave open are computed anew.
+Answer level: a set is first compared with its nearest neighbours in its lists, of which the most
+similar one is computed. A verified link makes the two share their answers: sets of one component are
+not compared again in any list. Only pairs of different components that sizes, positions and parity
+sketches leave open are computed anew.
+
+A parity sketch has about a bit per token, each the parity of the tokens that fall on it. Two sets
+differ in at least as many tokens as their sketches in bits, so a sketch only ever rules out pairs
+that are no link. Sets of equal size and equal 64-bit hash of all tokens are equal.
 
 So every link between sets is either verified or inside a component that verified links connect; no
 list, partner or candidate is capped, and copies are never expanded into pairs.
@@ -24,7 +28,7 @@ links of both; a null doc_id is not linked; empty tables give empty results.
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +40,9 @@ from pyspark.sql import functions as F
 from ._util import in_chunks, raw, written
 from .components import components
 
-#: Cells of the frequency table, 8 bytes each: its size does not depend on the data.
-CELL_BITS = 18
+#: Cells of the frequency table, a byte each where it is broadcast: its size does not depend on the data.
+CELL_BITS = 23
+_PARTS = 64
 _CELL_SHIFT = np.uint64(64 - CELL_BITS)
 MEMO = 400_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -78,41 +83,66 @@ class Shingler:
 
 
 def frequencies(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Sets that have a token of each cell, over all documents."""
+    """Level of frequency of each cell, counted over all documents: twice the binary logarithm."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = Shingler(shingle), np.zeros(1 << CELL_BITS, np.int64)
+        own, total = Shingler(shingle), np.zeros(1 << CELL_BITS, np.int32)
         for batch in in_chunks(batches, "text", 4 << 20):
             found = [own(t) for t in raw(batch.column(0))]
-            if found:
-                total += np.bincount((np.concatenate(found) >> _CELL_SHIFT).astype(np.int64), minlength=len(total))
-        for i, part in enumerate(total.reshape(16, -1)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["i", "part"])
+            cells, counts = np.unique((np.concatenate(found) >> _CELL_SHIFT).astype(np.int64), return_counts=True)
+            total[cells] += counts.astype(np.int32)
+        for i, part in enumerate(total.reshape(_PARTS, -1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["i", "part"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(np.frombuffer(x, np.int64) for b in batches for x in b.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["i", "part"])
-
-    parts = docs.select("text").mapInArrow(run, "i int, part binary")
-    rows = parts.groupBy("i").applyInArrow(add, "i int, part binary").collect()
-    return np.concatenate([np.frombuffer(r.part, np.int64) for r in sorted(rows)]) if rows else np.zeros(1 << CELL_BITS, np.int64)
+        total = np.zeros((1 << CELL_BITS) // _PARTS, np.int64)
+        for batch in batches:
+            for part in batch.column(1).to_pylist():
+                total += np.frombuffer(zlib.decompress(part), np.int32)
+        level = (2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["i", "part"])
+
+    rows = docs.select("text").mapInArrow(run, "i int, part binary").groupBy("i").applyInArrow(add, "i int, part binary").collect()
+    level = np.zeros((_PARTS, (1 << CELL_BITS) // _PARTS), np.uint8)
+    for r in rows:
+        level[r.i] = np.frombuffer(r.part, np.uint8)
+    return level.ravel()
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of the tokens by their low bits, on a power of two of bits, 256 at least."""
+    bits = max(256, 1 << (len(h) - 1).bit_length()) if len(h) else 256
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer folded to the shorter's size."""
+    x, y = (int.from_bytes(s, "little") for s in (a, b))
+    size_a, size_b = len(a), len(b)
+    while size_a != size_b:
+        if size_a > size_b:
+            size_a //= 2
+            x = (x >> 8 * size_a) ^ (x & ((1 << 8 * size_a) - 1))
+        else:
+            size_b //= 2
+            y = (y >> 8 * size_b) ^ (y & ((1 << 8 * size_b) - 1))
+    return (x ^ y).bit_count()
 
 
 def prefixes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n, mark (of the whole set), tokens (of the prefix, in order), as a written table."""
-    # Twice as frequent or more sorts later; finer differences are left to the hash.
-    level = np.log2(np.maximum(frequencies(docs, shingle), 1)).astype(np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(level)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    """doc_id, n, mark (of the whole set), sketch, tokens (of the prefix, in order), as a written table."""
+    held = docs.sparkSession.sparkContext.broadcast(frequencies(docs, shingle))
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, level = Shingler(shingle), held.value
         for batch in in_chunks(batches, "text", 4 << 20):
-            ns, marks, tokens, ends = [], [], [], [0]
+            ns, marks, sketches, tokens, ends = [], [], [], [], [0]
             for text in raw(batch.column(1)):
                 h = own(text)
                 n = len(h)
                 ns.append(n)
-                marks.append(int(np.bitwise_xor.reduce(h * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)) if n else 0)
+                marks.append(int((h * _MIX[1] ^ (h >> np.uint64(7))).sum().astype(np.int64)) if n else 0)
+                sketches.append(sketch(h))
                 if n:
                     first = n - -(-percent * n // 100) + 1
                     keys = level[(h >> _CELL_SHIFT).astype(np.int64)]
@@ -121,55 +151,73 @@ def prefixes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 ends.append(ends[-1] + len(h))
             flat = np.concatenate(tokens).astype(np.int64) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(ns, pa.int64()), pa.array(marks, pa.int64()),
+                batch.column(0), pa.array(ns, pa.int64()), pa.array(marks, pa.int64()), pa.array(sketches, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], schema=schema)
 
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n long, mark long, tokens array<long>"))[0]
+        run, "doc_id long, n long, mark long, sketch binary, tokens array<long>"))[0]
 
 
-def overlaps(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """a, b, n_a, n_b, shared of the rows of pairs (a, b): both whole texts meet in one row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("a"), F.col("text").cast("string").alias("text_a"))
-    both = pairs.join(texts, "a").join(texts.select(F.col("a").alias("b"), F.col("text_a").alias("text_b")), "b")
-    names = ["a", "b", "n_a", "n_b", "shared"]
+def listed(sets: DataFrame) -> DataFrame:
+    """token, doc_id, place (size and position) of all lists with two entries or more, each with its
+    neighbour before; written."""
+    # Size and position share a number: size first, as the order of a list needs.
+    entries = sets.filter("doc_id is not null").select(
+        "doc_id", "n", F.posexplode("tokens").alias("at", "token")).select(
+        "token", "doc_id", (F.shiftleft("n", 32) + F.col("at")).alias("place"))
+    w = Window.partitionBy("token").orderBy(F.shiftright("place", 32), "doc_id")
+    beside = entries.select("token", "doc_id", "place", F.lag("doc_id").over(w).alias("before"), F.lag("place").over(w).alias("before_place"), F.lead("doc_id").over(w).alias("after"))
+    return written(beside.filter("before is not null or after is not null").drop("after"))[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, kept = Shingler(shingle), OrderedDict()
 
-        def tokens(text: bytes) -> np.ndarray:
-            key = xxhash.xxh3_128_digest(text)
-            if key not in kept:
-                kept[key] = own(text)
-                if len(kept) > 64:
-                    kept.popitem(last=False)
-            return kept[key]
+def sifted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, apart (bits), equal of the pairs (a, b) that sizes and sketches leave open."""
+    own = sets.select("doc_id", "n", "mark", "sketch")
+    x, z = (own.select(*(F.col(c).alias(f"{c}_{k}") for c in own.columns)) for k in "ab")
+    both = pairs.join(x, F.col("a") == F.col("doc_id_a")).join(z, F.col("b") == F.col("doc_id_b")).filter(
+        100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_a, n_b, shared = [], [], []
-            for x, y in zip(raw(batch.column(2)), raw(batch.column(3)), strict=True):
-                p, q = tokens(x or b""), tokens(y or b"")
-                n_a.append(len(p))
-                n_b.append(len(q))
-                shared.append(len(p) if x == y else len(np.intersect1d(p, q, assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (n_a, n_b, shared))], names=names)
+            a, b, equal, sizes, p, q = (c.to_pylist() for c in batch.columns)
+            apart = list(map(differing_bits, p, q))
+            keep = [(100 + percent) * d <= (100 - percent) * n for d, n in zip(apart, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart, pa.int64()), batch.column(2)], names=["a", "b", "apart", "equal"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return both.select("a", "b", ((F.col("n_a") == F.col("n_b")) & (F.col("mark_a") == F.col("mark_b")) & (F.col("n_a") > 0)).alias("equal"),
+                       (F.col("n_a") + F.col("n_b")).alias("sizes"), "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, apart long, equal boolean")
 
 
-def linked(percent: int):  # noqa: ANN201
-    union = F.col("n_a") + F.col("n_b") - F.col("shared")
-    return (100 * F.col("shared") >= percent * union) & (union > 0)
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links, from both whole texts; written."""
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+    texts = sides.join(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = texts.select("a", "b", (F.col("doc_id") == F.col("b")).alias("second"), "text").repartition(parts, "a", "b").sortWithinPartitions("a", "b", "second")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Shingler(shingle)
+        now, left, done = None, [], False
+        for batch in batches:
+            out = []
+            for a, b, second, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), raw(batch.column(3)), strict=True):
+                if now != (a, b):
+                    now, left, done = (a, b), [], False
+                if done:
+                    continue
+                h = own(text)
+                if not second:
+                    left.append(h)
+                    continue
+                for x in left:
+                    shared = len(np.intersect1d(x, h, assume_unique=True))
+                    if shared and 100 * shared >= percent * (len(x) + len(h) - shared):
+                        done = True
+                if done:
+                    out.append(now)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-def listed(sets: DataFrame) -> DataFrame:
-    """The entries of all lists with two entries or more, each with its neighbour before, written."""
-    entries = sets.filter("doc_id is not null").select(
-        "doc_id", "n", "mark", F.posexplode("tokens").alias("at", "token"))
-    w = Window.partitionBy("token").orderBy("n", "mark", "doc_id")
-    beside = entries.select("token", "doc_id", "n", "at", F.lag(F.struct("doc_id", "n")).over(w).alias("before"),
-                            F.lead("doc_id").over(w).alias("after"))
-    return written(beside.filter("before is not null or after is not null").drop("after"))[0]
+    return written(met.mapInArrow(run, "a long, b long"))[0]
 
 
 def classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -177,32 +225,41 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = prefixes(docs, shingle, percent)
     lists = listed(sets)
-    near = lists.filter((F.col("before.doc_id") != F.col("doc_id")) & (100 * F.col("before.n") >= percent * F.col("n"))).select(
-        F.least("doc_id", "before.doc_id").alias("a"), F.greatest("doc_id", "before.doc_id").alias("b")).distinct()
-    compared, _ = written(overlaps(near, docs, shingle))
-    links = compared.filter(linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edge = lambda df: df.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    near = lists.filter((F.col("before") != F.col("doc_id")) & (100 * F.shiftright("before_place", 32) >= percent * F.shiftright("place", 32))).select(
+        F.least("doc_id", "before").alias("a"), F.greatest("doc_id", "before").alias("b")).distinct()
+    open_, _ = written(sifted(near, sets, percent))
+    # The nearest of each set's neighbours first: at most a pair per set.
+    nearest = open_.filter("not equal").groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+    links = edge(open_.filter("equal")).union(edge(verified(nearest, docs, shingle, percent)))
     own, _ = written(components(links))
-    more = crossing(lists, own, compared, docs, shingle, percent)
-    final = components(own.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    member = own.select(F.col("node").alias("doc_id"), "component")
+    rest = crossing(lists, member, percent).union(open_.filter("not equal").join(nearest, ["a", "b"], "left_anti").select("a", "b"))
+    rest = apart(rest, member).distinct()
+    more = verified(sifted(rest, sets, percent).join(nearest, ["a", "b"], "left_anti"), docs, shingle, percent)
+    final = components(own.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edge(more)))
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(
         final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def crossing(lists: DataFrame, own: DataFrame, compared: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (u, v) between the components of own."""
-    member = own.select(F.col("node").alias("doc_id"), "component")
-    entries = lists.select("token", "doc_id", "n", "at").join(member, "doc_id", "left").select(
-        "token", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("hub"))
+def apart(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    x, z = (member.select(F.col("doc_id").alias(k), F.col("component").alias(f"hub_{k}")) for k in "ab")
+    return pairs.join(x, "a", "left").join(z, "b", "left").filter(
+        F.coalesce("hub_a", "a") != F.coalesce("hub_b", "b")).select("a", "b")
+
+
+def crossing(lists: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a list but no component, as far as sizes and positions leave them open."""
+    entries = lists.select("token", "doc_id", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("at")).join(
+        member, "doc_id", "left").select("token", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("hub"))
     mixed = entries.groupBy("token").agg(F.min("hub").alias("low"), F.max("hub").alias("high")).filter("low < high").select("token")
     entries, _ = written(entries.join(mixed, "token"))
-    x = entries.select("token", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "at", "hub")))
-    z = entries.select("token", *(F.col(c).alias(f"{c}_z") for c in ("doc_id", "n", "at", "hub")))
+    x, z = (entries.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "at", "hub"))) for k in "xz")
     # Shared at most: this token and what follows it in both; needed: percent / (100 + percent) of both sizes.
     most = F.least(F.col("n_x") - F.col("at_x"), F.col("n_z") - F.col("at_z"))
-    open_ = x.join(z, "token").filter(
+    return x.join(z, "token").filter(
         (F.col("hub_x") < F.col("hub_z")) & (100 * F.least("n_x", "n_z") >= percent * F.greatest("n_x", "n_z"))
         & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_z")))).select(
         F.least("doc_id_x", "doc_id_z").alias("a"), F.greatest("doc_id_x", "doc_id_z").alias("b")).distinct()
-    open_ = open_.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    return overlaps(open_, docs, shingle).filter(linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
