@@ -8,10 +8,11 @@ first n - ceil(t * n) + 1 of both, so only those go to the inverted lists.
 Index level: a list is read in order of set size, entries with the position at which the token
 stands. Sizes and positions bound what a pair can still share, and entries beyond are skipped.
 
-Answer level: a set is first compared with its nearest neighbours in its lists, of which the most
-similar one is computed. A verified link makes the two share their answers: sets of one component are
-not compared again in any list. Only pairs of different components that sizes, positions and parity
-sketches leave open are computed anew.
+Answer level: a set is first compared with its neighbours in its lists, most often highly similar
+sets. A verified link makes the two share their answers: sets of one component are not compared again
+in any list. Neighbours of different components are compared in further orders of the lists for as
+long as that finds many links. At last all pairs of different components that sizes, positions and
+parity sketches leave open are computed anew.
 
 A parity sketch has about a bit per token, each the parity of the tokens that fall on it. Two sets
 differ in at least as many tokens as their sketches in bits, so a sketch only ever rules out pairs
@@ -28,6 +29,7 @@ links of both; a null doc_id is not linked; empty tables give empty results.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -45,6 +47,8 @@ CELL_BITS = 23
 _PARTS = 64
 _CELL_SHIFT = np.uint64(64 - CELL_BITS)
 MEMO = 400_000
+#: Pairs up to this number are broadcast to the texts; more are joined by exchange.
+SMALL = 50_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -190,7 +194,10 @@ def sifted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links, from both whole texts; written."""
+    pairs, _ = written(pairs.select("a", "b"))
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+    if pairs.count() <= SMALL:  # 16 bytes a pair
+        sides = F.broadcast(sides)
     texts = sides.join(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = texts.select("a", "b", (F.col("doc_id") == F.col("b")).alias("second"), "text").repartition(parts, "a", "b").sortWithinPartitions("a", "b", "second")
@@ -228,26 +235,42 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     edge = lambda df: df.select(F.col("a").alias("u"), F.col("b").alias("v"))
     near = lists.filter((F.col("before") != F.col("doc_id")) & (100 * F.shiftright("before_place", 32) >= percent * F.shiftright("place", 32))).select(
         F.least("doc_id", "before").alias("a"), F.greatest("doc_id", "before").alias("b")).distinct()
-    open_, _ = written(sifted(near, sets, percent))
-    # The nearest of each set's neighbours first: at most a pair per set.
-    nearest = open_.filter("not equal").groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
-    links = edge(open_.filter("equal")).union(edge(verified(nearest, docs, shingle, percent)))
+    tested, _ = written(sifted(near, sets, percent))
+    links = edge(tested.filter("equal")).union(edge(verified(tested.filter("not equal"), docs, shingle, percent)))
     own, _ = written(components(links))
+    tested = tested.select("a", "b")
+    for turn in itertools.count():
+        # Neighbours in another order each time, as long as that finds links between components.
+        member = own.select(F.col("node").alias("doc_id"), "component")
+        pairs, _ = written(sifted(beside(lists, member, percent, turn).join(tested, ["a", "b"], "left_anti"), sets, percent))
+        found = verified(pairs, docs, shingle, percent)
+        n = found.count()
+        if not n:
+            break
+        own, _ = written(components(_with(own, edge(found))))
+        tested = tested.union(pairs.select("a", "b"))
+        if n * 200 < own.count():  # the rest is left to the exact end
+            break
     member = own.select(F.col("node").alias("doc_id"), "component")
-    rest = crossing(lists, member, percent).union(open_.filter("not equal").join(nearest, ["a", "b"], "left_anti").select("a", "b"))
-    rest = apart(rest, member).distinct()
-    more = verified(sifted(rest, sets, percent).join(nearest, ["a", "b"], "left_anti"), docs, shingle, percent)
-    final = components(own.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edge(more)))
+    rest = crossing(lists, member, percent).join(tested, ["a", "b"], "left_anti")
+    final = components(_with(own, edge(verified(sifted(rest, sets, percent), docs, shingle, percent))))
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(
         final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def apart(pairs: DataFrame, member: DataFrame) -> DataFrame:
-    """The pairs (a, b) of different components."""
-    x, z = (member.select(F.col("doc_id").alias(k), F.col("component").alias(f"hub_{k}")) for k in "ab")
-    return pairs.join(x, "a", "left").join(z, "b", "left").filter(
-        F.coalesce("hub_a", "a") != F.coalesce("hub_b", "b")).select("a", "b")
+def _with(own: DataFrame, edges: DataFrame) -> DataFrame:
+    return own.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edges)
+
+
+def beside(lists: DataFrame, member: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of different components that are neighbours in a list, in an order drawn for this turn."""
+    entries = lists.select("token", "doc_id", F.shiftright("place", 32).alias("n")).join(
+        member, "doc_id", "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("hub"))
+    w = Window.partitionBy("token").orderBy(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
+    both = entries.select("doc_id", "n", "hub", F.lag(F.struct("doc_id", "n", "hub")).over(w).alias("z"))
+    return both.filter((F.col("hub") != F.col("z.hub")) & (100 * F.least("n", "z.n") >= percent * F.greatest("n", "z.n"))).select(
+        F.least("doc_id", "z.doc_id").alias("a"), F.greatest("doc_id", "z.doc_id").alias("b")).distinct()
 
 
 def crossing(lists: DataFrame, member: DataFrame, percent: int) -> DataFrame:
