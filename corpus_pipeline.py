@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     doc_id the first by text. Rows without a doc_id stay."""
     kept = jaccard.classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_n", first).filter("_n = 1").select(docs.columns)
+    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__tessera_n", first).filter("__tessera_n = 1").select(docs.columns)
     return named.union(docs.filter("doc_id is null").select(docs.columns))
 
 

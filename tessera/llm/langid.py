@@ -59,6 +59,8 @@ class Trees:
 
     def __init__(self, samples: dict[str, list[bytes]]) -> None:
         self.languages = sorted(samples)
+        if not samples:
+            return
         trees = [self._counted(samples[k]) for k in self.languages]
         contexts = sorted({c for t in trees for c in t if len(c) == ORDER})
         seen = sorted({b for c in contexts for b in c} | {b for t in trees for b in t[b""]})

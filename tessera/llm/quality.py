@@ -64,33 +64,33 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     spaced = F.translate(text, "\t\n\x0b\x0c\r", "     ")
     base = docs.select(
-        *carried, text.alias("_t"), F.array_remove(F.split(spaced, " "), "").alias("_w"),
-        F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _SPACE, "")) > 0).alias("_l"))
-    n = F.size("_w")
+        *carried, text.alias("__tessera_t"), F.array_remove(F.split(spaced, " "), "").alias("__tessera_w"),
+        F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _SPACE, "")) > 0).alias("__tessera_l"))
+    n = F.size("__tessera_w")
     grams = F.when(n >= 3, F.arrays_zip(
-        F.slice("_w", F.lit(1), F.greatest(n - 2, F.lit(0))).alias("a"), F.slice("_w", F.lit(2), F.greatest(n - 2, F.lit(0))).alias("b"),
-        F.slice("_w", F.lit(3), F.greatest(n - 2, F.lit(0))).alias("c")))
+        F.slice("__tessera_w", F.lit(1), F.greatest(n - 2, F.lit(0))).alias("a"), F.slice("__tessera_w", F.lit(2), F.greatest(n - 2, F.lit(0))).alias("b"),
+        F.slice("__tessera_w", F.lit(3), F.greatest(n - 2, F.lit(0))).alias("c")))
     base = base.select("*", F.when(n >= 3, F.transform(grams, lambda g: F.concat_ws(" ", g["a"], g["b"], g["c"])))
-                       .otherwise(F.array().cast("array<string>")).alias("_g"))
+                       .otherwise(F.array().cast("array<string>")).alias("__tessera_g"))
     # Most texts repeat no window: only the others are sorted, equal windows side by side.
     base = base.select("*", F.when(
-        F.size(F.array_distinct("_g")) < F.size("_g"),
-        F.sort_array(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))).alias("_s"))
+        F.size(F.array_distinct("__tessera_g")) < F.size("__tessera_g"),
+        F.sort_array(F.transform("__tessera_g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))).alias("__tessera_s"))
     at = F.sort_array(F.transform(
-        F.filter("_s", lambda x, i: (x["g"] == F.get("_s", i - 1)["g"]) | (x["g"] == F.get("_s", i + 1)["g"])),
+        F.filter("__tessera_s", lambda x, i: (x["g"] == F.get("__tessera_s", i - 1)["g"]) | (x["g"] == F.get("__tessera_s", i + 1)["g"])),
         lambda x: x["i"]))
-    base = base.select("*", F.when(F.col("_s").isNotNull(), at).alias("_p"))
+    base = base.select("*", F.when(F.col("__tessera_s").isNotNull(), at).alias("__tessera_p"))
     covered = F.aggregate(
-        F.transform("_p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - x, F.lit(3)))),
+        F.transform("__tessera_p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("__tessera_p", i + 1) - x, F.lit(3)))),
         F.lit(0), lambda a, x: a + x)
     long = lambda c, name: c.cast("long").alias(name)
     # A one-row generator: filters on measures stay above it, so nothing below is computed twice.
     return base.select(*carried, F.inline(F.array(F.struct(
-        long(F.size("_w"), "n_words"), long(F.length(F.translate("_t", _SPACE, "")), "word_chars"),
-        long(F.length("_t") - F.length(F.translate("_t", _SYMBOLS, "")), "n_symbols"),
-        long(F.size("_l"), "n_lines"), long(F.size("_l") - F.size(F.array_distinct("_l")), "n_dup_lines"),
+        long(F.size("__tessera_w"), "n_words"), long(F.length(F.translate("__tessera_t", _SPACE, "")), "word_chars"),
+        long(F.length("__tessera_t") - F.length(F.translate("__tessera_t", _SYMBOLS, "")), "n_symbols"),
+        long(F.size("__tessera_l"), "n_lines"), long(F.size("__tessera_l") - F.size(F.array_distinct("__tessera_l")), "n_dup_lines"),
         long(F.coalesce(covered, F.lit(0)), "n_repeat_words"),
-        long(F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))), "n_stop_words")))))
+        long(F.size(F.filter("__tessera_w", lambda w: F.lower(w).isin(*STOP_WORDS))), "n_stop_words")))))
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> Column:

@@ -107,16 +107,16 @@ def shuffle_shards(df: DataFrame, n_shards: int = 16, seed: int = 7, per_block:
                 raise RuntimeError(f"partition {part} has more rows than when it was counted")
             at += batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(own), pa.array(rng.integers(1 << 62, size=len(own)))], names=[*batch.schema.names, "_block", "_key"])
+                [*batch.columns, pa.array(own), pa.array(rng.integers(1 << 62, size=len(own)))], names=[*batch.schema.names, "__tessera_block", "__tessera_key"])
 
-    schema = T.StructType([*fixed.schema, T.StructField("_block", T.IntegerType()), T.StructField("_key", T.LongType())])
+    schema = T.StructType([*fixed.schema, T.StructField("__tessera_block", T.IntegerType()), T.StructField("__tessera_key", T.LongType())])
     moved = fixed.mapInArrow(label, schema)
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy("_key")) - 1
+    rank = F.row_number().over(Window.partitionBy("__tessera_block").orderBy("__tessera_key")) - 1
     # A block's offset in its shard follows from the sizes: no join.
-    shard = F.floor(F.col("_block") / each).cast("int")
+    shard = F.floor(F.col("__tessera_block") / each).cast("int")
     n = sizes.sum()
     of_shard = F.lit(int(n // n_shards)) + F.when(F.col("shard") < int(n % n_shards), 1).otherwise(0)
-    k = F.col("_block") - F.col("shard") * each
+    k = F.col("__tessera_block") - F.col("shard") * each
     offset = k * F.floor(of_shard / each) + F.least(k, of_shard % each)
-    ranked = moved.withColumn("_rank", rank).withColumn("shard", shard)
-    return ranked.withColumn("slot", (offset + F.col("_rank")).cast("long")).drop("_block", "_key", "_rank")
+    ranked = moved.withColumn("__tessera_rank", rank).withColumn("shard", shard)
+    return ranked.withColumn("slot", (offset + F.col("__tessera_rank")).cast("long")).drop("__tessera_block", "__tessera_key", "__tessera_rank")

@@ -330,9 +330,9 @@ def digests(docs: DataFrame, length: int = 100) -> DataFrame:
 def deduplicated(docs: DataFrame, length: int = 100) -> DataFrame:
     """docs with repeated passages cut out of text, in whole characters; rows left empty by that go."""
     keyed = _keyed(docs)
-    spans = covered(keyed, length).groupBy(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).agg(F.collect_set(F.struct("start", "end")).alias("_s"))
-    own = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_x": F.xxhash64(F.coalesce("text", F.lit("")))})
-    both = own.join(spans, (F.col("_k") == F.col("_d")) & (F.col("_x") == F.col("_m")), "left").select(*docs.columns, "_s")
+    spans = covered(keyed, length).groupBy(F.col("doc_id").alias("__tessera_d"), F.col("mark").alias("__tessera_m")).agg(F.collect_set(F.struct("start", "end")).alias("__tessera_s"))
+    own = docs.withColumns({"__tessera_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__tessera_x": F.xxhash64(F.coalesce("text", F.lit("")))})
+    both = own.join(spans, (F.col("__tessera_k") == F.col("__tessera_d")) & (F.col("__tessera_x") == F.col("__tessera_m")), "left").select(*docs.columns, "__tessera_s")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
