@@ -48,7 +48,7 @@ _PARTS = 64
 _CELL_SHIFT = np.uint64(64 - CELL_BITS)
 MEMO = 400_000
 #: Pairs up to this number are broadcast to the texts; more are joined by exchange.
-SMALL = 50_000
+SMALL = 4_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
