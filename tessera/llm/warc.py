@@ -4,7 +4,7 @@ Writing is one Spark plan: payload digests, one response per digest, records as
 last line feed is the row separator), so Spark's own committer places the files in any store.
 
 Reading: tasks scan archives for the record magic at any byte and emit candidate edges, a record's
-start to its successor's start. A payload can hold the magic too, so a candidate counts only if a
+start to its successor's start, in bytes of the uncompressed archive. A payload can hold the magic too, so a candidate counts only if a
 chain of edges leads to it from the start of its file. The chain is followed by pointer jumping:
 reached starts double with each round, log2 of the records in a file in all.
 
@@ -18,6 +18,7 @@ task, so files stay under 2 GB; `write_warc` bounds the records of a file.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -74,10 +75,10 @@ def _record() -> Column:
         line("Content-Length", length.cast("string")), F.lit("\r\n"), block, F.lit("\r\n\r"))
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 1000, records_per_file: int = 4000) -> None:
-    """Archives of all pages under path (uncompressed, one or more files a task)."""
+def write_warc(pages: DataFrame, path: str, least: int = 1000, records_per_file: int = 4000, compression: str = "gzip") -> None:
+    """Archives of all pages under path (one or more files a task; compression gzip or none)."""
     planned(pages, least).select(_record().alias("value")).write.option("lineSep", "\n").option(
-        "maxRecordsPerFile", records_per_file).text(path)
+        "maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 def _fields(head: bytes) -> dict[bytes, bytes]:
@@ -121,7 +122,10 @@ def candidates(spark: SparkSession, path: str, payloads: bool = False) -> DataFr
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows: list[dict] = []
                 size = 0
-                for row in _candidates(file, data.as_py(), payloads):
+                plain = data.as_py()
+                if plain[:2] == b"\x1f\x8b":
+                    plain = gzip.decompress(plain)
+                for row in _candidates(file, plain, payloads):
                     rows.append(row)
                     size += len(row["payload"] or b"") + 200
                     if size > 8 << 20:
