@@ -51,6 +51,32 @@ FROM e GROUP BY conv_id
 """
 
 
+_OP4 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents
+), s AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)
+), r AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM s) WHERE k > 1
+), b AS (
+  SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r
+), sp AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS e
+  FROM (SELECT *, sum(CASE WHEN p IS NULL OR i > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM b)
+  GROUP BY doc_id, k
+), pc AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM sp
+  UNION ALL SELECT doc_id, max(e), NULL FROM sp GROUP BY doc_id
+), kp AS (
+  SELECT pc.doc_id, string_agg(substr(h, 2 * f + 1, 2 * (coalesce(t, n) - f)), '' ORDER BY f) AS h FROM pc JOIN d ON pc.doc_id = d.doc_id GROUP BY pc.doc_id
+), m AS (
+  SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM sp GROUP BY doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kp.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN m ON d.doc_id = m.doc_id LEFT JOIN kp ON d.doc_id = kp.doc_id
+"""
+
 _OP6 = r"""
 WITH b AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -77,6 +103,25 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
+_OP8 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, least(len(w), 5) AS k, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, z.doc_id AS b, count(*) AS i FROM s x JOIN s z ON x.g = z.g AND x.k = z.k AND x.doc_id <> z.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)
+), r(a, b) AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON c.a = d.doc_id
+"""
+
 _OP7 = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -98,7 +143,9 @@ def _stop() -> str:
 
 SQL = {
     "op3_quality": _OP3.replace("STOP", _stop()),
+    "op4_repeats": _OP4,
     "op6_decontamination": _OP6,
     "op7_warc": _OP7,
+    "op8_jaccard": _OP8,
     "op10_chat": _OP10,
 }
