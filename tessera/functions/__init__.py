@@ -43,23 +43,39 @@ def to_bigint(s: Column) -> Column:
             .otherwise(_radix(t).try_cast("decimal(38,0)")))
 
 
-def number_text(x: Column) -> Column:
-    """Double to text: shortest digits, exponents only at 1e21 and below 1e-6."""
-    s = F.abs(x).cast("string")
+def _bound(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value) with value computed once: a one-item array binds it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _digits_text(found: Column) -> Column:
+    """Digits d and the place n of the point, counted from the first digit, as JavaScript writes them."""
+    d, n = found["d"], found["n"]
+    k = F.length(d)
+    rest = F.when(k > 1, F.concat(F.lit("."), d.substr(F.lit(2), k))).otherwise(F.lit(""))
+    return (F.when((k <= n) & (n <= 21), F.rpad(d, n, F.lit("0")))
+            .when((n > 0) & (n <= 21), F.concat(d.substr(F.lit(1), n), F.lit("."), d.substr(n + 1, k)))
+            .when((n > -6) & (n <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -n), d))
+            .otherwise(F.concat(d.substr(F.lit(1), F.lit(1)), rest, F.when(n > 0, F.lit("e+")).otherwise(F.lit("e-")), F.abs(n - 1).cast("string"))))
+
+
+def _parts(s: Column) -> Column:
+    """Digits and point of a double's text."""
     whole, part = F.regexp_extract(s, r"^(\d+)", 1), F.regexp_extract(s, r"\.(\d+)", 1)
     exponent = F.coalesce(F.regexp_extract(s, r"E(-?\d+)", 1).try_cast("int"), F.lit(0))
-    joined = F.concat(whole, part)
-    digits = F.regexp_replace(F.regexp_replace(joined, r"0+\z", ""), "^0+", "")
-    leading = F.length(F.regexp_extract(joined, "^(0*)", 1))
-    n, k = F.length(whole) + exponent - leading, F.length(digits)
-    rest = F.when(k > 1, F.concat(F.lit("."), digits.substr(F.lit(2), k))).otherwise(F.lit(""))
-    body = (F.when((k <= n) & (n <= 21), F.rpad(digits, n, F.lit("0")))
-            .when((n > 0) & (n <= 21), F.concat(digits.substr(F.lit(1), n), F.lit("."), digits.substr(n + 1, k)))
-            .when((n > -6) & (n <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -n), digits))
-            .otherwise(F.concat(digits.substr(F.lit(1), F.lit(1)), rest, F.when(n > 0, F.lit("e+")).otherwise(F.lit("e-")), F.abs(n - 1).cast("string"))))
-    return (F.when(F.isnan(x), F.lit("NaN")).when(x == 0, F.lit("0"))
-            .when(s == "Infinity", F.when(x > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity")))
-            .otherwise(F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), body)))
+    return _bound(F.struct(F.concat(whole, part).alias("j"), (F.length(whole) + exponent).alias("n")), lambda p: F.struct(
+        F.regexp_replace(F.regexp_replace(p["j"], r"0+\z", ""), "^0+", "").alias("d"),
+        (p["n"] - F.length(F.regexp_extract(p["j"], "^(0*)", 1))).alias("n")))
+
+
+def number_text(x: Column) -> Column:
+    """Double to text: shortest digits, exponents only at 1e21 and below 1e-6."""
+    size = F.abs(x)
+    rare = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), _bound(_parts(size.cast("string")), _digits_text))
+    return (F.when((size >= 0.001) & (size < 1e7), F.regexp_replace(x.cast("string"), r"\.?0+\z", ""))
+            .when(F.isnan(x), F.lit("NaN")).when(x == 0, F.lit("0"))
+            .when(size == float("inf"), F.when(x > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity")))
+            .otherwise(rare))
 
 
 def quoted(s: Column) -> Column:

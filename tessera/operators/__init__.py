@@ -20,11 +20,17 @@ from ..functions import strict_json
 from ..plans import ERROR, Compiler, Options, failure, first, none, rendered, type_of, unless
 from ..schema import Schema, SchemaError, as_schema
 
+_VARIANT, _STRICT = "__tessera_variant", "__tessera_strict"
+
+
 @dataclass
 class Result:
+    """valid is error.isNull() without putting the error into words."""
+
     value: Column
     error: Column
     type: str
+    valid: Column
 
 
 def _linked(schemas: tuple) -> Schema:
@@ -38,7 +44,9 @@ def _linked(schemas: tuple) -> Schema:
 
 
 def _result(s: Schema, out: Any) -> Result:
-    return Result(out.value, rendered(out.error) if out.error is not None else none(ERROR), type_of(s))
+    if out.error is None:
+        return Result(out.value, none(ERROR), type_of(s), F.lit(True))
+    return Result(out.value, rendered(out.error), type_of(s), out.error.isNull())
 
 
 def parser(*schemas: Any, options: Options | None = None) -> Callable[..., Result]:
@@ -80,8 +88,19 @@ async_parser, async_decoder, async_encoder = parser, decoder, encoder
 def parse(df: DataFrame, column: str, s: Any, into: str = "value", mode: str = "permissive", source: str = "string", options: Options | None = None) -> DataFrame:
     """df with the parsed column. mode permissive adds `<into>_error`; drop_invalid leaves failing rows
     out; fail_fast ends the job with the first error's text."""
-    r = parser(s, options=options)(column, source)
-    return _in_mode(df, r, into, mode)
+    if source != "string":
+        return _in_mode(df, parser(s, options=options)(column, source), into, mode)
+    # The text is parsed once, below everything that reads it.
+    kept, o = df.columns, options or Options()
+    text = F.col(column)
+    strict = F.lit(True) if o.trusted_json else strict_json(text)
+    staged = df.select("*", F.try_parse_json(text).alias(_VARIANT), strict.alias(_STRICT))
+    v = F.col(_VARIANT)
+    out = Compiler(o).parse(as_schema(s), v, "json")
+    ok = text.isNull() | (v.isNotNull() & F.col(_STRICT))
+    out.error = first(unless(ok, failure((), "Expected JSON string, received ", got=text.cast("variant"))), out.error)
+    done = _in_mode(staged, _result(as_schema(s), out), into, mode)
+    return done.select(*[f"`{c}`" for c in kept], *[f"`{c}`" for c in done.columns[len(staged.columns):]])
 
 
 def decode(df: DataFrame, column: Column | str, *schemas: Any, into: str = "value", mode: str = "permissive") -> DataFrame:
@@ -94,11 +113,11 @@ def encode(df: DataFrame, column: Column | str, *schemas: Any, into: str = "valu
 
 def _in_mode(df: DataFrame, r: Result, into: str, mode: str) -> DataFrame:
     if mode == "permissive":
-        return df.select("*", F.when(r.error.isNull(), r.value).alias(into), r.error.alias(f"{into}_error"))
+        return df.select("*", F.when(r.valid, r.value).alias(into), r.error.alias(f"{into}_error"))
     if mode == "drop_invalid":
-        return df.select("*", r.value.alias(into), r.error.isNull().alias("_valid")).filter("_valid").drop("_valid")
+        return df.select("*", r.value.alias(into), r.valid.alias("__tessera_valid")).filter("__tessera_valid").drop("__tessera_valid")
     if mode == "fail_fast":
-        return df.select("*", F.when(r.error.isNotNull(), F.raise_error(message(r.error))).otherwise(r.value).alias(into))
+        return df.select("*", F.when(r.valid, r.value).otherwise(F.raise_error(message(r.error))).alias(into))
     raise SchemaError(f"no such mode: {mode}")
 
 
@@ -125,18 +144,18 @@ def path_concat(a: str, b: str) -> str:
 
 
 def is_valid(s: Any, column: Column | str, source: str = "string", options: Options | None = None) -> Column:
-    return parser(s, options=options)(column, source).error.isNull()
+    return parser(s, options=options)(column, source).valid
 
 
 def assert_valid(df: DataFrame, column: str, s: Any, source: str = "string") -> DataFrame:
     """df, whose job fails at the first invalid value."""
     r = parser(s)(column, source)
-    return df.filter(F.when(r.error.isNotNull(), F.raise_error(message(r.error))).otherwise(F.lit(True)))
+    return df.filter(F.when(r.valid, F.lit(True)).otherwise(F.raise_error(message(r.error))))
 
 
 def safe(r: Result) -> Column:
     """struct<success, value, error>."""
-    return F.struct(r.error.isNull().alias("success"), F.when(r.error.isNull(), r.value).alias("value"), r.error.alias("error"))
+    return F.struct(r.valid.alias("success"), F.when(r.valid, r.value).alias("value"), r.error.alias("error"))
 
 
 safe_async = safe
@@ -146,7 +165,7 @@ def standard_validate(s: Any, column: Column | str, source: str = "string") -> C
     """struct<value, issues>: issues is null, or an array with the first issue's message and path."""
     r = parser(s)(column, source)
     issue = F.array(F.struct(r.error["reason"].alias("message"), r.error["path"].alias("path")))
-    return F.struct(F.when(r.error.isNull(), r.value).alias("value"), F.when(r.error.isNotNull(), issue).alias("issues"))
+    return F.struct(F.when(r.valid, r.value).alias("value"), F.when(~r.valid, issue).alias("issues"))
 
 
 def reverse(s: Any) -> Schema:
@@ -194,3 +213,22 @@ def to_struct_type(s: Schema) -> str:
 def with_default_extras(s: Schema, mode: str) -> Schema:
     """The schema as under a global default extras mode."""
     return replace(s, extras=mode) if s.kind == "object" else s
+
+
+def schema_of(kind: Any) -> Schema:
+    """The schema of a Spark type: structs are objects, nullable fields optional."""
+    from pyspark.sql import types as T
+
+    from .. import schema as S
+
+    if isinstance(kind, T.StructType):
+        return S.object_({f.name: S.optional(schema_of(f.dataType)) if f.nullable else schema_of(f.dataType) for f in kind})
+    if isinstance(kind, T.ArrayType):
+        return S.array(S.optional(schema_of(kind.elementType)) if kind.containsNull else schema_of(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return S.record(schema_of(kind.valueType))
+    plain = {T.StringType: S.string, T.DoubleType: S.number, T.FloatType: S.number, T.IntegerType: S.int32, T.BooleanType: S.boolean,
+             T.LongType: S.bigint, T.DecimalType: S.bigint, T.TimestampType: S.date, T.BinaryType: S.uint8_array, T.VariantType: S.json_value}
+    if type(kind) not in plain:
+        raise SchemaError(f"no schema for {kind}", "unsupported_decode")
+    return plain[type(kind)]

@@ -54,7 +54,8 @@ def parse_event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
        .replace("json_type(p, '$.k') IN ('BIGINT', 'UBIGINT') AND try_cast(p->>'$.k' AS BIGINT) > 20", "coalesce(json_type(p, '$.k') IN ('BIGINT', 'UBIGINT') AND try_cast(p->>'$.k' AS BIGINT) > 20, false)"))
 def is_valid_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "events").select("event_id", _broken().alias("p"))
-    return rows.select("event_id", O.is_valid(S.object_({"k": S.int32.gt(20)}), "p").alias("valid"))
+    rows = O.parse(rows, "p", S.object_({"k": S.int32.gt(20)}))
+    return rows.select("event_id", F.col("value_error").isNull().alias("valid"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'invalid_input' END AS code, CASE WHEN o_orderkey % 5 = 0 THEN 'p' END AS field, "
@@ -62,8 +63,8 @@ def is_valid_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def safe_orders_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("o_orderkey") % 5 == 0, F.lit('{"p":"bad"}')).otherwise(F.concat(F.lit('{"p":'), F.col("o_totalprice").cast("string"), F.lit("}")))
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
-    got = rows.select("o_orderkey", O.safe(O.parser(S.object_({"p": S.number}))("t")).alias("r"))
-    return got.select("o_orderkey", F.col("r.error.code").alias("code"), F.get("r.error.path", F.lit(0)).alias("field"), F.col("r.error.reason").alias("reason"))
+    got = O.parse(rows, "t", S.object_({"p": S.number}), into="p")
+    return got.select("o_orderkey", F.col("p_error.code").alias("code"), F.get("p_error.path", F.lit(0)).alias("field"), F.col("p_error.reason").alias("reason"))
 
 
 @query("SELECT o_orderkey, o_orderstatus IN ('F', 'O') AS valid FROM orders")
@@ -80,31 +81,31 @@ def enum_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, regexp_matches(p_brand, '^Brand#[1-3][0-9]$') AS valid FROM part")
 def pattern_part_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").select("p_partkey", O.decoder(S.string.pattern("^Brand#[1-3][0-9]$"))("p_brand").error.isNull().alias("valid"))
+    return _table(spark, sf_dir, "part").select("p_partkey", O.decoder(S.string.pattern("^Brand#[1-3][0-9]$"))("p_brand").valid.alias("valid"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity >= 5 AND l_quantity < 40 AS q, l_discount > 0.02 AND l_discount <= 0.08 AS d FROM lineitem")
 def bounds_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", O.decoder(S.number.gte(5).lt(40))("l_quantity").error.isNull().alias("q"),
-        O.decoder(S.number.gt(0.02).lte(0.08))("l_discount").error.isNull().alias("d"))
+        "l_orderkey", "l_linenumber", O.decoder(S.number.gte(5).lt(40))("l_quantity").valid.alias("q"),
+        O.decoder(S.number.gt(0.02).lte(0.08))("l_discount").valid.alias("d"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity % 6 = 0 AS valid FROM lineitem")
 def multiple_of_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", O.decoder(S.number.multiple_of(2).multiple_of(3))("l_quantity").error.isNull().alias("valid"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", O.decoder(S.number.multiple_of(2).multiple_of(3))("l_quantity").valid.alias("valid"))
 
 
 @query("SELECT doc_id, length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) BETWEEN 200 AND 2000 AS valid FROM documents WHERE text IS NOT NULL")
 def length_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").filter("text is not null")
-    return rows.select("doc_id", O.decoder(S.string.min_length(200).max_length(2000))("text").error.isNull().alias("valid"))
+    return rows.select("doc_id", O.decoder(S.string.min_length(200).max_length(2000))("text").valid.alias("valid"))
 
 
 @query("SELECT page_id, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^\\s/?#]+[^\\s]*$') AND page_id % 3 <> 0 AS valid FROM pages")
 def format_uri_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("page_id") % 3 == 0, F.concat(F.col("url"), F.lit(" x"))).otherwise(F.col("url"))
-    return _table(spark, sf_dir, "pages").select("page_id", O.decoder(S.uri)(text).error.isNull().alias("valid"))
+    return _table(spark, sf_dir, "pages").select("page_id", O.decoder(S.uri)(text).valid.alias("valid"))
 
 
 @query("SELECT c_custkey, (c_custkey * 3)::DOUBLE AS n, (c_custkey * 3)::VARCHAR AS t FROM customer")
@@ -153,7 +154,7 @@ _HAS = "json_type(p, '$.k')"
        f"FROM (SELECT event_id, {_BROKEN_SQL} AS p FROM events)")
 def nullable_vs_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "events").select("event_id", F.try_parse_json(_broken()).alias("v"))
-    has = lambda s: O.parser(S.object_({"k": s}))("v", "unknown").error.isNull()
+    has = lambda s: O.parser(S.object_({"k": s}))("v", "unknown").valid
     return rows.select("event_id", has(S.nullable(S.never_())).alias("is_null"), has(S.optional(S.never_())).alias("is_missing"), has(S.nullish(S.never_())).alias("is_nullish"))
 
 
@@ -162,8 +163,8 @@ def nullable_vs_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tagged_union_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit('{"kind":"'), F.col("event_type"), F.lit('","p":'), F.col("props"), F.lit("}"))
     arm = lambda kind, verb: S.object_({"kind": kind, "p": S.object_({"k": S.int32})})  # noqa: E731, ARG005
-    r = O.parser(S.union(arm("purchase", "buy"), arm("view", "see")))("t")
-    rows = _table(spark, sf_dir, "events").select("event_id", text.alias("t")).select("event_id", r.value.alias("v"), r.error["code"].alias("code"))
+    rows = O.parse(_table(spark, sf_dir, "events").select("event_id", text.alias("t")), "t", S.union(arm("purchase", "buy"), arm("view", "see")), into="v")
+    rows = rows.select("event_id", "v", F.col("v_error.code").alias("code"))
     verb = F.when(F.col("v.kind") == "purchase", "buy:").when(F.col("v.kind") == "view", "see:")
     return rows.select("event_id", F.when(F.col("code").isNull(), F.concat(verb, F.col("v.p.k").cast("string"))).alias("said"), "code")
 
@@ -213,7 +214,7 @@ def compact_columns_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id, len(embedding)::INT AS n, list_min(embedding)::DOUBLE >= -0.5 AS low FROM embeddings")
 def array_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("embedding").cast("array<double>")
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.size(O.decoder(S.array(S.number))(x).value).alias("n"), O.decoder(S.array(S.number.gte(-0.5)))(x).error.isNull().alias("low"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.size(O.decoder(S.array(S.number))(x).value).alias("n"), O.decoder(S.array(S.number.gte(-0.5)))(x).valid.alias("low"))
 
 
 @query(f"SELECT event_id, CASE WHEN coalesce(json_type(p, '$.k') IN ('BIGINT', 'UBIGINT'), json_array_length(json_keys(p)) IS NULL AND len(json_keys(p)) = 0) THEN coalesce((p->>'$.k')::DOUBLE, 0) + coalesce((p->>'$.z')::DOUBLE, 0) END AS total FROM (SELECT event_id, {_BROKEN_SQL} AS p FROM events)"

@@ -284,3 +284,16 @@ def test_streaming(spark, tmp_path):
     q = stream.select("out.k").writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.k for r in spark.table("kept").collect()] == [1.0]
+
+
+def test_schema_of_types():
+    from pyspark.sql import types as T
+
+    kind = T.StructType([T.StructField("a", T.StringType(), False), T.StructField("b", T.ArrayType(T.DoubleType(), False))])
+    assert S.expression(O.schema_of(kind)) == "{ a: string; b: number[] | undefined; }"
+
+
+def test_entry_queries_have_sql():
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 30
