@@ -41,6 +41,9 @@ GRAM = 32
 #: Bytes of text scanned at once, and of segments in an index.
 CHUNK_BYTES = 1 << 20
 INDEX_BYTES = 1 << 20
+#: A text of so many bytes is scanned in parts, as its places need more than 24 bits; and the bytes of a part.
+WHOLE_BYTES = 1 << 24
+PART_BYTES = 1 << 23
 _AT_BITS = np.uint64(24)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -100,26 +103,30 @@ def _found(keyed: DataFrame, length: int) -> DataFrame:
         for batch in in_chunks(batches, "text", CHUNK_BYTES):
             texts = raw(batch.column(2))
             joined = b"".join(texts)
-            for lo in range(0, max(1, len(texts)), len(texts) if len(joined) < 1 << 24 else 1):
-                own = texts[lo:lo + (len(texts) if len(joined) < 1 << 24 else 1)]
+            count = len(texts) if len(joined) < WHOLE_BYTES else 1
+            for lo in range(0, max(1, len(texts)), count):
+                own = texts[lo:lo + count]
                 yield from one(batch, lo, own, digest)
 
     def one(batch, lo, texts, digest):  # noqa: ANN001, ANN202
         joined = b"".join(texts)
         ends = np.cumsum([len(t) for t in texts])
-        # A text beyond the bits of a place is scanned in overlapping parts.
-        step, size = 1 << 23, len(joined)
-        for base in range(0, max(1, size), step) if size >= 1 << 24 else (0,):
-            part = joined[base:base + step + length - 1 + 2 * length] if size >= 1 << 24 else joined
-            at_ends = ends if size < 1 << 24 else np.array([len(part)])
+        # A text beyond the bits of a place is scanned in overlapping parts. Each has the runs that begin in
+        # its step; the byte before it shows which runs began earlier and so are those of the part before.
+        step, size = PART_BYTES, len(joined)
+        parted = size >= WHOLE_BYTES
+        for base in range(0, size, step) if parted else (0,):
+            lead = 1 if base else 0
+            part = joined[base - lead:base + step + length - 1 + 2 * length] if parted else joined
+            at_ends = np.array([len(part)]) if parted else ends
             h, _, first, last = anchors(np.frombuffer(part, np.uint8), at_ends, length)
-            if size >= 1 << 24:
-                keep = first < step
+            if parted:
+                keep = (first >= lead) & (first < lead + step)
                 h, first, last = h[keep], first[keep], last[keep]
             view = memoryview(part)
             content = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64)
             doc = np.searchsorted(at_ends, first, side="right")
-            start = np.concatenate([[0], at_ends])[doc] - base
+            start = np.concatenate([[0], at_ends])[doc] - (base - lead)
             take = pa.array(doc + lo)
             yield pa.RecordBatch.from_arrays([
                 pa.array(h.astype(np.int64)), pa.array(content.astype(np.int64)), batch.column(0).take(take), batch.column(1).take(take),

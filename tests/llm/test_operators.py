@@ -154,6 +154,18 @@ def test_repeats(spark, docs, texts, empty, length, monkeypatch):
     assert cut.columns == ["doc_id", "text", "extra"] and all(r.text is None or r.text.encode().decode() == r.text for r in cut.collect())
 
 
+def test_repeats_in_parts(spark, monkeypatch):
+    # Places, and so parts, as in texts of 16 MiB or more; the brute force knows no parts.
+    monkeypatch.setattr(substrings, "WHOLE_BYTES", 2000)
+    monkeypatch.setattr(substrings, "PART_BYTES", 512)
+    rng = random.Random(11)
+    once, passage = prose(rng, 3000), prose(rng, 200)
+    rows = [(1, once), (2, prose(rng, 400) + passage + prose(rng, 333) + passage), (3, prose(rng, 70) + once[700:5000] + prose(rng, 300)), (4, passage[:150]), (5, "a" * 3000)]
+    got, want = by_id(substrings.digests(spark.createDataFrame(rows, "doc_id long, text string"))), _removed(rows, 100)
+    assert got[1].n_removed == 0
+    assert all(tuple(got[i])[1:] == want[i] for i, _ in rows)
+
+
 def test_run_length_index():
     rng = random.Random(2)
     for _ in range(30):
