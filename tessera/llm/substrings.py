@@ -25,7 +25,9 @@ ordered by a hash of the text; a null doc_id comes before all others; empty tabl
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,10 +138,14 @@ def _found(keyed: DataFrame, length: int) -> DataFrame:
 
 
 def shared(keyed: DataFrame, length: int) -> DataFrame:
-    """The anchors that stand twice or more, `again` if an equal segment is earlier; written."""
+    """The anchors that stand twice or more, `again` if an equal segment is earlier; written. Repeated
+    rows are one document, so each place counts once."""
     w = Window.partitionBy("hash").orderBy("content", "doc_id", "mark", "first")
-    beside = _found(keyed, length).select("*", F.lag("content").over(w).alias("before"), F.lead("content").over(w).alias("after"))
-    return written(beside.filter("before is not null or after is not null").select(
+    place = ("doc_id", "mark", "first")
+    beside = _found(keyed, length).select(
+        "*", F.lag("content").over(w).alias("before"), F.lead("content").over(w).alias("after"), *(F.lag(c).over(w).alias(f"before_{c}") for c in place))
+    same = [F.col("before").eqNullSafe(F.col("content")), *(F.col(f"before_{c}").eqNullSafe(F.col(c)) for c in place)]
+    return written(beside.filter("before is not null or after is not null").filter(~functools.reduce(operator.and_, same)).select(
         "hash", "doc_id", "mark", "first", "last", F.coalesce(F.col("before") == F.col("content"), F.lit(False)).alias("again")))[0]
 
 

@@ -166,6 +166,21 @@ def test_repeats_in_parts(spark, monkeypatch):
     assert all(tuple(got[i])[1:] == want[i] for i, _ in rows)
 
 
+def test_repeats_of_repeated_rows(spark):
+    rng = random.Random(12)
+    one, two, three, four = (prose(rng, 60) for _ in range(4))
+    rows = [(3, one)] * 2 + [(None, two)] * 3 + [(5, one + three)] * 2 + [(7, two), (8, four + four), (8, four + four), (9, "short"), (9, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    # Rows with one doc_id and equal text are one document; a null doc_id is before all others.
+    want = _removed([(-1 if i is None else i, t) for i, t in rows], 100)
+    assert want[3][1] == want[-1][1] == 0 < want[5][1] and want[8][1] == len(four.encode())
+    got = substrings.digests(docs).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in rows)
+    assert all(tuple(r)[1:] == want[-1 if r.doc_id is None else r.doc_id] for r in got)
+    cut = collections.Counter(map(tuple, substrings.deduplicated(docs).collect()))
+    assert cut == {(3, one): 2, (None, two): 3, (5, three): 2, (8, four): 2, (9, "short"): 2}
+
+
 def test_run_length_index():
     rng = random.Random(2)
     for _ in range(30):
