@@ -90,23 +90,43 @@ def _fields(head: bytes) -> dict[bytes, bytes]:
     return found
 
 
-def _candidates(file: str, data: bytes, payloads: bool) -> Iterator[dict]:
+def _headers(data: bytes) -> Iterator[tuple[int, int, dict[bytes, bytes]]]:
+    """(start, end of the header, its fields) of every place with the magic. Those with one end come
+    last first, so that their common lines are read once; the fields are valid until the next."""
+    end, group = -1, []
+
+    def parsed() -> Iterator[tuple[int, int, dict[bytes, bytes]]]:
+        head, to = {}, end
+        for start, after in reversed(group):
+            head.update(_fields(data[after:to]))  # of lines with one name the first counts
+            yield start, end, head
+            to = after - 2
+
     for m in _MAGIC.finditer(data):
-        end = data.find(b"\r\n\r\n", m.end() - 2, m.end() + 65536)
-        if end < 0:
-            continue
-        head = _fields(data[m.end():end])
+        if m.end() - 2 > end:
+            yield from parsed()
+            end, group = data.find(b"\r\n\r\n", m.end() - 2), []
+            if end < 0:
+                return
+        group.append((m.start(), m.end()))
+    yield from parsed()
+
+
+def _candidates(file: str, data: bytes, payloads: bool) -> Iterator[dict]:
+    known = None
+    for at, end, head in _headers(data):
         length = head.get(b"content-length", b"")
         if not length.isdigit() or (after := end + 4 + int(length)) + 4 > len(data) or data[after:after + 4] != b"\r\n\r\n":
             continue
-        block = data[end + 4:after]
-        http, _, payload = block.partition(b"\r\n\r\n")
+        if known != (end, after):
+            known, block = (end, after), data[end + 4:after]
+            http, _, payload = block.partition(b"\r\n\r\n")
+            own = hashlib.sha1(payload).hexdigest()
         said = head.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("latin-1")
         revisit = head.get(b"warc-type") == b"revisit"
-        own = hashlib.sha1(payload).hexdigest()
         size = _fields(http).get(b"content-length", b"") if revisit else b""
         yield {
-            "file": file, "at": m.start(), "next": after + 4, "record_type": head.get(b"warc-type", b"").decode("latin-1"),
+            "file": file, "at": at, "next": after + 4, "record_type": head.get(b"warc-type", b"").decode("latin-1"),
             "record_id": head.get(b"warc-record-id", b"").decode("latin-1"),
             "uri": head.get(b"warc-target-uri", b"").decode("utf-8", "replace"),
             "refers_to": head[b"warc-refers-to"].decode("latin-1") if b"warc-refers-to" in head else None,
@@ -127,7 +147,7 @@ def candidates(spark: SparkSession, path: str, payloads: bool = False) -> DataFr
                     plain = gzip.decompress(plain)
                 for row in _candidates(file, plain, payloads):
                     rows.append(row)
-                    size += len(row["payload"] or b"") + 200
+                    size += len(row["payload"] or b"") + sum(len(row[c] or "") for c in ("record_id", "uri", "refers_to")) + 200
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_pylist(rows, _READ)
                         rows, size = [], 0

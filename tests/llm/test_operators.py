@@ -291,6 +291,27 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0), scratch(spark)).count() == 0
 
 
+def test_warc_long_headers(spark):
+    url = "data:text/html," + "a b" * 100_000
+    rows = [(1, url, "x" * 500), (2, "u", "y" * 1500), (3, url + "!", "y" * 1500), (4, "u", "WARC/1.0\r\n" * 60_000), (5, url, None), (6, "u", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = scratch(spark)
+    warc.write_warc(pages, path)
+    read = {r.record_id: r for r in warc.read_warc(spark, path)[0].collect()}
+    assert sorted(read) == [f"<urn:page:{i}>" for i, _, _ in rows]
+    assert all(read[f"<urn:page:{i}>"].uri == u.replace(" ", "%20") for i, u, _ in rows)
+    assert {r.page_id: r.payload_bytes for r in warc.round_trip(pages, scratch(spark)).collect()} == {i: len(h or "") for i, _, h in rows}
+
+
+def test_warc_candidates():
+    # Magics that share a header's end: each has its own fields, the first of a name.
+    data = b"X\r\nWARC/1.0\r\nWARC-Type: a\r\nNote: WARC/1.1\r\nWARC-Type: b\r\nWARC-Record-ID: i\r\nContent-Length: 2\r\n\r\nok\r\n\r\nWARC/1.0\r\n\r\n\r\n\r\nWARC/1.0\r\nopen"
+    found = {r["at"]: r for r in warc._candidates("f", data, True)}
+    one, two = data.index(b"WARC/1.0"), data.index(b"WARC/1.1")
+    assert set(found) == {one, two} and [found[k]["record_type"] for k in (one, two)] == ["a", "b"]
+    assert all(r["record_id"] == "i" and r["payload"] == b"" and data[r["next"]:].startswith(b"WARC/1.0") for r in found.values())
+
+
 def test_warc_damage(spark):
     good = [{"file": "f", "at": a, "next": b} for a, b in ((0, 10), (10, 30), (30, 70), (12, 25), (25, 30), (80, 90))]
     edges = spark.createDataFrame([(x["file"], x["at"], x["next"]) for x in good], "file string, at long, next long")
