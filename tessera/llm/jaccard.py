@@ -6,11 +6,12 @@ keeps common passages out of the prefixes. Two sets at or over the threshold sha
 first n - ceil(t * n) + 1 of both, so only those go to the inverted lists.
 
 Index level: a list is read in order of set size, entries with the position at which the token
-stands. Sizes and positions bound what a pair can still share, and entries beyond are skipped.
+stands. Sizes and positions bound what a pair can still share; pairs of entries beyond are formed by the
+join on the token and left out there, before texts are read. There are no blocks that are skipped unread.
 
 Answer level: a set is first compared with its neighbours in its lists, most often highly similar
 sets. A verified link makes the two share their answers: sets of one component are not compared again
-in any list. Neighbours of different components are compared in further orders of the lists for as
+in any list; answers are not derived from those of a similar set. Neighbours of different components are compared in further orders of the lists for as
 long as that finds many links. At last all pairs of different components that sizes, positions and
 parity sketches leave open are computed anew.
 
@@ -19,7 +20,8 @@ differ in at least as many tokens as their sketches in bits, so a sketch only ev
 that are no link. Sets of equal size and equal 64-bit hash of all tokens are equal.
 
 So every link between sets is either verified or inside a component that verified links connect; no
-list, partner or candidate is capped, and copies are never expanded into pairs.
+list, partner or candidate is capped. Copies are not compared with each other beyond neighbours once they
+are linked, but a list with sets of several components joins all its entries, each copy as one of its own.
 
 Words: A-Z lower-cased, `[^\\x20\\x09-\\x0D]+`; with fewer than `shingle` words the whole sequence is the
 only shingle. Defined cases: null texts and texts without words have the empty set, linked with
