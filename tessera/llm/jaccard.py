@@ -1,47 +1,51 @@
-"""Exact Jaccard self-join of documents on word shingles, by set relations over position-filtered lists.
+"""Exact Jaccard self-join of documents on word shingles, by set relations over block-skipped lists.
 
 A set's tokens (64-bit hashes of its shingles) have one global order, rare before frequent: by the
 cells of a fixed-size table counted over all documents, ties by hash. Any order is exact; this one
 keeps common passages out of the prefixes. Two sets at or over the threshold share a token in the
 first n - ceil(t * n) + 1 of both, so only those go to the inverted lists.
 
-Index level: a list is read in order of set size, entries with the position at which the token
-stands. Sizes and positions bound what a pair can still share; pairs of entries beyond are formed by the
-join on the token and left out there, before texts are read. There are no blocks that are skipped unread.
+Equal sets (size and two 64-bit sums of all tokens) are folded first: the one with the least doc_id
+stands for all in every list, so copies are never compared with anything.
+
+Index level: a list is cut into blocks by set size (a factor of 1 / t) and by the share of the set that
+stands before the token. A set looks in its lists for sets no larger than itself; its size and position
+say which blocks can hold a partner, and only those are joined: all others are skipped unread.
 
 Answer level: a set is first compared with its neighbours in its lists, most often highly similar
-sets. A verified link makes the two share their answers: sets of one component are not compared again
-in any list; answers are not derived from those of a similar set. Neighbours of different components are compared in further orders of the lists for as
-long as that finds many links. At last all pairs of different components that sizes, positions and
-parity sketches leave open are computed anew.
+sets. A link puts both into one component, whose members are not compared again. What the blocks leave
+open between components is answered in two steps. A set that is linked with a similar hub lets the
+hub's pair be compared first; then its own shared tokens follow from the hub's to within the tokens in
+which the two differ: shared(hub, z) - (n_hub - s) <= shared(y, z) <= shared(hub, z) + (n_y - s), with s
+shared by hub and y. Only pairs that these bounds leave open are compared themselves.
 
 A parity sketch has about a bit per token, each the parity of the tokens that fall on it. Two sets
 differ in at least as many tokens as their sketches in bits, so a sketch only ever rules out pairs
-that are no link. Sets of equal size and equal 64-bit hash of all tokens are equal.
+that are no link.
 
-So every link between sets is either verified or inside a component that verified links connect; no
-list, partner or candidate is capped. Copies are not compared with each other beyond neighbours once they
-are linked, but a list with sets of several components joins all its entries, each copy as one of its own.
+So every link between sets is either verified, derived, or inside a component that such links connect;
+no list, partner or candidate is capped.
 
 Words: A-Z lower-cased, `[^\\x20\\x09-\\x0D]+`; with fewer than `shingle` words the whole sequence is the
 only shingle. Defined cases: null texts and texts without words have the empty set, linked with
 nothing; repeated rows share a node; rows with one doc_id and different texts are one node with the
-links of both; a null doc_id is not linked; empty tables give empty results.
+links of both; a null doc_id is not linked; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import in_chunks, raw, written
+from ._util import in_chunks, raw, removed, written
 from .components import components
 
 #: Cells of the frequency table, a byte each where it is broadcast: its size does not depend on the data.
@@ -49,8 +53,10 @@ CELL_BITS = 23
 _PARTS = 64
 _CELL_SHIFT = np.uint64(64 - CELL_BITS)
 MEMO = 400_000
-#: Pairs up to this number are broadcast to the texts; more are joined by exchange.
-SMALL = 4_000
+#: Bits of the table that says which documents a text exchange needs: at most 4 MB are broadcast.
+BLOOM_BITS = 25
+#: Position blocks in a size block.
+POSITIONS = 4
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -134,20 +140,22 @@ def differing_bits(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-def prefixes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n, mark (of the whole set), sketch, tokens (of the prefix, in order), as a written table."""
+def prefixes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, str]:
+    """doc_id, n, low, high (sums over the whole set), sketch, tokens (of the prefix, in order), as a
+    written table; and its path."""
     held = docs.sparkSession.sparkContext.broadcast(frequencies(docs, shingle))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, level = Shingler(shingle), held.value
         for batch in in_chunks(batches, "text", 4 << 20):
-            ns, marks, sketches, tokens, ends = [], [], [], [], [0]
+            ns, lows, highs, sketches, tokens, ends = [], [], [], [], [], [0]
             for text in raw(batch.column(1)):
                 h = own(text)
                 n = len(h)
                 ns.append(n)
-                marks.append(int((h * _MIX[1] ^ (h >> np.uint64(7))).sum().astype(np.int64)) if n else 0)
+                lows.append(int((h * _MIX[1] ^ (h >> np.uint64(7))).sum().astype(np.int64)) if n else 0)
+                highs.append(int(((h ^ (h >> np.uint64(32))) * _MIX[3] ^ (h >> np.uint64(17))).sum().astype(np.int64)) if n else 0)
                 sketches.append(sketch(h))
                 if n:
                     first = n - -(-percent * n // 100) + 1
@@ -157,134 +165,222 @@ def prefixes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 ends.append(ends[-1] + len(h))
             flat = np.concatenate(tokens).astype(np.int64) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(ns, pa.int64()), pa.array(marks, pa.int64()), pa.array(sketches, pa.binary()),
+                batch.column(0), pa.array(ns, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), pa.array(sketches, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], schema=schema)
 
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n long, mark long, sketch binary, tokens array<long>"))[0]
+        run, "doc_id long, n long, low long, high long, sketch binary, tokens array<long>"))
+
+
+def folded(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, own): doc_id, n, rep of every row, rep being the least doc_id with an equal set; and the
+    sets of the representatives. Both written."""
+    named = sets.filter("doc_id is not null and n > 0")
+    same = named.groupBy("n", "low", "high").agg(F.min("doc_id").alias("rep"))
+    same, _ = written(same)
+    rows = sets.select("doc_id", "n", "low", "high").join(same, ["n", "low", "high"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    own = named.join(same.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "low", "high"], "left_semi").select("doc_id", "n", "sketch", "tokens")
+    return written(rows)[0], written(own)[0]
 
 
-def listed(sets: DataFrame) -> DataFrame:
+def listed(own: DataFrame) -> DataFrame:
     """token, doc_id, place (size and position) of all lists with two entries or more, each with its
     neighbour before; written."""
     # Size and position share a number: size first, as the order of a list needs.
-    entries = sets.filter("doc_id is not null").select(
-        "doc_id", "n", F.posexplode("tokens").alias("at", "token")).select(
+    entries = own.select("doc_id", "n", F.posexplode("tokens").alias("at", "token")).select(
         "token", "doc_id", (F.shiftleft("n", 32) + F.col("at")).alias("place"))
     w = Window.partitionBy("token").orderBy(F.shiftright("place", 32), "doc_id")
     beside = entries.select("token", "doc_id", "place", F.lag("doc_id").over(w).alias("before"), F.lag("place").over(w).alias("before_place"), F.lead("doc_id").over(w).alias("after"))
     return written(beside.filter("before is not null or after is not null").drop("after"))[0]
 
 
-def sifted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, apart (bits), equal of the pairs (a, b) that sizes and sketches leave open."""
-    own = sets.select("doc_id", "n", "mark", "sketch")
+def sifted(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs (a, b) that sizes and sketches leave open."""
+    own = own.select("doc_id", "n", "sketch")
     x, z = (own.select(*(F.col(c).alias(f"{c}_{k}") for c in own.columns)) for k in "ab")
     both = pairs.join(x, F.col("a") == F.col("doc_id_a")).join(z, F.col("b") == F.col("doc_id_b")).filter(
         100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, equal, sizes, p, q = (c.to_pylist() for c in batch.columns)
-            apart = list(map(differing_bits, p, q))
-            keep = [(100 + percent) * d <= (100 - percent) * n for d, n in zip(apart, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart, pa.int64()), batch.column(2)], names=["a", "b", "apart", "equal"]).filter(pa.array(keep))
+            sizes, p, q = (c.to_pylist() for c in batch.columns[2:])
+            keep = [(100 + percent) * d <= (100 - percent) * n for d, n in zip(map(differing_bits, p, q), sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sizes"), "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
 
-    return both.select("a", "b", ((F.col("n_a") == F.col("n_b")) & (F.col("mark_a") == F.col("mark_b")) & (F.col("n_a") > 0)).alias("equal"),
-                       (F.col("n_a") + F.col("n_b")).alias("sizes"), "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, apart long, equal boolean")
+def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most of those whose doc_id is not in ids: a bit table of fixed size rules them out
+    before texts are exchanged. It never rules out one of ids."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BLOOM_BITS))
+    held = ids.select(bit("doc_id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__tessera_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__tessera_bits"))
+    at = F.bitmap_bit_position(bit("doc_id"))
+    octet = F.conv(F.hex(F.substring("__tessera_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return docs.withColumn("__tessera_bucket", F.bitmap_bucket_number(bit("doc_id"))).join(
+        F.broadcast(held), "__tessera_bucket").filter(F.call_function("getbit", octet, (at % 8).cast("int")) == 1).select(docs.columns)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, from both whole texts; written."""
+def compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """a, b, n_a, n_b, shared, link of the pairs (a, b), from both whole texts; written. Sizes and shared
+    are null where a doc_id has more than one row."""
     pairs, _ = written(pairs.select("a", "b"))
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    if pairs.count() <= SMALL:  # 16 bytes a pair
-        sides = F.broadcast(sides)
-    texts = sides.join(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id")
+    texts = sides.join(_needed(docs.select("doc_id", F.col("text").cast("string").alias("text")), sides), "doc_id")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = texts.select("a", "b", (F.col("doc_id") == F.col("b")).alias("second"), "text").repartition(parts, "a", "b").sortWithinPartitions("a", "b", "second")
+    kinds = [*[("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("shared", pa.int64()), ("link", pa.bool_())]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler(shingle)
-        now, left, done = None, [], False
+        now, sides = None, ({}, {})
+
+        def judged() -> tuple:
+            left, right = (list(x.values()) for x in sides)
+            link, shared = False, None
+            for x in left:
+                for h in right:
+                    shared = len(np.intersect1d(x, h, assume_unique=True))
+                    if link := shared > 0 and 100 * shared >= percent * (len(x) + len(h) - shared):
+                        break
+                if link:
+                    break
+            one = len(left) == len(right) == 1
+            return (*now, *((len(left[0]), len(right[0]), shared) if one else (None, None, None)), link)
+
+        def sent(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(kinds)], names=[k for k, _ in kinds])
+
         for batch in batches:
             out = []
             for a, b, second, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), raw(batch.column(3)), strict=True):
                 if now != (a, b):
-                    now, left, done = (a, b), [], False
-                if done:
-                    continue
-                h = own(text)
-                if not second:
-                    left.append(h)
-                    continue
-                for x in left:
-                    shared = len(np.intersect1d(x, h, assume_unique=True))
-                    if shared and 100 * shared >= percent * (len(x) + len(h) - shared):
-                        done = True
-                if done:
-                    out.append(now)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                    if now:
+                        out.append(judged())
+                    now, sides = (a, b), ({}, {})
+                sides[second].setdefault(xxhash.xxh3_128_digest(text or b""), own(text))
+            yield sent(out)
+        if now:
+            yield sent([judged()])
 
-    return written(met.mapInArrow(run, "a long, b long"))[0]
+    return written(met.mapInArrow(run, "a long, b long, n_a long, n_b long, shared long, link boolean"))[0]
 
 
 def classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
+    if not 0 < percent < 100:
+        raise ValueError("percent is from 1 to 99")
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = prefixes(docs, shingle, percent)
-    lists = listed(sets)
-    edge = lambda df: df.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    sets, path = prefixes(docs, shingle, percent)
+    rows, own = folded(sets)
+    removed(spark, path)
+    lists = listed(own)
     near = lists.filter((F.col("before") != F.col("doc_id")) & (100 * F.shiftright("before_place", 32) >= percent * F.shiftright("place", 32))).select(
         F.least("doc_id", "before").alias("a"), F.greatest("doc_id", "before").alias("b")).distinct()
-    tested, _ = written(sifted(near, sets, percent))
-    links = edge(tested.filter("equal")).union(edge(verified(tested.filter("not equal"), docs, shingle, percent)))
-    own, _ = written(components(links))
-    tested = tested.select("a", "b")
+    answers = compared(sifted(near, own, percent), docs, shingle, percent)
+    # A doc_id with rows of several sets links their representatives.
+    named = rows.filter("rep is not null").select("doc_id", "rep")
+    several = named.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
+    links = _edges(answers).union(named.join(several, "doc_id").select("least", "rep").distinct())
+    member, _ = written(components(links))
     for turn in itertools.count():
         # Neighbours in another order each time, as long as that finds links between components.
-        member = own.select(F.col("node").alias("doc_id"), "component")
-        pairs, _ = written(sifted(beside(lists, member, percent, turn).join(tested, ["a", "b"], "left_anti"), sets, percent))
-        found = verified(pairs, docs, shingle, percent)
-        n = found.count()
-        if not n:
-            break
-        own, _ = written(components(_with(own, edge(found))))
-        tested = tested.union(pairs.select("a", "b"))
-        if n * 200 < own.count():  # the rest is left to the exact end
+        pairs = beside(lists, member, percent, turn).join(answers, ["a", "b"], "left_anti")
+        found = compared(sifted(pairs, own, percent), docs, shingle, percent)
+        answers = answers.union(found)
+        n = found.filter("link").count()
+        if n:
+            member, _ = written(components(_with(member, _edges(found))))
+        if n * 200 <= member.count():  # the rest is left to the exact end
             break
-    member = own.select(F.col("node").alias("doc_id"), "component")
-    rest = crossing(lists, member, percent).join(tested, ["a", "b"], "left_anti")
-    final = components(_with(own, edge(verified(sifted(rest, sets, percent), docs, shingle, percent))))
-    return sets.select("doc_id", F.col("n").alias("n_shingles")).join(
-        final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _with(own: DataFrame, edges: DataFrame) -> DataFrame:
-    return own.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edges)
+    open_, _ = written(sifted(crossing(lists, member, percent).join(answers, ["a", "b"], "left_anti"), own, percent))
+    waits, _ = written(open_.join(hubs(answers), "a").join(
+        open_.select(F.col("a").alias("a_2"), F.col("b").alias("b_2")),
+        (F.least("hub", "b") == F.col("a_2")) & (F.greatest("hub", "b") == F.col("b_2"))).drop("a_2", "b_2"))
+    first = compared(open_.join(waits, ["a", "b"], "left_anti"), docs, shingle, percent)
+    left, links = derived(waits, first, percent)
+    rest = compared(left, docs, shingle, percent)
+    final = components(_with(member, _edges(first).union(_edges(rest)).union(links)))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(
+        final.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def _edges(answers: DataFrame) -> DataFrame:
+    return answers.filter("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _with(member: DataFrame, edges: DataFrame) -> DataFrame:
+    return member.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edges)
+
+
+def hubs(answers: DataFrame) -> DataFrame:
+    """a, hub, n_a, n_hub, same: of every second set the most similar one with which it is linked, among
+    the sets that have no hub themselves."""
+    odd = lambda c: F.pmod(F.xxhash64(c), F.lit(2)) == 1
+    known = answers.filter("link and shared is not null")
+    both = known.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("n_a").alias("n_x"), F.col("n_b").alias("n_y"), "shared").union(
+        known.select("b", "a", "n_b", "n_a", "shared"))
+    best = F.max_by(F.struct("x", "n_x", "n_y", "shared"), F.struct(F.col("shared") / (F.col("n_x") + F.col("n_y") - F.col("shared")), -F.col("x")))
+    return both.filter(odd("y") & ~odd("x")).groupBy("y").agg(best.alias("h")).select(
+        F.col("y").alias("a"), F.col("h.x").alias("hub"), F.col("h.n_y").alias("n_a"), F.col("h.n_x").alias("n_hub"), F.col("h.shared").alias("same"))
+
+
+def derived(waits: DataFrame, first: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs that the hub's answer leaves open, links u, v that it proves) of the pairs that waited."""
+    answer = first.select(F.col("a").alias("a_2"), F.col("b").alias("b_2"), "shared", "link",
+                          F.col("n_a").alias("n_a_2"), F.col("n_b").alias("n_b_2"))
+    both = waits.join(answer, (F.least("hub", "b") == F.col("a_2")) & (F.greatest("hub", "b") == F.col("b_2")), "left")
+    n_b = F.when(F.col("b") == F.col("b_2"), F.col("n_b_2")).otherwise(F.col("n_a_2"))
+    enough = lambda s: (100 + percent) * s >= percent * (F.col("n_a") + n_b)
+    most, least = F.col("shared") + F.col("n_a") - F.col("same"), F.col("shared") - F.col("n_hub") + F.col("same")
+    # A hub's link joins the components of both already.
+    no = F.coalesce(F.col("link") | ~enough(most), F.lit(False))
+    yes = F.coalesce(enough(least) & (least > 0), F.lit(False))
+    told = both.select("a", "b", no.alias("no"), yes.alias("yes"))
+    return told.filter("not no and not yes").select("a", "b"), told.filter("yes and not no").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def beside(lists: DataFrame, member: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b) of different components that are neighbours in a list, in an order drawn for this turn."""
     entries = lists.select("token", "doc_id", F.shiftright("place", 32).alias("n")).join(
-        member, "doc_id", "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("hub"))
+        member.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("hub"))
     w = Window.partitionBy("token").orderBy(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
     both = entries.select("doc_id", "n", "hub", F.lag(F.struct("doc_id", "n", "hub")).over(w).alias("z"))
     return both.filter((F.col("hub") != F.col("z.hub")) & (100 * F.least("n", "z.n") >= percent * F.greatest("n", "z.n"))).select(
         F.least("doc_id", "z.doc_id").alias("a"), F.greatest("doc_id", "z.doc_id").alias("b")).distinct()
 
 
+def size_block(n: Column, percent: int) -> Column:
+    """The size block of n; it never falls as n grows, so a range of sizes is a range of blocks."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent)).cast("int")
+
+
 def crossing(lists: DataFrame, member: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that share a list but no component, as far as sizes and positions leave them open."""
     entries = lists.select("token", "doc_id", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("at")).join(
-        member, "doc_id", "left").select("token", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("hub"))
+        member.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("hub"))
     mixed = entries.groupBy("token").agg(F.min("hub").alias("low"), F.max("hub").alias("high")).filter("low < high").select("token")
     entries, _ = written(entries.join(mixed, "token"))
-    x, z = (entries.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "at", "hub"))) for k in "xz")
-    # Shared at most: this token and what follows it in both; needed: percent / (100 + percent) of both sizes.
+    # Of a pair the smaller set (of equal sizes the lower id) is the one found. Both share this token and at
+    # most what follows it in either; percent / (100 + percent) of both sizes must be shared.
+    whole = 100 + percent
+    step = F.floor(F.col("at") * F.lit(POSITIONS * whole) / (F.col("n") * (100 - percent))).cast("int")
+    found = entries.filter(whole * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n")).select(
+        "token", *(F.col(c).alias(f"{c}_z") for c in ("doc_id", "n", "at", "hub")), size_block(F.col("n"), percent).alias("block"), F.least(step, F.lit(POSITIONS)).alias("step"))
+    low = F.ceil(F.col("n") * percent / 100)
+    high = F.least(F.col("n"), F.floor(F.lit(whole) * (F.col("n") - F.col("at")) / percent) - F.col("n"))
+    blocks = F.sequence(size_block(low, percent), size_block(high, percent))
+    # Sizes in a block are under this; so much of a partner can stand before the token at most.
+    top = F.least(F.pow(F.lit(100 / percent), F.col("block") + 1) * 1.000001, F.col("n").cast("double"))
+    last = (1 - percent / whole * (1 + F.col("n") / top)) * POSITIONS * whole / (100 - percent)
+    looks = entries.filter(low <= high).select("*", F.explode(blocks).alias("block")).select(
+        "token", "block", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "at", "hub")),
+        F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.floor(last + 1e-6).cast("int"), F.lit(POSITIONS))))).alias("step"))
     most = F.least(F.col("n_x") - F.col("at_x"), F.col("n_z") - F.col("at_z"))
-    return x.join(z, "token").filter(
-        (F.col("hub_x") < F.col("hub_z")) & (100 * F.least("n_x", "n_z") >= percent * F.greatest("n_x", "n_z"))
-        & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_z")))).select(
+    return looks.join(found, ["token", "block", "step"]).filter(
+        (F.col("hub_x") != F.col("hub_z")) & ((F.col("n_z") < F.col("n_x")) | (F.col("n_z") == F.col("n_x")) & (F.col("doc_id_z") < F.col("doc_id_x")))
+        & (100 * F.col("n_z") >= percent * F.col("n_x")) & (whole * most >= percent * (F.col("n_x") + F.col("n_z")))).select(
         F.least("doc_id_x", "doc_id_z").alias("a"), F.greatest("doc_id_x", "doc_id_z").alias("b")).distinct()

@@ -346,6 +346,66 @@ def test_jaccard(spark, docs, texts, empty):
     assert jaccard.classes(empty).count() == 0
 
 
+def _sets(rng, n):
+    """Sets around a few centres, from equal to far apart: {id: set of numbers}."""
+    out = {}
+    for i in range(n):
+        size = rng.choice((1, 2, 5, 9, 20, 40, 60, 75))
+        centre = 1000 * rng.randrange(4)
+        own = set(range(centre, centre + size))
+        for x in rng.sample(sorted(own), rng.randrange(len(own) // 3 + 1)):
+            own.discard(x)
+            if rng.random() < 0.6:
+                own.add(10**6 + rng.randrange(10**6))
+        out[i] = own or {centre}
+    return out
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_skipped_blocks_hold_no_link(spark, percent):
+    rng = random.Random(percent)
+    sets = _sets(rng, 160)
+    rows = []
+    for i, own in sets.items():
+        n = len(own)
+        rows += [(t, i, (n << 32) + at, -1) for at, t in enumerate(sorted(own)[: n - -(-percent * n // 100) + 1])]
+    lists = spark.createDataFrame(rows, "token long, doc_id long, place long, before long")
+    found = {(r.a, r.b) for r in jaccard.crossing(lists, spark.createDataFrame([], "node long, component long"), percent).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert want and want <= found
+
+
+def test_answers_derived_from_a_hub(spark):
+    rng, percent = random.Random(3), 80
+    sets = _sets(rng, 90)
+
+    def answer(a, b):
+        x, z = sets[a], sets[b]
+        return (a, b, len(x), len(z), len(x & z), 100 * len(x & z) >= percent * len(x | z))
+
+    known = [answer(a, b) for a in sets for b in sets if a < b]
+    ddl = "a long, b long, n_a long, n_b long, shared long, link boolean"
+    answers = spark.createDataFrame(known, ddl)
+    hubs = jaccard.hubs(answers).collect()
+    assert hubs and not {h.a for h in hubs} & {h.hub for h in hubs}
+    waits = [(h.a, b, h.hub, h.n_a, h.n_hub, h.same) for h in hubs for b in sets if h.a < b != h.hub]
+    left, links = jaccard.derived(spark.createDataFrame(waits, "a long, b long, hub long, n_a long, n_hub long, same long"), answers, percent)
+    truth = {k[:2]: k[5] for k in known}
+    hub = {h.a: h.hub for h in hubs}
+    opened, linked = {(r.a, r.b) for r in left.collect()}, {(r.u, r.v) for r in links.collect()}
+    assert linked <= {k for k, v in truth.items() if v}
+    for a, b, *_ in waits:  # what is neither open nor linked is no link, or joins through the hub
+        assert (a, b) in opened | linked or not truth[a, b] or truth[min(hub[a], b), max(hub[a], b)]
+    assert len(opened) < len(waits)
+
+
+def test_needed_documents(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    ids = spark.createDataFrame([(i,) for i in (0, 5, 1234, 2999)], "doc_id long")
+    kept = {r.doc_id for r in jaccard._needed(docs, ids).collect()}
+    assert {0, 5, 1234, 2999} <= kept and len(kept) < 20
+
+
 def test_sketch_bound():
     rng = np.random.default_rng(1)
     for n, m in ((300, 250), (600, 500), (40, 40)):
