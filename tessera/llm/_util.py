@@ -9,9 +9,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark's own default of the setting: it names no shared folder, so tests get a fresh one.
 _UNSET = ("", "/tmp/checkpoints")
+#: Bits of the table that says which documents an exchange of texts needs: at most 4 MB are broadcast.
+BLOOM_BITS = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +53,18 @@ def removed(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most of those whose doc_id is not in ids: a bit table of fixed size rules them out
+    before texts are exchanged. It never rules out one of ids."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BLOOM_BITS))
+    held = ids.select(bit("doc_id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__tessera_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__tessera_bits"))
+    at = F.bitmap_bit_position(bit("doc_id"))
+    octet = F.conv(F.hex(F.substring("__tessera_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return docs.withColumn("__tessera_bucket", F.bitmap_bucket_number(bit("doc_id"))).join(
+        F.broadcast(held), "__tessera_bucket").filter(F.call_function("getbit", octet, (at % 8).cast("int")) == 1).select(docs.columns)
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding."""
     if isinstance(column, pa.ChunkedArray):

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import in_chunks, raw, removed, written
+from ._util import in_chunks, needed, raw, removed, written
 from .components import components
 
 #: Cells of the frequency table, a byte each where it is broadcast: its size does not depend on the data.
@@ -53,8 +53,6 @@ CELL_BITS = 23
 _PARTS = 64
 _CELL_SHIFT = np.uint64(64 - CELL_BITS)
 MEMO = 400_000
-#: Bits of the table that says which documents a text exchange needs: at most 4 MB are broadcast.
-BLOOM_BITS = 25
 #: Position blocks in a size block.
 POSITIONS = 4
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -210,24 +208,12 @@ def sifted(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sizes"), "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without most of those whose doc_id is not in ids: a bit table of fixed size rules them out
-    before texts are exchanged. It never rules out one of ids."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BLOOM_BITS))
-    held = ids.select(bit("doc_id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__tessera_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__tessera_bits"))
-    at = F.bitmap_bit_position(bit("doc_id"))
-    octet = F.conv(F.hex(F.substring("__tessera_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return docs.withColumn("__tessera_bucket", F.bitmap_bucket_number(bit("doc_id"))).join(
-        F.broadcast(held), "__tessera_bucket").filter(F.call_function("getbit", octet, (at % 8).cast("int")) == 1).select(docs.columns)
-
-
 def compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """a, b, n_a, n_b, shared, link of the pairs (a, b), from both whole texts; written. Sizes and shared
     are null where a doc_id has more than one row."""
     pairs, _ = written(pairs.select("a", "b"))
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    texts = sides.join(_needed(docs.select("doc_id", F.col("text").cast("string").alias("text")), sides), "doc_id")
+    texts = sides.join(needed(docs.select("doc_id", F.col("text").cast("string").alias("text")), sides), "doc_id")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = texts.select("a", "b", (F.col("doc_id") == F.col("b")).alias("second"), "text").repartition(parts, "a", "b").sortWithinPartitions("a", "b", "second")
     kinds = [*[("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("shared", pa.int64()), ("link", pa.bool_())]]

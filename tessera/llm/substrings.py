@@ -5,18 +5,20 @@ the same document) is covered; the covered bytes go. Strings are judged on the i
 
 1. Anchors. A string's anchor is the least k-gram hash in it, the leftmost of equals, so equal strings
    have the same anchor at the same place. The starts with one anchor are contiguous; with their
-   strings they form a segment. Only hashes of segments are exchanged.
+   strings they form a segment. Only hashes of segments are exchanged, and a task settles beforehand
+   those that it has seen at an earlier place: copies leave it as merged spans, not as segments.
 2. Segments whose anchor stands elsewhere are grouped by it. Of segments with equal bytes all but the
    first are covered as a whole; the first ones, one per distinct content, go on.
 3. Blocks of such segments, all of an anchor in one, are indexed: a run-compressed Burrows-Wheeler
    transform (run starts, symbols, counts), suffix positions sampled at the separators and at the
    ends of runs of rows that agree on `length` bytes, each with its earliest segment. All segments
    then stream backwards through the runs in step; a start whose match of `length` bytes has an
-   earlier segment is marked.
+   earlier segment is marked. An anchor with over HOT distinct segments is not indexed in one task: its
+   strings go one by one, and the earliest of each is found by an aggregation.
 4. Marks become merged spans per document.
 
 Equal strings meet in step 2 or 3 always, and no string of one anchor can equal one of another, so the
-result is exact (up to equal 64-bit hashes of segments that differ).
+result is exact (up to equal 64-bit hashes of segments of one anchor and size that differ).
 
 Defined cases: null texts are empty; texts shorter than `length` are kept; rows with one doc_id and
 equal text are one document, each returning its result; rows with one doc_id and different texts are
@@ -37,12 +39,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import in_chunks, raw, written
+from ._util import in_chunks, needed, raw, written
 
 GRAM = 32
 #: Bytes of text scanned at once, and of segments in an index.
 CHUNK_BYTES = 1 << 20
 INDEX_BYTES = 1 << 20
+#: Segments that a task looks through for copies at once.
+COMBINED = 1 << 18
+#: Distinct segments of an anchor that one index takes.
+HOT = 10_000
 #: A text of so many bytes is scanned in parts, as its places need more than 24 bits; and the bytes of a part.
 WHOLE_BYTES = 1 << 24
 PART_BYTES = 1 << 23
@@ -95,22 +101,51 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return h[at[new]], at[new], new, last
 
 
-def _found(keyed: DataFrame, length: int) -> DataFrame:
-    """hash, content, doc_id, mark, first, last: every anchor with its segment's starts."""
-    names = ["hash", "content", "doc_id", "mark", "first", "last"]
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+_FOUND = pa.schema([("hash", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()),
+                    ("first", pa.int32()), ("last", pa.int32()), ("done", pa.bool_())])
+
+
+def _combined(parts: list[tuple[np.ndarray, ...]], length: int) -> pa.RecordBatch:
+    """Segments (hash, content, doc_id, mark, first, last) of a task without those that an equal one at an
+    earlier place covers; these become merged spans, marked as done."""
+    h, c, d, m, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((a, m, d, b - a, c, h))
+    h, c, d, m, a, b = (x[order] for x in (h, c, d, m, a, b))
+    differ = lambda *columns: np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], 0)]) if len(h) else np.zeros(0, bool)
+    new = differ(h, c, b - a)
+    done = ~new & differ(d, m, a)  # one place is met again in repeated rows, which are one document
+    dd, dm, da, db = (x[done] for x in (d, m, a, b))
+    order = np.lexsort((da, dm, dd))
+    dd, dm, da, db = (x[order] for x in (dd, dm, da, db))
+    # Segments of a text neither nest nor meet in a start, so their ends rise with their starts.
+    head = np.flatnonzero(np.concatenate([[True], (dd[1:] != dd[:-1]) | (dm[1:] != dm[:-1]) | (da[1:] > db[:-1] + length)])) if len(dd) else np.zeros(0, int)
+    tail = np.append(head[1:], len(dd)) - 1 if len(dd) else head
+    none = np.zeros(len(head), np.int64)
+    columns = [(h[new], none), (c[new], none), (d[new], dd[head]), (m[new], dm[head]), (a[new], da[head]), (b[new], db[tail]), (np.zeros(new.sum(), bool), none == 0)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)).cast(f.type) for x, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
 
+
+def _found(keyed: DataFrame, length: int) -> DataFrame:
+    """hash, content, doc_id, mark, first, last, done: every anchor with its segment's starts; or (done)
+    merged starts of segments that an earlier place of the same task covers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
+        parts, size = [], 0
         for batch in in_chunks(batches, "text", CHUNK_BYTES):
             texts = raw(batch.column(2))
-            joined = b"".join(texts)
-            count = len(texts) if len(joined) < WHOLE_BYTES else 1
+            ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            count = len(texts) if sum(map(len, texts)) < WHOLE_BYTES else 1
             for lo in range(0, max(1, len(texts)), count):
-                own = texts[lo:lo + count]
-                yield from one(batch, lo, own, digest)
-
-    def one(batch, lo, texts, digest):  # noqa: ANN001, ANN202
+                for part in one(ids[lo:lo + count], marks[lo:lo + count], texts[lo:lo + count], digest):
+                    parts.append(part)
+                    size += len(part[0])
+                    if size > COMBINED:
+                        yield _combined(parts, length)
+                        parts, size = [], 0
+        if parts:
+            yield _combined(parts, length)
+
+    def one(ids, marks, texts, digest):  # noqa: ANN001, ANN202
         joined = b"".join(texts)
         ends = np.cumsum([len(t) for t in texts])
         # A text beyond the bits of a place is scanned in overlapping parts. Each has the runs that begin in
@@ -129,24 +164,26 @@ def _found(keyed: DataFrame, length: int) -> DataFrame:
             content = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64)
             doc = np.searchsorted(at_ends, first, side="right")
             start = np.concatenate([[0], at_ends])[doc] - (base - lead)
-            take = pa.array(doc + lo)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(h.astype(np.int64)), pa.array(content.astype(np.int64)), batch.column(0).take(take), batch.column(1).take(take),
-                pa.array((first - start).astype(np.int32)), pa.array((last - start).astype(np.int32))], schema=pa.schema(list(zip(names, kinds, strict=True))))
+            yield h.astype(np.int64), content.astype(np.int64), ids[doc], marks[doc], first - start, last - start
 
-    return keyed.mapInArrow(run, "hash long, content long, doc_id long, mark long, first int, last int")
+    return keyed.mapInArrow(run, "hash long, content long, doc_id long, mark long, first int, last int, done boolean")
 
 
 def shared(keyed: DataFrame, length: int) -> DataFrame:
-    """The anchors that stand twice or more, `again` if an equal segment is earlier; written. Repeated
-    rows are one document, so each place counts once."""
-    w = Window.partitionBy("hash").orderBy("content", "doc_id", "mark", "first")
+    """The anchors that stand twice or more, `again` if an equal segment is earlier, with the number k of
+    distinct segments of the anchor; written. Repeated rows are one document, so each place counts once."""
+    found = _found(keyed, length).withColumns({
+        "key": F.when(F.col("done"), F.xxhash64("doc_id", "first")).otherwise(F.col("hash")), "width": F.col("last") - F.col("first")})
+    w = Window.partitionBy("key", "done").orderBy("content", "width", "doc_id", "mark", "first")
     place = ("doc_id", "mark", "first")
-    beside = _found(keyed, length).select(
-        "*", F.lag("content").over(w).alias("before"), F.lead("content").over(w).alias("after"), *(F.lag(c).over(w).alias(f"before_{c}") for c in place))
-    same = [F.col("before").eqNullSafe(F.col("content")), *(F.col(f"before_{c}").eqNullSafe(F.col(c)) for c in place)]
-    return written(beside.filter("before is not null or after is not null").filter(~functools.reduce(operator.and_, same)).select(
-        "hash", "doc_id", "mark", "first", "last", F.coalesce(F.col("before") == F.col("content"), F.lit(False)).alias("again")))[0]
+    beside = found.select(
+        "*", F.lag("content").over(w).alias("before"), F.lag("width").over(w).alias("before_width"), F.lead("content").over(w).alias("after"),
+        *(F.lag(c).over(w).alias(f"before_{c}") for c in place))
+    equal = F.col("before").eqNullSafe(F.col("content")) & F.col("before_width").eqNullSafe(F.col("width"))
+    same = functools.reduce(operator.and_, [equal, *(F.col(f"before_{c}").eqNullSafe(F.col(c)) for c in place)])
+    judged = beside.filter(F.col("done") | ((F.col("before").isNotNull() | F.col("after").isNotNull()) & ~same)).select(
+        "key", "done", "hash", "doc_id", "mark", "first", "last", (F.col("done") | equal).alias("again"))
+    return written(judged.withColumn("k", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(Window.partitionBy("key", "done"))).drop("key", "done"))[0]
 
 
 class RunLengthIndex:
@@ -268,13 +305,17 @@ def _indexed(length: int):  # noqa: ANN202
     return run
 
 
+def _with_text(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """doc_id, mark, text, cuts (the segments to take) of the documents that have any."""
+    wanted, _ = written(firsts.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("hash", "first", "last")).alias("cuts")))
+    return needed(keyed, wanted).join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("doc_id", "mark", "text", "cuts")
+
+
 def covered(keyed: DataFrame, length: int) -> DataFrame:
     """doc_id, mark, start, end: spans of bytes to remove, which may overlap."""
     rows = shared(keyed, length)
     again = rows.filter("again").select("doc_id", "mark", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    firsts = rows.filter("not again").select("hash", "doc_id", "mark", "first", "last", F.count(F.lit(1)).over(Window.partitionBy("hash")).alias("k")).filter("k > 1")
-    wanted = firsts.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("hash", "first", "last")).alias("cuts"))
-    cut = keyed.join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    firsts = rows.filter("not again and k > 1")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, "text", CHUNK_BYTES):
@@ -284,10 +325,32 @@ def covered(keyed: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
                                              names=["hash", "doc_id", "mark", "first", "segment"])
 
-    found = cut.select("doc_id", "mark", "text", "cuts").mapInArrow(segments, "hash long, doc_id long, mark long, first int, segment binary")
+    found = _with_text(keyed, firsts.filter(F.col("k") <= HOT)).mapInArrow(segments, "hash long, doc_id long, mark long, first int, segment binary")
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = found.repartition(parts, "hash").sortWithinPartitions("hash", "doc_id", "mark", "first")
-    return again.union(placed.mapInArrow(_indexed(length), "doc_id long, mark long, start int, end int"))
+    spans = again.union(placed.mapInArrow(_indexed(length), "doc_id long, mark long, start int, end int"))
+    hot = firsts.filter(F.col("k") > HOT)
+    return spans if hot.isEmpty() else spans.union(_by_string(keyed, hot, length))
+
+
+def _by_string(keyed: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
+    """doc_id, mark, start, end of the strings in segments of hot anchors that start earlier too."""
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_chunks(batches, "text", CHUNK_BYTES):
+            for doc_id, mark, text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                view = memoryview(text)
+                starts = [i for c in cuts for i in range(c["first"], c["last"] + 1)]
+                for at in range(0, len(starts), COMBINED):
+                    own = starts[at:at + COMBINED]
+                    n = len(own)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([xxhash.xxh3_128_digest(view[i:i + length]) for i in own], pa.binary()), pa.array([doc_id] * n, pa.int64()),
+                        pa.array([mark] * n, pa.int64()), pa.array(own, pa.int32())], names=["string", "doc_id", "mark", "start"])
+
+    rows, _ = written(_with_text(keyed, firsts).mapInArrow(strings, "string binary, doc_id long, mark long, start int"))
+    place = F.struct("doc_id", "mark", "start")
+    earliest = rows.groupBy("string").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return rows.join(earliest, "string").filter(place > F.col("earliest")).select("doc_id", "mark", "start", (F.col("start") + length).alias("end"))
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:

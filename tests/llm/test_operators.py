@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, components, decontam, jaccard, langid, packing, quality, queries, sharding, substrings, warc, wordpiece
-from tessera.llm._util import scratch
+from tessera.llm._util import needed, scratch
 
 SPACE = r"[^\x20\x09-\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -166,6 +166,26 @@ def test_repeats_in_parts(spark, monkeypatch):
     assert all(tuple(got[i])[1:] == want[i] for i, _ in rows)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_repeats_of_hot_anchors(spark, texts, monkeypatch, hot):
+    # Anchors with more distinct segments than an index takes go string by string.
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rng = random.Random(hot)
+    line = prose(rng, 30)
+    rows = [(i, prose(rng, 20) + line + prose(rng, 20)) for i in range(30)] + [(100 + i, t) for i, t in texts]
+    got, want = by_id(substrings.digests(spark.createDataFrame(rows, "doc_id long, text string"))), _removed(rows, 100)
+    assert all(tuple(got[i])[1:] == want[i] for i, _ in rows)
+
+
+def test_repeats_seen_by_one_task():
+    a = lambda *x: np.array(x, np.int64)
+    part = (a(7, 7, 7, 8, 7), a(1, 1, 1, 2, 1), a(5, 3, 3, 3, 3), a(0, 0, 0, 0, 0), a(10, 40, 40, 45, 90), a(14, 44, 44, 50, 94))
+    got = substrings._combined([part], 100).to_pylist()
+    left = [tuple(r.values())[:6] for r in got if not r["done"]]
+    assert left == [(7, 1, 3, 0, 40, 44), (8, 2, 3, 0, 45, 50)]
+    assert [(r["doc_id"], r["first"], r["last"]) for r in got if r["done"]] == [(3, 90, 94), (5, 10, 14)]
+
+
 def test_repeats_of_repeated_rows(spark):
     rng = random.Random(12)
     one, two, three, four = (prose(rng, 60) for _ in range(4))
@@ -402,7 +422,7 @@ def test_answers_derived_from_a_hub(spark):
 def test_needed_documents(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     ids = spark.createDataFrame([(i,) for i in (0, 5, 1234, 2999)], "doc_id long")
-    kept = {r.doc_id for r in jaccard._needed(docs, ids).collect()}
+    kept = {r.doc_id for r in needed(docs, ids).collect()}
     assert {0, 5, 1234, 2999} <= kept and len(kept) < 20
 
 
