@@ -4,16 +4,18 @@ Writing is one Spark plan: payload digests, one response per digest, records as
 last line feed is the row separator), so Spark's own committer places the files in any store.
 
 Reading: tasks scan archives for the record magic at any byte and emit candidate edges, a record's
-start to its successor's start, in bytes of the uncompressed archive. A payload can hold the magic too, so a candidate counts only if a
-chain of edges leads to it from the start of its file. The chain is followed by pointer jumping:
-reached starts double with each round, log2 of the records in a file in all.
+start to its successor's start, in bytes of the uncompressed archive. A payload can hold the magic too, so
+a candidate counts only if a chain of edges leads to it from the start of its file. A chain never leaves
+its file, so the offsets of a file meet in one task, which follows it by pointer jumping: reached starts
+double with each round, log2 of the records in a file in all.
 
 Defined cases: null html is an empty payload, null url an empty URI (control characters in it become
 %XX); payloads under `least` bytes are always responses; of equal payloads the largest page_id is the
 response, and repeated rows with that page_id are responses too; a null page_id is read back as null;
 empty tables give empty archives; other columns are ignored. An archive that is cut off or damaged
 gives the records that the unbroken part of its chain reaches. An archive file is read whole by one
-task, so files stay under 2 GB; `write_warc` bounds the records of a file.
+task: `write_warc` bounds a file by FILE_BYTES or one record, and `round_trip` fails if it does not get back
+as many records as there are pages.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,10 @@ from pyspark.sql import functions as F
 from ._util import removed, written
 
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+#: Bytes of uncompressed records in a file, unless a single record has more.
+FILE_BYTES = 128 << 20
+#: Records in a file at most; so those of FILE_BYTES / RECORDS bytes or less go together.
+RECORDS = 4000
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _READ = pa.schema([
     ("file", pa.string()), ("at", pa.int64()), ("next", pa.int64()), ("record_type", pa.string()),
@@ -44,13 +51,15 @@ def planned(pages: DataFrame, least: int = 1000) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"),
                         F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("payload_digest"))
-    # One row per digest: partial maxima meet, never a group's payloads.
-    chosen = (rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest")
-              .agg(F.max("page_id").alias("kept_id"), F.count(F.lit(1)).alias("n"))
-              .filter("n > 1").select(F.col("payload_digest").alias("d"), "kept_id"))
-    return rows.join(chosen, F.col("payload_digest") == F.col("d"), "left").select(
-        "page_id", "url", "html", "payload_bytes", "payload_digest",
-        F.when(~F.col("kept_id").eqNullSafe(F.col("page_id")), F.col("kept_id")).alias("refers_to"))
+    # Digests and ids alone meet by digest, partial maxima first; payloads are joined by page, so that copies
+    # of one payload do not meet in a task.
+    short = rows.filter(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
+    chosen = (short.groupBy("payload_digest").agg(F.max("page_id").alias("kept_id"), F.count(F.lit(1)).alias("n"))
+              .filter("n > 1").drop("n"))
+    revisits = short.join(chosen, "payload_digest").filter(~F.col("kept_id").eqNullSafe(F.col("page_id"))).select(
+        F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), "kept_id").distinct()
+    return rows.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d")), "left").select(
+        "page_id", "url", "html", "payload_bytes", "payload_digest", F.col("kept_id").alias("refers_to"))
 
 
 def _record() -> Column:
@@ -75,10 +84,18 @@ def _record() -> Column:
         line("Content-Length", length.cast("string")), F.lit("\r\n"), block, F.lit("\r\n\r"))
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 1000, records_per_file: int = 4000, compression: str = "gzip") -> None:
-    """Archives of all pages under path (one or more files a task; compression gzip or none)."""
-    planned(pages, least).select(_record().alias("value")).write.option("lineSep", "\n").option(
-        "maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+def write_warc(pages: DataFrame, path: str, least: int = 1000, file_bytes: int = FILE_BYTES, records_per_file: int = RECORDS, compression: str = "gzip") -> None:
+    """Archives of all pages under path (one or more files a task; compression gzip or none).
+
+    Pages are written by size class, each with as many records a file as file_bytes has room for."""
+    size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + 1000
+    counts = list(dict.fromkeys((records_per_file, -(-records_per_file // 64), 1)))
+    kind = F.lit(len(counts) - 1)
+    for i, n in reversed(list(enumerate(counts[:-1]))):
+        kind = F.when(size <= file_bytes // n, i).otherwise(kind)
+    for (k,) in sorted(pages.select(kind).distinct().collect()) or [(0,)]:  # a row per size class
+        planned(pages, least).filter(kind == k).select(_record().alias("value")).write.option("lineSep", "\n").option(
+            "maxRecordsPerFile", counts[k]).option("compression", compression).text(f"{path}/size{k}")
 
 
 def _fields(head: bytes) -> dict[bytes, bytes]:
@@ -154,32 +171,40 @@ def candidates(spark: SparkSession, path: str, payloads: bool = False) -> DataFr
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _READ)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select(
         "path", "content").mapInArrow(scan, _READ_DDL)
 
 
-def reached(found: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(file, at) of the records that a chain of edges reaches from offset 0, by pointer jumping; and
-    the scratch tables made."""
-    jump, path = written(found.select("file", "at", "next"))
-    paths = [path]
-    seen, path = written(jump.filter("at = 0").select("file", "at"))
-    paths.append(path)
-    while not jump.isEmpty():
-        there = seen.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
-        seen, path = written(seen.union(there))
-        paths.append(path)
-        far = jump.select("file", F.col("at").alias("next"), F.col("next").alias("further"))
-        jump, path = written(jump.join(far, ["file", "next"]).select("file", "at", F.col("further").alias("next")))
-        paths.append(path)
-    return seen, paths
+def _jumped(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which of the sorted places `at` a chain of edges at[i] -> after[i] reaches from 0."""
+    n = len(at)
+    to = np.searchsorted(at, after)
+    to = np.append(np.where((to < n) & (at[np.minimum(to, n - 1)] == after), to, n), n)
+    seen = np.append(at == 0, False)
+    while (to[:n] < n).any():
+        seen[to[seen]] = True
+        to = to[to]
+    return seen[:n]
+
+
+def reached(found: DataFrame) -> DataFrame:
+    """(file, at) of the records that a chain of edges reaches from offset 0, by pointer jumping. The
+    offsets of a file, 16 bytes each, meet in one task."""
+    def jump(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        at, after = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        got = at[_jumped(at, after[order])]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(got), pa.string()), pa.array(got)], names=["file", "at"])
+
+    return found.select("at", "next", "file").groupBy("file").applyInArrow(jump, "file string, at long")
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> tuple[DataFrame, list[str]]:
     """The records of all archives under path; and the scratch tables to remove after use."""
     found, p = written(candidates(spark, path, payloads))
-    seen, paths = reached(found)
-    return found.join(seen, ["file", "at"]), [p, *paths]
+    return found.join(reached(found), ["file", "at"]), [p]
 
 
 def digest(records: DataFrame) -> DataFrame:
@@ -197,4 +222,6 @@ def round_trip(pages: DataFrame, path: str) -> DataFrame:
     records, paths = read_warc(spark, path)
     rows, _ = written(digest(records))
     removed(spark, path, *paths)
+    if (got := rows.count()) != (want := pages.count()):
+        raise RuntimeError(f"{got} records were read back of {want} pages")
     return rows

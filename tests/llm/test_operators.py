@@ -335,8 +335,27 @@ def test_warc_candidates():
 def test_warc_damage(spark):
     good = [{"file": "f", "at": a, "next": b} for a, b in ((0, 10), (10, 30), (30, 70), (12, 25), (25, 30), (80, 90))]
     edges = spark.createDataFrame([(x["file"], x["at"], x["next"]) for x in good], "file string, at long, next long")
-    seen, _ = warc.reached(edges)
-    assert {0, 10, 30} <= {r["at"] for r in seen.collect()} and not {12, 25, 80} & {r["at"] for r in seen.collect()}
+    assert {r["at"] for r in warc.reached(edges).collect()} == {0, 10, 30}
+    rng = random.Random(2)
+    for _ in range(200):
+        at = np.array(sorted(rng.sample(range(40), rng.randrange(1, 20))))
+        after, want, now = at + np.array([rng.randrange(1, 9) for _ in at]), set(), 0
+        while now in at:
+            want.add(now)
+            now = int(after[np.searchsorted(at, now)])
+        assert set(at[warc._jumped(at, after)].tolist()) == want
+
+
+def test_warc_files_are_bounded(spark):
+    rows = [(i, "u" * (70_000 if i == 3 else 200_000 if i == 8 else 5), chr(97 + i) * n) for i, n in enumerate([10, 3000, 3000, 90_000, 200, 50, 7, 40_000, 2000, 1])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = scratch(spark)
+    warc.write_warc(pages, path, file_bytes=100_000, records_per_file=20, compression="none")
+    sizes = [r.length for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("length").collect()]
+    assert len(sizes) > 3 and sum(n > 100_000 for n in sizes) <= 2
+    assert {r.page_id for r in warc.round_trip(pages, scratch(spark)).collect()} == set(range(10))
+    big = pages.filter("page_id < 3").withColumn("html", F.when(F.col("page_id") == 1, F.repeat(F.concat(F.lit("0123456789abcde"), F.col("page_id").cast("string")), 4_500_000)).otherwise("x"))
+    assert {r.page_id: r.payload_bytes for r in warc.round_trip(big, scratch(spark)).collect()} == {0: 1, 1: 72_000_000, 2: 1}
 
 
 def _links(texts, n=5):
