@@ -10,7 +10,8 @@ Words: A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. A window is `wi
 of an item; a shorter item with a word is one window.
 
 The benchmark is a stated query set: it is read in blocks of bounded bytes, each broadcast by itself
-and searched in every shard, whatever the size of the whole.
+and searched in every shard. At most ROUND_BLOCKS are held at once: a larger benchmark is searched in
+rounds, each a table of the spans and items that it found, which are merged by document at the end.
 
 Defined cases: null and empty texts have no words; an item without words matches nothing; repeated
 rows are searched each; repeated item_ids count once; a null item_id is the string `null`; empty
@@ -20,8 +21,9 @@ tables give no hits; other columns are ignored by `hits` and carried by `removed
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import in_chunks, raw
+from ._util import in_chunks, raw, written
 
 _TO_SPACE = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -37,6 +39,8 @@ _COLUMNS = (("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.Lo
 #: Bytes of text in a shard, and of benchmark text in a block.
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
+#: Blocks of the benchmark in a round.
+ROUND_BLOCKS = 16
 #: Every SAMPLE-th text position of an index keeps its suffix position.
 SAMPLE = 8
 
@@ -153,8 +157,8 @@ class Block:
         self.least = min(found, default=0)
 
 
-def benchmark_blocks(benchmark: DataFrame, window: int) -> list:
-    """Broadcasts of Block, each of about BLOCK_BYTES of text."""
+def benchmark_rounds(benchmark: DataFrame, window: int) -> Iterator[list]:
+    """Lists of up to ROUND_BLOCKS broadcasts of Block, each of about BLOCK_BYTES of text."""
     sc, blocks, items, size = benchmark.sparkSession.sparkContext, [], [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text").cast("binary")).filter("text is not null")
     for item, text in rows.toLocalIterator():
@@ -163,7 +167,13 @@ def benchmark_blocks(benchmark: DataFrame, window: int) -> list:
         if size >= BLOCK_BYTES:
             blocks.append(sc.broadcast(Block(items, window)))
             items, size = [], 0
-    return [*blocks, sc.broadcast(Block(items, window))] if items else blocks
+            if len(blocks) == ROUND_BLOCKS:
+                yield blocks
+                blocks = []
+    if items:
+        blocks.append(sc.broadcast(Block(items, window)))
+    if blocks:
+        yield blocks
 
 
 def _occurrences(block: Block, texts: list[list[bytes]]) -> Iterator[tuple[int, int, int, set[str]]]:
@@ -226,18 +236,62 @@ def _counted(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> tup
     return n_words, sum(b - a for a, b in spans), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 of every document."""
-    blocks = benchmark_blocks(benchmark, window)
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, t) for c, t in _COLUMNS)])
+_Result = tuple[bytes | None, int, list[tuple[int, int]], set[str]]
+
+
+def _applied(docs: DataFrame, benchmark: DataFrame, window: int, finish: Callable[[pa.RecordBatch, Iterator[_Result]], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """finish(batch, its texts with words, spans and items) over docs, in one round or after several."""
+    rounds = benchmark_rounds(benchmark, window)
+    first, second = next(rounds, []), next(rounds, None)
+    if second is None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in in_chunks(batches, "text", SHARD_BYTES):
+                yield finish(batch, _searched(batch, first))
+
+        return docs.mapInArrow(run, schema)
+    own = docs.withColumn("__tessera_mark", F.xxhash64("text"))
+    found = None
+    for blocks in itertools.chain([first, second], rounds):
+        got, _ = written(_round(own, blocks))
+        for block in blocks:
+            block.unpersist()
+        found = got if found is None else found.union(got)
+    merged = found.groupBy("d", "m").agg(F.flatten(F.collect_list("spans")).alias("__tessera_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__tessera_items"))
+    both = own.join(merged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__tessera_mark") == F.col("m")), "left").select(*docs.columns, "__tessera_spans", "__tessera_items")
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_chunks(batches, "text", SHARD_BYTES):
+            texts = raw(batch.column(batch.schema.get_field_index("text")))
+            spans, items = (c.to_pylist() for c in batch.columns[-2:])
+            results = ((t, len(words(t)), _spans([(x["first"], x["n"]) for x in s or ()]), set(i or ())) for t, s, i in zip(texts, spans, items, strict=True))
+            yield finish(batch.select(batch.schema.names[:-2]), results)
+
+    return both.mapInArrow(end, schema)
 
+
+def _round(own: DataFrame, blocks: list) -> DataFrame:
+    """d, m, spans, items of the documents in which a window of these blocks occurs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, "text", SHARD_BYTES):
-            rows = [_counted(n, spans, items) for _, n, spans, items in _searched(batch, blocks)]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *(c for c, _ in _COLUMNS)])
+            found = [(s, sorted(i)) for _, _, s, i in _searched(batch, blocks)]
+            keep = pa.array([bool(i) for _, i in found], pa.bool_())
+            spans = pa.array([[{"first": a, "n": b - a} for a, b in s] for s, _ in found], pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spans, pa.array([i for _, i in found], pa.list_(pa.string()))], names=["d", "m", "spans", "items"]).filter(keep)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("d", own.schema["doc_id"].dataType), T.StructField("m", T.LongType()),
+                           T.StructField("spans", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("first", "n")]))), T.StructField("items", T.ArrayType(T.StringType()))])
+    return own.select("doc_id", "__tessera_mark", "text").mapInArrow(run, schema)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 of every document."""
+    def finish(batch: pa.RecordBatch, results: Iterator[_Result]) -> pa.RecordBatch:
+        rows = [_counted(n, spans, items) for _, n, spans, items in results]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *(c for c, _ in _COLUMNS)])
+
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, t) for c, t in _COLUMNS)])
+    return _applied(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, window, finish, schema)
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -251,14 +305,11 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def removed_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs with the merged spans of benchmark words cut out of text; whole words go, all else stays."""
-    blocks = benchmark_blocks(benchmark, window)
     at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_chunks(batches, "text", SHARD_BYTES):
-            texts = [t if not spans else _without(t, spans) for t, _, spans, _ in _searched(batch, blocks)]
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+    def finish(batch: pa.RecordBatch, results: Iterator[_Result]) -> pa.RecordBatch:
+        columns = list(batch.columns)
+        columns[at] = pa.array([t if not spans else _without(t, spans) for t, _, spans, _ in results], pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return _applied(docs, benchmark, window, finish, docs.schema)

@@ -8,10 +8,12 @@ over its whole bytes; the language with the shortest code wins, and the score is
 2 ** -(bits per byte gained), a number from 0 to 1.
 
 The trees are flattened once into tables of bits: a row per context that any language has seen, so
-scoring a batch is one look-up per byte and language.
+scoring is one look-up per byte and language. Texts are scored in steps of STEP bytes.
 
-Bound: `per_language` texts expected per language, drawn by a hash of doc_id, texts over `max_bytes`
-not among them; the fit alone is on a sample, every whole text is scored.
+Bounds: `per_language` texts expected per language, drawn by a hash of doc_id, texts over `max_bytes`
+not among them; the fit alone is on a sample, every whole text is scored. The tables that are broadcast
+have MODEL_BYTES at most: of the contexts of order 3 those seen most are kept, and a context that is not
+kept is read as the next shorter one.
 
 Defined cases: a null text, or one without a letter (\\p{L}), is `und` with score 0; ties go to the
 language first in order; rows with a null lang or text are not learned from; repeated rows are scored
@@ -33,6 +35,9 @@ from ._util import in_chunks
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 _OUT_DDL = "doc_id long, held_out boolean, lang_pred string, score double"
 ORDER = 3
+#: Bytes of the tables of bits, and of text scored at once.
+MODEL_BYTES = 128 << 20
+STEP = 1 << 20
 
 
 def held_out() -> Column:
@@ -62,29 +67,25 @@ class Trees:
         if not samples:
             return
         trees = [self._counted(samples[k]) for k in self.languages]
-        contexts = sorted({c for t in trees for c in t if len(c) == ORDER})
-        seen = sorted({b for c in contexts for b in c} | {b for t in trees for b in t[b""]})
+        seen = sorted({b for t in trees for b in t[b""]} | {b for t in trees for c in t for b in c})
         # Bytes that no language has seen share the last symbol; nothing distinguishes them.
         self.symbol = np.full(256, len(seen), np.int64)
         self.symbol[seen] = np.arange(len(seen))
         self.width = w = len(seen) + 1
-        values, place = [bytes([b]) for b in seen], {b: i for i, b in enumerate(seen)}
-        shorter = {c: np.stack([self._bits(t, c, place) for t in trees], -1)
-                   for c in {c[-k:] if k else b"" for c in contexts for k in range(ORDER)}}
-        #: Row 0 upwards: contexts of two symbols, then those of three that were seen.
-        pairs = np.zeros((w * w, w, len(trees)), np.float32)
-        for i in range(w * w):
-            a, b = divmod(i, w)
-            c = (values[a] if a < w - 1 else b"\0") + (values[b] if b < w - 1 else b"\0")
-            while c not in shorter:
-                c = c[1:]
-            pairs[i] = shorter[c]
-        triples = np.stack([np.stack([self._bits(t, c, place) for t in trees], -1) for c in contexts]) if contexts else np.zeros((0, w, len(trees)), np.float32)
-        self.bits = np.concatenate([pairs, triples.astype(np.float32)]).reshape(-1, len(trees))
-        self.row = (np.arange(w * w * w, dtype=np.int32) % (w * w)).astype(np.int32)
-        for i, c in enumerate(contexts):
-            a, b, d = (int(self.symbol[x]) for x in c)
-            self.row[(a * w + b) * w + d] = w * w + i
+        place = {b: i for i, b in enumerate(seen)}
+        said = Counter()
+        for t in trees:
+            said.update({c: sum(n.values()) for c, n in t.items()})
+        short = [c for c in sorted(said) if len(c) < ORDER]
+        room = max(0, MODEL_BYTES // (4 * w * len(trees)) - len(short))
+        contexts = [b"", *(c for c in short if c), *sorted((c for c in said if len(c) == ORDER), key=lambda c: (-said[c], c))[:room]]
+        self.bits = np.stack([np.stack([self._bits(t, c, place) for t in trees], -1) for c in contexts]).astype(np.float32).reshape(-1, len(trees))
+        #: The row of the longest context kept, by its three symbols.
+        self.row = np.zeros((w, w, w), np.int32)
+        for i, c in sorted(enumerate(contexts), key=lambda x: len(x[1])):
+            at = tuple(int(self.symbol[x]) for x in c)
+            self.row[(slice(None),) * (ORDER - len(at)) + at] = i
+        self.row = self.row.ravel()
 
     @staticmethod
     def _counted(texts: list[bytes]) -> dict[bytes, Counter]:
@@ -121,16 +122,21 @@ class Trees:
 
     def lengths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Bits of the texts data[starts[i]:starts[i + 1]], a column per language; no text is empty."""
-        w = self.width
-        s = self.symbol[data]
-        before = np.empty((ORDER, len(s)), np.int64)
-        for k in range(1, ORDER + 1):
-            before[k - 1, k:] = s[:-k]
-            for j in range(k):  # each text starts after line feeds
-                at = starts[:-1] + j
-                before[k - 1, at[at < starts[1:]]] = self.symbol[10]
-        row = self.row[(before[2] * w + before[1]) * w + before[0]]
-        return np.add.reduceat(self.bits[row.astype(np.int64) * w + s], starts[:-1], axis=0, dtype=np.float64)
+        w, total = self.width, np.zeros((len(starts) - 1, len(self.languages)))
+        for lo in range(0, len(data), STEP):
+            hi, lead = min(lo + STEP, len(data)), min(lo, ORDER)
+            s = np.concatenate([np.full(ORDER - lead, self.symbol[10]), self.symbol[data[lo - lead:hi]]])
+            i, j = np.searchsorted(starts, lo, side="right") - 1, np.searchsorted(starts, hi, side="left")
+            before = []
+            for k in range(1, ORDER + 1):
+                own = s[ORDER - k:len(s) - k].copy()
+                for back in range(k):  # each text starts after line feeds
+                    at = starts[max(0, i):j] + back
+                    own[at[(at >= lo) & (at < np.minimum(starts[max(0, i) + 1:j + 1], hi))] - lo] = self.symbol[10]
+                before.append(own)
+            row = self.row[(before[2] * w + before[1]) * w + before[0]].astype(np.int64)
+            total[i:j] += np.add.reduceat(self.bits[row * w + s[ORDER:]], np.maximum(starts[i:j], lo) - lo, axis=0, dtype=np.float64)
+        return total
 
 
 def identified(docs: DataFrame, trees: Trees) -> DataFrame:

@@ -25,7 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._util import shared_dir
+
 _OWN = ("shard", "slot")
+#: Rows from which numpy's draws give way to inversion.
+LARGE = 1_000_000_000
 
 
 def block_sizes(n: int, n_shards: int, per_block: int) -> tuple[np.ndarray, int]:
@@ -40,39 +44,36 @@ def block_sizes(n: int, n_shards: int, per_block: int) -> tuple[np.ndarray, int]
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
     """How many of `take` rows drawn from good + bad are good."""
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, take)) if good + bad else 0
+    n = good + bad
+    if n < LARGE:
+        return int(rng.hypergeometric(good, bad, take)) if n else 0
+    # Inversion: weights relative to the mode's, by the exact ratio of neighbours, ten deviations to a side.
     low, high = max(0, take - bad), min(take, good)
-    lg = math.lgamma
-
-    def log_p(k: int) -> float:
-        return (lg(good + 1) - lg(k + 1) - lg(good - k + 1) + lg(bad + 1) - lg(take - k + 1) - lg(bad - take + k + 1)
-                - lg(good + bad + 1) + lg(take + 1) + lg(good + bad - take + 1))
-
-    mode = min(high, max(low, (take + 1) * (good + 1) // (good + bad + 2)))
-    u, left, right = rng.random(), mode, mode + 1
-    while True:  # from the mode outwards, nearer side first
-        if left < low and right > high:
-            return mode
-        if left >= low:
-            if (u := u - math.exp(log_p(left))) < 0:
-                return left
-            left -= 1
-        if right <= high:
-            if (u := u - math.exp(log_p(right))) < 0:
-                return right
-            right += 1
+    mode = min(high, max(low, (take + 1) * (good + 1) // (n + 2)))
+    reach = int(10 * math.sqrt(take / n * good / n * bad * (n - take) / (n - 1))) + 50
+    low, high = max(low, mode - reach), min(high, mode + reach)
+
+    def ratio(k: np.ndarray) -> np.ndarray:
+        """Weight of k + 1 to that of k."""
+        return (good - k) * (take - k) / ((k + 1) * (bad - take + k + 1))
+
+    k = np.arange(low, high, dtype=np.float64)
+    up, down = np.cumprod(ratio(k[mode - low:])), np.cumprod(1 / ratio(k[:mode - low][::-1]))[::-1]
+    total = np.cumsum(np.concatenate([down, [1.0], up]))
+    return low + int(np.searchsorted(total, rng.random() * total[-1], side="right"))
 
 
 def _split(rng: np.random.Generator, sizes: np.ndarray, take: int) -> np.ndarray:
     """How many of `take` uniformly drawn rows come from each block."""
-    out, rest = np.zeros_like(sizes), int(sizes.sum())
-    for i, n in enumerate(sizes.tolist()):
-        if not take:
-            break
-        out[i] = got = _hypergeometric(rng, n, rest - n, take)
-        rest, take = rest - n, take - got
-    return out
+    if len(sizes) == 1:
+        return np.array([take], np.int64)
+    n = int(sizes.sum())
+    if n < LARGE:
+        return rng.multivariate_hypergeometric(sizes, take, method="marginals")
+    half = len(sizes) // 2
+    first = int(sizes[:half].sum())
+    got = _hypergeometric(rng, first, n - first, take)
+    return np.concatenate([_split(rng, sizes[:half], got), _split(rng, sizes[half:], take - got)])
 
 
 def matrix_row(counts: np.ndarray, sizes: np.ndarray, part: int, seed: int) -> np.ndarray:
@@ -87,18 +88,22 @@ def matrix_row(counts: np.ndarray, sizes: np.ndarray, part: int, seed: int) -> n
 
 def shuffle_shards(df: DataFrame, n_shards: int = 16, seed: int = 7, per_block: int = 65_536) -> DataFrame:
     """df with shard (0 to n_shards - 1) and slot (gapless from 0 in its shard)."""
-    spark = df.sparkSession
-    fixed = df.drop(*_OWN).checkpoint()
+    spark, own = df.sparkSession, df.drop(*_OWN)
+    folder = shared_dir(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
+    fixed = own.checkpoint()
     per_part = {r.p: r.n for r in fixed.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = fixed.rdd.getNumPartitions()
     counts = np.array([per_part.get(p, 0) for p in range(parts)], np.int64)
-    sizes, each = block_sizes(int(counts.sum()), n_shards, per_block)
-    held = spark.sparkContext.broadcast((counts, sizes))  # a number per partition and per block
+    n = int(counts.sum())
+    _, each = block_sizes(n, n_shards, per_block)
+    held = spark.sparkContext.broadcast(counts)  # a number per partition
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        counts, sizes = held.value
-        row = matrix_row(counts, sizes, part, seed)
+        sizes, _ = block_sizes(n, n_shards, per_block)
+        row = matrix_row(held.value, sizes, part, seed)
         rng = np.random.default_rng([seed, 1, part])
         labels = rng.permutation(np.repeat(np.arange(len(sizes), dtype=np.int32), row))
         for batch in batches:
@@ -114,7 +119,6 @@ def shuffle_shards(df: DataFrame, n_shards: int = 16, seed: int = 7, per_block:
     rank = F.row_number().over(Window.partitionBy("__tessera_block").orderBy("__tessera_key")) - 1
     # A block's offset in its shard follows from the sizes: no join.
     shard = F.floor(F.col("__tessera_block") / each).cast("int")
-    n = sizes.sum()
     of_shard = F.lit(int(n // n_shards)) + F.when(F.col("shard") < int(n % n_shards), 1).otherwise(0)
     k = F.col("__tessera_block") - F.col("shard") * each
     offset = k * F.floor(of_shard / each) + F.least(k, of_shard % each)

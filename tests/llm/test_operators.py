@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -114,6 +115,30 @@ def test_communication_matrix():
     assert abs(np.mean(drawn) - 50) < 1.5 and 3 < np.std(drawn) < 7
 
 
+def test_hypergeometric_by_inversion(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(sharding, "LARGE", 0)
+    for good, bad, take in ((6, 4, 5), (40, 3, 20), (0, 5, 3), (5, 0, 5)):
+        got = np.bincount([sharding._hypergeometric(rng, good, bad, take) for _ in range(20_000)], minlength=take + 1) / 20_000
+        want = [math.comb(good, k) * math.comb(bad, take - k) / math.comb(good + bad, take) for k in range(take + 1)]
+        assert np.abs(got - want).max() < 0.015
+    sizes = rng.integers(0, 60, 23)
+    assert all((x := sharding._split(rng, sizes, 300)).sum() == 300 and (x <= sizes).all() for _ in range(50))
+    monkeypatch.setattr(sharding, "LARGE", 10**9)
+    draws = [sharding._hypergeometric(rng, 3 * 10**10, 7 * 10**10, 5 * 10**10) for _ in range(20)]
+    sd = math.sqrt(5e10 * 0.3 * 0.7 * 0.5)
+    assert abs(np.mean(draws) - 1.5e10) < 5 * sd / math.sqrt(20) and 0.4 * sd < np.std(draws) < 1.8 * sd
+
+
+def test_sharding_query(spark, tmp_path):
+    rows = [(1, "aé"), (1, "aé"), (2, None), (3, ""), (None, "x" * 5000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_sharding(spark, str(tmp_path)).collect()
+    want = [(i, len((t or "").encode()) * (t is not None) + 1, zlib.crc32((t or "").encode())) for i, t in rows]
+    assert collections.Counter(tuple(r)[:3] for r in got) == collections.Counter(want)
+    assert all(r.law == "rows" and r.grown_shard is None and r.slot == 0 for r in got) and len({r.shard for r in got}) == 5
+
+
 def test_quality(spark, docs, texts, empty):
     got = by_id(quality.judged(docs.withColumn("kept", F.lit("clash"))))
     for i, t in texts:
@@ -271,6 +296,11 @@ def test_decontamination(spark, docs, texts, empty, monkeypatch):
         monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
         got = by_id(decontam.hits(docs, benchmark))
         assert all((r.n_words, r.n_hit, r.n_items, r.items_sha256) == want[i] for i, r in got.items()) and len(got) == len(want)
+    monkeypatch.setattr(decontam, "ROUND_BLOCKS", 2)
+    got = decontam.hits(docs.withColumn("n_hit", F.lit("clash")), benchmark).collect()
+    assert len(got) == len(texts) and all(tuple(r)[1:] == want[r.doc_id] for r in got)
+    one, several = (collections.Counter(map(tuple, decontam.removed_passages(docs, benchmark).collect())) for _ in (monkeypatch.setattr(decontam, "ROUND_BLOCKS", n) for n in (10**6, 2)))
+    assert one == several
     clean = decontam.removed_passages(docs, benchmark)
     for r in clean.collect():
         left = len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r.text or "").translate(LOWER)))
@@ -490,6 +520,51 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identified(unlabelled, langid.Trees(langid.training_sample(unlabelled))).collect()} == {"und"}
 
 
+def _ppm(samples, text):
+    """Bits of text by prediction with partial matching, said plainly."""
+    seen = collections.defaultdict(collections.Counter)
+    for t in samples:
+        t = b"\n\n\n" + t
+        for i in range(3, len(t)):
+            for k in range(4):
+                seen[t[i - k:i]][t[i]] += 1
+    bits, t = 0.0, b"\n\n\n" + text
+    for i in range(3, len(t)):
+        for k in (3, 2, 1, 0):
+            if found := seen.get(t[i - k:i]):
+                whole = sum(found.values()) + len(found)
+                if t[i] in found:
+                    bits -= math.log2(found[t[i]] / whole)
+                    break
+                bits -= math.log2(len(found) / whole)
+        else:
+            bits += 8
+    return bits
+
+
+@pytest.mark.parametrize("step", [1 << 20, 7])
+def test_code_lengths_against_plain_ppm(step, monkeypatch):
+    monkeypatch.setattr(langid, "STEP", step)
+    rng = random.Random(5)
+    word = lambda alphabet: "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 30))).encode()
+    samples = {"a": [word("abcé ") for _ in range(20)], "b": [word("bcd\n ") for _ in range(20)], "c": [word("xyzß") for _ in range(3)]}
+    texts = [word("abcdé x\n?") for _ in range(60)]
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    trees = langid.Trees(samples)
+    got = trees.lengths(np.frombuffer(b"".join(texts), np.uint8), starts)
+    assert np.allclose(got, [[_ppm(samples[k], t) for k in trees.languages] for t in texts], rtol=1e-5)
+    monkeypatch.setattr(langid, "MODEL_BYTES", 4000)  # only the contexts of order 2 and below stay
+    short = langid.Trees(samples)
+    assert len(short.bits) < len(trees.bits) and (short.lengths(np.frombuffer(b"".join(texts), np.uint8), starts) > 0).all()
+
+
+def test_language_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert langid.identified(empty, langid.Trees(langid.training_sample(empty))).count() == 0
+    some = spark.createDataFrame([(1, "hello there", "en", "x")], "doc_id long, text string, lang string, score string")
+    assert [r.lang_pred for r in langid.identified(some, langid.Trees({"en": [b"hello"], "de": [b"guten tag"]})).collect()] == ["en"]
+
+
 def test_code_lengths_are_sums_of_single_texts():
     trees = langid.Trees({"a": [b"hello there"], "b": [b"guten tag ihr"]})
     some = [b"hello", b"x", b"tag", b"gutenhello", b"\xff\x00q"]
