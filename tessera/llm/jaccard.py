@@ -21,7 +21,7 @@ shared by hub and y. Only pairs that these bounds leave open are compared themse
 
 A parity sketch has about a bit per token, each the parity of the tokens that fall on it. Two sets
 differ in at least as many tokens as their sketches in bits, so a sketch only ever rules out pairs
-that are no link.
+that are no link. Folded to 256 bits it goes with the entries, and rules out pairs where lists are joined.
 
 So every link between sets is either verified, derived, or inside a component that such links connect;
 no list, partner or candidate is capped.
@@ -34,8 +34,10 @@ links of both; a null doc_id is not linked; empty tables give empty results; oth
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
+import operator
 import zlib
 from collections.abc import Iterator
 
@@ -51,6 +53,7 @@ from .components import components
 #: Cells of the frequency table, a byte each where it is broadcast: its size does not depend on the data.
 CELL_BITS = 23
 _PARTS = 64
+_FOLDS = ("f0", "f1", "f2", "f3")
 _CELL_SHIFT = np.uint64(64 - CELL_BITS)
 MEMO = 400_000
 #: Position blocks in a size block.
@@ -124,6 +127,18 @@ def sketch(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded_sketch(h: np.ndarray) -> list[int]:
+    """The sketch folded to 256 bits, as four numbers."""
+    bits = np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def _near_enough(x: list[Column], z: list[Column], n_x: Column, n_z: Column, percent: int) -> Column:
+    """Do the folded sketches leave it open that the sets are linked?"""
+    apart = functools.reduce(operator.add, (F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, z, strict=True)))
+    return (100 + percent) * apart <= (100 - percent) * (n_x + n_z)
+
+
 def differing_bits(a: bytes, b: bytes) -> int:
     """Bits in which two sketches differ, the longer folded to the shorter's size."""
     x, y = (int.from_bytes(s, "little") for s in (a, b))
@@ -142,12 +157,12 @@ def prefixes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, st
     """doc_id, n, low, high (sums over the whole set), sketch, tokens (of the prefix, in order), as a
     written table; and its path."""
     held = docs.sparkSession.sparkContext.broadcast(frequencies(docs, shingle))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("sketch", pa.binary()), *((f, pa.int64()) for f in _FOLDS), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, level = Shingler(shingle), held.value
         for batch in in_chunks(batches, "text", 4 << 20):
-            ns, lows, highs, sketches, tokens, ends = [], [], [], [], [], [0]
+            ns, lows, highs, sketches, folds, tokens, ends = [], [], [], [], [], [], [0]
             for text in raw(batch.column(1)):
                 h = own(text)
                 n = len(h)
@@ -155,6 +170,7 @@ def prefixes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, st
                 lows.append(int((h * _MIX[1] ^ (h >> np.uint64(7))).sum().astype(np.int64)) if n else 0)
                 highs.append(int(((h ^ (h >> np.uint64(32))) * _MIX[3] ^ (h >> np.uint64(17))).sum().astype(np.int64)) if n else 0)
                 sketches.append(sketch(h))
+                folds.append(folded_sketch(h))
                 if n:
                     first = n - -(-percent * n // 100) + 1
                     keys = level[(h >> _CELL_SHIFT).astype(np.int64)]
@@ -163,11 +179,11 @@ def prefixes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, st
                 ends.append(ends[-1] + len(h))
             flat = np.concatenate(tokens).astype(np.int64) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(ns, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), pa.array(sketches, pa.binary()),
+                batch.column(0), pa.array(ns, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), pa.array(sketches, pa.binary()), *(pa.array([f[k] for f in folds], pa.int64()) for k in range(4)),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], schema=schema)
 
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n long, low long, high long, sketch binary, tokens array<long>"))
+        run, "doc_id long, n long, low long, high long, sketch binary, f0 long, f1 long, f2 long, f3 long, tokens array<long>"))
 
 
 def folded(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +193,7 @@ def folded(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = named.groupBy("n", "low", "high").agg(F.min("doc_id").alias("rep"))
     same, _ = written(same)
     rows = sets.select("doc_id", "n", "low", "high").join(same, ["n", "low", "high"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
-    own = named.join(same.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "low", "high"], "left_semi").select("doc_id", "n", "sketch", "tokens")
+    own = named.join(same.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "low", "high"], "left_semi").select("doc_id", "n", "sketch", *_FOLDS, "tokens")
     return written(rows)[0], written(own)[0]
 
 
@@ -271,9 +287,12 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     several = named.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
     links = _edges(answers).union(named.join(several, "doc_id").select("least", "rep").distinct())
     member, _ = written(components(links))
+    lists = lists.select("token", "doc_id", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("at")).join(
+        own.select("doc_id", *_FOLDS).distinct(), "doc_id")
     for turn in itertools.count():
         # Neighbours in another order each time, as long as that finds links between components.
-        pairs = beside(lists, member, percent, turn).join(answers, ["a", "b"], "left_anti")
+        lists = mixed(lists, member, turn)
+        pairs = beside(lists, percent).join(answers, ["a", "b"], "left_anti")
         found = compared(sifted(pairs, own, percent), docs, shingle, percent)
         answers = answers.union(found)
         n = found.filter("link").count()
@@ -281,7 +300,7 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
             member, _ = written(components(_with(member, _edges(found))))
         if n * 200 <= member.count():  # the rest is left to the exact end
             break
-    open_, _ = written(sifted(crossing(lists, member, percent).join(answers, ["a", "b"], "left_anti"), own, percent))
+    open_, _ = written(sifted(crossing(mixed(lists, member), percent).join(answers, ["a", "b"], "left_anti"), own, percent))
     waits, _ = written(open_.join(hubs(answers), "a").join(
         open_.select(F.col("a").alias("a_2"), F.col("b").alias("b_2")),
         (F.least("hub", "b") == F.col("a_2")) & (F.greatest("hub", "b") == F.col("b_2"))).drop("a_2", "b_2"))
@@ -329,13 +348,24 @@ def derived(waits: DataFrame, first: DataFrame, percent: int) -> tuple[DataFrame
     return told.filter("not no and not yes").select("a", "b"), told.filter("yes and not no").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def beside(lists: DataFrame, member: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of different components that are neighbours in a list, in an order drawn for this turn."""
-    entries = lists.select("token", "doc_id", F.shiftright("place", 32).alias("n")).join(
-        member.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("hub"))
-    w = Window.partitionBy("token").orderBy(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
-    both = entries.select("doc_id", "n", "hub", F.lag(F.struct("doc_id", "n", "hub")).over(w).alias("z"))
-    return both.filter((F.col("hub") != F.col("z.hub")) & (100 * F.least("n", "z.n") >= percent * F.greatest("n", "z.n"))).select(
+def mixed(lists: DataFrame, member: DataFrame, turn: int | None = None) -> DataFrame:
+    """token, doc_id, n, at, folded sketch, hub (the component) of the lists that hold several components,
+    with a turn each entry's neighbour in an order drawn for it; written. No other list is read again."""
+    own = ["token", "doc_id", "n", "at", *_FOLDS]
+    entries = lists.select(*own).join(member.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*own, F.coalesce("component", "doc_id").alias("hub"))
+    w = Window.partitionBy("token")
+    ends = entries.select("*", F.min("hub").over(w).alias("least"), F.max("hub").over(w).alias("most"))
+    if turn is not None:
+        ends = ends.withColumn("z", F.lag(F.struct("doc_id", "n", "hub", *_FOLDS)).over(w.orderBy(F.xxhash64("doc_id", F.lit(turn)), "doc_id")))
+    return written(ends.filter("least < most").drop("least", "most"))[0]
+
+
+def beside(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that are neighbours in a list."""
+    z = F.col("z")
+    return lists.filter(
+        (F.col("hub") != z["hub"]) & (100 * F.least("n", z["n"]) >= percent * F.greatest("n", z["n"]))
+        & _near_enough([F.col(f) for f in _FOLDS], [z[f] for f in _FOLDS], F.col("n"), z["n"], percent)).select(
         F.least("doc_id", "z.doc_id").alias("a"), F.greatest("doc_id", "z.doc_id").alias("b")).distinct()
 
 
@@ -344,18 +374,15 @@ def size_block(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent)).cast("int")
 
 
-def crossing(lists: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a list but no component, as far as sizes and positions leave them open."""
-    entries = lists.select("token", "doc_id", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("at")).join(
-        member.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("hub"))
-    mixed = entries.groupBy("token").agg(F.min("hub").alias("low"), F.max("hub").alias("high")).filter("low < high").select("token")
-    entries, _ = written(entries.join(mixed, "token"))
+def crossing(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a list but no component, as far as sizes, positions and folded sketches
+    leave them open."""
     # Of a pair the smaller set (of equal sizes the lower id) is the one found. Both share this token and at
     # most what follows it in either; percent / (100 + percent) of both sizes must be shared.
     whole = 100 + percent
     step = F.floor(F.col("at") * F.lit(POSITIONS * whole) / (F.col("n") * (100 - percent))).cast("int")
     found = entries.filter(whole * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n")).select(
-        "token", *(F.col(c).alias(f"{c}_z") for c in ("doc_id", "n", "at", "hub")), size_block(F.col("n"), percent).alias("block"), F.least(step, F.lit(POSITIONS)).alias("step"))
+        "token", *(F.col(c).alias(f"{c}_z") for c in ("doc_id", "n", "at", "hub", *_FOLDS)), size_block(F.col("n"), percent).alias("block"), F.least(step, F.lit(POSITIONS)).alias("step"))
     low = F.ceil(F.col("n") * percent / 100)
     high = F.least(F.col("n"), F.floor(F.lit(whole) * (F.col("n") - F.col("at")) / percent) - F.col("n"))
     blocks = F.sequence(size_block(low, percent), size_block(high, percent))
@@ -363,10 +390,11 @@ def crossing(lists: DataFrame, member: DataFrame, percent: int) -> DataFrame:
     top = F.least(F.pow(F.lit(100 / percent), F.col("block") + 1) * 1.000001, F.col("n").cast("double"))
     last = (1 - percent / whole * (1 + F.col("n") / top)) * POSITIONS * whole / (100 - percent)
     looks = entries.filter(low <= high).select("*", F.explode(blocks).alias("block")).select(
-        "token", "block", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "at", "hub")),
+        "token", "block", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "at", "hub", *_FOLDS)),
         F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.floor(last + 1e-6).cast("int"), F.lit(POSITIONS))))).alias("step"))
     most = F.least(F.col("n_x") - F.col("at_x"), F.col("n_z") - F.col("at_z"))
     return looks.join(found, ["token", "block", "step"]).filter(
         (F.col("hub_x") != F.col("hub_z")) & ((F.col("n_z") < F.col("n_x")) | (F.col("n_z") == F.col("n_x")) & (F.col("doc_id_z") < F.col("doc_id_x")))
+        & _near_enough(*([F.col(f"{f}_{k}") for f in _FOLDS] for k in "xz"), F.col("n_x"), F.col("n_z"), percent)
         & (100 * F.col("n_z") >= percent * F.col("n_x")) & (whole * most >= percent * (F.col("n_x") + F.col("n_z")))).select(
         F.least("doc_id_x", "doc_id_z").alias("a"), F.greatest("doc_id_x", "doc_id_z").alias("b")).distinct()

@@ -44,11 +44,11 @@ from ._util import in_chunks, needed, raw, written
 GRAM = 32
 #: Bytes of text scanned at once, and of segments in an index.
 CHUNK_BYTES = 1 << 20
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 #: Segments that a task looks through for copies at once.
 COMBINED = 1 << 18
-#: Distinct segments of an anchor that one index takes.
-HOT = 10_000
+#: Distinct segments of an anchor that one index takes: under INDEX_BYTES at the default length.
+HOT = INDEX_BYTES // 200
 #: A text of so many bytes is scanned in parts, as its places need more than 24 bits; and the bytes of a part.
 WHOLE_BYTES = 1 << 24
 PART_BYTES = 1 << 23
