@@ -21,7 +21,8 @@ shared by hub and y. Only pairs that these bounds leave open are compared themse
 
 A parity sketch has about a bit per token, each the parity of the tokens that fall on it. Two sets
 differ in at least as many tokens as their sketches in bits, so a sketch only ever rules out pairs
-that are no link. Folded to 256 bits it goes with the entries, and rules out pairs where lists are joined.
+that are no link. Folded to 128 bits it goes with the entries that are left at the end, and rules out
+pairs where lists are joined.
 
 So every link between sets is either verified, derived, or inside a component that such links connect;
 no list, partner or candidate is capped.
@@ -53,11 +54,11 @@ from .components import components
 #: Cells of the frequency table, a byte each where it is broadcast: its size does not depend on the data.
 CELL_BITS = 23
 _PARTS = 64
-_FOLDS = ("f0", "f1", "f2", "f3")
+_FOLDS = ("f0", "f1")
 _CELL_SHIFT = np.uint64(64 - CELL_BITS)
 MEMO = 400_000
 #: Position blocks in a size block.
-POSITIONS = 4
+POSITIONS = 2
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -128,8 +129,8 @@ def sketch(h: np.ndarray) -> bytes:
 
 
 def folded_sketch(h: np.ndarray) -> list[int]:
-    """The sketch folded to 256 bits, as four numbers."""
-    bits = np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """The sketch folded to 128 bits, as two numbers."""
+    bits = np.bincount((h & np.uint64(127)).astype(np.int64), minlength=128) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
@@ -179,11 +180,11 @@ def prefixes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, st
                 ends.append(ends[-1] + len(h))
             flat = np.concatenate(tokens).astype(np.int64) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(ns, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), pa.array(sketches, pa.binary()), *(pa.array([f[k] for f in folds], pa.int64()) for k in range(4)),
+                batch.column(0), pa.array(ns, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), pa.array(sketches, pa.binary()), *(pa.array([f[k] for f in folds], pa.int64()) for k in range(len(_FOLDS))),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], schema=schema)
 
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n long, low long, high long, sketch binary, f0 long, f1 long, f2 long, f3 long, tokens array<long>"))
+        run, "doc_id long, n long, low long, high long, sketch binary, f0 long, f1 long, tokens array<long>"))
 
 
 def folded(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -210,7 +211,8 @@ def listed(own: DataFrame) -> DataFrame:
 
 def sifted(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs (a, b) that sizes and sketches leave open."""
-    own = own.select("doc_id", "n", "sketch")
+    pairs, _ = written(pairs)
+    own = needed(own.select("doc_id", "n", "sketch"), pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     x, z = (own.select(*(F.col(c).alias(f"{c}_{k}") for c in own.columns)) for k in "ab")
     both = pairs.join(x, F.col("a") == F.col("doc_id_a")).join(z, F.col("b") == F.col("doc_id_b")).filter(
         100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -287,12 +289,11 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     several = named.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
     links = _edges(answers).union(named.join(several, "doc_id").select("least", "rep").distinct())
     member, _ = written(components(links))
-    lists = lists.select("token", "doc_id", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("at")).join(
-        own.select("doc_id", *_FOLDS).distinct(), "doc_id")
     for turn in itertools.count():
         # Neighbours in another order each time, as long as that finds links between components.
-        lists = mixed(lists, member, turn)
-        pairs = beside(lists, percent).join(answers, ["a", "b"], "left_anti")
+        lists = mixed(lists, member, percent, turn)
+        pairs = lists.filter("beside is not null").select(F.least("doc_id", "beside").alias("a"), F.greatest("doc_id", "beside").alias("b")).distinct().join(
+            answers, ["a", "b"], "left_anti")
         found = compared(sifted(pairs, own, percent), docs, shingle, percent)
         answers = answers.union(found)
         n = found.filter("link").count()
@@ -300,7 +301,7 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
             member, _ = written(components(_with(member, _edges(found))))
         if n * 200 <= member.count():  # the rest is left to the exact end
             break
-    open_, _ = written(sifted(crossing(mixed(lists, member), percent).join(answers, ["a", "b"], "left_anti"), own, percent))
+    open_, _ = written(sifted(crossing(mixed(lists, member, percent), own, percent).join(answers, ["a", "b"], "left_anti"), own, percent))
     waits, _ = written(open_.join(hubs(answers), "a").join(
         open_.select(F.col("a").alias("a_2"), F.col("b").alias("b_2")),
         (F.least("hub", "b") == F.col("a_2")) & (F.greatest("hub", "b") == F.col("b_2"))).drop("a_2", "b_2"))
@@ -348,41 +349,37 @@ def derived(waits: DataFrame, first: DataFrame, percent: int) -> tuple[DataFrame
     return told.filter("not no and not yes").select("a", "b"), told.filter("yes and not no").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def mixed(lists: DataFrame, member: DataFrame, turn: int | None = None) -> DataFrame:
-    """token, doc_id, n, at, folded sketch, hub (the component) of the lists that hold several components,
-    with a turn each entry's neighbour in an order drawn for it; written. No other list is read again."""
-    own = ["token", "doc_id", "n", "at", *_FOLDS]
-    entries = lists.select(*own).join(member.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*own, F.coalesce("component", "doc_id").alias("hub"))
+def mixed(lists: DataFrame, member: DataFrame, percent: int, turn: int | None = None) -> DataFrame:
+    """token, doc_id, place, hub (the component) of the lists that hold several components, with a turn
+    beside: the neighbour of another component in an order drawn for it; written. No other list is read again."""
+    entries = lists.select("token", "doc_id", "place").join(member.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "token", "doc_id", "place", F.coalesce("component", "doc_id").alias("hub"))
     w = Window.partitionBy("token")
     ends = entries.select("*", F.min("hub").over(w).alias("least"), F.max("hub").over(w).alias("most"))
     if turn is not None:
-        ends = ends.withColumn("z", F.lag(F.struct("doc_id", "n", "hub", *_FOLDS)).over(w.orderBy(F.xxhash64("doc_id", F.lit(turn)), "doc_id")))
+        z, n = F.col("z"), F.shiftright("place", 32)
+        n_z = F.shiftright(z["place"], 32)
+        ends = ends.withColumn("z", F.lag(F.struct("doc_id", "place", "hub")).over(w.orderBy(F.xxhash64("doc_id", F.lit(turn)), "doc_id"))).withColumn(
+            "beside", F.when((F.col("hub") != z["hub"]) & (100 * F.least(n, n_z) >= percent * F.greatest(n, n_z)), z["doc_id"])).drop("z")
     return written(ends.filter("least < most").drop("least", "most"))[0]
 
 
-def beside(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that are neighbours in a list."""
-    z = F.col("z")
-    return lists.filter(
-        (F.col("hub") != z["hub"]) & (100 * F.least("n", z["n"]) >= percent * F.greatest("n", z["n"]))
-        & _near_enough([F.col(f) for f in _FOLDS], [z[f] for f in _FOLDS], F.col("n"), z["n"], percent)).select(
-        F.least("doc_id", "z.doc_id").alias("a"), F.greatest("doc_id", "z.doc_id").alias("b")).distinct()
-
-
 def size_block(n: Column, percent: int) -> Column:
     """The size block of n; it never falls as n grows, so a range of sizes is a range of blocks."""
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent)).cast("int")
 
 
-def crossing(entries: DataFrame, percent: int) -> DataFrame:
+def crossing(lists: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that share a list but no component, as far as sizes, positions and folded sketches
     leave them open."""
+    entries = lists.join(own.select("doc_id", *_FOLDS).distinct(), "doc_id").select(
+        "token", "doc_id", "hub", *_FOLDS, F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("at"))
     # Of a pair the smaller set (of equal sizes the lower id) is the one found. Both share this token and at
     # most what follows it in either; percent / (100 + percent) of both sizes must be shared.
     whole = 100 + percent
     step = F.floor(F.col("at") * F.lit(POSITIONS * whole) / (F.col("n") * (100 - percent))).cast("int")
     found = entries.filter(whole * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n")).select(
-        "token", *(F.col(c).alias(f"{c}_z") for c in ("doc_id", "n", "at", "hub", *_FOLDS)), size_block(F.col("n"), percent).alias("block"), F.least(step, F.lit(POSITIONS)).alias("step"))
+        "token", *(F.col(c).alias(f"{c}_z") for c in ("doc_id", "n", "at", "hub", *_FOLDS)), size_block(F.col("n"), percent).alias("block"), F.least(step, F.lit(POSITIONS - 1)).alias("step"))
     low = F.ceil(F.col("n") * percent / 100)
     high = F.least(F.col("n"), F.floor(F.lit(whole) * (F.col("n") - F.col("at")) / percent) - F.col("n"))
     blocks = F.sequence(size_block(low, percent), size_block(high, percent))
@@ -391,7 +388,7 @@ def crossing(entries: DataFrame, percent: int) -> DataFrame:
     last = (1 - percent / whole * (1 + F.col("n") / top)) * POSITIONS * whole / (100 - percent)
     looks = entries.filter(low <= high).select("*", F.explode(blocks).alias("block")).select(
         "token", "block", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "at", "hub", *_FOLDS)),
-        F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.floor(last + 1e-6).cast("int"), F.lit(POSITIONS))))).alias("step"))
+        F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.floor(last + 1e-6).cast("int"), F.lit(POSITIONS - 1))))).alias("step"))
     most = F.least(F.col("n_x") - F.col("at_x"), F.col("n_z") - F.col("at_z"))
     return looks.join(found, ["token", "block", "step"]).filter(
         (F.col("hub_x") != F.col("hub_z")) & ((F.col("n_z") < F.col("n_x")) | (F.col("n_z") == F.col("n_x")) & (F.col("doc_id_z") < F.col("doc_id_x")))

@@ -434,14 +434,15 @@ def _sets(rng, n):
 def test_skipped_blocks_hold_no_link(spark, percent):
     rng = random.Random(percent)
     sets = _sets(rng, 160)
-    rows = []
+    rows, folds = [], []
     for i, own in sets.items():
         n = len(own)
         fold = jaccard.folded_sketch(np.array(sorted(own), np.uint64))
-        rows += [(t, i, n, at, *fold) for at, t in enumerate(sorted(own)[: n - -(-percent * n // 100) + 1])]
-    lists = spark.createDataFrame(rows, "token long, doc_id long, n long, at long, f0 long, f1 long, f2 long, f3 long")
-    lists = jaccard.mixed(lists, spark.createDataFrame([], "node long, component long"))
-    found = {(r.a, r.b) for r in jaccard.crossing(lists, percent).collect()}
+        folds.append((i, *fold))
+        rows += [(t, i, (n << 32) + at) for at, t in enumerate(sorted(own)[: n - -(-percent * n // 100) + 1])]
+    lists = spark.createDataFrame(rows, "token long, doc_id long, place long")
+    lists = jaccard.mixed(lists, spark.createDataFrame([], "node long, component long"), percent)
+    found = {(r.a, r.b) for r in jaccard.crossing(lists, spark.createDataFrame(folds, "doc_id long, f0 long, f1 long"), percent).collect()}
     want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
     assert want and want <= found
 
