@@ -19,11 +19,26 @@ def utf16_length(s: Column) -> Column:
     return (F.octet_length(F.encode(s, "UTF-16BE")) / 2).cast("int")
 
 
-def _radix(s: Column) -> Column:
-    """0x, 0o and 0b text as a decimal text, else null."""
-    return (F.when(s.rlike(r"^0[xX][0-9a-fA-F]+\z"), F.conv(F.substring(s, 3, 2147483647), 16, 10))
-            .when(s.rlike(r"^0[oO][0-7]+\z"), F.conv(F.substring(s, 3, 2147483647), 8, 10))
-            .when(s.rlike(r"^0[bB][01]+\z"), F.conv(F.substring(s, 3, 2147483647), 2, 10)))
+_DIGITS = {16: ("xX", "0-9a-fA-F"), 8: ("oO", "0-7"), 2: ("bB", "01")}
+
+
+def _place_value(digits: Column, zero: Column, times: Column, kind: str) -> Column:
+    return F.aggregate(digits, zero.cast(kind), lambda a, c: (a * times + F.conv(c, 16, 10).cast("int")).try_cast(kind))
+
+
+def _radix(s: Column, kind: str) -> Column:
+    """0x, 0o and 0b text of any length as double or decimal(38, 0), else null. A decimal is null from 127
+    bits on, a double infinite beyond its range."""
+    out, big = F.lit(None).cast(kind), "decimal(38,0)"
+    for base, (letters, digits) in _DIGITS.items():
+        text = F.regexp_replace(F.substring(s, 3, 2147483647), "^0+", "")
+        each = F.filter(F.split(text, ""), lambda c: c != "")
+        # Whole numbers under 2 ** 126 have 38 digits.
+        total = F.when(F.length(text) <= {16: 31, 8: 42, 2: 126}[base], _place_value(each, F.lit(0), F.lit(base).cast("decimal(2,0)"), big))
+        if kind == "double":
+            total = F.coalesce(total.cast("double"), _place_value(each, F.lit(0), F.lit(float(base)), "double"))
+        out = F.when(s.rlike(rf"^0[{letters}][{digits}]+\z"), total).otherwise(out)
+    return out
 
 
 def to_number(s: Column) -> Column:
@@ -32,7 +47,7 @@ def to_number(s: Column) -> Column:
     return (F.when(t == "", F.lit(0.0))
             .when(t.rlike(r"^[+-]?Infinity\z"), F.when(t.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
             .when(t.rlike(_DECIMAL), t.try_cast("double"))
-            .otherwise(_radix(t).try_cast("double")))
+            .when(t.startswith("0"), _radix(t, "double")))
 
 
 def to_bigint(s: Column) -> Column:
@@ -40,7 +55,7 @@ def to_bigint(s: Column) -> Column:
     t = trimmed(s)
     return (F.when(t == "", F.lit(0).cast("decimal(38,0)"))
             .when(t.rlike(r"^[+-]?\d+\z"), t.try_cast("decimal(38,0)"))
-            .otherwise(_radix(t).try_cast("decimal(38,0)")))
+            .when(t.startswith("0"), _radix(t, "decimal(38,0)")))
 
 
 def _bound(value: Column, body) -> Column:  # noqa: ANN001

@@ -279,7 +279,7 @@ class _Reader:
                 return S.never
             if "pattern" in d:
                 s = s.pattern(d["pattern"])
-            return replace(s, format=d["format"]) if d.get("format") in formats.PATTERNS else s
+            return replace(s, format=d["format"]) if d.get("format") in formats.NAMES else s
         if kind == "object":
             return self.object(d)
         if kind == "array":

@@ -310,7 +310,7 @@ def json_string_with_space(space: int) -> Schema:
 
 
 def formatted(name: str) -> Schema:
-    if name not in formats.PATTERNS:
+    if name not in formats.NAMES:
         raise SchemaError(f"no such format: {name}")
     return replace(string, format=name)
 
