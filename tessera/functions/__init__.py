@@ -58,7 +58,7 @@ def to_bigint(s: Column) -> Column:
             .when(t.startswith("0"), _radix(t, "decimal(38,0)")))
 
 
-def _bound(value: Column, body) -> Column:  # noqa: ANN001
+def bound(value: Column, body) -> Column:  # noqa: ANN001
     """body(value) with value computed once: a one-item array binds it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -78,7 +78,7 @@ def _parts(s: Column) -> Column:
     """Digits and point of a double's text."""
     whole, part = F.regexp_extract(s, r"^(\d+)", 1), F.regexp_extract(s, r"\.(\d+)", 1)
     exponent = F.coalesce(F.regexp_extract(s, r"E(-?\d+)", 1).try_cast("int"), F.lit(0))
-    return _bound(F.struct(F.concat(whole, part).alias("j"), (F.length(whole) + exponent).alias("n")), lambda p: F.struct(
+    return bound(F.struct(F.concat(whole, part).alias("j"), (F.length(whole) + exponent).alias("n")), lambda p: F.struct(
         F.regexp_replace(F.regexp_replace(p["j"], r"0+\z", ""), "^0+", "").alias("d"),
         (p["n"] - F.length(F.regexp_extract(p["j"], "^(0*)", 1))).alias("n")))
 
@@ -86,7 +86,7 @@ def _parts(s: Column) -> Column:
 def number_text(x: Column) -> Column:
     """Double to text: shortest digits, exponents only at 1e21 and below 1e-6."""
     size = F.abs(x)
-    rare = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), _bound(_parts(size.cast("string")), _digits_text))
+    rare = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), bound(_parts(size.cast("string")), _digits_text))
     return (F.when((size >= 0.001) & (size < 1e7), F.regexp_replace(x.cast("string"), r"\.?0+\z", ""))
             .when(F.isnan(x), F.lit("NaN")).when(x == 0, F.lit("0"))
             .when(size == float("inf"), F.when(x > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity")))

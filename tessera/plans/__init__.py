@@ -9,7 +9,9 @@ JSON text brings bigints, dates, URLs and bytes as strings, and its null is abse
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
@@ -18,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import formats
-from ..functions import (is_multiple, iso_text, number_text, quoted, strict_json, text_of_bytes, to_bigint,
+from ..functions import (bound, is_multiple, iso_text, number_text, quoted, strict_json, text_of_bytes, to_bigint,
                          to_number, trimmed, utf16_length)
 from ..schema import ABSENT, AUTO, NEVER, Place, Schema, SchemaError, expression, literal_text
 
@@ -60,10 +62,12 @@ def failure(path: tuple, reason: Column | str, code: str = "invalid_input", got:
 
 
 def rendered(error: Column) -> Column:
-    """The error as it is returned. The one-item array binds it, so it is computed once."""
-    return F.get(F.transform(F.array(error), lambda e: F.when(e.isNotNull(), F.struct(
-        e["code"].alias("code"), e["path"].alias("path"),
-        F.concat(e["reason"], F.when(e["shown"], received_variant(e["got"])).otherwise(F.lit("")), e["tail"]).alias("reason")))), F.lit(0))
+    """The error as it is returned."""
+    return bound(error, lambda e: F.when(e.isNotNull(), F.struct(e["code"].alias("code"), e["path"].alias("path"), worded(e).alias("reason"))))
+
+
+def worded(e: Column) -> Column:
+    return F.concat(e["reason"], F.when(e["shown"], received_variant(e["got"])).otherwise(F.lit("")), e["tail"])
 
 
 def first(*errors: Column | None) -> Column | None:
@@ -138,7 +142,7 @@ def expected(s: Schema, got: Column | str, path: tuple, key: str = "type") -> Co
     own = dict(s.messages)
     if text := own.get(key) or own.get("_"):
         return failure(path, text)
-    said = f"Expected {expression(s)}, received "
+    said = f"Expected {s.said or expression(s)}, received "
     return failure(path, said + got) if isinstance(got, str) else failure(path, said, got=got)
 
 
@@ -309,11 +313,11 @@ class Compiler:
         if c is None:
             ok = v.isNotNull() & F.is_variant_null(v)
         elif isinstance(c, bool):
-            ok = (tag == "BOOLEAN") & (get("boolean") == F.lit(c))
-        elif isinstance(c, str):
-            ok = (tag == "STRING") & (get("string") == F.lit(c))
+            ok = (get("boolean") == F.lit(c)) & (tag == "BOOLEAN")
+        elif isinstance(c, str):  # values before types: few values pass, and a type is dear
+            ok = (get("string") == F.lit(c)) & (tag == "STRING")
         else:
-            ok = tag.rlike(_NUMBER) & (get("double") == F.lit(float(c)))
+            ok = (get("double") == F.lit(float(c))) & tag.rlike(_NUMBER)
         return self._tag(s, v, kind, path, ok, self.lit(s))
 
     @staticmethod
@@ -329,19 +333,16 @@ class Compiler:
         if depth >= self.o.depth:
             return Out(v, F.when(v.isNotNull(), failure(path, f"Nested deeper than {self.o.depth}")), F.lit(True))
         inner = Compiler(self.o, defs).parse(body, v, kind, path, depth + 1)
-        return Out(v, inner.error, inner.entered)
+        # Its type has no end, so the converted value is a VARIANT again.
+        return Out(F.when(v.isNotNull(), as_type(inner.value, type_of(body), "variant")), inner.error, inner.entered)
 
     def wrapped(self, s: Schema, v: Column, kind: str, path: tuple, depth: int) -> Out:
-        inner = self.parse(s.items[0], v, kind, path, depth)
+        # At this place itself errors name the whole.
+        inner = self.parse(replace(s.items[0], said=s.said or expression(s)), v, kind, path, depth)
         absent, empty = v.isNull(), v.isNotNull() & F.is_variant_null(v)
         missing = {"optional": absent | empty if kind == "json" else absent, "nullable": empty, "nullish": absent | empty}[s.kind]
         missing = F.coalesce(missing, F.lit(False))
-        error = inner.error
-        if error is not None:
-            # At this place itself the expected text is that of the whole.
-            own = F.size(error["path"]) == len(path)
-            told = own & error["reason"].startswith(f"Expected {expression(s.items[0])}, received")
-            error = F.when(~missing, F.when(told, failure(path, f"Expected {expression(s)}, received ", got=v)).otherwise(error))
+        error = None if inner.error is None else F.when(~missing, inner.error)
         return Out(F.when(missing, self.default(s)).otherwise(inner.value), error, missing | (inner.entered if inner.entered is not None else F.lit(True)))
 
     def default(self, s: Schema) -> Column:
@@ -360,25 +361,16 @@ class Compiler:
         bad = unless(items.isNotNull(), expected(s, v, path)) if s.validates else None
         if item.kind == "unknown" and not item.to and not item.checks:
             return Out(items, bad, items.isNotNull())
-        probe = self.parse(item, v, kind, path, depth)
-        value = F.transform(items, lambda x: self.parse(item, x, kind, path, depth).value)
-        error = None
-        if probe.error is not None:
-            error = F.get(F.filter(F.transform(items, lambda x, i: self.parse(item, x, kind, (*path, i.cast("string")), depth).error),
-                                   lambda e: e.isNotNull()), F.lit(0))
+        value, error = _pairs(items, lambda x, i: self.parse(item, x, kind, (*path, i.cast("string")), depth))
         return Out(value, first(bad, error), items.isNotNull())
 
     def values(self, s: Schema, v: Column, kind: str, path: tuple, depth: int) -> Out:
         found = F.try_variant_get(v, "$", "map<string,variant>")
         item = s.items[0]
         bad = unless(found.isNotNull(), expected(s, v, path))
-        probe = self.parse(item, v, kind, path, depth)
-        value = F.transform_values(found, lambda k, x: self.parse(item, x, kind, path, depth).value)
-        error = None
-        if probe.error is not None:
-            error = F.get(F.filter(F.transform(F.map_entries(found), lambda e: self.parse(item, e["value"], kind, (*path, e["key"]), depth).error),
-                                   lambda e: e.isNotNull()), F.lit(0))
-        return Out(value, first(bad, error), found.isNotNull())
+        keys = F.map_keys(found)
+        value, error = _pairs(F.map_values(found), lambda x, i: self.parse(item, x, kind, (*path, F.get(keys, i)), depth))
+        return Out(F.map_from_arrays(keys, value), first(bad, error), found.isNotNull())
 
     def fields(self, s: Schema, v: Column, kind: str, path: tuple, depth: int) -> Out:
         if s.kind == "object":
@@ -444,24 +436,41 @@ class Compiler:
             raise SchemaError("every arm of the union is never")
         kind = node_type(s)
         outs = [(run(a), a) for a in arms]
-        value, told = none(kind), []
+        value = none(kind)
+        if exclusive(arms) and all(o.entered is not None for o, _ in outs):
+            # The discriminator alone chooses: no other arm is looked at.
+            error = expected(s, show, path, "_")
+            for out, a in reversed(outs):
+                value = F.when(out.entered, as_type(out.value, type_of(a), kind)).otherwise(value)
+                error = F.when(out.entered, none() if out.error is None else out.error).otherwise(error)
+            return Out(value, error, F.lit(True))
         for out, a in reversed(outs):
             own = none(kind) if a.output.kind == "undefined" else as_type(out.value, type_of(a), kind)
             value = own if out.error is None else F.when(out.error.isNull(), own).otherwise(value)
         if any(o.error is None for o, _ in outs):
             return Out(value, None, F.lit(True))
-        tagged = [(o, a) for o, a in outs if discriminator(a)]
-        for out, _ in outs:
-            if out.entered is not None:
-                where = F.concat(F.lit("["), F.array_join(F.transform(F.slice(out.error["path"], len(path) + 1, 1000), quoted), "]["), F.lit("]"))
-                told.append(F.when(out.entered, F.concat(F.lit("\n- "), F.when(F.size(out.error["path"]) > len(path), F.concat(F.lit("At "), where, F.lit(": "))).otherwise(F.lit("")), rendered(out.error)["reason"])))
         own = dict(s.messages).get("_")
-        whole = failure(path, own) if own else failure(path, f"Expected {expression(s)}, received ", got=show, tail=F.array_join(F.array_distinct(F.array(*told)), "") if told else None)
-        error = whole
-        if tagged and not own:  # the arm that the discriminator names tells its own error
-            for out, _ in reversed(tagged):
-                error = F.when(out.entered, out.error).otherwise(error)
-        return Out(value, F.when(F.coalesce(*(F.when(o.error.isNull(), F.lit(True)) for o, _ in outs), F.lit(False)), none()).otherwise(error), F.lit(True))
+        entered = [F.coalesce(o.entered, F.lit(False)) if o.entered is not None else F.lit(False) for o, _ in outs]
+
+        def chosen(all_: Column) -> Column:
+            errors = [all_[f"e{i}"] for i in range(len(outs))]
+            inside = [all_[f"i{i}"] for i in range(len(outs))]
+            if own:
+                error = failure(path, own)
+            else:
+                told = [F.when(i, F.concat(F.lit("\n- "), F.when(F.size(e["path"]) > len(path), F.concat(
+                    F.lit("At ["), F.array_join(F.transform(F.slice(e["path"], len(path) + 1, 1000), quoted), "]["), F.lit("]: "))).otherwise(F.lit("")), worded(e)))
+                    for e, i, (o, _) in zip(errors, inside, outs, strict=True) if o.entered is not None]
+                tail = F.array_join(F.array_distinct(F.array(*told)), "") if told else None
+                error = failure(path, f"Expected {s.said or expression(s)}, received ", got=show, tail=tail)
+                for e, i, (_, a) in reversed(list(zip(errors, inside, outs, strict=True))):
+                    if discriminator(a):  # the arm that the discriminator names tells its own error
+                        error = F.when(i, e).otherwise(error)
+            return F.when(functools.reduce(operator.and_, (e.isNotNull() for e in errors)), error)
+
+        # Bound once: an arm's error is read several times, and would else be as many copies of its expression.
+        found = F.struct(*(o.error.alias(f"e{i}") for i, (o, _) in enumerate(outs)), *(x.alias(f"i{i}") for i, x in enumerate(entered)))
+        return Out(value, bound(found, chosen), F.lit(True))
 
     # --- typed values --------------------------------------------------------------------------
     def inside(self, s: Schema, x: Column, path: tuple, depth: int) -> Out:
@@ -477,9 +486,8 @@ class Compiler:
             raise SchemaError("never has no value")
         if k == "array":
             item = s.items[0]
-            probe = self.typed(item, F.get(x, F.lit(0)), path, depth)
-            error = None if probe.error is None else F.get(F.filter(F.transform(x, lambda e, i: self.typed(item, e, (*path, i.cast("string")), depth).error), lambda e: e.isNotNull()), F.lit(0))
-            return Out(F.transform(x, lambda e: self.typed(item, e, path, depth).value), first(missing, error))
+            value, error = _pairs(x, lambda e, i: self.typed(item, e, (*path, i.cast("string")), depth))
+            return Out(value, first(missing, error))
         if k == "record":
             item = s.items[0]
             error = F.get(F.filter(F.transform(F.map_entries(x), lambda e: _or_none(self.typed(item, e["value"], (*path, e["key"]), depth).error)), lambda e: e.isNotNull()), F.lit(0)) if type_of(item) != "variant" else None
@@ -751,6 +759,22 @@ def _variant(x: Column, kind: str) -> Column:
     return as_type(x, kind, "variant")
 
 
+def _pairs(items: Column, run: Callable[[Column, Column], Out]) -> tuple[Column, Column | None]:
+    """(values, first error) of an array's items, each of which is compiled once."""
+    valid = False
+
+    def pair(x: Column, i: Column) -> Column:
+        nonlocal valid
+        out = run(x, i)
+        valid = out.error is None
+        return out.value if valid else F.struct(out.value.alias("value"), out.error.alias("error"))
+
+    both = F.transform(items, pair)
+    if valid:
+        return both, None
+    return F.transform(both, lambda p: p["value"]), F.get(F.filter(F.transform(both, lambda p: p["error"]), lambda e: e.isNotNull()), F.lit(0))
+
+
 def _or_none(error: Column | None) -> Column:
     return none() if error is None else error
 
@@ -761,6 +785,13 @@ def as_type(x: Column, have: str, want: str) -> Column:
     return F.to_variant_object(x) if have.startswith(("struct", "map", "array")) else x.cast("variant")
 
 
+def exclusive(arms: list[Schema]) -> bool:
+    """Are these objects that one field of constants tells apart?"""
+    tags = [discriminator(a) for a in arms]
+    return len(arms) > 1 and all(a.kind == "object" and t is not None for a, t in zip(arms, tags, strict=True)) and len({t[0] for t in tags}) == 1 and len(
+        {(type(t[1].const), t[1].const) for t in tags}) == len(arms)
+
+
 def discriminator(s: Schema) -> tuple[str, Schema] | None:
     """The first literal field of an object or tuple."""
     if s.kind not in ("object", "tuple"):
