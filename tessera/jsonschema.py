@@ -20,10 +20,13 @@ from .schema import ABSENT, Check, Schema, SchemaError
 
 DIALECTS = {"draft-07": "http://json-schema.org/draft-07/schema#", "draft-2020-12": "https://json-schema.org/draft/2020-12/schema", "openapi-3.0": None}
 
-#: Keywords whose meaning a value-local mapping can't keep.
-REJECTED = ("uniqueItems", "contains", "minContains", "maxContains", "patternProperties", "propertyNames", "minProperties",
-            "maxProperties", "dependencies", "dependentRequired", "dependentSchemas", "unevaluatedItems", "unevaluatedProperties",
-            "$dynamicRef", "$recursiveRef")
+# Keywords of the JSON Schema specifications, in the order of their vocabularies, whose meaning
+# a value-local mapping can't keep.
+REJECTED = (
+    "$dynamicRef", "$recursiveRef",
+    "dependentSchemas", "contains", "patternProperties", "propertyNames", "dependencies",
+    "unevaluatedItems", "unevaluatedProperties",
+    "uniqueItems", "maxContains", "minContains", "maxProperties", "minProperties", "dependentRequired")
 
 _NUMBER_KEYS = {"gte": "minimum", "gt": "exclusiveMinimum", "lte": "maximum", "lt": "exclusiveMaximum", "multipleOf": "multipleOf"}
 
@@ -214,7 +217,7 @@ class _Reader:
         out = self.composed(d, self.constants(d, self.base(d)))
         if d.get("nullable"):
             out = S.nullable(out)
-        if "default" in d and not isinstance(d["default"], (dict, list)):
+        if "default" in d:
             out = out.with_meta(default=d["default"])
         meta = {k: d[k] for k in ("title", "description", "deprecated", "examples") if k in d}
         return out.with_meta(**meta) if meta else out
@@ -295,8 +298,7 @@ class _Reader:
             return S.record(self.read(extra))
         fields = {}
         for k, v in props.items():
-            default = v.get_meta("default") if v.meta else None
-            fields[k] = v if k in required else S.optional(v, ABSENT if default is None else default)
+            fields[k] = v if k in required else S.optional(v, self.default(v))
         s = S.object_(fields)
         s = s.strict() if extra is False else s
         checks = [Check(lambda v, k=k: F.try_variant_get(v, '$["' + k.replace('"', '\\"') + '"]', "variant").isNotNull(), f"Missing required property {json.dumps(k)}") for k in required if k not in props]
@@ -307,6 +309,16 @@ class _Reader:
                                                    lambda e: test(e["value"])), "Additional properties should pass their schema"))
         return replace(s, input_checks=tuple(checks)) if checks else s
 
+    def default(self, s: Schema) -> Any:
+        """The default of a property as its schema reads it; one that is of another type stays a mere note."""
+        value = dict(s.meta).get("default")
+        if value is None or not _fits(s, value):
+            return ABSENT
+        if not isinstance(value, (dict, list)):
+            return value
+        text, defs = json.dumps(value), self.defs
+        return lambda: Compiler(None, defs).parse(s, F.parse_json(F.lit(text)), "json").value
+
     def array(self, d: dict) -> Schema:
         prefix = d.get("prefixItems") if "prefixItems" in d else d.get("items") if isinstance(d.get("items"), list) else None
         low, high = d.get("minItems"), d.get("maxItems")
@@ -340,12 +352,12 @@ class _Reader:
             return s
         if all(not isinstance(v, (dict, list)) for v in values) and s == S.json_value:
             return S.union([S.literal(v) for v in values]) if values else S.never
-        test, texts = passes(s, self.defs), [json.dumps(v) for v in values]
+        test = passes(s, self.defs)
 
         def equal(v: Column) -> Column:
             ok = F.lit(False)
-            for t in texts:
-                ok = ok | (F.to_json(v) == F.to_json(F.parse_json(F.lit(t))))
+            for value in values:
+                ok = ok | _equals(v, value)
             return ok & test(v)
 
         plain = {str: "string", bool: "boolean", int: "number", float: "number"}
@@ -378,6 +390,48 @@ class _Reader:
         return replace(s, input_checks=(*s.input_checks, *checks)) if checks else s
 
 
+def _fits(s: Schema, value: Any) -> bool:
+    """Is a JSON value of the schema's type?"""
+    k = s.kind
+    if k in ("json", "unknown", "ref"):
+        return True
+    if k == "union":
+        return any(_fits(a, value) for a in s.arms)
+    if k in ("nullable", "nullish", "optional"):
+        return value is None or _fits(s.items[0], value)
+    if k == "literal":
+        return s.const == value and isinstance(s.const, bool) == isinstance(value, bool)
+    if k in ("number", "integer", "int32", "port"):
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (k == "number" or float(value).is_integer())
+    if k == "array":
+        return isinstance(value, list) and all(_fits(s.items[0], x) for x in value)
+    if k == "tuple":
+        return isinstance(value, list) and len(value) == len(s.items) and all(map(_fits, s.items, value))
+    if k == "record":
+        return isinstance(value, dict) and all(_fits(s.items[0], x) for x in value.values())
+    if k == "object":
+        return isinstance(value, dict) and all(_fits(x, value[n]) if n in value else x.kind == "optional" for n, x in s.props)
+    return {"string": str, "boolean": bool}.get(k, ()) and isinstance(value, {"string": str, "boolean": bool}[k])
+
+
+def _equals(v: Column, value: Any) -> Column:
+    """Is a VARIANT this JSON value? Numbers count by value, objects without regard to order."""
+    tag = lambda pattern: F.coalesce(F.schema_of_variant(v).rlike(pattern), F.lit(False))
+    if isinstance(value, dict):
+        found = F.try_variant_get(v, "$", "map<string,variant>")
+        ok = tag("^OBJECT") & (F.size(found) == len(value))
+        for k, x in value.items():
+            ok = ok & _equals(F.try_element_at(found, F.lit(k)), x)
+    elif isinstance(value, list):
+        found = F.try_variant_get(v, "$", "array<variant>")
+        ok = tag("^ARRAY") & (F.size(found) == len(value))
+        for i, x in enumerate(value):
+            ok = ok & _equals(F.get(found, F.lit(i)), x)
+    else:
+        return F.coalesce(passes(S.literal(value))(v), F.lit(False))
+    return F.coalesce(ok, F.lit(False))
+
+
 def _count(tests: list, v: Column) -> Column:
     total = F.lit(0)
     for t in tests:

@@ -132,7 +132,17 @@ def path_text(path: Column) -> Column:
 
 
 def path_to_array(text: str) -> list[str]:
-    return [json.loads(x) for x in text[1:-1].split("][")] if text else []
+    """The segments of a path's text; a segment is a JSON string and may hold brackets itself."""
+    read, out, at = json.JSONDecoder().raw_decode, [], 0
+    while at < len(text):
+        if text[at] != "[":
+            raise ValueError(f"no path: {text}")
+        part, end = read(text, at + 1)
+        if text[end:end + 1] != "]":
+            raise ValueError(f"no path: {text}")
+        out.append(part)
+        at = end + 1
+    return out
 
 
 def path_from_array(path: list[str]) -> str:
@@ -173,8 +183,9 @@ def reverse(s: Any) -> Schema:
 
 
 def coder(fn: Callable, returns: str) -> Callable[[Column], Column]:
-    """A Python function of one value as a conversion; what it raises becomes invalid_conversion."""
-    @F.udf(returnType=f"struct<value:{returns},error:string>")
+    """A Python function of one value as a conversion; what it raises becomes invalid_conversion. Values go
+    to Python and back in Arrow batches."""
+    @F.udf(returnType=f"struct<value:{returns},error:string>", useArrow=True)
     def run(x: Any) -> tuple:
         try:
             return fn(x), None

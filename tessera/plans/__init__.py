@@ -435,8 +435,17 @@ class Compiler:
         if not arms:
             raise SchemaError("every arm of the union is never")
         kind = node_type(s)
-        outs = [(run(a), a) for a in arms]
-        value = none(kind)
+        outs, never = [], None
+        for a in arms:
+            try:
+                outs.append((run(a), a))
+            except SchemaError as e:  # an arm that is never decoded takes no value
+                if e.code != "never_decoded":
+                    raise
+                never = e
+        if not outs:
+            raise never
+        arms, value = [a for _, a in outs], none(kind)
         if exclusive(arms) and all(o.entered is not None for o, _ in outs):
             # The discriminator alone chooses: no other arm is looked at.
             error = expected(s, show, path, "_")
@@ -563,7 +572,7 @@ class Compiler:
         if coder is None or coder.decode == AUTO:
             return self.convert(a, b, x, path, depth)
         if coder.decode == NEVER:
-            raise SchemaError(f"{expression(a)} is never decoded to {expression(b)}")
+            raise SchemaError(f"{expression(a)} is never decoded to {expression(b)}", "never_decoded")
         made = coder.decode(x)
         if getattr(coder.decode, "catches", False):
             error = F.when(made["error"].isNotNull(), failure(path, made["error"], "invalid_conversion"))
@@ -571,7 +580,10 @@ class Compiler:
         else:
             error = None
         kind = node_type(b)
-        made = made if kind in ("variant",) else made.cast(kind) if not kind.startswith(("struct", "array", "map")) else made
+        if kind != "variant" and not kind.startswith(("struct", "array", "map")):
+            cast = made.try_cast(kind)
+            error = first(error, F.when(made.isNotNull() & cast.isNull(), expected(b, made.cast("variant"), path)))
+            made = cast
         inner = self.inside(b, made, path, depth)
         return Out(inner.value, first(error, inner.error))
 

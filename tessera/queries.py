@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cases
 from . import operators as O
 from . import schema as S
 from .functions import number_text
@@ -260,3 +261,7 @@ def error_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, (l_quantity::BIGINT)::VARCHAR AS t FROM lineitem")
 def number_text_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", number_text(F.col("l_quantity")).alias("t"))
+
+
+QUERIES.update(cases.QUERIES)
+SQL.update(cases.SQL)

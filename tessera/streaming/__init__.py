@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,7 +23,9 @@ def split_stream(stream: DataFrame, column: str, s: Any, good: str, bad: str, ch
     parsed = parse_stream(stream, column, s)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist(StorageLevel.DISK_ONLY)  # parsed once for both writes
         batch.filter("value_error is null").drop("value_error").withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
         batch.filter("value_error is not null").drop("value").withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{bad}/batch={batch_id}")
+        batch.unpersist()
 
     return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

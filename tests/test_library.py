@@ -104,6 +104,8 @@ def test_unions(spark):
 def test_conversions(spark):
     s = S.string
     assert [v for v, _ in parsed(spark, s.convert(S.number), ['"0x10"', '""', '"abc"'])] == [16.0, 0.0, None]
+    assert [v for v, _ in parsed(spark, s.convert(S.number), ['"0x1' + "F" * 17 + '"', '"0b' + "1" * 300 + '"', '"0o17"'])] == [float(int("1" + "F" * 17, 16)), float(2**300 - 1), 15.0]
+    assert [v for v, _ in parsed(spark, s.convert(S.bigint), ['"0x' + "F" * 31 + '"', '"0x' + "F" * 32 + '"', '"0b0101"'])] == [16**31 - 1, None, 5]
     assert verdicts(spark, s.convert(S.boolean), ['"true"', '"false"', '"t"', '"1"', '"TRUE"']) == [True, True, False, False, False]
     assert verdicts(spark, s.convert(S.date), ['"2021-02-03T04:05:06.789Z"', '"2021-02-29"', '"x"']) == [True, False, False]
     assert verdicts(spark, s.convert(S.port), ['"80"', '"65536"', '"1.5"']) == [True, False, False]
@@ -268,6 +270,50 @@ def test_import(spark, doc, good, bad):
     assert verdicts(spark, from_json_schema(doc), good + bad, "json") == [True] * len(good) + [False] * len(bad)
 
 
+def test_import_defaults_and_equality(spark):
+    s = from_json_schema({"type": "object", "properties": {
+        "a": {"type": "array", "items": {"type": "number"}, "default": []}, "o": {"type": "object", "properties": {"x": {"type": "string"}}, "default": {"x": "y"}},
+        "n": {"type": "integer", "default": ""}}})
+    got = parsed(spark, s, ["{}", '{"a":[1],"n":2}'])
+    assert got[0][0]["a"] == [] and got[0][0]["o"]["x"] == "y" and got[0][0]["n"] is None and got[1][0]["a"] == [1.0]
+    assert verdicts(spark, from_json_schema({"enum": [1, [2]]}), ["1e0", "1", "[2.0]", "[2,2]", '"1"']) == [True, True, True, False, False]
+    assert verdicts(spark, from_json_schema({"const": {"a": [1, None], "b": True}}), ['{"b":true,"a":[1.0,null]}', '{"a":[1,null]}', '{"a":[1,0],"b":true}']) == [True, False, False]
+
+
+def test_paths():
+    for path in ([], ["a"], ['x"]["y', "]", "[", "0"], [""]):
+        assert O.path_to_array(O.path_from_array(path)) == path
+    with pytest.raises(ValueError):
+        O.path_to_array('["a"')
+
+
+def test_never_in_a_union(spark):
+    s = S.union(S.string.convert(S.number, encode=lambda c: c.cast("string")), S.string.convert(S.number, decode="never"), S.number)
+    assert verdicts(spark, S.union(S.string.convert(S.number, decode="never"), S.number), ["1", '"1"']) == [True, False]
+    assert s.arms
+    with pytest.raises(S.SchemaError):
+        O.parser(S.union(S.string.convert(S.number, decode="never"), S.never))("x")
+
+
+def test_size_of_expressions(spark):
+    def size(s, **o):
+        r = O.parser(s, options=O.Options(**o))("x")
+        return len(str(r.error._jc.toString())) + len(str(r.value._jc.toString()))
+
+    def nested(depth, wrap):
+        s = S.string
+        for _ in range(depth):
+            s = wrap(s)
+        return size(s)
+
+    for wrap in (lambda s: S.optional(S.object_({"a": s, "b": S.number})), lambda s: S.union(S.object_({"k": "a", "x": s}), S.object_({"k": "b", "y": S.number}))):
+        assert nested(6, wrap) < 8 * nested(1, wrap)
+    node = S.recursive("Node", lambda n: S.object_({"v": S.string.convert(S.number), "d": S.optional(S.number, 7), "next": S.optional(n)}))
+    assert size(node, depth=6) < 10 * size(node, depth=1)
+    value = json.loads(parsed(spark, node, ['{"v":"1","x":2,"next":{"v":"2"}}'])[0][0])
+    assert (value["v"], value["d"], value["next"]["v"], value["next"]["d"], "x" in value, value["next"].get("next")) == (1, 7, 2, 7, False, None)
+
+
 def test_import_rejects():
     for key in ("uniqueItems", "patternProperties", "contains", "$dynamicRef"):
         with pytest.raises(S.SchemaError):
@@ -294,6 +340,19 @@ def test_schema_of_types():
     assert S.expression(O.schema_of(kind)) == "{ a: string; b: number[] | undefined; }"
 
 
+def test_operator_cases(spark):
+    import duckdb
+
+    from tessera import cases
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{folder}/customer.parquet'")
+    for name, run in cases.QUERIES.items():
+        got = sorted(map(tuple, run(spark, folder).collect()))
+        assert got == sorted(con.execute(cases.SQL[name]).fetchall()), name
+
+
 def test_entry_queries_have_sql():
     import __spark_entry__ as e
 
