@@ -212,7 +212,7 @@ def listed(own: DataFrame) -> DataFrame:
 def sifted(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs (a, b) that sizes and sketches leave open."""
     pairs, _ = written(pairs)
-    own = needed(own.select("doc_id", "n", "sketch"), pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    own = needed(own.select("doc_id", "n", "sketch"), pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     x, z = (own.select(*(F.col(c).alias(f"{c}_{k}") for c in own.columns)) for k in "ab")
     both = pairs.join(x, F.col("a") == F.col("doc_id_a")).join(z, F.col("b") == F.col("doc_id_b")).filter(
         100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -230,7 +230,7 @@ def compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     """a, b, n_a, n_b, shared, link of the pairs (a, b), from both whole texts; written. Sizes and shared
     are null where a doc_id has more than one row."""
     pairs, _ = written(pairs.select("a", "b"))
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+    sides = pairs.select("a", "b", F.col("a").alias("doc_id")).union(pairs.select("a", "b", "b"))
     texts = sides.join(needed(docs.select("doc_id", F.col("text").cast("string").alias("text")), sides), "doc_id")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = texts.select("a", "b", (F.col("doc_id") == F.col("b")).alias("second"), "text").repartition(parts, "a", "b").sortWithinPartitions("a", "b", "second")
