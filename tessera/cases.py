@@ -109,6 +109,9 @@ encodes("c18_typed_to_json_string", S.json_string.convert(S.object_({"a": S.stri
 parses("c19_json_string_to_literal", S.json_string.convert(S.literal(7)), ('"7"', '{"v":7.0}'), ('"8"', "Expected 7, received 8"))
 parses("c21_trim", S.string.trim(), ('"\\t a \\n"', '{"v":"a"}'), ('"b"', '{"v":"b"}'), ('"\\u00a0c\\ufeff"', '{"v":"c"}'))
 parses("s6_bytes_round_trip", S.string.convert(S.uint8_array).convert(S.string), ('"abc"', '{"v":"abc"}'), ('"é"', '{"v":"é"}'))
+encodes("s4_json_string_with_space", S.json_string_with_space(3).convert(S.object_({"a": S.string, "b": S.array(S.number), "c": S.object_({})})), lambda x: F.struct(x.alias("a"), F.when(x == "n", F.array().cast("array<double>")).otherwise(F.array(F.lit(1.0), F.lit(2.5))).alias("b"), F.struct(F.lit(1).alias("z")).alias("c")),
+        ('q"{,\\', '{\n   "a": "q\\"{,\\\\",\n   "b": [\n      1,\n      2.5\n   ],\n   "c": {}\n}'), ("n", '{\n   "a": "n",\n   "b": [],\n   "c": {}\n}'))
+encodes("c17_nan_in_lists", S.json_string.convert(S.array(S.number)), lambda x: F.array(F.lit(1.0), x.cast("double")), ("2", "[1,2]"), ("NaN", "Expected JSON, received NaN"))
 takes("s5_json", S.json_value, ["1", "null", '{"a":[1]}', '"x"'], ["{", "[1,]", "1 2", "NaN", ""])
 takes("s2_json_string_source", S.json_string.convert(S.number), ['"1"', '" 2 "'], ['"x"', "1", '"1 2"'])
 
@@ -166,6 +169,10 @@ parses("u8_discriminator", S.object_({"u": S.union(S.object_({"kind": "a", "x":
 takes("u8_discriminated_arms", _TAGGED, ['{"kind":"a","x":1}', '{"kind":"b","y":"t"}'], ['{"kind":"a","y":"t"}', '{"kind":"b","y":1}', '{"kind":"c"}', "1"])
 takes("u9_string_to_union", S.string.convert(S.union(S.number, S.boolean)), ['"12"', '"true"'], ['"x"', "1"])
 parses("u10_union_to_string", S.union(S.number, S.boolean).convert(S.string), ("1.5", '{"v":"1.5"}'), ("true", '{"v":"true"}'), ('"x"', 'Expected number | boolean, received "x"'))
+parses("u11_union_to_union", S.union(S.string, S.number).convert(S.union(S.number.convert(S.string), S.string)), ('"12"', '{"v":"12"}'), ("1.5", '{"v":"1.5"}'), ("true", "Expected string | number, received true"))
+parses("u11_union_to_never", S.union(S.number, S.string).convert(S.union(S.number.convert(S.never), S.string)), ('"ok"', '{"v":"ok"}'), ("42", "Expected never, received 42"))
+takes("u11_null_to_undefined", S.union(S.string, None).convert(S.union(S.string, S.undefined)), ['"a"', "null"], ["1", "true"])
+encodes("u12_union_encode", S.union(S.string.convert(S.number.gt(5)), S.boolean.convert(S.number, decode=lambda c: c.cast("double"), encode=lambda c: c == 1)), lambda x: x.cast("double"), ("7.5", "7.5"), ("1", "true"), ("0", "false"))
 takes("u13_fall_through", S.union(S.string.max_length(1), S.string.pattern("^x")), ['"a"', '"xyz"'], ['"ab"'])
 takes("u14_never_arm", S.union(S.never, S.number), ["1"], ['"a"'])
 takes("r4_never_slot_in_union", S.union(S.string.convert(S.number, decode="never"), S.number), ["1"], ['"1"'])

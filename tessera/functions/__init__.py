@@ -103,6 +103,28 @@ def quoted(s: Column) -> Column:
     return F.concat(F.lit('"'), F.when(s.rlike(r"[\x00-\x1f]"), full).otherwise(plain), F.lit('"'))
 
 
+def indented(text: Column, width: int) -> Column:
+    """Compact JSON text with a line per item, each level width spaces further in (10 at most, as in JavaScript)."""
+    if width < 1:
+        return text
+    # Raw control characters can't be in JSON text, so two of them stand for escapes while strings are cut out.
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    tokens = F.regexp_extract_all(plain, F.lit(r'("[^"]*+"|[{}\[\],:]|[^{}\[\],:"\s]++)'), F.lit(1))
+
+    def add(a: Column, t: Column) -> Column:
+        opens, closes = t.isin("{", "["), t.isin("}", "]")
+        level = F.when(closes, a["level"] - 1).otherwise(a["level"])
+        begun = a["last"].isin("{", "[")
+        breaks = (begun | (a["last"] == ",")) & ~closes | closes & ~begun
+        line = F.when(breaks, F.concat(F.lit("\n"), F.repeat(F.lit(" "), level * min(width, 10)))).otherwise(F.lit(""))
+        return F.struct(F.concat(a["out"], line, t, F.when(t == ":", F.lit(" ")).otherwise(F.lit(""))).alias("out"),
+                        F.when(opens, level + 1).otherwise(level).alias("level"), t.alias("last"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("level"), F.lit("").alias("last"))
+    made = F.aggregate(tokens, start, add, lambda a: a["out"])
+    return F.replace(F.replace(made, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+
+
 def strict_json(s: Column) -> Column:
     """Is s exactly one JSON value? The built-in parsers let trailing text pass: after the value the
     first wrapping lets only `,` or `]` follow, the second only `,"` or `}`, so both only its end."""

@@ -72,12 +72,18 @@ def _base(s: Schema, target: str, path: tuple, defs: dict) -> dict:
     if k in ("string", "trimmed", "jsonString"):
         out: dict = {"type": "string"}
         out |= {x: b[x] for x in ("minLength", "maxLength") if x in b}
-        if s.format:
+        if s.format and s.format != "cuid":  # no format of the specifications
             out["format"] = s.format
         if "pattern" in b:
             out["pattern"] = b["pattern"]
-        if k == "jsonString" and s.to is not None and target == "draft-2020-12":
-            out |= {"contentMediaType": "application/json", "contentSchema": _emit(s.to, target, path, defs)}
+        if k == "jsonString" and not openapi:  # OpenAPI 3.0 has no content keywords, draft-07 no contentSchema
+            out["contentMediaType"] = "application/json"
+            if s.to is not None and target == "draft-2020-12":
+                try:
+                    content = _emit(s.to, target, path, defs)
+                except SchemaError:  # a content without a schema is not described
+                    content = {}
+                out |= {"contentSchema": content} if content else {}
         return out
     if k in ("number", "int32", "integer", "port"):
         out = {"type": "number" if k == "number" else "integer"}

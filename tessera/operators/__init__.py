@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strict_json
 from ..plans import ERROR, Compiler, Options, failure, first, none, rendered, type_of, unless
-from ..schema import Schema, SchemaError, as_schema
+from ..schema import DEFAULTS, Schema, SchemaError, as_schema
 
 _VARIANT, _STRICT = "__tessera_variant", "__tessera_strict"
 
@@ -226,6 +226,14 @@ def with_default_extras(s: Schema, mode: str) -> Schema:
     return replace(s, extras=mode) if s.kind == "object" else s
 
 
+def global_options(default_extras: str = "strip", allow_nan: bool = False) -> None:
+    """Defaults for what is made from now on: the extras mode of objects, and if numbers may be NaN. Without
+    arguments, the first ones again. They are read on the driver, while schemas and columns are made."""
+    if default_extras not in ("strip", "strict"):
+        raise SchemaError(f"no such extras mode: {default_extras}")
+    DEFAULTS.update(extras=default_extras, allow_nan=allow_nan)
+
+
 def schema_of(kind: Any) -> Schema:
     """The schema of a Spark type: structs are objects, nullable fields optional."""
     from pyspark.sql import types as T

@@ -13,16 +13,16 @@ import functools
 import math
 import operator
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import formats
-from ..functions import (bound, is_multiple, iso_text, number_text, quoted, strict_json, text_of_bytes, to_bigint,
+from ..functions import (bound, indented, is_multiple, iso_text, number_text, quoted, strict_json, text_of_bytes, to_bigint,
                          to_number, trimmed, utf16_length)
-from ..schema import ABSENT, AUTO, NEVER, Place, Schema, SchemaError, expression, literal_text
+from ..schema import ABSENT, AUTO, DEFAULTS, NEVER, Place, Schema, SchemaError, expression, literal_text
 
 ERROR = "struct<code:string,path:array<string>,reason:string>"
 #: While it is found: what was received is kept as a value, and put into words once, at the end.
@@ -38,7 +38,7 @@ WRAPS = ("optional", "nullable", "nullish")
 
 @dataclass(frozen=True)
 class Options:
-    allow_nan: bool = False
+    allow_nan: bool = field(default_factory=lambda: DEFAULTS["allow_nan"])
     trusted_json: bool = False  # leave out the strictness guard of JSON text
     depth: int = 6  # of recursive schemas
 
@@ -92,6 +92,12 @@ def _struct(fields: list[tuple[str, str]]) -> str:
     return "struct<" + ",".join(f"`{k.replace('`', '``')}`:{v}" for k, v in fields) + ">"
 
 
+def entry_type(s: Schema) -> str:
+    """The type of a union's values before its arms' links."""
+    found = {node_type(a) for a in s.arms if a.kind not in ("undefined", "never") and a.const is not None}
+    return found.pop() if len(found) == 1 else "variant" if found else "string"
+
+
 def node_type(s: Schema) -> str:
     if s.kind == "literal":
         return literal_type(s.const)
@@ -507,8 +513,11 @@ class Compiler:
         if k == "compactColumns":
             return self._transposed(s, x, missing, path, depth)
         if k == "union":
-            if node_type(s) == "variant":
+            have = entry_type(s)
+            if have == "variant":
                 return self.dispatch(s, lambda a: self.parse(a, x, "unknown", path, depth), x, path)
+            if any(a.to for a in s.arms):
+                return self.dispatch(s, lambda a: self.typed(a, x, path, depth), _variant(x, have), path)
             return Out(x, missing if not any(a.kind == "undefined" or a.const is None for a in s.arms) else None)
         if k == "literal":
             return Out(x, unless(x.eqNullSafe(self.lit(s)), expected(s, _variant(x, literal_type(s.const)), path)))
@@ -613,9 +622,12 @@ class Compiler:
             return Out(inner.value, first(unless(ok, expected(Schema("jsonString"), show, path)), inner.error))
         if q in ("json", "jsonString") and p != "jsonString":
             return self.to_json(a, b, x, path)
+        if p == q == "union":
+            return self.passed(a, b, x, path, depth)
         if q == "union":
             return self.dispatch(b, lambda arm: self.follow(arm, self.convert(a, arm, x, path, depth), path, depth), show, path)
         if p == "union":
+            told_apart(a, b)
             return self.dispatch_to(a, b, x, path, depth)
         if p in texts:
             if q in ("string",):
@@ -701,6 +713,26 @@ class Compiler:
             error = none() if o.error is None else F.when(o.error.isNull(), none()).otherwise(error)
         return Out(value, error)
 
+    def passed(self, a: Schema, b: Schema, x: Column, path: tuple, depth: int) -> Out:
+        """A union's value to another union: each arm's values pass to the arms of their type, none is coerced."""
+        whole, kind = node_type(a), node_type(b)
+        routes = paired(a, b)
+        value, error = none(kind), failure(path, f"Expected {expression(a)}, received ", got=_variant(x, whole))
+        for arm, targets in reversed(routes):
+            got = self.parse(arm, x, "unknown", path, depth) if whole == "variant" else Out(
+                x, None if arm.kind != "literal" else unless(x.eqNullSafe(self.lit(arm)), failure(path, "")))
+            if any(t.kind == "never" for t in targets[0].chain) and len(targets) == 1:
+                made = Out(none(kind), failure(path, "Expected never, received ", got=_variant(x, whole)))
+            else:
+                step = lambda t: self.follow(t, self.convert(arm.output, t, got.value, path, depth), path, depth)  # noqa: B023, E731
+                made = step(targets[0]) if len(targets) == 1 else self.dispatch(
+                    replace(b, arms=tuple(targets)), step, _variant(got.value, type_of(arm)), path)
+                made.value = as_type(made.value, type_of(targets[0]) if len(targets) == 1 else node_type(replace(b, arms=tuple(targets))), kind)
+            here = F.lit(True) if got.error is None else got.error.isNull()
+            value = F.when(here, made.value).otherwise(value)
+            error = F.when(here, none() if made.error is None else made.error).otherwise(error)
+        return Out(value, error)
+
     # --- JSON text -----------------------------------------------------------------------------
     def to_json(self, a: Schema, b: Schema, x: Column, path: tuple) -> Out:
         bad: list[Column] = []
@@ -708,9 +740,24 @@ class Compiler:
         if b.kind == "jsonString":
             space = dict(b.meta).get("space")
             made = F.coalesce(text, F.lit("null"))
-            return Out(F.to_json(F.try_parse_json(made), {"pretty": "true"}) if space else made, first(*bad))
+            return Out(indented(made, space) if space else made, first(*bad))
         return Out(F.try_parse_json(F.coalesce(text, F.lit("null"))), first(*bad))
 
+    def _no_text(self, kind: Schema, items: Column, at: Callable, path: tuple) -> Column | None:
+        """The first error of items that can't be text."""
+        some = False
+
+        def error(e: Column, i: Column) -> Column:
+            nonlocal some
+            value, key = at(e, i)
+            bad: list[Column | None] = []
+            self.text(kind, value, (*path, key), bad)
+            some = any(x is not None for x in bad)
+            return first(*bad) if some else none()
+
+        errors = F.transform(items, error)
+        return F.get(F.filter(errors, lambda e: e.isNotNull()), F.lit(0)) if some else None
+
     def text(self, s: Schema, x: Column, path: tuple, bad: list[Column]) -> Column:
         """JSON text of a typed value; null where it is absent. bad gets what can't be text."""
         k = s.kind
@@ -743,8 +790,10 @@ class Compiler:
         if k in ("json", "unknown", "ref"):
             return F.to_json(x)
         if k in ("array", "compactColumns"):
+            bad.append(self._no_text(s.items[0], x, lambda e, i: (e, i.cast("string")), path))
             return F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: F.coalesce(self.text(s.items[0], e, path, []), F.lit("null"))), ","), F.lit("]"))
         if k == "record":
+            bad.append(self._no_text(s.items[0], F.map_entries(x), lambda e, _: (e["value"], e["key"]), path))
             pairs = F.transform(F.map_entries(x), lambda e: F.concat(quoted(e["key"]), F.lit(":"), self.text(s.items[0], e["value"], path, [])))
             return F.concat(F.lit("{"), F.array_join(F.filter(pairs, lambda p: p.isNotNull()), ","), F.lit("}"))
         if k == "tuple":
@@ -797,6 +846,76 @@ def as_type(x: Column, have: str, want: str) -> Column:
     return F.to_variant_object(x) if have.startswith(("struct", "map", "array")) else x.cast("variant")
 
 
+_OPEN = (*WRAPS, "unknown", "json", "ref", "union")
+
+
+def _end(s: Schema) -> Schema:
+    """What a chain produces: never as soon as one link gives nothing."""
+    for node in s.chain:
+        if node.kind == "never" or node.coder is not None and node.coder.decode == NEVER:
+            return Schema("never")
+    return s.output
+
+
+def same_type(a: Schema, b: Schema) -> bool:
+    """Are the values of both of one type and format? Constants are of their value's type."""
+    def told(s: Schema) -> tuple:
+        if s.kind == "literal":
+            c = s.const
+            return ("null" if c is None else "boolean" if isinstance(c, bool) else "string" if isinstance(c, str) else "number"), None
+        if s.kind in ("string", "trimmed", "jsonString"):
+            return "string", s.format or ("json" if s.kind == "jsonString" else None)
+        if s.kind in ("number", "int32", "integer", "port"):
+            return "number", None if s.kind == "number" else s.kind
+        return s.kind, s.format
+
+    return told(a) == told(b)
+
+
+def _refused(a: Schema, b: Schema, why: str) -> SchemaError:
+    return SchemaError(f"Invalid operation: can't convert {expression(a)} to {expression(b)} — {why}. "
+                       "Say what is meant with convert, or mark the arm as never")
+
+
+def told_apart(a: Schema, b: Schema) -> None:
+    """From a union to one type all arms produce its type or none does: else it is open what is converted."""
+    arms = [x for x in map(_end, a.arms) if x.kind != "never"]
+    if b.kind in _OPEN or any(x.kind in _OPEN for x in arms):
+        return
+    same = [x for x in arms if same_type(x, b)]
+    if same and len(same) < len(arms):
+        raise _refused(a, b, f"{expression(same[0])} has the same type as the target and the others don't")
+
+
+def _unlinked(s: Schema) -> bool:
+    return any(x.coder is not None and x.coder.decode == NEVER for x in s.chain)
+
+
+def paired(a: Schema, b: Schema) -> list[tuple[Schema, list[Schema]]]:
+    """(arm of a, arms of b that take its values); each arm must have its type on the other side, null and
+    undefined each other."""
+    nullish = {"undefined": "null", "null": "undefined"}
+    name = lambda s: "null" if s.kind == "literal" and s.const is None else s.kind
+    open_ = [t for t in b.arms if t.kind != "never" and not _unlinked(t)]
+    routes, covered, sources = [], set(), set()
+    for arm in a.arms:
+        end = _end(arm)
+        if end.kind == "never":
+            continue
+        sources.add(name(end))
+        targets = [t for t in open_ if same_type(end, t)]
+        covered |= {id(t) for t in targets}
+        if not targets:
+            targets = [t for t in open_ if name(t) == nullish.get(name(end)) and _end(t).kind != "never"][:1]
+        if not targets:
+            raise _refused(a, b, f"{expression(end)} has no same-type variant on the other side")
+        routes.append((arm, targets))
+    for t in open_:
+        if id(t) not in covered and (_end(t).kind == "never" or nullish.get(name(t)) not in sources):
+            raise _refused(a, b, f"{expression(t)} has no same-type variant on the other side")
+    return routes
+
+
 def exclusive(arms: list[Schema]) -> bool:
     """Are these objects that one field of constants tells apart?"""
     tags = [discriminator(a) for a in arms]

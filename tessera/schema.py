@@ -26,6 +26,8 @@ class SchemaError(Exception):
 ABSENT = type("Absent", (), {"__repr__": lambda s: "undefined", "__bool__": lambda s: False})()
 NEVER = "never"
 AUTO = "auto"
+#: What `operators.global_options` sets: the extras mode of objects, and if numbers may be NaN.
+DEFAULTS = {"extras": "strip", "allow_nan": False}
 
 
 @dataclass(frozen=True)
@@ -338,7 +340,7 @@ def as_schema(x: Any) -> Schema:
     if isinstance(x, Schema):
         return x
     if isinstance(x, dict):
-        return Schema("object", props=tuple((k, as_schema(v)) for k, v in x.items()))
+        return Schema("object", props=tuple((k, as_schema(v)) for k, v in x.items()), extras=DEFAULTS["extras"])
     if isinstance(x, (list, tuple)):
         return Schema("tuple", items=tuple(map(as_schema, x)), extras="strict")
     return literal(x)
@@ -383,7 +385,7 @@ class _Definer:
 
     def made(self) -> Schema:
         inner = {k: v.made() for k, v in self.inner.items()}
-        return Schema("object", props=(*self.props.items(), *inner.items()))
+        return Schema("object", props=(*self.props.items(), *inner.items()), extras=DEFAULTS["extras"])
 
 
 def object_(definition: Any) -> Schema:

@@ -357,3 +357,42 @@ def test_entry_queries_have_sql():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 30
+
+
+@pytest.mark.parametrize(("source", "target", "why"), [
+    (S.union(S.number, S.string), S.string, "string has the same type as the target and the others don't"),
+    (S.union(S.number, S.string, S.boolean), S.union(S.number, S.string), "boolean has no same-type variant on the other side"),
+    (S.union(S.number, S.string), S.union(S.number, S.string, S.boolean), "boolean has no same-type variant on the other side"),
+])
+def test_unclear_union_conversions_are_refused(source, target, why):
+    with pytest.raises(SchemaError, match=why):
+        O.parser(source.convert(target))(F.lit("1"))
+
+
+def test_unions_of_one_type_and_covered_unions_are_taken():
+    O.parser(S.string.convert(S.union("a", "b")))(F.lit("1"))
+    O.parser(S.union(S.string, None).convert(S.union(S.string, S.undefined)))(F.lit("1"))
+
+
+def test_global_options_hold_for_what_is_made_later():
+    before = S.object_({"a": S.number})
+    O.global_options(default_extras="strict", allow_nan=True)
+    try:
+        assert S.object_({"a": S.number}).extras == "strict" and before.extras == "strip"
+        assert S.object_({"a": S.object_({"b": S.number})}).props[0][1].extras == "strict"
+        assert O.Options().allow_nan
+    finally:
+        O.global_options()
+    assert S.object_({"a": S.number}).extras == "strip" and not O.Options().allow_nan
+    with pytest.raises(SchemaError):
+        O.global_options(default_extras="keep")
+
+
+def test_text_formats_in_documents():
+    assert to_json_schema(S.cuid) == {"type": "string"}
+    text = S.json_string.convert(S.object_({"a": S.number}))
+    assert to_json_schema(text, "draft-07")["contentMediaType"] == "application/json"
+    assert "contentSchema" not in to_json_schema(text, "draft-07")
+    assert to_json_schema(text, "draft-2020-12")["contentSchema"]["properties"] == {"a": {"type": "number"}}
+    assert to_json_schema(text, "openapi-3.0") == {"type": "string"}
+    assert "contentSchema" not in to_json_schema(S.json_string.convert(S.bigint), "draft-2020-12")
