@@ -364,12 +364,12 @@ def test_entry_queries_have_sql():
     (S.union(S.number, S.string, S.boolean), S.union(S.number, S.string), "boolean has no same-type variant on the other side"),
     (S.union(S.number, S.string), S.union(S.number, S.string, S.boolean), "boolean has no same-type variant on the other side"),
 ])
-def test_unclear_union_conversions_are_refused(source, target, why):
-    with pytest.raises(SchemaError, match=why):
+def test_unclear_union_conversions_are_refused(spark, source, target, why):
+    with pytest.raises(S.SchemaError, match=why):
         O.parser(source.convert(target))(F.lit("1"))
 
 
-def test_unions_of_one_type_and_covered_unions_are_taken():
+def test_unions_of_one_type_and_covered_unions_are_taken(spark):
     O.parser(S.string.convert(S.union("a", "b")))(F.lit("1"))
     O.parser(S.union(S.string, None).convert(S.union(S.string, S.undefined)))(F.lit("1"))
 
@@ -384,7 +384,7 @@ def test_global_options_hold_for_what_is_made_later():
     finally:
         O.global_options()
     assert S.object_({"a": S.number}).extras == "strip" and not O.Options().allow_nan
-    with pytest.raises(SchemaError):
+    with pytest.raises(S.SchemaError):
         O.global_options(default_extras="keep")
 
 
