@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, packing, quality, sharding, substrings, warc, wordpiece
+from . import chat, credentials, decontam, divergence, filteraudit, jaccard, langid, packing, quality, sharding, substrings, warc, wordpiece
 from ._util import scratch, table
 
 
@@ -74,7 +74,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.parse_chats(chat.format_chats(rows.unionByName(probe))))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return credentials.digest(credentials.found(docs, credentials.Formats(credentials.examples(docs))).drop("text"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.diverging(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
-        op1_token_counts, op2_sharding, op3_quality, op4_repeats, op5_packing, op6_decontamination, op7_warc, op8_jaccard, op9_language, op10_chat)
+        op1_token_counts, op2_sharding, op3_quality, op4_repeats, op5_packing, op6_decontamination, op7_warc, op8_jaccard, op9_language, op10_chat,
+        op11_secrets, op12_filter_audit, op13_divergence)
 }

@@ -134,6 +134,81 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (
+  SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t),
+          regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+), g AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails
+), i AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS i
+), o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), s AS (
+  SELECT o, i AS step, o[i] AS own, o[1:i - 1] AS before FROM o, i
+), r AS (
+  SELECT part, array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') AS filter_order, step, own,
+         list_bool_or(list_transform(before, lambda x: fails[x])) AS gone, fails[own] AS fail, len(list_filter(fails, lambda x: x)) AS n_fails, n, good, toxic
+  FROM s, g
+), k AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT coalesce(gone, false) AND NOT fail), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (NOT coalesce(gone, false) AND fail), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (gone AND fail), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fail AND n_fails = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (NOT coalesce(gone, false) AND fail), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (NOT coalesce(gone, false) AND fail), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM k
+"""
+
+_OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), w AS (
+  SELECT i, lang, source, unnest(w) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 3
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), v AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM k GROUP BY lang
+), c AS (
+  SELECT g.lang, g.source, k.term, k.n AS total FROM g JOIN k ON g.lang = k.lang
+), n AS (
+  SELECT w.lang, w.source, w.term, count(*)::HUGEINT AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL
+), m AS (
+  SELECT lang, source, sum(n)::HUGEINT AS n FROM n GROUP BY lang, source
+), p AS (
+  SELECT c.lang, c.source, c.term, coalesce(n.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(n.n, 0) + 1) // (coalesce(m.n, 0) + v.v) AS p, 1 + 1000000000::HUGEINT * (c.total + 1) // (v.n + v.v) AS q
+  FROM c JOIN v ON c.lang = v.lang LEFT JOIN n ON n.lang = c.lang AND n.source = c.source AND n.term = c.term LEFT JOIN m ON m.lang = c.lang AND m.source = c.source
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), term AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) FROM term
+)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def _stop() -> str:
     from .quality import STOP_WORDS
@@ -148,4 +223,6 @@ SQL = {
     "op7_warc": _OP7,
     "op8_jaccard": _OP8,
     "op10_chat": _OP10,
+    "op12_filter_audit": _OP12,
+    "op13_divergence": _OP13,
 }
