@@ -89,8 +89,8 @@ def test_automata():
     made = credentials.Automaton(values)
     near = np.mean([made.loglikelihood(v) / 21 for v in values])
     assert made.loglikelihood(values[0].lower()) / 21 < near - 1.5 and made.loglikelihood("A1" * 10) / 21 < near - 1
-    # Words of (ab)*: two states at least, and an odd number of letters is unlikely.
-    loop = credentials.Automaton(["a+" * rng.randrange(1, 9) for _ in range(500)])
+    # Words a+, a+a+, ... as long as a coin says: two states, and an odd number of letters is unlikely.
+    loop = credentials.Automaton(["a+" * (1 + next(n for n in itertools.count() if rng.random() < 0.5)) for _ in range(500)])
     assert len(loop.next) - 1 <= 4
     assert loop.loglikelihood("a+a+") > loop.loglikelihood("a+a") + 3
     # Probabilities of all words up to three characters never exceed 1.
