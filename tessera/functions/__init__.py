@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,7 +101,7 @@ def quoted(s: Column) -> Column:
     named = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
     plain = F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     rare = [(chr(i), named.get(chr(i), f"\\u{i:04x}")) for i in range(32)]
-    table = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(e).alias("e")) for c, e in rare))
+    table = F.from_json(F.lit(json.dumps([{"c": c, "e": e} for c, e in rare])), "array<struct<c:string,e:string>>")  # a constant, folded
     full = F.aggregate(table, plain, lambda a, r: F.replace(a, r["c"], r["e"]))
     return F.concat(F.lit('"'), F.when(s.rlike(r"[\x00-\x1f]"), full).otherwise(plain), F.lit('"'))
 
@@ -125,11 +128,29 @@ def indented(text: Column, width: int) -> Column:
     return F.replace(F.replace(made, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
 
 
+#: Stands behind the value when JSON text is parsed; no data can know it.
+_END = uuid.uuid4().hex
+
+
+def wrapped_json(s: Column) -> Column:
+    """s as the first item of an array whose second is a mark. The built-in parser lets text after a value pass, so
+    the mark says that s was one value and all of it."""
+    return F.try_parse_json(F.concat(F.lit("["), s, F.lit(f',"{_END}"]')))
+
+
+def json_in(wrapped: Column) -> Column:
+    """The value of a text that wrapped_json() has parsed."""
+    return F.try_variant_get(wrapped, "$[0]", "variant")
+
+
+def alone(wrapped: Column) -> Column:
+    """Was the text exactly one JSON value?"""
+    return F.coalesce(F.try_variant_get(wrapped, "$[1]", "string") == _END, F.lit(False)) & F.try_variant_get(wrapped, "$[2]", "variant").isNull()
+
+
 def strict_json(s: Column) -> Column:
-    """Is s exactly one JSON value? The built-in parsers let trailing text pass: after the value the
-    first wrapping lets only `,` or `]` follow, the second only `,"` or `}`, so both only its end."""
-    return (F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))).isNotNull()
-            & F.try_parse_json(F.concat(F.lit('{"x":'), s, F.lit("}"))).isNotNull())
+    """Is s exactly one JSON value? Null if s is."""
+    return F.when(s.isNotNull(), bound(wrapped_json(s), alone))
 
 
 def iso_text(t: Column) -> Column:

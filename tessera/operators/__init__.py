@@ -16,11 +16,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import strict_json
-from ..plans import ERROR, Compiler, Options, failure, first, none, rendered, type_of, unless
+from ..functions import alone, json_in, wrapped_json
+from ..plans import ERROR, Compiler, Options, Out, failure, first, none, rendered, together, type_of, unless
 from ..schema import DEFAULTS, Schema, SchemaError, as_schema
 
-_VARIANT, _STRICT = "__tessera_variant", "__tessera_strict"
+_PARSED, _OUT = "__tessera_parsed", "__tessera_out"
 
 
 @dataclass
@@ -57,10 +57,7 @@ def parser(*schemas: Any, options: Options | None = None) -> Callable[..., Resul
         c = F.col(column) if isinstance(column, str) else column
         compiler = Compiler(options)
         if source == "string":
-            v = F.try_parse_json(c)
-            out = compiler.parse(s, v, "json")
-            ok = c.isNull() | v.isNotNull() if compiler.o.trusted_json else c.isNull() | (v.isNotNull() & strict_json(c))
-            out.error = first(unless(ok, failure((), "Expected JSON string, received ", got=c.cast("variant"))), out.error)
+            out = _from_text(compiler, s, c, wrapped_json(c))
         elif source in ("json", "unknown"):
             out = compiler.parse(s, c, source)
         else:
@@ -88,27 +85,40 @@ async_parser, async_decoder, async_encoder = parser, decoder, encoder
 def parse(df: DataFrame, column: str, s: Any, into: str = "value", mode: str = "permissive", source: str = "string", options: Options | None = None) -> DataFrame:
     """df with the parsed column. mode permissive adds `<into>_error`; drop_invalid leaves failing rows
     out; fail_fast ends the job with the first error's text."""
+    node, compiler = as_schema(s), Compiler(options)
     if source != "string":
-        return _in_mode(df, parser(s, options=options)(column, source), into, mode)
+        return _staged(df, df, compiler.parse(node, F.col(column), source), node, into, mode)
     # The text is parsed once, below everything that reads it.
-    kept, o = df.columns, options or Options()
-    text = F.col(column)
-    strict = F.lit(True) if o.trusted_json else strict_json(text)
-    staged = df.select("*", F.try_parse_json(text).alias(_VARIANT), strict.alias(_STRICT))
-    v = F.col(_VARIANT)
-    out = Compiler(o).parse(as_schema(s), v, "json")
-    ok = text.isNull() | (v.isNotNull() & F.col(_STRICT))
-    out.error = first(unless(ok, failure((), "Expected JSON string, received ", got=text.cast("variant"))), out.error)
-    done = _in_mode(staged, _result(as_schema(s), out), into, mode)
-    return done.select(*[f"`{c}`" for c in kept], *[f"`{c}`" for c in done.columns[len(staged.columns):]])
+    staged = df.select("*", wrapped_json(F.col(column)).alias(_PARSED))
+    return _staged(df, staged, _from_text(compiler, node, F.col(column), F.col(_PARSED)), node, into, mode)
+
+
+def _from_text(compiler: Compiler, s: Schema, text: Column, parsed: Column) -> Out:
+    out = compiler.parse(s, json_in(parsed), "json")
+    ok = text.isNull() | (parsed.isNotNull() if compiler.o.trusted_json else alone(parsed))
+    bad = unless(ok, failure((), "Expected JSON string, received ", got=text.cast("variant")))
+    return together([out], lambda o: Out(o[0].value, first(bad, o[0].error)), 1)
+
+
+def _staged(df: DataFrame, below: DataFrame, out: Out, s: Schema, into: str, mode: str) -> DataFrame:
+    """The value and error of out, computed once, beside the columns of df."""
+    if out.pair is not None:
+        below = below.select("*", out.pair.alias(_OUT))
+        out = out.inside(F.col(_OUT))
+    done = _in_mode(below, _result(s, out), into, mode)
+    return done.select(*[f"`{c}`" for c in df.columns], *[f"`{c}`" for c in done.columns[len(below.columns):]])
 
 
 def decode(df: DataFrame, column: Column | str, *schemas: Any, into: str = "value", mode: str = "permissive") -> DataFrame:
-    return _in_mode(df, decoder(*schemas)(column), into, mode)
+    return _converted(df, column, _linked(schemas), into, mode)
 
 
 def encode(df: DataFrame, column: Column | str, *schemas: Any, into: str = "value", mode: str = "permissive") -> DataFrame:
-    return _in_mode(df, encoder(*schemas)(column), into, mode)
+    return _converted(df, column, _linked(tuple(as_schema(s).reverse() for s in schemas)), into, mode)
+
+
+def _converted(df: DataFrame, column: Column | str, s: Schema, into: str, mode: str) -> DataFrame:
+    return _staged(df, df, Compiler().typed(s, F.col(column) if isinstance(column, str) else column), s, into, mode)
 
 
 def _in_mode(df: DataFrame, r: Result, into: str, mode: str) -> DataFrame:
@@ -204,7 +214,7 @@ def columns_of(s: Schema, order_by: str) -> Column:
     rows = F.sort_array(F.collect_list(F.struct(F.col(order_by).alias("_o"), *(F.col(k) for k, _ in s.props))))
 
     def column(name: str, kind: Schema) -> Column:
-        cells = F.transform(rows, lambda r: F.coalesce(Compiler().text(kind, r[name], (), []), F.lit("null")))
+        cells = F.transform(rows, lambda r: F.coalesce(Compiler().text(kind, r[name], ()).value, F.lit("null")))
         return F.concat(F.lit("["), F.array_join(cells, ","), F.lit("]"))
 
     parts = [column(k, t) for k, t in s.props]

@@ -3,12 +3,19 @@
 Every compiled operation is row-local: no shuffle, no user function unless a coder is one. What an
 operation can never do raises SchemaError while the columns are built.
 
+What is used more than once is bound first: a node's value and error are one struct, computed once, so
+expressions grow with the schema's nodes and not with their nesting. A union is one switch on the type of
+the value; the arms that take the type are tried in order. Recursive schemas are unfolded to a list of nodes
+per value, without a limit of depth (see `recursion`).
+
 A JSON source and an unknown source are both VARIANT; SQL NULL is `undefined`. They differ in that
-JSON text brings bigints, dates, URLs and bytes as strings, and its null is absence for `optional`.
+JSON text brings bigints, dates, URLs and bytes as strings, and its null is absence for `optional`. A
+third kind, `typed`, is a VARIANT of typed values, as unions of several types have: decimals are bigints there.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import math
 import operator
@@ -20,15 +27,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import formats
-from ..functions import (bound, indented, is_multiple, iso_text, number_text, quoted, strict_json, text_of_bytes, to_bigint,
-                         to_number, trimmed, utf16_length)
+from ..functions import (alone, bound, indented, is_multiple, iso_text, json_in, number_text, quoted, strict_json, text_of_bytes,
+                         to_bigint, to_number, trimmed, utf16_length, wrapped_json)
 from ..schema import ABSENT, AUTO, DEFAULTS, NEVER, Place, Schema, SchemaError, expression, literal_text
 
 ERROR = "struct<code:string,path:array<string>,reason:string>"
-#: While it is found: what was received is kept as a value, and put into words once, at the end.
-FOUND = "struct<code:string,path:array<string>,reason:string,got:variant,shown:boolean,tail:string>"
+#: While it is found: the reason in parts, of which each may end in a received value. They are put into words once, at the end.
+PART = "struct<text:string,got:variant,shown:boolean>"
+FOUND = f"struct<code:string,path:array<string>,parts:array<{PART}>>"
 BIG = "decimal(38,0)"
-_NUMBER = r"^(?:BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"
+#: First letters of the type names of numbers in a VARIANT.
+_NUMBERS = ("BIG", "DEC", "DOU", "FLO", "INT", "SMA", "TIN")
 TYPES = {"string": "string", "trimmed": "string", "number": "double", "int32": "int", "integer": "double", "port": "int",
          "bigint": BIG, "boolean": "boolean", "date": "timestamp", "url": "string", "bytes": "binary", "blob": "binary",
          "file": "struct<name:string,content:binary>", "json": "variant", "jsonString": "string", "unknown": "variant",
@@ -40,7 +49,6 @@ WRAPS = ("optional", "nullable", "nullish")
 class Options:
     allow_nan: bool = field(default_factory=lambda: DEFAULTS["allow_nan"])
     trusted_json: bool = False  # leave out the strictness guard of JSON text
-    depth: int = 6  # of recursive schemas
 
 
 @dataclass
@@ -48,26 +56,70 @@ class Out:
     value: Column
     error: Column | None  # null: valid
     entered: Column | None = None  # did the value have the container type or discriminator?
+    pair: Column | None = None  # all three as one struct, if they are its fields
+    weight: int = 1  # expressions in it, about
+
+    def held(self) -> Column:
+        """One column of it all."""
+        if self.pair is not None:
+            return self.pair
+        parts = {"v": self.value, "e": self.error, "n": self.entered}
+        return F.struct(*(c.alias(k) for k, c in parts.items() if c is not None))
+
+    def inside(self, pair: Column, weight: int = 1) -> Out:
+        """The same, read from a column made by held()."""
+        return Out(pair["v"], None if self.error is None else pair["e"], None if self.entered is None else pair["n"], pair, weight)
+
+
+#: Expressions that a body may repeat before what it reads is bound.
+LIGHT = 16
+
+
+def together(outs: list[Out], body: Callable[[list[Out]], Out], uses: int = 2) -> Out:
+    """body(outs), where the outs are computed once if they are more than light."""
+    weight = sum(o.weight for o in outs)
+    if weight * uses <= LIGHT:
+        made = body(outs)
+        made.weight = max(made.weight, weight * uses)
+        return made
+    shape: list[Out] = []
+
+    def run(all_: Column) -> Column:
+        made = body([o.inside(all_[f"o{i}"]) for i, o in enumerate(outs)])
+        shape.append(made)
+        return made.held()
+
+    pair = bound(F.struct(*(o.held().alias(f"o{i}") for i, o in enumerate(outs))), run)
+    return shape[-1].inside(pair, weight + LIGHT)
 
 
 def none(kind: str = FOUND) -> Column:
     return F.lit(None).cast(kind)
 
 
-def failure(path: tuple, reason: Column | str, code: str = "invalid_input", got: Column | None = None, tail: Column | None = None) -> Column:
+def at_path(path: tuple) -> Column:
     parts = [F.lit(p) if isinstance(p, str) else p for p in path]
-    where = F.array(*parts) if parts else F.array().cast("array<string>")
-    return F.struct(F.lit(code).alias("code"), where.alias("path"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"),
-                    (none("variant") if got is None else got).alias("got"), F.lit(got is not None).alias("shown"), (F.lit("") if tail is None else tail).alias("tail"))
+    return F.array(*parts) if parts else F.array().cast("array<string>")
 
 
-def rendered(error: Column) -> Column:
-    """The error as it is returned."""
-    return bound(error, lambda e: F.when(e.isNotNull(), F.struct(e["code"].alias("code"), e["path"].alias("path"), worded(e).alias("reason"))))
+def label(s: Schema, name: str) -> str:
+    """What paths call a field: items of tuples have their numbers."""
+    return str(int(name[1:]) - 1) if s.kind == "tuple" else name
+
 
+def part(text: Column | str, got: Column | None = None) -> Column:
+    return F.struct((F.lit(text) if isinstance(text, str) else text).alias("text"), (none("variant") if got is None else got).alias("got"), F.lit(got is not None).alias("shown"))
 
-def worded(e: Column) -> Column:
-    return F.concat(e["reason"], F.when(e["shown"], received_variant(e["got"])).otherwise(F.lit("")), e["tail"])
+
+def failure(path: tuple, reason: Column | str, code: str = "invalid_input", got: Column | None = None, tail: Column | None = None) -> Column:
+    parts = F.array(part(reason, got))
+    return F.struct(F.lit(code).alias("code"), at_path(path).alias("path"), (parts if tail is None else F.concat(parts, tail)).alias("parts"))
+
+
+def rendered(error: Column) -> Column:
+    """The error as it is returned."""
+    said = lambda e: F.array_join(F.transform(e["parts"], lambda p: F.concat(p["text"], F.when(p["shown"], received_variant(p["got"])).otherwise(F.lit("")))), "")
+    return bound(error, lambda e: F.when(e.isNotNull(), F.struct(e["code"].alias("code"), e["path"].alias("path"), said(e).alias("reason"))))
 
 
 def first(*errors: Column | None) -> Column | None:
@@ -138,10 +190,14 @@ def shape_type(s: Schema, shape: Any) -> str:
 
 
 # --- what was received, as text ----------------------------------------------------------------
+def is_number(tag: Column) -> Column:
+    return F.substring(tag, 1, 3).isin(*_NUMBERS)
+
+
 def received_variant(v: Column) -> Column:
     tag = F.schema_of_variant(v)
     return (F.when(v.isNull(), F.lit("undefined")).when(tag == "STRING", quoted(F.try_variant_get(v, "$", "string")))
-            .when(tag.rlike(_NUMBER), number_text(F.try_variant_get(v, "$", "double"))).otherwise(F.to_json(v)))
+            .when(is_number(tag), number_text(F.try_variant_get(v, "$", "double"))).otherwise(F.to_json(v)))
 
 
 def expected(s: Schema, got: Column | str, path: tuple, key: str = "type") -> Column:
@@ -213,65 +269,76 @@ def step(name: str) -> str:
 class Compiler:
     def __init__(self, options: Options | None = None, defs: dict | None = None) -> None:
         self.o, self.defs = options or Options(), defs or {}
+        self.walk: Walk | None = None  # set inside the body of a recursive schema
 
-    def parse(self, s: Schema, v: Column, kind: str, path: tuple = (), depth: int = 0) -> Out:
-        """A VARIANT column (kind json or unknown) through the whole chain of s."""
-        out = self.read(s, v, kind, path, depth)
+    def parse(self, s: Schema, v: Column, kind: str, path: tuple = (), tag: Column | None = None) -> Out:
+        """A VARIANT column (kind json, unknown or typed) through the whole chain of s; tag is its type, if known."""
+        out = self.read(s, v, kind, path, tag)
         if s.input_checks:
-            out.error = first(checked(s, v, "variant", path, before=True), out.error)
-        return self.follow(s, out, path, depth)
+            out = together([out], lambda o: replace(o[0], error=first(checked(s, v, "variant", path, before=True), o[0].error), pair=None))
+        return self.follow(s, out, path)
 
-    def typed(self, s: Schema, x: Column, path: tuple = (), depth: int = 0) -> Out:
+    def typed(self, s: Schema, x: Column, path: tuple = ()) -> Out:
         """A typed column through the chain of s: no type checks, refinements and conversions only."""
-        out = self.inside(s, x, path, depth)
+        out = self.inside(s, x, path)
         if s.input_checks:
-            out.error = first(checked(s, x, node_type(replace(s, flipped=False)), path, before=True), out.error)
-        return self.follow(s, out, path, depth)
+            before = checked(s, x, node_type(replace(s, flipped=False)), path, before=True)
+            out = together([out], lambda o: replace(o[0], error=first(before, o[0].error), pair=None))
+        return self.follow(s, out, path)
 
-    def follow(self, s: Schema, out: Out, path: tuple, depth: int) -> Out:
-        node = s
-        error = first(out.error, self.valid(node, out.value, path))
-        value = out.value
+    def follow(self, s: Schema, out: Out, path: tuple) -> Out:
+        node, out = s, self.validated(s, out, path)
         while node.to is not None:
-            got = self.link(node, node.to, value, path, depth)
-            value, error = got.value, first(error, got.error, self.valid(node.to, got.value, path))
+            out = together([out], lambda o: self.linked(node, o[0], path))  # noqa: B023
             node = node.to
-        return Out(value, error, out.entered)
-
-    def valid(self, s: Schema, x: Column, path: tuple) -> Column | None:
-        if not s.validates or s.kind in WRAPS and not s.checks:
-            return None
-        return checked(s, x, node_type(s), path)
+            out = self.validated(node, out, path)
+        return out
+
+    def linked(self, node: Schema, out: Out, path: tuple) -> Out:
+        got = self.link(node, node.to, out.value, path)
+        if out.error is None:
+            return replace(got, entered=out.entered, pair=None)
+        return together([got], lambda g: Out(g[0].value, first(out.error, g[0].error), out.entered))
+
+    def validated(self, s: Schema, out: Out, path: tuple) -> Out:
+        if not s.validates or s.kind in WRAPS and not s.checks or not (s.bounds or s.format or s.checks):
+            return out
+        made = together([out], lambda o: replace(o[0], error=first(o[0].error, checked(s, o[0].value, node_type(s), path)), pair=None))
+        made.weight += len(s.bounds) + len(s.checks)
+        return made
 
     def _tag(self, s: Schema, v: Column, kind: str, path: tuple, ok: Column, value: Column) -> Out:
         error = None if not s.validates else unless(ok, expected(s, v, path))
         return Out(value, error, F.coalesce(ok, F.lit(False)))
 
-    def read(self, s: Schema, v: Column, kind: str, path: tuple, depth: int) -> Out:
+    def read(self, s: Schema, v: Column, kind: str, path: tuple, tag: Column | None = None) -> Out:
         get = lambda t: F.try_variant_get(v, "$", t)
-        tag = F.schema_of_variant(v)
+        tag = F.schema_of_variant(v) if tag is None else tag
         text = tag == "STRING"
         k = s.kind
         if k in ("string", "trimmed", "jsonString"):
             x = get("string")
-            ok = text & strict_json(x) if k == "jsonString" else text
-            return self._tag(s, v, kind, path, ok, trimmed(x) if k == "trimmed" else x)
+            if k == "jsonString":
+                return self._tag(s, v, kind, path, text & strict_json(x), x)
+            return self._tag(s, v, kind, path, text, trimmed(x) if k == "trimmed" else x)
         if k in ("number", "int32", "integer", "port"):
-            x = get("double")
-            return self._tag(s, v, kind, path, tag.rlike(_NUMBER) & self.fits(k, x), self.narrow(k, x))
+            x, ok = get("double"), is_number(tag)
+            if kind == "typed":
+                ok = ok & ~tag.startswith("DEC")
+            return self._tag(s, v, kind, path, ok & self.fits(k, x), self.narrow(k, x))
         if k == "boolean":
             return self._tag(s, v, kind, path, tag == "BOOLEAN", get("boolean"))
         if k == "bigint":
             if kind == "json":
                 x = F.when(text, to_bigint(get("string")))
                 return self._tag(s, v, kind, path, text & x.isNotNull(), x)
-            return self._tag(s, v, kind, path, tag.rlike(r"^(?:BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))"), get(BIG))
+            return self._tag(s, v, kind, path, tag.rlike(r"^DECIMAL\(\d+,0\)" if kind == "typed" else r"^(?:BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))"), get(BIG))
         if k in ("date", "url", "bytes"):
             if kind == "json":
-                got = self.convert(Schema("string"), s, get("string"), path, depth)
+                got = self.convert(Schema("string"), s, get("string"), path)
                 bad = unless(text, expected(s, v, path))
                 return Out(got.value, first(bad, got.error), text)
-            have = {"date": ("^TIMESTAMP|^DATE", "timestamp"), "url": ("^(?!)", "string"), "bytes": ("^BINARY", "binary")}[k]
+            have = {"date": ("^TIMESTAMP|^DATE", "timestamp"), "url": ("^STRING" if kind == "typed" else "^(?!)", "string"), "bytes": ("^BINARY", "binary")}[k]
             return self._tag(s, v, kind, path, tag.rlike(have[0]), get(have[1]))
         if k in ("blob", "file"):
             return self._tag(s, v, kind, path, tag.rlike("^BINARY") if k == "blob" else F.lit(False), get("binary") if k == "blob" else none(TYPES["file"]))
@@ -280,7 +347,8 @@ class Compiler:
         if k == "undefined":
             return self._tag(s, v, kind, path, v.isNull() | (F.is_variant_null(v) if kind == "json" else F.lit(False)), none("string"))
         if k == "nan":
-            return self._tag(s, v, kind, path, F.is_variant_null(v) if kind == "json" else F.lit(False), F.lit(float("nan")))
+            ok = F.is_variant_null(v) if kind == "json" else F.isnan(get("double")) & is_number(tag) if kind == "typed" else F.lit(False)
+            return self._tag(s, v, kind, path, ok, F.lit(float("nan")))
         if k == "json":
             return self._tag(s, v, kind, path, v.isNotNull(), v)
         if k == "unknown":
@@ -288,19 +356,19 @@ class Compiler:
         if k == "never":
             return Out(none("string"), expected(s, v, path), F.lit(False))
         if k == "ref":
-            return self.recursive(s, v, kind, path, depth)
+            return self.recursive(s, v, kind, path)
         if k in WRAPS:
-            return self.wrapped(s, v, kind, path, depth)
+            return self.wrapped(s, v, kind, path)
         if k == "array":
-            return self.each(s, v, kind, path, depth)
+            return self.each(s, v, kind, path)
         if k == "record":
-            return self.values(s, v, kind, path, depth)
+            return self.values(s, v, kind, path)
         if k in ("object", "tuple"):
-            return self.fields(s, v, kind, path, depth)
+            return self.fields(s, v, kind, path)
         if k == "union":
-            return self.dispatch(s, lambda a: self.parse(a, v, kind, path, depth), v, path)
+            return self.switch(s, v, kind, path)
         if k == "compactColumns":
-            return self.columns(s, v, kind, path, depth)
+            return self.columns(s, v, kind, path)
         raise SchemaError(f"{expression(s)} can't be read", "unsupported_decode")
 
     def fits(self, k: str, x: Column) -> Column:
@@ -323,7 +391,7 @@ class Compiler:
         elif isinstance(c, str):  # values before types: few values pass, and a type is dear
             ok = (get("string") == F.lit(c)) & (tag == "STRING")
         else:
-            ok = (get("double") == F.lit(float(c))) & tag.rlike(_NUMBER)
+            ok = (get("double") == F.lit(float(c))) & is_number(tag)
         return self._tag(s, v, kind, path, ok, self.lit(s))
 
     @staticmethod
@@ -331,25 +399,23 @@ class Compiler:
         c = s.const
         return none("string") if c is None else F.lit(float(c)) if isinstance(c, (int, float)) and not isinstance(c, bool) else F.lit(c)
 
-    def recursive(self, s: Schema, v: Column, kind: str, path: tuple, depth: int) -> Out:
-        defs = {**self.defs, **s.defs}
-        body = defs.get(s.ref)
-        if body is None:
-            raise SchemaError(f"no definition of {s.ref}")
-        if depth >= self.o.depth:
-            return Out(v, F.when(v.isNotNull(), failure(path, f"Nested deeper than {self.o.depth}")), F.lit(True))
-        inner = Compiler(self.o, defs).parse(body, v, kind, path, depth + 1)
-        # Its type has no end, so the converted value is a VARIANT again.
-        return Out(F.when(v.isNotNull(), as_type(inner.value, type_of(body), "variant")), inner.error, inner.entered)
-
-    def wrapped(self, s: Schema, v: Column, kind: str, path: tuple, depth: int) -> Out:
+    def recursive(self, s: Schema, v: Column, kind: str, path: tuple) -> Out:
+        if self.walk is not None and s.slot is not None:
+            return self.walk.child(self, s, v, kind, path)
+        return Walk({**self.defs, **s.defs}, self.o).run(s, v, kind, path)
+
+    def wrapped(self, s: Schema, v: Column, kind: str, path: tuple) -> Out:
         # At this place itself errors name the whole.
-        inner = self.parse(replace(s.items[0], said=s.said or expression(s)), v, kind, path, depth)
+        inner = self.parse(replace(s.items[0], said=s.said or expression(s)), v, kind, path)
         absent, empty = v.isNull(), v.isNotNull() & F.is_variant_null(v)
         missing = {"optional": absent | empty if kind == "json" else absent, "nullable": empty, "nullish": absent | empty}[s.kind]
         missing = F.coalesce(missing, F.lit(False))
-        error = None if inner.error is None else F.when(~missing, inner.error)
-        return Out(F.when(missing, self.default(s)).otherwise(inner.value), error, missing | (inner.entered if inner.entered is not None else F.lit(True)))
+
+        def body(o: list[Out]) -> Out:
+            error = None if o[0].error is None else F.when(~missing, o[0].error)
+            return Out(F.when(missing, self.default(s)).otherwise(o[0].value), error, missing | (o[0].entered if o[0].entered is not None else F.lit(True)))
+
+        return together([inner], body, 1)
 
     def default(self, s: Schema) -> Column:
         kind = type_of(s.items[0])
@@ -361,44 +427,71 @@ class Compiler:
             raise SchemaError("defaults of containers are given as a function that returns a column")
         return F.lit(s.default).cast(kind)
 
-    def each(self, s: Schema, v: Column, kind: str, path: tuple, depth: int) -> Out:
+    def each(self, s: Schema, v: Column, kind: str, path: tuple) -> Out:
         items = F.try_variant_get(v, "$", "array<variant>")
         item = s.items[0]
         bad = unless(items.isNotNull(), expected(s, v, path)) if s.validates else None
         if item.kind == "unknown" and not item.to and not item.checks:
             return Out(items, bad, items.isNotNull())
-        value, error = _pairs(items, lambda x, i: self.parse(item, x, kind, (*path, i.cast("string")), depth))
-        return Out(value, first(bad, error), items.isNotNull())
 
-    def values(self, s: Schema, v: Column, kind: str, path: tuple, depth: int) -> Out:
+        def run(x: Column, i: Column) -> Out:
+            with self.at(i):
+                return self.parse(item, x, kind, (*path, i.cast("string")))
+
+        return together([_items(items, run)], lambda o: Out(o[0].value, first(bad, o[0].error), o[0].value.isNotNull()))
+
+    def values(self, s: Schema, v: Column, kind: str, path: tuple) -> Out:
         found = F.try_variant_get(v, "$", "map<string,variant>")
         item = s.items[0]
         bad = unless(found.isNotNull(), expected(s, v, path))
         keys = F.map_keys(found)
-        value, error = _pairs(F.map_values(found), lambda x, i: self.parse(item, x, kind, (*path, F.get(keys, i)), depth))
-        return Out(F.map_from_arrays(keys, value), first(bad, error), found.isNotNull())
 
-    def fields(self, s: Schema, v: Column, kind: str, path: tuple, depth: int) -> Out:
+        def run(x: Column, i: Column) -> Out:
+            with self.at(i):
+                return self.parse(item, x, kind, (*path, F.get(keys, i)))
+
+        return together([_items(F.map_values(found), run)], lambda o: Out(F.map_from_arrays(keys, o[0].value), first(bad, o[0].error), o[0].value.isNotNull()))
+
+    @contextlib.contextmanager
+    def at(self, i: Column):  # noqa: ANN201
+        """While an item is compiled, children of recursive schemas are found by its number."""
+        if self.walk is None:
+            yield
+            return
+        self.walk.numbers.append(i)
+        try:
+            yield
+        finally:
+            self.walk.numbers.pop()
+
+    def fields(self, s: Schema, v: Column, kind: str, path: tuple, known: str | None = None) -> Out:
+        """Objects and tuples; known is a field of constants that the caller has found to be right."""
+        place = lambda n: step(n) if s.kind == "object" else f"$[{int(n[1:]) - 1}]"
+        at = {n: F.try_variant_get(v, place(n), "variant") for n, _ in fields_of(s)}
         if s.kind == "object":
             found = F.try_variant_get(v, "$", "map<string,variant>")
-            ok = found.isNotNull()
-            children = {k: (self.parse(x, F.try_variant_get(v, step(k), "variant"), kind, (*path, k), depth), x) for k, x in s.props}
+            # A field that is there tells the type too, and is cheaper than all of them.
+            some = [c.isNotNull() for c in list(at.values())[:2]]
+            ok = F.lit(True) if known else functools.reduce(operator.or_, [*some, found.isNotNull()])
         else:
             found = F.try_variant_get(v, "$", "array<variant>")
             n = len(s.items)
             ok = F.coalesce(F.size(found) == n if s.extras == "strict" else F.size(found) >= n, F.lit(False)) & found.isNotNull()
-            children = {f"_{i + 1}": (self.parse(x, F.try_variant_get(v, f"$[{i}]", "variant"), kind, (*path, str(i)), depth), x) for i, x in enumerate(s.items)}
-        errors = [unless(ok, expected(s, v, path)) if s.validates else None, *(c.error for c, _ in children.values())]
-        if s.kind == "object" and s.extras == "strict":
-            names = [k for k, _ in s.props]
-            extra = F.get(F.filter(F.map_keys(found), lambda k: ~k.isin(*names)) if names else F.map_keys(found), F.lit(0))
-            errors.append(F.when(extra.isNotNull(), failure(path, F.concat(F.lit("Unrecognized key "), quoted(extra)), "unrecognized_keys")))
+        kinds = dict(fields_of(s))
+        outs = [Out(self.lit(x), None) if n == known else self.parse(x, at[n], kind, (*path, label(s, n))) for n, x in kinds.items()]
         entered = ok
-        if tag := discriminator(s):
+        if not known and (tag := discriminator(s)):
             name, const = tag
-            child = F.try_variant_get(v, step(name) if s.kind == "object" else f"$[{int(name[1:]) - 1}]", "variant")
-            entered = ok & F.coalesce(self.constant(const, child, kind, path, F.schema_of_variant(child), lambda t: F.try_variant_get(child, "$", t)).entered, F.lit(False))
-        return Out(self.assembled(s, {k: c.value for k, (c, _) in children.items()}, ok), first(*errors), entered)
+            entered = ok & F.coalesce(self.constant(const, at[name], kind, path, F.schema_of_variant(at[name]), lambda t: F.try_variant_get(at[name], "$", t)).entered, F.lit(False))
+
+        def body(children: list[Out]) -> Out:
+            errors = [unless(ok, expected(s, v, path)) if s.validates and not known else None, *(c.error for c in children)]
+            if s.kind == "object" and s.extras == "strict":
+                extra = F.get(F.filter(F.map_keys(found), lambda k: ~k.isin(*kinds)) if kinds else F.map_keys(found), F.lit(0))
+                errors.append(F.when(extra.isNotNull(), failure(path, F.concat(F.lit("Unrecognized key "), quoted(extra)), "unrecognized_keys")))
+            return Out(self.assembled(s, {n: c.value for n, c in zip(kinds, children, strict=True)}, ok), first(*errors), entered)
+
+        return together(outs, body, 1)
 
     def assembled(self, s: Schema, children: dict[str, Column], ok: Column | None) -> Column:
         """The output struct of an object or tuple, in its shape."""
@@ -418,7 +511,7 @@ class Compiler:
         made = build(s.shape if s.shape is not None and not s.flipped else Place(()))
         return made if ok is None else F.when(ok, made)
 
-    def columns(self, s: Schema, v: Column, kind: str, path: tuple, depth: int) -> Out:
+    def columns(self, s: Schema, v: Column, kind: str, path: tuple) -> Out:
         row = s.items[0]
         found = F.try_variant_get(v, "$", "array<array<variant>>")
         n = len(row.props)
@@ -426,22 +519,136 @@ class Compiler:
         most = F.coalesce(F.array_max(F.transform(found, lambda c: F.size(c))), F.lit(0))
         at = F.when(most > 0, F.sequence(F.lit(0), most - 1)).otherwise(F.array().cast("array<int>"))
 
-        def cells(i: Column, where: tuple) -> dict[str, Out]:
-            return {k: self.parse(x, F.get(F.get(found, F.lit(j)), i), kind, (*where, k), depth) for j, (k, x) in enumerate(row.props)}
+        def run(i: Column, _: Column) -> Out:
+            where = (*path, i.cast("string"))
+            cells = [self.parse(x, F.get(F.get(found, F.lit(j)), i), kind, (*where, k)) for j, (k, x) in enumerate(row.props)]
+            return together(cells, lambda c: Out(self.assembled(row, {k: o.value for (k, _), o in zip(row.props, c, strict=True)}, None), first(*(o.error for o in c))), 1)
 
-        value = F.transform(at, lambda i: self.assembled(row, {k: c.value for k, c in cells(i, path).items()}, None))
-        error = F.get(F.filter(F.transform(at, lambda i: F.coalesce(*(c.error if c.error is not None else none() for c in cells(i, (*path, i.cast("string"))).values()), none())),
-                               lambda e: e.isNotNull()), F.lit(0))
-        return Out(F.when(ok, value), first(unless(ok, expected(s, v, path)), F.when(ok, error)), ok)
+        return together([_items(at, run)], lambda o: Out(F.when(ok, o[0].value), first(unless(ok, expected(s, v, path)), None if o[0].error is None else F.when(ok, o[0].error)), ok))
 
-    def dispatch(self, s: Schema, run: Callable[[Schema], Out], show: Column, path: tuple) -> Out:
-        """Arms in order, specific ones before broad ones of the same container; the first success wins."""
-        arms = sorted((a for a in s.arms if a.kind != "never"), key=lambda a: 0 if a.kind in ("array", "tuple", "nan", "literal") else 1 if a.kind == "object" and discriminator(a) else 2) \
-            if any(a.kind == "record" or a.kind == "object" for a in s.arms) else [a for a in s.arms if a.kind != "never"]
+    # --- unions --------------------------------------------------------------------------------
+    def switch(self, s: Schema, v: Column, kind: str, path: tuple) -> Out:
+        """A VARIANT through a union: one test of its type, then the arms that take the type, in order."""
+        arms = live(s.arms, kind, self.o)
         if not arms:
             raise SchemaError("every arm of the union is never")
-        kind = node_type(s)
-        outs, never = [], None
+        if (tagged := exclusive(arms)) is not None:
+            return self.by_constant(s, arms, tagged, v, kind, path)
+        masks = [mask(a, kind) for a in arms]
+        sets: dict[tuple[int, ...], list[str]] = {}
+        for name in NAMES:
+            taking = tuple(i for i, m in enumerate(masks) if name in m)
+            sets.setdefault(taking, []).append(name)
+        named = {i for taking in sets for i in taking}
+        refused: list[SchemaError] = []
+
+        def body(v: Column, tag: Column) -> Out:
+            failing = Out(none(node_type(s)), self.unfit(s, v, path, []), F.lit(True))
+            pair = failing.held()
+            for taking, names in sets.items():
+                if not taking:
+                    continue
+                picked = [arms[i] for i in taking]
+                try:
+                    made = self.attempts(s, picked, lambda a: self.parse(a, v, kind, path, tag), v, path)
+                except SchemaError as e:
+                    if e.code != "never_decoded":
+                        raise
+                    refused.append(e)
+                    continue
+                pair = F.when(is_one_of(names, v, tag), self.uniform(made, node_type(s))).otherwise(pair)
+            return failing.inside(pair, LIGHT)
+
+        if all(a.kind == "literal" and plain(a) for a in arms):
+            return self.constants(s, arms, v, kind, path)
+        if len([t for t in sets if t]) == 1 and len(named) == len(arms) == 1:
+            return self.attempts(s, arms, lambda a: self.parse(a, v, kind, path), v, path)
+        shape: list[Out] = []
+
+        def run(b: Column) -> Column:
+            shape.append(body(b["v"], b["t"]))
+            return shape[-1].held()
+
+        pair = bound(F.struct(v.alias("v"), F.schema_of_variant(v).alias("t")), run)
+        if refused and len(refused) == len([t for t in sets if t]):
+            raise refused[0]
+        return shape[-1].inside(pair, LIGHT)
+
+    @staticmethod
+    def uniform(out: Out, kind: str) -> Column:
+        """The pair of one arm in the form that all arms share."""
+        return F.struct(out.value.cast(kind).alias("v") if out.value is not None else none(kind).alias("v"),
+                        (none() if out.error is None else out.error).alias("e"), F.lit(True).alias("n")) if out.pair is None else bound(
+            out.pair, lambda p: F.struct(p["v"].alias("v"), (none() if out.error is None else p["e"]).alias("e"), F.lit(True).alias("n")))
+
+    def constants(self, s: Schema, arms: list[Schema], v: Column, kind: str, path: tuple) -> Out:
+        """A union of constants: one test by type."""
+        tag, whole = F.schema_of_variant(v), node_type(s)
+        texts, flags, sizes = ([a.const for a in arms if isinstance(a.const, t) and (t is bool or not isinstance(a.const, bool))] for t in (str, bool, (int, float)))
+        ok = F.lit(False)
+        if texts:
+            ok = ok | F.try_variant_get(v, "$", "string").isin(*texts) & (tag == "STRING")
+        if flags:
+            ok = ok | F.try_variant_get(v, "$", "boolean").isin(*flags) & (tag == "BOOLEAN")
+        if sizes:
+            ok = ok | F.try_variant_get(v, "$", "double").isin(*map(float, sizes)) & is_number(tag)
+        ok = F.coalesce(ok, F.lit(False))
+        if any(a.const is None for a in arms):
+            ok = ok | F.coalesce(F.is_variant_null(v), F.lit(False))
+        value = F.when(~F.is_variant_null(v), v) if whole == "variant" else F.try_variant_get(v, "$", whole)
+        return Out(F.when(ok, value), None if not s.validates else unless(ok, self.unfit(s, v, path, [])), F.lit(True), weight=4)
+
+    def by_constant(self, s: Schema, arms: list[Schema], name: str, v: Column, kind: str, path: tuple) -> Out:
+        """Objects that one field of constants tells apart: no other arm is looked at."""
+        whole = node_type(s)
+        failing = Out(none(whole), expected(s, v, path, "_"), F.lit(True))
+
+        def run(b: Column) -> Column:
+            v, child, tag = b["v"], b["c"], b["t"]
+            pair = failing.held()
+            for a in reversed(arms):
+                const = dict(a.props)[name]
+                ok = F.coalesce(self.constant(const, child, kind, path, tag, lambda t: F.try_variant_get(child, "$", t)).entered, F.lit(False))
+                made = self.follow(a, self.before(a, self.fields(a, v, kind, path, known=name), v, path), path)
+                made = together([made], lambda o, a=a: Out(as_type(o[0].value, type_of(a), whole), o[0].error), 1)
+                pair = F.when(ok, self.uniform(made, whole)).otherwise(pair)
+            return pair
+
+        child = F.try_variant_get(v, step(name), "variant")
+        pair = bound(F.struct(v.alias("v"), child.alias("c"), F.schema_of_variant(child).alias("t")), run)
+        return failing.inside(pair, LIGHT)
+
+    def before(self, s: Schema, out: Out, v: Column, path: tuple) -> Out:
+        if not s.input_checks:
+            return out
+        return together([out], lambda o: replace(o[0], error=first(checked(s, v, "variant", path, before=True), o[0].error), pair=None))
+
+    def unfit(self, s: Schema, show: Column, path: tuple, tried: list[tuple[Out, Schema]]) -> Column:
+        """The error of a value that no arm takes: the lines of those that had its type follow."""
+        if own := dict(s.messages).get("_"):
+            return failure(path, own)
+        error = failure(path, f"Expected {s.said or expression(s)}, received ", got=show)
+        told = []
+        for o, _ in tried:
+            if o.entered is None:
+                continue
+            where = F.when(F.size(o.error["path"]) > len(path), F.concat(F.lit("At ["), F.array_join(F.transform(F.slice(o.error["path"], len(path) + 1, 1000), lambda p: F.to_json(p.cast("variant"))), "]["), F.lit("]: ")))
+            start = F.concat(F.lit("\n- "), F.coalesce(where, F.lit("")))
+            # At one place one value is received, so the texts tell if two lines are the same.
+            key = F.concat(start, F.array_join(o.error["parts"]["text"], ""))
+            told.append(F.when(F.coalesce(o.entered, F.lit(False)), F.struct(key.alias("key"), F.concat(F.array(part(start)), o.error["parts"]).alias("parts"))))
+        if told:
+            lines = bound(F.filter(F.array(*told), lambda t: t.isNotNull()), lambda t: F.flatten(F.filter(t, lambda x, i: F.array_position(t["key"], x["key"]) == i + 1)["parts"]))
+            error = failure(path, f"Expected {s.said or expression(s)}, received ", got=show, tail=lines)
+        for o, a in reversed(tried):
+            if discriminator(a) and o.entered is not None:  # the arm that the discriminator names tells its own error
+                error = F.when(o.entered, o.error).otherwise(error)
+        return error
+
+    def attempts(self, s: Schema, arms: list[Schema], run: Callable[[Schema], Out], show: Column, path: tuple) -> Out:
+        """Arms in order, each only if those before it failed; the first success wins."""
+        kind, never = node_type(s), None
+        outs: list[tuple[Out, Schema]] = []
         for a in arms:
             try:
                 outs.append((run(a), a))
@@ -450,74 +657,62 @@ class Compiler:
                     raise
                 never = e
         if not outs:
-            raise never
-        arms, value = [a for _, a in outs], none(kind)
-        if exclusive(arms) and all(o.entered is not None for o, _ in outs):
-            # The discriminator alone chooses: no other arm is looked at.
-            error = expected(s, show, path, "_")
-            for out, a in reversed(outs):
-                value = F.when(out.entered, as_type(out.value, type_of(a), kind)).otherwise(value)
-                error = F.when(out.entered, none() if out.error is None else out.error).otherwise(error)
-            return Out(value, error, F.lit(True))
-        for out, a in reversed(outs):
-            own = none(kind) if a.output.kind == "undefined" else as_type(out.value, type_of(a), kind)
-            value = own if out.error is None else F.when(out.error.isNull(), own).otherwise(value)
-        if any(o.error is None for o, _ in outs):
-            return Out(value, None, F.lit(True))
-        own = dict(s.messages).get("_")
-        entered = [F.coalesce(o.entered, F.lit(False)) if o.entered is not None else F.lit(False) for o, _ in outs]
-
-        def chosen(all_: Column) -> Column:
-            errors = [all_[f"e{i}"] for i in range(len(outs))]
-            inside = [all_[f"i{i}"] for i in range(len(outs))]
-            if own:
-                error = failure(path, own)
-            else:
-                told = [F.when(i, F.concat(F.lit("\n- "), F.when(F.size(e["path"]) > len(path), F.concat(
-                    F.lit("At ["), F.array_join(F.transform(F.slice(e["path"], len(path) + 1, 1000), quoted), "]["), F.lit("]: "))).otherwise(F.lit("")), worded(e)))
-                    for e, i, (o, _) in zip(errors, inside, outs, strict=True) if o.entered is not None]
-                tail = F.array_join(F.array_distinct(F.array(*told)), "") if told else None
-                error = failure(path, f"Expected {s.said or expression(s)}, received ", got=show, tail=tail)
-                for e, i, (_, a) in reversed(list(zip(errors, inside, outs, strict=True))):
-                    if discriminator(a):  # the arm that the discriminator names tells its own error
-                        error = F.when(i, e).otherwise(error)
-            return F.when(functools.reduce(operator.and_, (e.isNotNull() for e in errors)), error)
-
-        # Bound once: an arm's error is read several times, and would else be as many copies of its expression.
-        found = F.struct(*(o.error.alias(f"e{i}") for i, (o, _) in enumerate(outs)), *(x.alias(f"i{i}") for i, x in enumerate(entered)))
-        return Out(value, bound(found, chosen), F.lit(True))
+            raise never or SchemaError("every arm of the union is never")
+        own = lambda o, a: none(kind) if a.output.kind == "undefined" else as_type(o.value, type_of(a), kind)
+        if all(o.error is None for o, _ in outs[:1]):
+            return together([outs[0][0]], lambda o: Out(own(o[0], outs[0][1]), None, F.lit(True)), 1)
+        sure = next((i for i, (o, _) in enumerate(outs) if o.error is None), None)
+        outs = outs if sure is None else outs[:sure + 1]
+
+        def chain(at: int, tried: list[tuple[Out, Schema]]) -> Column:
+            if at == len(outs):
+                return F.struct(none(kind).alias("v"), self.unfit(s, show, path, tried).alias("e"), F.lit(True).alias("n"))
+            out, a = outs[at]
+            if out.error is None:
+                return F.struct(own(out, a).alias("v"), none().alias("e"), F.lit(True).alias("n"))
+            good = lambda o: F.struct(own(o, a).alias("v"), none().alias("e"), F.lit(True).alias("n"))
+
+            def body(p: Column) -> Column:
+                o = out.inside(p)
+                return F.when(o.error.isNull(), good(o)).otherwise(chain(at + 1, [*tried, (o, a)]))
+
+            return bound(out.held(), body)
+
+        return Out(kind, none(), F.lit(True)).inside(chain(0, []), sum(o.weight for o, _ in outs) + LIGHT)
+
+    def dispatch(self, s: Schema, run: Callable[[Schema], Out], show: Column, path: tuple) -> Out:
+        """A typed value through a union: arms in order."""
+        return self.attempts(s, [a for a in s.arms if a.kind != "never"], run, show, path)
 
     # --- typed values --------------------------------------------------------------------------
-    def inside(self, s: Schema, x: Column, path: tuple, depth: int) -> Out:
+    def inside(self, s: Schema, x: Column, path: tuple) -> Out:
         """A typed value of s itself: containers run their children, scalars pass."""
         k = s.kind
         if k in WRAPS:
-            inner = self.typed(s.items[0], x, path, depth)
-            return Out(F.when(x.isNull(), self.default(s)).otherwise(inner.value), None if inner.error is None else F.when(x.isNotNull(), inner.error))
+            return together([self.typed(s.items[0], x, path)], lambda o: Out(
+                F.when(x.isNull(), self.default(s)).otherwise(o[0].value), None if o[0].error is None else F.when(x.isNotNull(), o[0].error)), 1)
         missing = F.when(x.isNull(), failure(path, f"Expected {expression(s)}, received undefined"))
         if k in ("undefined", "unknown", "json", "ref") or k == "literal" and s.const is None:
             return Out(x, None)
         if k == "never":
             raise SchemaError("never has no value")
-        if k == "array":
-            item = s.items[0]
-            value, error = _pairs(x, lambda e, i: self.typed(item, e, (*path, i.cast("string")), depth))
-            return Out(value, first(missing, error))
-        if k == "record":
-            item = s.items[0]
-            error = F.get(F.filter(F.transform(F.map_entries(x), lambda e: _or_none(self.typed(item, e["value"], (*path, e["key"]), depth).error)), lambda e: e.isNotNull()), F.lit(0)) if type_of(item) != "variant" else None
-            return Out(F.transform_values(x, lambda _, e: self.typed(item, e, path, depth).value), first(missing, error))
+        if k in ("array", "record"):
+            item, keys = s.items[0], F.map_keys(x) if k == "record" else None
+            run = lambda e, i: self.typed(item, e, (*path, i.cast("string") if keys is None else F.get(keys, i)))
+            return together([_items(x if keys is None else F.map_values(x), run)], lambda o: Out(
+                o[0].value if keys is None else F.map_from_arrays(keys, o[0].value), first(missing, o[0].error)))
         if k in ("object", "tuple"):
-            children = {name: self.typed(kind, self.source(s, name, kind, x), (*path, name), depth) for name, kind in fields_of(s)}
-            return Out(self.assembled(s, {n: c.value for n, c in children.items()}, x.isNotNull()), first(missing, *(c.error for c in children.values())))
+            names = [n for n, _ in fields_of(s)]
+            outs = [self.typed(kind, self.source(s, n, kind, x), (*path, label(s, n))) for n, kind in fields_of(s)]
+            return together(outs, lambda c: Out(self.assembled(s, {n: o.value for n, o in zip(names, c, strict=True)}, x.isNotNull()), first(missing, *(o.error for o in c))), 1)
         if k == "compactColumns":
-            return self._transposed(s, x, missing, path, depth)
+            return self._transposed(s, x, missing)
         if k == "union":
             have = entry_type(s)
             if have == "variant":
-                return self.dispatch(s, lambda a: self.parse(a, x, "unknown", path, depth), x, path)
+                return self.dispatch(s, lambda a: self.parse(a, x, "typed", path), x, path)
             if any(a.to for a in s.arms):
-                return self.dispatch(s, lambda a: self.typed(a, x, path, depth), _variant(x, have), path)
+                return self.dispatch(s, lambda a: self.typed(a, x, path), _variant(x, have), path)
             return Out(x, missing if not any(a.kind == "undefined" or a.const is None for a in s.arms) else None)
         if k == "literal":
             return Out(x, unless(x.eqNullSafe(self.lit(s)), expected(s, _variant(x, literal_type(s.const)), path)))
@@ -567,7 +762,7 @@ class Compiler:
             raise SchemaError(f'Missing input for "{key}"')
         return got
 
-    def _transposed(self, s: Schema, x: Column, missing: Column, path: tuple, depth: int) -> Out:
+    def _transposed(self, s: Schema, x: Column, missing: Column) -> Out:
         row = s.items[0]
 
         def column(name: str, kind: Schema) -> Column:
@@ -576,59 +771,68 @@ class Compiler:
         return Out(F.array(*(column(k, t) for k, t in row.props)), missing)
 
     # --- conversions ---------------------------------------------------------------------------
-    def link(self, a: Schema, b: Schema, x: Column, path: tuple, depth: int) -> Out:
+    def link(self, a: Schema, b: Schema, x: Column, path: tuple) -> Out:
         coder = a.coder
         if coder is None or coder.decode == AUTO:
-            return self.convert(a, b, x, path, depth)
+            return self.convert(a, b, x, path)
         if coder.decode == NEVER:
             raise SchemaError(f"{expression(a)} is never decoded to {expression(b)}", "never_decoded")
         made = coder.decode(x)
         if getattr(coder.decode, "catches", False):
-            error = F.when(made["error"].isNotNull(), failure(path, made["error"], "invalid_conversion"))
-            made = made["value"]
+            out = Out(made["value"], F.when(made["error"].isNotNull(), failure(path, made["error"], "invalid_conversion")), weight=LIGHT)
         else:
-            error = None
+            out = Out(made, None)
         kind = node_type(b)
-        if kind != "variant" and not kind.startswith(("struct", "array", "map")):
-            cast = made.try_cast(kind)
-            error = first(error, F.when(made.isNotNull() & cast.isNull(), expected(b, made.cast("variant"), path)))
-            made = cast
-        inner = self.inside(b, made, path, depth)
-        return Out(inner.value, first(error, inner.error))
 
-    def convert(self, a: Schema, b: Schema, x: Column, path: tuple, depth: int) -> Out:
+        def body(o: list[Out]) -> Out:
+            value, error = o[0].value, o[0].error
+            if kind != "variant" and not kind.startswith(("struct", "array", "map")):
+                cast = value.try_cast(kind)
+                error = first(error, F.when(value.isNotNull() & cast.isNull(), expected(b, value.cast("variant"), path)))
+                value = cast
+            return together([self.inside(b, value, path)], lambda i: Out(i[0].value, first(error, i[0].error)))
+
+        return together([out], body)
+
+    def convert(self, a: Schema, b: Schema, x: Column, path: tuple) -> Out:
         p, q = a.kind, b.kind
         show = _variant(x, node_type(a))
         bad = lambda ok, y=None: Out(y if y is not None else x, unless(ok, expected(b, show, path)))
         texts, numbers = ("string", "trimmed", "url"), ("number", "int32", "integer", "port")
         if p in WRAPS and q not in ("union",):
-            inner = self.convert(a.items[0].output, b.items[0] if q in WRAPS else b, x, path, depth)
-            if q in WRAPS:
-                return Out(F.when(x.isNull(), self.default(b)).otherwise(inner.value), None if inner.error is None else F.when(x.isNotNull(), inner.error))
             if q in ("json", "jsonString"):
                 return self.to_json(a, b, x, path)
-            return Out(inner.value, first(F.when(x.isNull(), expected(b, "undefined", path)), inner.error))
+            inner = self.convert(a.items[0].output, b.items[0] if q in WRAPS else b, x, path)
+            if q in WRAPS:
+                return together([inner], lambda o: Out(F.when(x.isNull(), self.default(b)).otherwise(o[0].value), None if o[0].error is None else F.when(x.isNotNull(), o[0].error)), 1)
+            return together([inner], lambda o: Out(o[0].value, first(F.when(x.isNull(), expected(b, "undefined", path)), o[0].error)), 1)
         if q in WRAPS:
-            inner = self.follow(b.items[0], self.convert(a, b.items[0], x, path, depth), path, depth)
+            inner = self.follow(b.items[0], self.convert(a, b.items[0], x, path), path)
             return inner
         if q == "unknown":
             return Out(as_type(x, node_type(a), "variant"), None)
         if p == "unknown" or p == "json" or p == "ref":
-            return self.read(b, x, "unknown" if p == "unknown" else "json", path, depth)
+            return self.read(b, x, "unknown" if p == "unknown" else "json", path)
         if p == "jsonString" and q != "jsonString":
-            parsed = F.try_parse_json(x)
-            inner = self.read(b, parsed, "json", path, depth)
-            ok = parsed.isNotNull() if self.o.trusted_json else parsed.isNotNull() & strict_json(x)
-            return Out(inner.value, first(unless(ok, expected(Schema("jsonString"), show, path)), inner.error))
+            shape: list[Out] = []
+
+            def run(w: Column) -> Column:
+                inner = self.read(b, json_in(w), "json", path)
+                shape.append(together([inner], lambda o: Out(o[0].value, first(unless(alone(w), expected(Schema("jsonString"), show, path)), o[0].error)), 1))
+                return shape[-1].held()
+
+            pair = bound(wrapped_json(x), run)
+            return shape[-1].inside(pair, LIGHT)
         if q in ("json", "jsonString") and p != "jsonString":
             return self.to_json(a, b, x, path)
         if p == q == "union":
-            return self.passed(a, b, x, path, depth)
+            return self.passed(a, b, x, path)
         if q == "union":
-            return self.dispatch(b, lambda arm: self.follow(arm, self.convert(a, arm, x, path, depth), path, depth), show, path)
+            covered(a, b)
+            return self.dispatch(b, lambda arm: self.follow(arm, self.convert(a, arm, x, path), path), show, path)
         if p == "union":
             told_apart(a, b)
-            return self.dispatch_to(a, b, x, path, depth)
+            return self.dispatch_to(a, b, x, path)
         if p in texts:
             if q in ("string",):
                 return Out(x, None)
@@ -675,12 +879,11 @@ class Compiler:
             if q == "string":
                 return Out(F.lit({"undefined": "undefined", "nan": "NaN"}.get(p) or (a.const if isinstance(a.const, str) else literal_text(a.const))), None)
         if p == q == "array":
-            item = lambda e, i: self.follow(b.items[0], self.convert(a.items[0].output, b.items[0], e, (*path, i.cast("string")), depth), (*path, i.cast("string")), depth)
-            error = F.get(F.filter(F.transform(x, lambda e, i: F.coalesce(item(e, i).error, none()) if item(e, i).error is not None else none()), lambda e: e.isNotNull()), F.lit(0))
-            return Out(F.transform(x, lambda e, i: item(e, i).value), error)
+            item = lambda e, i: self.follow(b.items[0], self.convert(a.items[0].output, b.items[0], e, (*path, i.cast("string"))), (*path, i.cast("string")))
+            return _items(x, item)
         if p == "object" and q == "record":
-            outs = {k: self.follow(b.items[0], self.convert(t.output, b.items[0], x.getField(k), (*path, k), depth), (*path, k), depth) for k, t in a.props}
-            return Out(F.create_map(*(c for k, o in outs.items() for c in (F.lit(k), o.value))), first(*(o.error for o in outs.values())))
+            outs = {k: self.follow(b.items[0], self.convert(t.output, b.items[0], x.getField(k), (*path, k)), (*path, k)) for k, t in a.props}
+            return together(list(outs.values()), lambda o: Out(F.create_map(*(c for k, i in zip(outs, o, strict=True) for c in (F.lit(k), i.value))), first(*(i.error for i in o))), 1)
         if q == "object" and p in ("object", "record"):
             have = dict(a.props)
             outs = {}
@@ -689,126 +892,151 @@ class Compiler:
                     raise SchemaError(f'Missing input for "{k}"', "unsupported_decode")
                 from_ = have[k].output if p == "object" else Schema("optional", items=(a.items[0].output,))
                 value = x.getField(k) if p == "object" else F.try_element_at(x, F.lit(k))
-                outs[k] = self.follow(t, self.convert(from_, t, value, (*path, k), depth), (*path, k), depth)
-            return Out(self.assembled(b, {k: o.value for k, o in outs.items()}, x.isNotNull()), first(*(o.error for o in outs.values())))
+                outs[k] = self.follow(t, self.convert(from_, t, value, (*path, k)), (*path, k))
+            return together(list(outs.values()), lambda o: Out(self.assembled(b, {k: i.value for k, i in zip(outs, o, strict=True)}, x.isNotNull()), first(*(i.error for i in o))), 1)
         if p == q:
-            return self.inside(b, x, path, depth)
+            return self.inside(b, x, path)
         raise SchemaError(f"Can't decode {expression(a)} to {expression(b)}. Use a custom coder", "unsupported_decode")
 
-    def dispatch_to(self, a: Schema, b: Schema, x: Column, path: tuple, depth: int) -> Out:
+    def dispatch_to(self, a: Schema, b: Schema, x: Column, path: tuple) -> Out:
         """A union's value to one type: every arm must have a conversion."""
         whole = node_type(a)
 
         def run(arm: Schema) -> Out:
             if whole != "variant":
-                return self.convert(arm.output, b, x, path, depth)
-            got = self.parse(arm, x, "unknown", path, depth)
-            made = self.convert(arm.output, b, got.value, path, depth)
-            return Out(made.value, first(got.error, made.error))
+                return self.convert(arm.output, b, x, path)
+            got = self.parse(arm, x, "typed", path)
+            return together([got], lambda g: together([self.convert(arm.output, b, g[0].value, path)], lambda m: Out(m[0].value, first(g[0].error, m[0].error))))
 
-        outs = [run(arm) for arm in a.arms]
-        value, error = none(node_type(b)), failure(path, f"Expected {expression(a)}, received ", got=_variant(x, whole))
+        failing = Out(none(node_type(b)), failure(path, f"Expected {expression(a)}, received ", got=_variant(x, whole)), F.lit(True))
+        pair, outs = failing.held(), [run(arm) for arm in a.arms]
         for o in reversed(outs):
-            value = o.value if o.error is None else F.when(o.error.isNull(), o.value).otherwise(value)
-            error = none() if o.error is None else F.when(o.error.isNull(), none()).otherwise(error)
-        return Out(value, error)
+            if o.error is None:
+                pair = self.uniform(o, node_type(b))
+                continue
+            pair = _or_else(o, lambda value: F.struct(value.alias("v"), none().alias("e"), F.lit(True).alias("n")), pair)
+        return failing.inside(pair, LIGHT)
 
-    def passed(self, a: Schema, b: Schema, x: Column, path: tuple, depth: int) -> Out:
+    def passed(self, a: Schema, b: Schema, x: Column, path: tuple) -> Out:
         """A union's value to another union: each arm's values pass to the arms of their type, none is coerced."""
         whole, kind = node_type(a), node_type(b)
         routes = paired(a, b)
-        value, error = none(kind), failure(path, f"Expected {expression(a)}, received ", got=_variant(x, whole))
+        failing = Out(none(kind), failure(path, f"Expected {expression(a)}, received ", got=_variant(x, whole)), F.lit(True))
+        pair = failing.held()
         for arm, targets in reversed(routes):
-            got = self.parse(arm, x, "unknown", path, depth) if whole == "variant" else Out(
+            got = self.parse(arm, x, "typed", path) if whole == "variant" else Out(
                 x, None if arm.kind != "literal" else unless(x.eqNullSafe(self.lit(arm)), failure(path, "")))
-            if any(t.kind == "never" for t in targets[0].chain) and len(targets) == 1:
-                made = Out(none(kind), failure(path, "Expected never, received ", got=_variant(x, whole)))
-            else:
-                step = lambda t: self.follow(t, self.convert(arm.output, t, got.value, path, depth), path, depth)  # noqa: B023, E731
-                made = step(targets[0]) if len(targets) == 1 else self.dispatch(
-                    replace(b, arms=tuple(targets)), step, _variant(got.value, type_of(arm)), path)
-                made.value = as_type(made.value, type_of(targets[0]) if len(targets) == 1 else node_type(replace(b, arms=tuple(targets))), kind)
-            here = F.lit(True) if got.error is None else got.error.isNull()
-            value = F.when(here, made.value).otherwise(value)
-            error = F.when(here, none() if made.error is None else made.error).otherwise(error)
-        return Out(value, error)
+
+            def routed(value: Column, arm: Schema = arm, targets: list[Schema] = targets) -> Column:
+                if any(t.kind == "never" for t in targets[0].chain) and len(targets) == 1:
+                    return F.struct(none(kind).alias("v"), failure(path, "Expected never, received ", got=_variant(x, whole)).alias("e"), F.lit(True).alias("n"))
+                step = lambda t: self.follow(t, self.convert(arm.output, t, value, path), path)
+                some = replace(b, arms=tuple(targets))
+                made = step(targets[0]) if len(targets) == 1 else self.dispatch(some, step, _variant(value, type_of(arm)), path)
+                have = type_of(targets[0]) if len(targets) == 1 else node_type(some)
+                return self.uniform(together([made], lambda o: Out(as_type(o[0].value, have, kind), o[0].error), 1), kind)
+
+            pair = _or_else(got, routed, pair)
+        return failing.inside(pair, LIGHT)
 
     # --- JSON text -----------------------------------------------------------------------------
     def to_json(self, a: Schema, b: Schema, x: Column, path: tuple) -> Out:
-        bad: list[Column] = []
-        text = self.text(replace(a, to=None, coder=None), x, path, bad)
-        if b.kind == "jsonString":
+        out = self.text(replace(a, to=None, coder=None), x, path)
+
+        def body(o: list[Out]) -> Out:
+            made = F.coalesce(o[0].value, F.lit("null"))
+            if b.kind == "json":
+                return Out(F.try_parse_json(made), o[0].error)
             space = dict(b.meta).get("space")
-            made = F.coalesce(text, F.lit("null"))
-            return Out(indented(made, space) if space else made, first(*bad))
-        return Out(F.try_parse_json(F.coalesce(text, F.lit("null"))), first(*bad))
-
-    def _no_text(self, kind: Schema, items: Column, at: Callable, path: tuple) -> Column | None:
-        """The first error of items that can't be text."""
-        some = False
-
-        def error(e: Column, i: Column) -> Column:
-            nonlocal some
-            value, key = at(e, i)
-            bad: list[Column | None] = []
-            self.text(kind, value, (*path, key), bad)
-            some = any(x is not None for x in bad)
-            return first(*bad) if some else none()
-
-        errors = F.transform(items, error)
-        return F.get(F.filter(errors, lambda e: e.isNotNull()), F.lit(0)) if some else None
-
-    def text(self, s: Schema, x: Column, path: tuple, bad: list[Column]) -> Column:
-        """JSON text of a typed value; null where it is absent. bad gets what can't be text."""
+            return Out(indented(made, space) if space else made, o[0].error)
+
+        return together([out], body, 1)
+
+    def text(self, s: Schema, x: Column, path: tuple) -> Out:
+        """JSON text of a typed value, null where it is absent; the error of what can't be text."""
         k = s.kind
         if s.to is not None:
             s, k = s.output, s.output.kind
         if k in WRAPS:
-            inner = self.text(s.items[0], x, path, bad)
-            return inner if k == "optional" else F.coalesce(inner, F.lit("null"))
+            inner = self.text(s.items[0], x, path)
+            return inner if k == "optional" else together([inner], lambda o: Out(F.coalesce(o[0].value, F.lit("null")), o[0].error), 1)
         if k in ("string", "trimmed", "url", "jsonString"):
-            return F.concat(F.lit('"'), x, F.lit('"')) if s.format in ("uuid", "date", "date-time", "ipv4") else quoted(x)
+            return Out(F.concat(F.lit('"'), x, F.lit('"')) if s.format in ("uuid", "date", "date-time", "ipv4") else quoted(x), None)
         if k in ("number", "int32", "integer", "port"):
             y = x.cast("double")
-            if k == "number":
-                bad.append(F.when(F.isnan(y) | (F.abs(y) == math.inf), failure(path, "Expected JSON, received ", got=y.cast("variant"))))
-            return number_text(y) if k in ("number", "integer") else x.cast("string")
+            bad = F.when(F.isnan(y) | (F.abs(y) == math.inf), failure(path, "Expected JSON, received ", got=y.cast("variant"))) if k == "number" else None
+            return Out(number_text(y) if k in ("number", "integer") else x.cast("string"), bad)
         if k == "boolean":
-            return x.cast("string")
+            return Out(x.cast("string"), None)
         if k == "bigint":
-            return F.concat(F.lit('"'), x.cast("string"), F.lit('"'))
+            return Out(F.concat(F.lit('"'), x.cast("string"), F.lit('"')), None)
         if k == "date":
-            return F.concat(F.lit('"'), iso_text(x), F.lit('"'))
+            return Out(F.concat(F.lit('"'), iso_text(x), F.lit('"')), None)
         if k in ("bytes", "blob"):
-            return quoted(text_of_bytes(x))
+            return Out(quoted(text_of_bytes(x)), None)
         if k == "literal":
-            return F.lit(literal_text(s.const))
+            return Out(F.lit(literal_text(s.const)), None)
         if k == "undefined":
-            return none("string")
+            return Out(none("string"), None)
         if k == "nan":
-            return F.lit("null")
+            return Out(F.lit("null"), None)
         if k in ("json", "unknown", "ref"):
-            return F.to_json(x)
+            return Out(F.to_json(x), None)
         if k in ("array", "compactColumns"):
-            bad.append(self._no_text(s.items[0], x, lambda e, i: (e, i.cast("string")), path))
-            return F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: F.coalesce(self.text(s.items[0], e, path, []), F.lit("null"))), ","), F.lit("]"))
+            made = _items(x, lambda e, i: self.text(s.items[0], e, (*path, i.cast("string"))))
+            return together([made], lambda o: Out(F.concat(F.lit("["), F.array_join(o[0].value, ",", "null"), F.lit("]")), o[0].error), 1)
         if k == "record":
-            bad.append(self._no_text(s.items[0], F.map_entries(x), lambda e, _: (e["value"], e["key"]), path))
-            pairs = F.transform(F.map_entries(x), lambda e: F.concat(quoted(e["key"]), F.lit(":"), self.text(s.items[0], e["value"], path, [])))
-            return F.concat(F.lit("{"), F.array_join(F.filter(pairs, lambda p: p.isNotNull()), ","), F.lit("}"))
-        if k == "tuple":
-            parts = [F.coalesce(self.text(t, x.getField(n), (*path, n), bad), F.lit("null")) for n, t in fields_of(s)]
-            return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
-        if k == "object":
-            # concat_ws leaves null pieces out, as absent fields are.
-            parts = [F.concat(F.lit(literal_text(n) + ":"), self.text(t, x.getField(n), (*path, n), bad)) for n, t in s.props]
-            return F.when(x.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *parts) if parts else F.lit(""), F.lit("}")))
+            keys = F.map_keys(x)
+            made = _items(F.map_values(x), lambda e, i: self.text(s.items[0], e, (*path, F.get(keys, i))))
+
+            def pairs(o: list[Out]) -> Out:
+                each = F.zip_with(keys, o[0].value, lambda n, t: F.concat(quoted(n), F.lit(":"), t))
+                return Out(F.concat(F.lit("{"), F.array_join(F.filter(each, lambda p: p.isNotNull()), ","), F.lit("}")), o[0].error)
+
+            return together([made], pairs, 1)
+        if k in ("tuple", "object"):
+            names = [n for n, _ in fields_of(s)]
+            outs = [self.text(t, x.getField(n), (*path, label(s, n))) for n, t in fields_of(s)]
+
+            def whole(o: list[Out]) -> Out:
+                if k == "tuple":
+                    made = F.concat(F.lit("["), F.concat_ws(",", *(F.coalesce(c.value, F.lit("null")) for c in o)), F.lit("]"))
+                else:  # concat_ws leaves null pieces out, as absent fields are
+                    parts = [F.concat(F.lit(literal_text(n) + ":"), c.value) for n, c in zip(names, o, strict=True)]
+                    made = F.concat(F.lit("{"), F.concat_ws(",", *parts) if parts else F.lit(""), F.lit("}"))
+                return Out(F.when(x.isNotNull(), made), first(*(None if c.error is None else F.when(x.isNotNull(), c.error) for c in o)))
+
+            return together(outs, whole, 1)
         if k == "union":
-            kind = node_type(s)
-            return F.to_json(x) if kind == "variant" else self.text(next(a for a in s.arms if type_of(a) == kind and a.output.kind != "literal" or type_of(a) == kind), x, path, bad) if any(
-                a.output.kind != "literal" for a in s.arms) else {"string": quoted, "double": number_text, "boolean": lambda c: c.cast("string")}[kind](x)
+            return self.text_of_union(s, x, path)
         raise SchemaError(f"{expression(s)} has no JSON text", "unsupported_decode")
 
+    def text_of_union(self, s: Schema, x: Column, path: tuple) -> Out:
+        """The text of the arm that the value is of. Values of several types are a VARIANT; equal types are told
+        apart by their constants, so containers are looked into as well."""
+        kind = node_type(s)
+        arms = [replace(a.output, said=None) for a in s.arms if a.output.kind not in ("undefined", "never")]
+        empty = F.lit("null") if any(a.const is None for a in arms) else none("string")
+        arms = [a for a in arms if a.const is not None]
+        if not arms:
+            return Out(empty, None)
+        if kind != "variant" and not kind.startswith(("struct", "array", "map")):
+            some = next((a for a in arms if a.kind != "literal"), arms[0])
+            text = self.text(some, x, path) if some.kind != "literal" else Out({"string": quoted, "double": number_text, "boolean": lambda c: c.cast("string")}[kind](x), None)
+            return together([text], lambda o: Out(F.coalesce(o[0].value, empty), o[0].error), 1)
+        v = as_type(x, kind, "variant")
+        plain_arms = [_plain(a) for a in arms]
+        failing = Out(empty, F.when(x.isNotNull(), failure(path, f"Expected {expression(s)}, received ", got=v)), F.lit(True))
+
+        def run(b: Column) -> Column:
+            pair = failing.held()
+            for a in reversed(plain_arms):
+                text = lambda value, a=a: self.uniform(self.text(a, value, path), "string")
+                pair = _or_else(self.parse(a, b["v"], "typed", path, b["t"]), text, pair)
+            return F.when(b["v"].isNull(), failing.held()).otherwise(pair)
+
+        return failing.inside(bound(F.struct(v.alias("v"), F.schema_of_variant(v).alias("t")), run), LIGHT)
+
 
 def iso_date_time(s: Column) -> Column:
     """ISO 8601 text to a timestamp, with or without time and zone (none: UTC)."""
@@ -820,24 +1048,37 @@ def _variant(x: Column, kind: str) -> Column:
     return as_type(x, kind, "variant")
 
 
-def _pairs(items: Column, run: Callable[[Column, Column], Out]) -> tuple[Column, Column | None]:
+def _items(items: Column, run: Callable[[Column, Column], Out]) -> Out:
     """(values, first error) of an array's items, each of which is compiled once."""
-    valid = False
+    sure = False
 
     def pair(x: Column, i: Column) -> Column:
-        nonlocal valid
+        nonlocal sure
         out = run(x, i)
-        valid = out.error is None
-        return out.value if valid else F.struct(out.value.alias("value"), out.error.alias("error"))
+        sure = out.error is None
+        if sure:
+            return out.value
+        return out.held()
 
     both = F.transform(items, pair)
-    if valid:
-        return both, None
-    return F.transform(both, lambda p: p["value"]), F.get(F.filter(F.transform(both, lambda p: p["error"]), lambda e: e.isNotNull()), F.lit(0))
+    if sure:
+        return Out(both, None, weight=LIGHT)
+    shape = Out(both, none())
+    made = bound(both, lambda b: F.struct(F.transform(b, lambda p: p["v"]).alias("v"), F.get(F.filter(F.transform(b, lambda p: p["e"]), lambda e: e.isNotNull()), F.lit(0)).alias("e")))
+    return shape.inside(made, LIGHT)
 
 
-def _or_none(error: Column | None) -> Column:
-    return none() if error is None else error
+def _or_else(got: Out, then: Callable[[Column], Column], rest: Column) -> Column:
+    """then(value) where got is valid, rest elsewhere."""
+    if got.error is None:
+        return bound(got.held(), lambda p: then(p["v"]))
+    return bound(got.held(), lambda p: F.when(p["e"].isNull(), then(p["v"])).otherwise(rest))
+
+
+def _plain(s: Schema) -> Schema:
+    """The output type of s alone: its values have been checked."""
+    node = replace(s.output, checks=(), input_checks=(), bounds=(), format=None, coder=None, shape=None, default=ABSENT, extras="strip")
+    return replace(node, items=tuple(map(_plain, node.items)), props=tuple((k, _plain(x)) for k, x in node.props), arms=tuple(map(_plain, node.arms)))
 
 
 def as_type(x: Column, have: str, want: str) -> Column:
@@ -887,6 +1128,16 @@ def told_apart(a: Schema, b: Schema) -> None:
         raise _refused(a, b, f"{expression(same[0])} has the same type as the target and the others don't")
 
 
+def covered(a: Schema, b: Schema) -> None:
+    """From one type to a union all arms take its type or none does: else it is open if a value passes or is converted."""
+    arms = [x for x in b.arms if x.kind != "never" and not _unlinked(x)]
+    if a.kind in _OPEN or a.kind == "literal" or any(x.kind in _OPEN for x in arms):
+        return
+    same = [x for x in arms if same_type(a, x)]
+    if same and len(same) < len(arms):
+        raise _refused(a, b, f"{expression(same[0])} has the same type as the source and the others don't")
+
+
 def _unlinked(s: Schema) -> bool:
     return any(x.coder is not None and x.coder.decode == NEVER for x in s.chain)
 
@@ -916,11 +1167,76 @@ def paired(a: Schema, b: Schema) -> list[tuple[Schema, list[Schema]]]:
     return routes
 
 
-def exclusive(arms: list[Schema]) -> bool:
-    """Are these objects that one field of constants tells apart?"""
+#: The types that a union tells apart in a VARIANT, by the first letters of their names; absent is SQL NULL.
+NAMES = {"absent": (), "null": ("VOI",), "string": ("STR",), "number": _NUMBERS, "boolean": ("BOO",), "array": ("ARR",), "object": ("OBJ",),
+         "bytes": ("BIN",), "date": ("TIM", "DAT")}
+
+
+def is_one_of(names: list[str], v: Column, tag: Column) -> Column:
+    letters = [x for n in names for x in NAMES[n]]
+    found = F.coalesce(F.substring(tag, 1, 3).isin(*letters), F.lit(False)) if letters else F.lit(False)
+    return found | v.isNull() if "absent" in names else found
+
+
+def mask(s: Schema, kind: str, inner: tuple[str, ...] = ()) -> frozenset[str]:
+    """The types of values that s may take."""
+    json = kind == "json"
+    k = s.kind
+    if k == "literal":
+        c = s.const
+        return frozenset({"null"} if c is None else {"boolean"} if isinstance(c, bool) else {"string"} if isinstance(c, str) else {"number"})
+    if k in WRAPS:
+        more = {"optional": {"absent", "null"} if json else {"absent"}, "nullable": {"null"}, "nullish": {"absent", "null"}}[k]
+        return mask(s.items[0], kind, inner) | more
+    if k == "union":
+        return frozenset().union(*(mask(a, kind, inner) for a in s.arms))
+    if k == "ref":
+        body = s.defs.get(s.ref)
+        return frozenset(NAMES) if body is None or s.ref in inner else mask(body, kind, (*inner, s.ref))
+    if k == "unknown":
+        return frozenset(NAMES)
+    if k == "json":
+        return frozenset(NAMES) - {"absent"}
+    own = {"string": "string", "trimmed": "string", "jsonString": "string", "number": "number", "int32": "number", "integer": "number", "port": "number", "boolean": "boolean",
+           "array": "array", "tuple": "array", "compactColumns": "array", "object": "object", "record": "object", "blob": "bytes"}
+    if k in own:
+        return frozenset({own[k]})
+    if k == "undefined":
+        return frozenset({"absent", "null"} if json else {"absent"})
+    if k == "nan":
+        return frozenset({"null"} if json else {"number"} if kind == "typed" else ())
+    if json:
+        return frozenset({"string"} if k in ("bigint", "date", "url", "bytes") else ())
+    return frozenset({"bigint": {"number"}, "date": {"date"}, "bytes": {"bytes"}, "url": {"string"} if kind == "typed" else ()}.get(k, ()))
+
+
+def plain(s: Schema) -> bool:
+    """Does a value of the right type pass, and pass unchanged?"""
+    return not (s.to or s.checks or s.input_checks or s.bounds or s.format or s.messages or not s.validates)
+
+
+def effect(s: Schema, kind: str, o: Options) -> int:
+    """0: takes every value of its types, unchanged; 1: some of them, unchanged; 2: changes values or looks inside."""
+    if s.kind in ("string", "boolean", "json", "unknown") or s.kind == "number" and (kind == "json" or o.allow_nan):
+        return 2 if s.to else 0 if plain(s) else 1
+    return 1 if s.kind in ("literal", "number", "int32", "integer", "port") and not s.to and (s.kind in ("literal", "number")) else 2
+
+
+def live(arms: tuple[Schema, ...], kind: str, o: Options) -> list[Schema]:
+    """The arms that a value can reach, in their order. One that passes values through unchanged is dead where other
+    arms take all values of its types anyway and none changes them: which of them a value meets can't be seen."""
+    masks, effects = [mask(a, kind) for a in arms], [effect(a, kind, o) for a in arms]
+    total = frozenset().union(*(m for m, e in zip(masks, effects, strict=True) if e == 0))
+    changed = frozenset().union(*(m for m, e in zip(masks, effects, strict=True) if e == 2))
+    return [a for a, m, e in zip(arms, masks, effects, strict=True) if a.kind != "never" and m and not (e == 1 and m <= total and not m & changed)]
+
+
+def exclusive(arms: list[Schema]) -> str | None:
+    """The field of constants that tells these objects apart, if one does."""
     tags = [discriminator(a) for a in arms]
-    return len(arms) > 1 and all(a.kind == "object" and t is not None for a, t in zip(arms, tags, strict=True)) and len({t[0] for t in tags}) == 1 and len(
+    told = len(arms) > 1 and all(a.kind == "object" and t is not None for a, t in zip(arms, tags, strict=True)) and len({t[0] for t in tags}) == 1 and len(
         {(type(t[1].const), t[1].const) for t in tags}) == len(arms)
+    return tags[0][0] if told else None
 
 
 def discriminator(s: Schema) -> tuple[str, Schema] | None:
@@ -928,3 +1244,6 @@ def discriminator(s: Schema) -> tuple[str, Schema] | None:
     if s.kind not in ("object", "tuple"):
         return None
     return next(((k, x) for k, x in fields_of(s) if x.kind == "literal" and not x.to), None)
+
+
+from .recursion import Walk  # noqa: E402

@@ -70,6 +70,7 @@ class Schema:
     extension: tuple[tuple[str, Any], ...] = ()
     ref: str | None = None
     defs: dict = field(default_factory=dict, compare=False)
+    slot: int | None = field(default=None, compare=False)  # of a reference, while its body is compiled
     flipped: bool = False  # coders run in the other direction
     code_points: bool = False  # lengths count code points
     said: str | None = field(default=None, compare=False)  # what errors at its place call it, if not by its own text

@@ -14,7 +14,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
-    made = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false")
+    made = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .config("spark.driver.memory", "3g").config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("wh")))
             .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate())
     made.sparkContext.setLogLevel("ERROR")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ def parsed(spark, s, values, source="string"):
     return [(None, (x.e.code, x.e.path, x.e.reason)) if x.e else (x.v, None) for x in df.select(value.alias("v"), r.error.alias("e")).collect()]
 
 
+def present(x):
+    """JSON without its absent fields, which a VARIANT has as null."""
+    return {k: present(v) for k, v in x.items() if v is not None} if isinstance(x, dict) else [present(i) for i in x] if isinstance(x, list) else x
+
+
 def verdicts(spark, s, values, source="string"):
     return [e is None for _, e in parsed(spark, s, values, source)]
 
@@ -111,7 +117,8 @@ def test_conversions(spark):
     assert verdicts(spark, s.convert(S.port), ['"80"', '"65536"', '"1.5"']) == [True, False, False]
     assert [v for v, _ in parsed(spark, s.trim(), ['"\\t a \\n"'])] == ["a"]
     assert [bytes(v) for v, _ in parsed(spark, s.convert(S.uint8_array), ['"é"'])] == ["é".encode()]
-    assert parsed(spark, s.convert(S.union(S.number, S.string)), ['"12"', '"x"'])[1][1] is None
+    with pytest.raises(S.SchemaError, match="string has the same type as the source and the others don't"):
+        O.parser(s.convert(S.union(S.number, S.string)))("x")
     for a, b in ((S.boolean, S.number), (S.number, S.date), (S.string, S.array(S.string))):
         with pytest.raises(S.SchemaError) as e:
             O.parser(a.convert(b))("x")
@@ -198,10 +205,40 @@ def test_recursive(spark):
     s = S.recursive("Node", lambda n: S.object_({"v": S.string, "next": S.optional(n)}))
     got = parsed(spark, s, ['{"v":"a","next":{"v":"b"}}', '{"v":"a","next":{"v":1}}'])
     assert got[0][1] is None and got[1][1][1] == ["next", "v"]
-    deep = '{"v":"a"}'
-    for _ in range(8):
-        deep = f'{{"v":"a","next":{deep}}}'
-    assert "deeper" in parsed(spark, s, [deep])[0][1][2]
+    deep, bad = '{"v":"a"}', '{"v":1}'
+    for _ in range(500):
+        deep, bad = (f'{{"v":"a","next":{x}}}' for x in (deep, bad))
+    got = parsed(spark, s, [deep, bad])
+    assert present(json.loads(got[0][0])["v"]) == json.loads(deep) and got[1][1] == ("invalid_input", ["next"] * 500 + ["v"], "Expected string, received 1")
+
+
+def test_recursion_through_lists_records_and_unions(spark):
+    tree = S.recursive("Tree", lambda t: S.object_({"n": S.string.convert(S.number), "kids": S.optional(S.array(t)), "by": S.optional(S.record(t))}))
+    value = {"n": "1", "kids": [{"n": "2", "z": 0}, {"n": "3", "kids": []}, {"n": "4", "by": {"x": {"n": "5"}, "y": {"n": "6", "kids": [{"n": "7"}]}}}]}
+    bad = json.dumps(value).replace('"7"', '"seven"')
+    got = parsed(spark, tree, [json.dumps(value), bad, '{"n":"1","kids":[null]}', '{"n":"1","kids":{}}', "[]"])
+    want = json.loads(json.dumps(value).replace(', "z": 0', ""), parse_int=int)
+    numbers = lambda x: {k: float(v) if k == "n" else [numbers(i) for i in v] if k == "kids" else {a: numbers(b) for a, b in v.items()} for k, v in x.items()}
+    assert present(json.loads(got[0][0])["v"]) == numbers(want)
+    assert got[1][1] == ("invalid_input", ["kids", "2", "by", "y", "kids", "0", "n"], 'Expected number, received "seven"')
+    assert got[2][1][1] == ["kids", "0"] and got[3][1][1] == ["kids"] and got[4][1][1] == []
+    expr = S.recursive("Expr", lambda e: S.union(S.number, S.object_({"op": "+", "args": S.array(e)}), S.object_({"op": "-", "arg": e})))
+    texts = ["1", '{"op":"+","args":[1,{"op":"-","arg":2},[]]}', '{"op":"+","args":[1,{"op":"-","arg":{"op":"+","args":[]}}]}', '{"op":"*"}', '{"op":"-"}']
+    assert verdicts(spark, expr, texts) == [True, False, True, False, False]
+    grid = S.recursive("Grid", lambda g: S.object_({"rows": S.optional(S.array(S.array(g)))}))
+    assert verdicts(spark, grid, ['{"rows":[[{},{"rows":[]}],[{"rows":[[{}]]}]]}', '{"rows":[[{}],[{},{"rows":[[1]]}]]}']) == [True, False]
+    assert parsed(spark, grid, ['{"rows":[[{}],[{},{"rows":[[1]]}]]}'])[0][1][1] == ["rows", "1", "1", "rows", "0", "0"]
+
+
+def test_recursive_schemas_that_hold_each_other(spark):
+    inner = S.recursive("Inner", lambda i: S.object_({"v": S.string, "next": S.optional(i)}))
+    outer = S.recursive("Outer", lambda o: S.object_({"inner": inner, "next": S.optional(o)}))
+    texts = ['{"inner":{"v":"a"}}', '{"inner":{"v":"a","next":{"v":"b"}},"next":{"inner":{"v":"c"}}}', '{"inner":{"v":"a"},"next":{"inner":{"v":"c","next":{"v":2}}}}', '{"next":{}}']
+    got = parsed(spark, outer, texts)
+    assert [present(json.loads(v)["v"]) if v else None for v, _ in got] == [json.loads(texts[0]), json.loads(texts[1]), None, None]
+    assert got[2][1][1] == ["next", "inner", "next", "v"] and got[3][1][1] == ["inner"]
+    with pytest.raises(S.SchemaError, match="behind a check"):
+        O.parser(from_json_schema({"type": "object", "properties": {"a": {"$ref": "#"}}, "allOf": [{"properties": {"a": {"$ref": "#"}}}]}))("x")
 
 
 def test_merge_reverse_text():
@@ -296,8 +333,9 @@ def test_never_in_a_union(spark):
 
 
 def test_size_of_expressions(spark):
-    def size(s, **o):
-        r = O.parser(s, options=O.Options(**o))("x")
+    """Linear in the nodes of a schema, however deep they are."""
+    def size(s):
+        r = O.parser(s)("x")
         return len(str(r.error._jc.toString())) + len(str(r.value._jc.toString()))
 
     def nested(depth, wrap):
@@ -306,14 +344,84 @@ def test_size_of_expressions(spark):
             s = wrap(s)
         return size(s)
 
-    for wrap in (lambda s: S.optional(S.object_({"a": s, "b": S.number})), lambda s: S.union(S.object_({"k": "a", "x": s}), S.object_({"k": "b", "y": S.number}))):
-        assert nested(6, wrap) < 8 * nested(1, wrap)
+    wraps = (lambda s: S.optional(S.object_({"a": s, "b": S.number})), lambda s: S.union(S.object_({"k": "a", "x": s}), S.object_({"k": "b", "y": S.number})),
+             lambda s: S.object_({"o": S.optional(S.number), "u": S.union(S.string, S.array(s))}), lambda s: S.array(S.nullable(s, None)), lambda s: S.record(S.union(S.int32.gt(1), s)))
+    for wrap in wraps:
+        began = time.time()
+        sizes = [nested(n, wrap) for n in (2, 4, 6)]
+        assert sizes[2] - sizes[1] < 1.7 * (sizes[1] - sizes[0]) + 1000 and time.time() - began < 12
+    began = time.time()
+    two = S.recursive("Node", lambda n: S.object_({"v": S.string.convert(S.number), "left": S.optional(n), "right": S.optional(n)}))
+    assert size(two) < 150_000 and time.time() - began < 6
     node = S.recursive("Node", lambda n: S.object_({"v": S.string.convert(S.number), "d": S.optional(S.number, 7), "next": S.optional(n)}))
-    assert size(node, depth=6) < 10 * size(node, depth=1)
     value = json.loads(parsed(spark, node, ['{"v":"1","x":2,"next":{"v":"2"}}'])[0][0])["v"]
     assert (value["v"], value["d"], value["next"]["v"], value["next"]["d"], "x" in value, value["next"].get("next")) == (1, 7, 2, 7, False, None)
 
 
+def test_arms_keep_their_order(spark):
+    arms = S.string, S.literal("a").convert(S.literal("b")), S.object_({"k": S.number})
+    assert parsed(spark, S.union(*arms), ['"a"'])[0][0] == '{"v":"a"}'
+    assert parsed(spark, S.union(arms[1], arms[0], arms[2]), ['"a"', '"c"'])[0][0] == '{"v":"b"}'
+    broad, tagged = S.record(S.number), S.object_({"t": S.literal(1), "u": S.optional(S.number)})
+    assert parsed(spark, S.union(broad, tagged), ['{"t":1,"u":2,"w":3}'])[0][0] == '{"v":{"t":1.0,"u":2.0,"w":3.0}}'
+    assert parsed(spark, S.union(tagged, broad), ['{"t":1,"u":2,"w":3}'])[0][0] == '{"v":{"t":1.0,"u":2.0}}'
+    refined = S.union(S.string.min_length(3), S.number, S.string)
+    assert verdicts(spark, refined, ['"abcd"', '"ab"', '""', "42", "true"]) == [True, True, True, True, False]
+    assert parsed(spark, refined, ["true"])[0][1][2] == "Expected string (length >= 3) | number | string, received true"
+
+
+def test_arms_that_no_value_reaches():
+    from tessera.plans import Options, live, mask
+
+    names = lambda *arms, kind="json": [S.expression(a) for a in live(tuple(map(S.as_schema, arms)), kind, Options())]
+    assert names("a", S.string, "b") == ["string"] and names(S.string, "a", 1) == ["string", "1"]
+    assert names("a", S.string.trim(), S.string) == ['"a"', "string", "string"]  # one arm changes strings
+    assert names(S.string, S.never, S.url, kind="unknown") == ["string"]  # no VARIANT is a URL
+    assert mask(S.optional(S.array(S.number)), "json") == {"array", "absent", "null"} and mask(S.nullable(S.bigint), "unknown") == {"number", "null"}
+
+
+def test_one_test_of_the_type(spark):
+    s = S.union(S.string, S.number, S.array(S.number), S.object_({"a": S.number}), S.boolean, None)
+    text = str(O.parser(s)("x", "unknown").value._jc.toString())
+    assert text.count("schema_of_variant(x)") == 1
+    values = ['"a"', "1.5", "[1,2]", '{"a":3}', "true", "null", '["x"]', '{"a":"y"}']
+    assert [e and (e[1], e[2].split("\n")[1:]) for _, e in parsed(spark, s, values, "unknown")] == [None] * 6 + [
+        ([], ['- At ["0"]: Expected number, received "x"']), ([], ['- At ["a"]: Expected number, received "y"'])]
+
+
+def test_text_of_unions(spark):
+    """Each arm writes its own text, wherever the union is."""
+    tagged = S.union(S.object_({"kind": "a", "n": S.bigint}), S.object_({"kind": "b", "d": S.date, "x": S.number}), S.object_({"kind": "c", "n": S.bigint}))
+    source = S.union(S.object_({"kind": "a", "n": S.bigint}), S.object_({"kind": "b", "d": S.date, "x": S.number}), S.object_({"kind": "c", "n": S.bigint}))
+    texts = ['{"kind":"a","n":"5"}', '{"kind":"b","d":"2020-01-02T03:04:05.678Z","x":1e21}', '{"kind":"c","n":"7"}']
+    df = O.parse(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i"), "x", source)
+    write = lambda s, c: [r[0] for r in df.select(O.encoder(S.json_string.convert(s))(c).value).collect()]
+    want = [texts[0], texts[1].replace("1e21", "1e+21"), texts[2]]
+    assert write(tagged, F.col("value")) == want
+    assert write(S.array(tagged), F.array("value", "value")) == [f"[{t},{t}]" for t in want]
+    assert write(S.record(tagged), F.create_map(F.lit("k"), F.col("value"))) == [f'{{"k":{t}}}' for t in want]
+    assert write(S.object_({"u": S.nullable(tagged)}), F.struct(F.when(F.col("i") > 0, F.col("value")).alias("u"))) == ['{"u":null}', f'{{"u":{want[1]}}}', f'{{"u":{want[2]}}}']
+    as_json = df.select(F.to_json(O.encoder(S.json_value.convert(tagged))("value").value)).first()[0]
+    assert json.loads(as_json) == {"kind": "a", "n": "5"}
+    # Structs of one type are told apart by their constants too.
+    same = S.union(S.object_({"kind": "a", "n": S.bigint}), S.object_({"kind": "b", "n": S.bigint}))
+    row = spark.sql("select named_struct('kind', 'b', 'n', 12bd) x")
+    assert row.select(O.encoder(S.json_string.convert(same))("x").value).first()[0] == '{"kind":"b","n":"12"}'
+    scalars = S.union(S.bigint, S.number, S.date, S.boolean, S.uint8_array, S.string, None)
+    row = spark.sql("select array(cast(5 as decimal(38,0))::variant, 5.0D::variant, timestamp'2020-01-01 00:00:00'::variant, true::variant, X'41'::variant, 'q\"'::variant, null) x")
+    assert row.select(O.encoder(S.json_string.convert(S.array(scalars)))("x").value).first()[0] == '["5",5,"2020-01-01T00:00:00.000Z",true,"A","q\\"",null]'
+    bad = spark.sql("select double('NaN')::variant x").select(O.encoder(S.json_string.convert(S.union(S.number, S.string)))("x").error["reason"]).first()[0]
+    assert "NaN" in bad
+
+
+def test_paths_of_tuples(spark):
+    s = S.as_schema([S.string, S.number.gt(1)])
+    row = spark.sql("select named_struct('_1', 'a', '_2', 0.0D) x")
+    assert row.select(O.decoder(s)("x").error["path"]).first()[0] == ["1"]
+    row = spark.sql("select named_struct('_1', 'a', '_2', double('Infinity')) x")
+    assert row.select(O.encoder(S.json_string.convert(S.as_schema([S.string, S.number])))("x").error["path"]).first()[0] == ["1"]
+
+
 def test_import_rejects():
     for key in ("uniqueItems", "patternProperties", "contains", "$dynamicRef"):
         with pytest.raises(S.SchemaError):
