@@ -21,6 +21,7 @@ from ..plans import ERROR, Compiler, Options, Out, failure, first, none, rendere
 from ..schema import DEFAULTS, Schema, SchemaError, as_schema
 
 _PARSED, _OUT = "__tessera_parsed", "__tessera_out"
+_VALUE, _ERROR, _ENTERED = "__tessera_v", "__tessera_e", "__tessera_n"
 
 
 @dataclass
@@ -101,12 +102,16 @@ def _from_text(compiler: Compiler, s: Schema, text: Column, parsed: Column) -> O
 
 
 def _staged(df: DataFrame, below: DataFrame, out: Out, s: Schema, into: str, mode: str) -> DataFrame:
-    """The value and error of out, computed once, beside the columns of df."""
-    if out.pair is not None:
-        below = below.select("*", out.pair.alias(_OUT))
-        out = out.inside(F.col(_OUT))
-    done = _in_mode(below, _result(s, out), into, mode)
-    return done.select(*[f"`{c}`" for c in df.columns], *[f"`{c}`" for c in done.columns[len(below.columns):]])
+    """The value and error of out beside the columns of df; columns of their names are replaced. Both are computed
+    once: a generator of one row keeps later filters on them from being pushed into what computes them, and the error
+    is put into words from a column, for failing rows alone."""
+    made = {"__tessera_value": into, "__tessera_value_error": f"{into}_error"} if mode == "permissive" else {"__tessera_value": into}
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in made.values()]
+    fields = [c for c, x in ((_VALUE, out.value), (_ERROR, out.error), (_ENTERED, out.entered)) if x is not None]
+    rows = below.select(*kept, out.held().alias(_OUT)).select(*kept, F.inline(F.array(_OUT)).alias(*fields))
+    result = _result(s, Out(F.col(_VALUE), None if out.error is None else F.col(_ERROR)))
+    done = _in_mode(rows, result, "__tessera_value", mode)
+    return done.select(*kept, *(F.col(k).alias(v) for k, v in made.items()))
 
 
 def decode(df: DataFrame, column: Column | str, *schemas: Any, into: str = "value", mode: str = "permissive") -> DataFrame:

@@ -119,7 +119,7 @@ def failure(path: tuple, reason: Column | str, code: str = "invalid_input", got:
 def rendered(error: Column) -> Column:
     """The error as it is returned."""
     said = lambda e: F.array_join(F.transform(e["parts"], lambda p: F.concat(p["text"], F.when(p["shown"], received_variant(p["got"])).otherwise(F.lit("")))), "")
-    return bound(error, lambda e: F.when(e.isNotNull(), F.struct(e["code"].alias("code"), e["path"].alias("path"), said(e).alias("reason"))))
+    return F.when(error.isNotNull(), bound(error, lambda e: F.struct(e["code"].alias("code"), e["path"].alias("path"), said(e).alias("reason"))))
 
 
 def first(*errors: Column | None) -> Column | None:
