@@ -385,7 +385,7 @@ class Compiler:
     def constant(self, s: Schema, v: Column, kind: str, path: tuple, tag: Column, get: Callable) -> Out:
         c = s.const
         if c is None:
-            ok = v.isNotNull() & F.is_variant_null(v)
+            ok = v.isNull() | F.is_variant_null(v) if kind == "typed" else v.isNotNull() & F.is_variant_null(v)
         elif isinstance(c, bool):
             ok = (get("boolean") == F.lit(c)) & (tag == "BOOLEAN")
         elif isinstance(c, str):  # values before types: few values pass, and a type is dear
@@ -408,6 +408,7 @@ class Compiler:
         # At this place itself errors name the whole.
         inner = self.parse(replace(s.items[0], said=s.said or expression(s)), v, kind, path)
         absent, empty = v.isNull(), v.isNotNull() & F.is_variant_null(v)
+        empty = absent | empty if kind == "typed" else empty
         missing = {"optional": absent | empty if kind == "json" else absent, "nullable": empty, "nullish": absent | empty}[s.kind]
         missing = F.coalesce(missing, F.lit(False))
 
@@ -994,6 +995,8 @@ class Compiler:
                 return Out(F.concat(F.lit("{"), F.array_join(F.filter(each, lambda p: p.isNotNull()), ","), F.lit("}")), o[0].error)
 
             return together([made], pairs, 1)
+        if k in ("tuple", "object") and s.shape is not None and not s.flipped:
+            return self.text_of_shape(s, s.shape, x, path)
         if k in ("tuple", "object"):
             names = [n for n, _ in fields_of(s)]
             outs = [self.text(t, x.getField(n), (*path, label(s, n))) for n, t in fields_of(s)]
@@ -1011,6 +1014,20 @@ class Compiler:
             return self.text_of_union(s, x, path)
         raise SchemaError(f"{expression(s)} has no JSON text", "unsupported_decode")
 
+    def text_of_shape(self, s: Schema, shape: Any, x: Column, path: tuple) -> Out:
+        """The text of an object's output in its shape."""
+        if isinstance(shape, Place):
+            return self.text(at_place(s, shape) if shape.path else replace(s, shape=None), x, path)
+        if not isinstance(shape, dict):
+            return Out(F.lit(literal_text(shape)), None)
+        outs = [self.text_of_shape(s, inner, x.getField(n), (*path, n)) for n, inner in shape.items()]
+
+        def whole(o: list[Out]) -> Out:
+            parts = [F.concat(F.lit(literal_text(n) + ":"), c.value) for n, c in zip(shape, o, strict=True)]
+            return Out(F.when(x.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))), first(*(None if c.error is None else F.when(x.isNotNull(), c.error) for c in o)))
+
+        return together(outs, whole, 1)
+
     def text_of_union(self, s: Schema, x: Column, path: tuple) -> Out:
         """The text of the arm that the value is of. Values of several types are a VARIANT; equal types are told
         apart by their constants, so containers are looked into as well."""
@@ -1184,9 +1201,9 @@ def mask(s: Schema, kind: str, inner: tuple[str, ...] = ()) -> frozenset[str]:
     k = s.kind
     if k == "literal":
         c = s.const
-        return frozenset({"null"} if c is None else {"boolean"} if isinstance(c, bool) else {"string"} if isinstance(c, str) else {"number"})
+        return frozenset({"null", "absent"} if c is None and kind == "typed" else {"null"} if c is None else {"boolean"} if isinstance(c, bool) else {"string"} if isinstance(c, str) else {"number"})
     if k in WRAPS:
-        more = {"optional": {"absent", "null"} if json else {"absent"}, "nullable": {"null"}, "nullish": {"absent", "null"}}[k]
+        more = {"optional": {"absent", "null"} if json else {"absent"}, "nullable": {"absent", "null"} if kind == "typed" else {"null"}, "nullish": {"absent", "null"}}[k]
         return mask(s.items[0], kind, inner) | more
     if k == "union":
         return frozenset().union(*(mask(a, kind, inner) for a in s.arms))

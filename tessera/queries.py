@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cases
 from . import operators as O
 from . import schema as S
+from . import tablequeries
 from .functions import number_text
 from .jsonschema import from_json_schema
 
@@ -263,5 +263,5 @@ def number_text_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", number_text(F.col("l_quantity")).alias("t"))
 
 
-QUERIES.update(cases.QUERIES)
-SQL.update(cases.SQL)
+QUERIES.update(tablequeries.QUERIES)
+SQL.update(tablequeries.SQL)
