@@ -26,7 +26,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .. import formats
+from .. import formats, patterns
 from ..functions import (alone, bound, indented, is_multiple, iso_text, json_in, number_text, quoted, strict_json, text_of_bytes,
                          to_bigint, to_number, trimmed, utf16_length, wrapped_json)
 from ..schema import ABSENT, AUTO, DEFAULTS, NEVER, Place, Schema, SchemaError, expression, literal_text
@@ -227,7 +227,7 @@ def checked(s: Schema, x: Column, kind: str, path: tuple, before: bool = False)
             n = F.octet_length(x if kind == "binary" else x["content"])
             test = n >= bound if key == "minSize" else n <= bound
         else:
-            test = x.rlike(java_pattern(bound))
+            test = x.rlike(patterns.compiled(*patterns.parted(bound)))
         error = failure(path, dict(s.messages).get("pattern", "Invalid pattern")) if key == "pattern" and "_" not in dict(s.messages) else expected(s, show, path, key)
         errors.append(unless(test, error))
     if s.format and not before:
@@ -237,30 +237,6 @@ def checked(s: Schema, x: Column, kind: str, path: tuple, before: bool = False)
     return first(*errors)
 
 
-def java_pattern(regex: str) -> str:
-    """A JavaScript pattern in Java's dialect: `$` is the very end, classes have no set operators."""
-    out, i, inside = [], 0, False
-    while i < len(regex):
-        c = regex[i]
-        if c == "\\" and i + 1 < len(regex):
-            out.append(regex[i:i + 2])
-            i += 2
-            continue
-        if inside:
-            out.append("\\[" if c == "[" else "\\&" if c == "&" else c)
-            inside = c != "]"
-        elif c == "[":
-            inside = True
-            out.append(c)
-            if regex[i + 1:i + 2] == "^":
-                out.append("^")
-                i += 1
-        else:
-            out.append("\\z" if c == "$" else c)
-        i += 1
-    return "".join(out)
-
-
 # --- reading a VARIANT -------------------------------------------------------------------------
 def step(name: str) -> str:
     return '$["' + name.replace("\\", "\\\\").replace('"', '\\"') + '"]'

@@ -12,15 +12,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from . import formats
-
-
-class SchemaError(Exception):
-    """A schema or an operation on it that can never work; code says which kind."""
-
-    def __init__(self, reason: str, code: str = "invalid_operation") -> None:
-        super().__init__(reason)
-        self.code, self.reason = code, reason
+from . import formats, patterns
+from .errors import SchemaError
 
 
 ABSENT = type("Absent", (), {"__repr__": lambda s: "undefined", "__bool__": lambda s: False})()
@@ -175,8 +168,10 @@ class Schema:
     def size(self, n: int, message: str | None = None) -> Schema:
         return self.min_size(n, message).max_size(n, message)
 
-    def pattern(self, regex: str, message: str = "Invalid pattern") -> Schema:
-        return self.bound("pattern", regex, message)
+    def pattern(self, regex: str, message: str = "Invalid pattern", flags: str = "") -> Schema:
+        """A pattern in JavaScript's dialect, anywhere in the text."""
+        patterns.java(regex, flags)
+        return self.bound("pattern", f"(?{flags})".join(("", regex)) if flags else regex, message)
 
     def trim(self) -> Schema:
         return self.convert(Schema("trimmed"))

@@ -513,3 +513,25 @@ def test_text_formats_in_documents():
     assert to_json_schema(text, "draft-2020-12")["contentSchema"]["properties"] == {"a": {"type": "number"}}
     assert to_json_schema(text, "openapi-3.0") == {"type": "string"}
     assert "contentSchema" not in to_json_schema(S.json_string.convert(S.bigint), "draft-2020-12")
+
+
+@pytest.mark.parametrize(("pattern", "flags", "good", "bad"), [
+    (r"^a[^]b$", "", ["a\nb", "axb"], ["ab", "a\r\nb"]), (r"(?<a_b>x)y\k<a_b>", "", ["xyx"], ["xyy"]), (r"^\u{61}$", "u", ["a"], ["u"]), (r"^\u{3}$", "", ["uuu"], ["a", "\x03"]),
+    (r"^\s$", "", [" ", "﻿", " ", " "], ["\u0085", "᠎", "x"]), (r"^.$", "", ["\u0085", "x"], ["\n", "\r", " ", " "]), (r"^.$", "s", ["\n", " "], ["", "ab"]),
+    (r"^\w\d$", "", ["a1", "_9"], ["é1", "a٣"]), (r"\bfoo\b", "", ["a foo.", "éfooé"], ["foot", "_foo"]), (r"^a$", "", ["a"], ["a\n", "b\na"]), (r"^a$", "m", ["a\n", "b\na c"], ["ab"]),
+    (r"^[a-z&&[aeiou]]$", "", ["a]", "&]", "[]"], ["a", "A]"]), (r"^x{,2}$", "", ["x{,2}"], ["xx"]), (r"^a{2}]}$", "", ["aa]}"], ["aa"]), (r"^[\b\-\]]+$", "", ["\b-]"], ["b"]),
+    (r"^\cJ\x41\101\0$", "", ["\nAA\0"], ["JAA0"]), (r"(?i)", "", [], None), (r"ÉTÉ", "i", ["été"], ["ete"]), (r"^\p{Lu}+$", "u", ["ÀÉ"], ["à"]), (r"^\p{Script=Greek}$", "u", ["α"], ["a"]), (r"^p{2}$", "", ["pp"], ["p{2}"]),
+    (r"^[^\s\d]+$", "", ["ab"], ["a b", "a1"]), (r"^(?:a|b)*?c(?=d)", "", ["abcd"], ["abc"]), (r"(?<!\$)\d{2,3}", "", ["x12"], ["$1"]), (r"^#\Q$", "", ["#Q"], ["#"]), (r"a++", "", [], None), ("(", "", [], None), ("a{3,1}", "", [], None),
+    (r"(?<x>a)|b\k<x>", "", [], None), (r"(a)?\1", "", [], None), (r"[z-a]", "", [], None), (r"\u{110000}", "u", [], None), (r"\-", "u", [], None), (r"[]", "", [], ["", "a"]), (r"(?<n>a)(?<n>b)", "", [], None)])
+def test_patterns(spark, pattern, flags, good, bad):
+    if bad is None:
+        with pytest.raises(S.SchemaError, match="Invalid pattern"):
+            S.string.pattern(pattern, flags=flags)
+        return
+    got = column(spark, good + bad, lambda x: O.decoder(S.string.pattern(pattern, flags=flags))(x).valid)
+    assert got == [True] * len(good) + [False] * len(bad)
+
+
+def test_patterns_that_the_engine_refuses(spark):
+    with pytest.raises(S.SchemaError, match="Invalid pattern"):
+        O.decoder(S.string.pattern(r"\p{Nonsense}", flags="u"))("x")
