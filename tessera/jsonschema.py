@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import formats
+from . import constants, formats, patterns
 from . import schema as S
 from .plans import Compiler
 from .schema import ABSENT, Check, Schema, SchemaError
@@ -67,6 +67,16 @@ def _emit(s: Schema, target: str, path: tuple, defs: dict) -> dict:
     return {**out, **dict(s.extension)}
 
 
+def _default_form(s: Schema) -> Any:
+    """The default of a schema as its document has it, in input form; absent if there is none or it can't be told."""
+    if s.default is ABSENT or s.default is None or callable(s.default):
+        return ABSENT
+    try:
+        return constants.encoded(s.items[0], s.default)
+    except constants.Unknown:
+        return ABSENT
+
+
 def _base(s: Schema, target: str, path: tuple, defs: dict) -> dict:
     k, b, openapi = s.kind, dict(s.bounds), target == "openapi-3.0"
     if k in ("string", "trimmed", "jsonString"):
@@ -75,7 +85,7 @@ def _base(s: Schema, target: str, path: tuple, defs: dict) -> dict:
         if s.format and s.format != "cuid":  # no format of the specifications
             out["format"] = s.format
         if "pattern" in b:
-            out["pattern"] = b["pattern"]
+            out["pattern"] = patterns.parted(b["pattern"])[0]
         if k == "jsonString" and not openapi:  # OpenAPI 3.0 has no content keywords, draft-07 no contentSchema
             out["contentMediaType"] = "application/json"
             if s.to is not None and target == "draft-2020-12":
@@ -124,8 +134,8 @@ def _base(s: Schema, target: str, path: tuple, defs: dict) -> dict:
             inner = x
             if x.kind == "optional":
                 props[name] = _emit(x.items[0], target, (*path, name), defs)
-                if x.default is not ABSENT and not callable(x.default):
-                    props[name]["default"] = x.default
+                if (default := _default_form(x)) is not ABSENT:
+                    props[name]["default"] = default
                 continue
             if x.kind == "undefined":
                 continue
@@ -135,6 +145,7 @@ def _base(s: Schema, target: str, path: tuple, defs: dict) -> dict:
         out = {"type": "object", "properties": props}
         if s.extras == "strict":
             out["additionalProperties"] = False
+        required = [n for n in s.required if n in props] if s.required is not None else required
         if required:
             out["required"] = required
         return out
@@ -143,7 +154,7 @@ def _base(s: Schema, target: str, path: tuple, defs: dict) -> dict:
     if k == "nullable" or k == "nullish":
         inner = _emit(s.items[0], target, path, defs)
         out = {**inner, "nullable": True} if openapi else {"anyOf": [inner, {"type": "null"}]}
-        return {"default": s.default, **out} if s.default is not ABSENT and not callable(s.default) else out
+        return {"default": default, **out} if (default := _default_form(s)) is not ABSENT else out
     if k == "union":
         arms = [a for a in s.arms if a.kind not in ("undefined", "never")]
         if arms and all(a.kind == "literal" and a.const is not None and not a.to for a in arms):
@@ -225,8 +236,10 @@ class _Reader:
             out = S.nullable(out)
         if "default" in d:
             out = out.with_meta(default=d["default"])
-        meta = {k: d[k] for k in ("title", "description", "deprecated", "examples") if k in d}
-        return out.with_meta(**meta) if meta else out
+        meta = {k: d[k] for k in ("title", "description", "deprecated") if k in d}
+        out = out.with_meta(**meta) if meta else out
+        # A document's examples are in input form already.
+        return replace(out, meta=(*out.meta, ("examples", d["examples"]))) if "examples" in d else out
 
     def reference(self, ref: str) -> Schema:
         if ref in self.open:
@@ -287,7 +300,10 @@ class _Reader:
             except SchemaError:
                 return S.never
             if "pattern" in d:
-                s = s.pattern(d["pattern"])
+                try:  # by the specification, with the grammar of Unicode mode
+                    s = s.pattern(d["pattern"], flags="u")
+                except SchemaError:
+                    s = s.pattern(d["pattern"])
             return replace(s, format=d["format"]) if d.get("format") in formats.NAMES else s
         if kind == "object":
             return self.object(d)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import json
 import math
 import operator
 from collections.abc import Callable
@@ -400,8 +401,10 @@ class Compiler:
             return none(kind)
         if callable(s.default):
             return s.default()
-        if isinstance(s.default, (dict, list)):
-            raise SchemaError("defaults of containers are given as a function that returns a column")
+        if isinstance(s.default, (dict, list, tuple)) or kind == "variant":
+            # Read by its own type from JSON text, which stands for the value once per plan.
+            text = json.dumps(_json_form(s.default))
+            return as_type(self.parse(_plain(s.items[0].output), F.parse_json(F.lit(text)), "json").value, node_type(_plain(s.items[0].output)), kind)
         return F.lit(s.default).cast(kind)
 
     def each(self, s: Schema, v: Column, kind: str, path: tuple) -> Out:
@@ -1068,6 +1071,19 @@ def _or_else(got: Out, then: Callable[[Column], Column], rest: Column) -> Column
     return bound(got.held(), lambda p: F.when(p["e"].isNull(), then(p["v"])).otherwise(rest))
 
 
+def _json_form(x: Any) -> Any:
+    """A value as JSON brings it."""
+    if isinstance(x, dict):
+        return {k: _json_form(v) for k, v in x.items()}
+    if isinstance(x, (list, tuple)):
+        return [_json_form(v) for v in x]
+    if isinstance(x, bytes):
+        return x.decode()
+    if hasattr(x, "isoformat"):
+        return x.isoformat() if "T" in x.isoformat() and x.isoformat().endswith("Z") else f"{x:%Y-%m-%dT%H:%M:%S}Z"
+    return x
+
+
 def _plain(s: Schema) -> Schema:
     """The output type of s alone: its values have been checked."""
     node = replace(s.output, checks=(), input_checks=(), bounds=(), format=None, coder=None, shape=None, default=ABSENT, extras="strip")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from . import formats, patterns
+from . import constants, formats, patterns
 from .errors import SchemaError
 
 
@@ -63,6 +63,7 @@ class Schema:
     extension: tuple[tuple[str, Any], ...] = ()
     ref: str | None = None
     defs: dict = field(default_factory=dict, compare=False)
+    required: tuple[str, ...] | None = None  # the keys that a document requires, if not those that are not optional
     slot: int | None = field(default=None, compare=False)  # of a reference, while its body is compiled
     flipped: bool = False  # coders run in the other direction
     code_points: bool = False  # lengths count code points
@@ -199,7 +200,15 @@ class Schema:
         return replace(self, messages=(*self.messages, ("_", text)))
 
     def with_meta(self, **meta: Any) -> Schema:
-        """name, title, description, deprecated, examples (in output form) and own keys."""
+        """name, title, description, deprecated, examples and own keys. Examples are given in output form and kept in
+        input form; a bad one raises, and where the input form can't be worked out without Spark there are none."""
+        if "examples" in meta:
+            for x in meta["examples"]:
+                constants.checked(self, x)
+            try:
+                meta["examples"] = [constants.encoded(self, x) for x in meta["examples"]]
+            except constants.Unknown:
+                del meta["examples"]
         if "name" in meta:
             return replace(self, name=meta["name"], meta=tuple({**dict(self.meta), **meta}.items()))
         return replace(self, meta=tuple({**dict(self.meta), **meta}.items()))
@@ -428,18 +437,28 @@ def optional(kind: Any, default: Any = ABSENT) -> Schema:
     kind = as_schema(kind)
     if kind.kind == "optional" and default is ABSENT:
         return kind
-    return Schema("optional", items=(kind,), default=default)
+    return _with_default(Schema("optional", items=(kind,)), default)
+
+
+def _with_default(s: Schema, default: Any) -> Schema:
+    """The schema with a default of its output type, a value or a function that returns a column."""
+    if default is not ABSENT and default is not None and not callable(default):
+        try:
+            constants.checked(s.items[0], default)
+        except SchemaError as e:
+            raise SchemaError(f"Invalid default for {expression(s)}: {e.reason}") from None
+    return replace(s, default=default)
 
 
 option = optional
 
 
 def nullable(kind: Any, default: Any = ABSENT) -> Schema:
-    return Schema("nullable", items=(as_schema(kind),), default=default)
+    return _with_default(Schema("nullable", items=(as_schema(kind),)), default)
 
 
 def nullish(kind: Any, default: Any = ABSENT) -> Schema:
-    return Schema("nullish", items=(as_schema(kind),), default=default)
+    return _with_default(Schema("nullish", items=(as_schema(kind),)), default)
 
 
 def null_as_option(kind: Any) -> Schema:
@@ -468,10 +487,11 @@ def enum(values: list) -> Schema:
 
 
 def merge(a: Schema, b: Schema) -> Schema:
-    """The fields of both, those of b first in right; the extras mode is a's."""
+    """The fields of both, those of b first in right; the extras mode is a's. A document requires all keys."""
     if a.kind != "object" or b.kind != "object" or a.to or b.to or a.shape is not None or b.shape is not None:
         raise SchemaError("only plain objects can be merged")
-    return replace(a, props=tuple({**dict(a.props), **dict(b.props)}.items()))
+    props = {**dict(a.props), **dict(b.props)}
+    return replace(a, props=tuple(props.items()), required=tuple(props), checks=(), input_checks=(), meta=(), name=None)
 
 
 def compact_columns(rows: Schema) -> Schema:

@@ -535,3 +535,39 @@ def test_patterns(spark, pattern, flags, good, bad):
 def test_patterns_that_the_engine_refuses(spark):
     with pytest.raises(S.SchemaError, match="Invalid pattern"):
         O.decoder(S.string.pattern(r"\p{Nonsense}", flags="u"))("x")
+
+
+def test_defaults_are_checked_when_made(spark):
+    import datetime
+
+    for make in (lambda: S.optional(S.number, "x"), lambda: S.optional(S.number.gt(5), 1), lambda: S.nullable(S.string.min_length(3), "ab"), lambda: S.nullish(S.array(S.number), [1, "x"]),
+                 lambda: S.optional(S.object_({"a": S.number}), {"a": "x"}), lambda: S.optional(S.enum(["a", "b"]), "c"), lambda: S.optional(S.int32, 1.5), lambda: S.optional(S.string.pattern(r"^\d+$"), "x"),
+                 lambda: S.optional(S.string.convert(S.number), "1"), lambda: S.object_(lambda c: c.field_or("a", S.boolean, 1))):
+        with pytest.raises(S.SchemaError, match="Invalid default for"):
+            make()
+    with pytest.raises(S.SchemaError, match=r'Invalid default for number\[\] \| undefined: Failed at \["1"\]: Expected number, received "x"'):
+        S.optional(S.array(S.number), [1, "x"])
+    s = S.object_({"n": S.optional(S.string.convert(S.number), 7), "l": S.optional(S.array(S.number), [1, 2]), "o": S.nullable(S.object_({"x": S.string, "d": S.date}), {"x": "q", "d": datetime.datetime(2020, 1, 2)}),
+                   "u": S.optional(S.union(S.string, S.number), 5), "f": S.optional(S.number, lambda: F.lit(3.0))})
+    got = parsed(spark, s, ['{"o":null}', '{"n":"8","l":[],"o":{"x":"y","d":"2021-01-01"},"u":"t","f":1}'])
+    assert (got[0][0]["n"], got[0][0]["l"], got[0][0]["o"]["x"], got[0][0]["o"]["d"], got[0][0]["u"].toPython(), got[0][0]["f"]) == (7, [1, 2], "q", datetime.datetime(2020, 1, 2), 5, 3)
+    assert got[1][1] is None and got[1][0]["n"] == 8
+    doc = to_json_schema(S.object_({"n": S.optional(S.string.convert(S.number), 7), "f": S.optional(S.number, lambda: F.lit(1.0)), "c": S.optional(S.string.convert(S.number, decode=lambda c: F.length(c)), 2)}))
+    assert doc["properties"] == {"n": {"type": "string", "default": "7"}, "f": {"type": "number"}, "c": {"type": "string"}}
+
+
+def test_examples_are_kept_in_input_form():
+    s = S.string.convert(S.number).with_meta(examples=[1, 2.5, 1e21, 1e-7])
+    assert to_json_schema(s)["examples"] == ["1", "2.5", "1e+21", "1e-7"]
+    nested = S.object_({"a": S.array(S.string.convert(S.bigint)), "b": S.optional(S.string.convert(S.boolean))}).with_meta(examples=[{"a": [1, 10**30], "b": True}, {"a": []}])
+    assert to_json_schema(nested)["examples"] == [{"a": ["1", "1" + "0" * 30], "b": "true"}, {"a": []}]
+    with pytest.raises(S.SchemaError, match='Expected number, received "1"'):
+        S.string.convert(S.number).with_meta(examples=["1"])
+    assert "examples" not in to_json_schema(S.string.convert(S.number, decode=lambda c: F.length(c)).with_meta(examples=[1]))
+    assert from_json_schema({"type": "string", "examples": [1]}).get_meta("examples") == [1]
+
+
+def test_merged_documents_require_every_key():
+    doc = to_json_schema(S.merge(S.object_({"a": S.optional(S.string)}), S.object_({"b": S.number})))
+    assert doc["required"] == ["a", "b"] and list(doc["properties"]) == ["a", "b"]
+    assert to_json_schema(S.string.pattern("^a", flags="i"))["pattern"] == "^a"
