@@ -5,14 +5,14 @@ struct<code, path, reason>, the first error alone. DataFrame forms add columns o
 source is JSON text (`string`), VARIANT (`json`: it came from JSON; `unknown`: it did not), or typed.
 """
 
-from __future__ import annotations
-
+import asyncio
 import functools
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +79,7 @@ def encoder(*schemas: Any, options: Options | None = None) -> Callable[[Column |
     return decoder(*(as_schema(s).reverse() for s in schemas), options=options)
 
 
-# Spark is asynchronous by itself: these are the same operations.
+# Spark is asynchronous by itself: these are the same operations, and take coders made by async_coder.
 async_parser, async_decoder, async_encoder = parser, decoder, encoder
 
 
@@ -193,6 +193,15 @@ def standard_validate(s: Any, column: Column | str, source: str = "string") -> C
     return F.struct(F.when(r.valid, r.value).alias("value"), F.when(~r.valid, issue).alias("issues"))
 
 
+def standard(s: Any) -> dict[str, Any]:
+    """The `~standard` interface of a schema: validation of a column, documents of both sides."""
+    from ..jsonschema import to_json_schema
+
+    s = as_schema(s)
+    return {"version": 1, "vendor": "tessera", "validate": functools.partial(standard_validate, s), "jsonSchema": {
+        "input": lambda target=None: to_json_schema(s, target), "output": lambda target=None: to_json_schema(s.reverse(), target)}}
+
+
 def reverse(s: Any) -> Schema:
     return as_schema(s).reverse()
 
@@ -207,11 +216,68 @@ def coder(fn: Callable, returns: str) -> Callable[[Column], Column]:
         except Exception as e:  # noqa: BLE001
             return None, str(e)
 
+    return _catching(run)
+
+
+def _catching(run: Callable[[Column], Column]) -> Callable[[Column], Column]:
     wrapped = functools.partial(lambda c: run(c))
     wrapped.catches = True
     return wrapped
 
 
+def async_coder(fn: Callable, returns: str, in_flight: int = 64, timeout: float | None = None) -> Callable[[Column], Column]:
+    """An `async def` of one value as a conversion: up to in_flight calls of a task wait at once, values keep their
+    order. What a call raises, or a call of more than timeout seconds, becomes invalid_conversion of its value alone;
+    null is not passed on. A task holds the values of one Arrow batch."""
+    @F.pandas_udf(f"struct<value:{returns},error:string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        async def one(x: Any, room: asyncio.Semaphore) -> tuple:
+            async with room:
+                try:
+                    return await asyncio.wait_for(fn(x), timeout), None
+                except TimeoutError:
+                    return None, f"no answer in {timeout} s"
+                except Exception as e:  # noqa: BLE001
+                    return None, str(e)
+
+        async def all_(xs: list) -> list[tuple]:
+            room = asyncio.Semaphore(in_flight)
+            return await asyncio.gather(*(_nothing() if x is None else one(x, room) for x in xs))
+
+        with asyncio.Runner() as loop:
+            for batch in batches:
+                values = [None if pd.api.types.is_scalar(x) and pd.isna(x) else x for x in batch.tolist()]
+                made = loop.run(all_(values))
+                yield pd.DataFrame({"value": pd.Series([v for v, _ in made], dtype=object), "error": pd.Series([e for _, e in made], dtype=object)})
+
+    return _catching(run)
+
+
+async def _nothing() -> tuple:
+    return None, None
+
+
+def batch_coder(fn: Callable, returns: str) -> Callable[[Column], Column]:
+    """A function of a pandas Series to one of the same length as a conversion. If it raises, the values of the batch are
+    tried one by one, so that an error is that of its value alone."""
+    @F.pandas_udf(f"struct<value:{returns},error:string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def one(x: pd.Series) -> tuple:
+            try:
+                return fn(x.reset_index(drop=True)).iloc[0], None
+            except Exception as e:  # noqa: BLE001
+                return None, str(e)
+
+        for batch in batches:
+            try:
+                yield pd.DataFrame({"value": fn(batch), "error": None})
+            except Exception:  # noqa: BLE001
+                made = [one(batch.iloc[i:i + 1]) for i in range(len(batch))]
+                yield pd.DataFrame({"value": pd.Series([v for v, _ in made], dtype=object), "error": pd.Series([e for _, e in made], dtype=object)})
+
+    return _catching(run)
+
+
 def columns_of(s: Schema, order_by: str) -> Column:
     """Aggregate: the rows of a group as compact columns, JSON text, in order. Groups are bounded by the caller."""
     if s.kind != "object":

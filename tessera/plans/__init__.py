@@ -583,8 +583,9 @@ class Compiler:
         whole = node_type(s)
         failing = Out(none(whole), expected(s, v, path, "_"), F.lit(True))
 
-        def run(b: Column) -> Column:
-            v, child, tag = b["v"], b["c"], b["t"]
+        child = F.try_variant_get(v, step(name), "variant")
+
+        def run(v: Column, child: Column, tag: Column) -> Column:
             pair = failing.held()
             for a in reversed(arms):
                 const = dict(a.props)[name]
@@ -594,8 +595,10 @@ class Compiler:
                 pair = F.when(ok, self.uniform(made, whole)).otherwise(pair)
             return pair
 
-        child = F.try_variant_get(v, step(name), "variant")
-        pair = bound(F.struct(v.alias("v"), child.alias("c"), F.schema_of_variant(child).alias("t")), run)
+        # Where it is cheap to read, the constant is not bound: columns outside lambdas are compiled, not interpreted.
+        if len(arms) <= 8:
+            return failing.inside(run(v, child, F.schema_of_variant(child)), LIGHT)
+        pair = bound(F.struct(v.alias("v"), child.alias("c"), F.schema_of_variant(child).alias("t")), lambda b: run(b["v"], b["c"], b["t"]))
         return failing.inside(pair, LIGHT)
 
     def before(self, s: Schema, out: Out, v: Column, path: tuple) -> Out:
@@ -766,7 +769,12 @@ class Compiler:
 
         def body(o: list[Out]) -> Out:
             value, error = o[0].value, o[0].error
-            if kind != "variant" and not kind.startswith(("struct", "array", "map")):
+            if kind.startswith(("struct", "array", "map")):
+                # Parts that are of another type become null, which `inside` reports at their place.
+                cast = value.try_cast(kind)
+                error = first(error, F.when(value.isNotNull() & cast.isNull(), expected(b, "another type", path)))
+                value = cast
+            elif kind != "variant":
                 cast = value.try_cast(kind)
                 error = first(error, F.when(value.isNotNull() & cast.isNull(), expected(b, value.cast("variant"), path)))
                 value = cast
