@@ -20,7 +20,7 @@ from ..functions import alone, json_in, wrapped_json
 from ..plans import ERROR, Compiler, Options, Out, failure, first, none, rendered, together, type_of, unless
 from ..schema import DEFAULTS, Schema, SchemaError, as_schema
 
-_PARSED, _OUT = "__tessera_parsed", "__tessera_out"
+_PARSED, _STRICT, _OUT, _RESULT = "__tessera_parsed", "__tessera_strict", "__tessera_out", "__tessera_result"
 _VALUE, _ERROR, _ENTERED = "__tessera_v", "__tessera_e", "__tessera_n"
 
 
@@ -89,9 +89,18 @@ def parse(df: DataFrame, column: str, s: Any, into: str = "value", mode: str = "
     node, compiler = as_schema(s), Compiler(options)
     if source != "string":
         return _staged(df, df, compiler.parse(node, F.col(column), source), node, into, mode)
-    # The text is parsed once, below everything that reads it.
-    staged = df.select("*", wrapped_json(F.col(column)).alias(_PARSED))
-    return _staged(df, staged, _from_text(compiler, node, F.col(column), F.col(_PARSED)), node, into, mode)
+    # The text is parsed once, below everything that reads it; outside of lambdas columns are compiled, so what is used
+    # again is a column of its own.
+    text, parsed = F.col(column), F.col(_PARSED)
+    staged = df.select("*", wrapped_json(text).alias(_PARSED))
+    ok = text.isNull() | (parsed.isNotNull() if compiler.o.trusted_json else alone(parsed))
+    staged = staged.select(*(F.col(f"`{c}`") for c in df.columns), json_in(parsed).alias(_PARSED), ok.alias(_STRICT))
+    out = compiler.parse(node, parsed, "json")
+    if out.pair is not None:
+        staged = staged.select("*", out.pair.alias(_OUT))
+        out = out.inside(F.col(_OUT))
+    bad = unless(F.col(_STRICT), failure((), "Expected JSON string, received ", got=text.cast("variant")))
+    return _staged(df, staged, Out(out.value, first(bad, out.error)), node, into, mode)
 
 
 def _from_text(compiler: Compiler, s: Schema, text: Column, parsed: Column) -> Out:
@@ -108,7 +117,7 @@ def _staged(df: DataFrame, below: DataFrame, out: Out, s: Schema, into: str, mod
     made = {"__tessera_value": into, "__tessera_value_error": f"{into}_error"} if mode == "permissive" else {"__tessera_value": into}
     kept = [F.col(f"`{c}`") for c in df.columns if c not in made.values()]
     fields = [c for c, x in ((_VALUE, out.value), (_ERROR, out.error), (_ENTERED, out.entered)) if x is not None]
-    rows = below.select(*kept, out.held().alias(_OUT)).select(*kept, F.inline(F.array(_OUT)).alias(*fields))
+    rows = below.select(*kept, out.held().alias(_RESULT)).select(*kept, F.inline(F.array(_RESULT)).alias(*fields))
     result = _result(s, Out(F.col(_VALUE), None if out.error is None else F.col(_ERROR)))
     done = _in_mode(rows, result, "__tessera_value", mode)
     return done.select(*kept, *(F.col(k).alias(v) for k, v in made.items()))
