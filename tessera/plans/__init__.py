@@ -27,7 +27,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .. import formats, patterns
+from .. import formats, patterns, urls
 from ..functions import (alone, bound, indented, is_multiple, iso_text, json_in, number_text, quoted, strict_json, text_of_bytes,
                          to_bigint, to_number, trimmed, utf16_length, wrapped_json)
 from ..schema import ABSENT, AUTO, DEFAULTS, NEVER, Place, Schema, SchemaError, expression, literal_text
@@ -840,8 +840,8 @@ class Compiler:
                 y = iso_date_time(x)
                 return Out(y, unless(y.isNotNull(), expected(b, "invalid Date", path)))
             if q == "url":
-                ok = F.try_parse_url(x, F.lit("PROTOCOL")).isNotNull()
-                return bad(ok, x)
+                y = Out(urls.href(x), None, weight=LIGHT)
+                return together([y], lambda o: Out(o[0].value, unless(o[0].value.isNotNull(), expected(b, show, path))))
             if q in ("bytes", "blob"):
                 return Out(F.encode(x, "UTF-8"), None)
             if q in ("literal", "undefined", "nan"):

@@ -120,6 +120,9 @@ valid("c12_string_to_url", "pages", "'\"' || CASE WHEN page_id % 3 = 0 THEN repl
 encoded("c13_url_to_string", "pages", "url", S.string.convert(S.url), lambda x: x, "x")
 over("c14_string_to_bytes", "documents", "text", lambda x: F.md5(F.hex(O.decoder(S.string.convert(S.uint8_array))(x).value)), "md5(hex(encode(x)))")
 encoded("c14_bytes_to_string", "documents", "text", S.string.convert(S.uint8_array), lambda x: F.encode(x, "UTF-8"), "md5(x)", F.md5)
+_SPELLED = "upper(split_part(url, '/', 1)) || '//u ser:p@' || upper(split_part(url, '/', 3)) || ':443/x/../b/%2e/c d\\\\' || CAST(page_id AS STRING) || '/..?q= é''#f`'"
+value("c13_url_href", "pages", "'\"' || " + _SPELLED.replace("\\\\", "/") + " || '\"'", S.string.convert(S.url).convert(S.string),
+      "split_part(url, '/', 1) || '//u%20ser:p@' || split_part(url, '/', 3) || CASE WHEN url LIKE 'https%' THEN '' ELSE ':443' END || '/b/c%20d/?q=%20%C3%A9%27#f%60'")
 value("c15_json_to_typed", "events", "CASE WHEN event_id % 4 = 0 THEN '{\"k\":\"' || event_type || '\"}' ELSE props END", S.json_value.convert(S.object_({"k": S.number})), "try_cast(x->>'$.k' AS DOUBLE)", lambda v: v["k"])
 encoded("c16_typed_to_json", "orders", "o_orderkey", S.json_value.convert(S.object_({"id": S.bigint, "at": S.date, "note": S.optional(S.string), "f": S.nullable(S.boolean)})),
         lambda x: F.struct(x.cast("decimal(38,0)").alias("id"), F.col("o_orderdate").cast("timestamp").alias("at"), F.when(x % 2 == 0, F.col("o_orderpriority")).alias("note"), F.when(x % 3 == 0, x % 2 == 0).alias("f")),

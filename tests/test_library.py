@@ -611,3 +611,23 @@ def test_standard_interface(spark):
     assert it["version"] == 1 and it["jsonSchema"]["input"]()["properties"] == {"a": {"type": "string"}} and it["jsonSchema"]["output"]("draft-07")["properties"] == {"a": {"type": "number"}}
     row = spark.createDataFrame([('{"a":"x"}',)], "x string").select(it["validate"]("x").alias("r")).first().r
     assert row.issues[0].path == ["a"]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("http://EXAMPLE.com", "http://example.com/"), (" https://a.b:443/x/./y/../z?q#f ", "https://a.b/x/z?q#f"), ("http:\\\\a.b\\c", "http://a.b/c"), ("http:a.b", "http://a.b/"), ("HTTP://u:p%40@a.b:8080", "http://u:p%40@a.b:8080/"),
+    ("http://a.b/%2e%2E/..", "http://a.b/"), ("http://a.b/c/.", "http://a.b/c/"), ("http://a.b/é ?ü'#<>", "http://a.b/%C3%A9%20?%C3%BC%27#%3C%3E"), ("ht\ntp://a\t.b", "http://a.b/"), ("http://a.b?", "http://a.b/?"), ("http://a.b#", "http://a.b/#"),
+    ("http://0x7f.1", "http://127.0.0.1/"), ("http://017.0.0.1/", "http://15.0.0.1/"), ("http://1.2.3.4.", "http://1.2.3.4/"), ("http://256", "http://0.0.1.0/"), ("http://1.2.3.256", None), ("http://a.1.b.09", None),
+    ("http://[2001:DB8:0:0:1:0:0:1]:80", "http://[2001:db8::1:0:0:1]/"), ("http://[::ffff:1.2.3.4]", "http://[::ffff:102:304]/"), ("http://[::1", None), ("http://[1::2::3]", None), ("http://%41.com", "http://a.com/"), ("http://a%00b", None),
+    ("http://", None), ("http://a b", None), ("http://a.b:x", None), ("http://a.b:65536", None), ("http://a.b:", "http://a.b/"), ("http://a.b:0080", "http://a.b/"), ("//a.b", None), ("a", None), ("", None), ("1a:b", None), ("http://@a.b", "http://a.b/"), ("http://a@b@c.d/", "http://a%40b@c.d/"),
+    ("file:///a/../b", "file:///b"), ("file://localhost/c", "file:///c"), ("file:x", "file:///x"), ("mailto:x@y.z", "mailto:x@y.z"), ("data:text/plain,é b", "data:text/plain,%C3%A9 b"), ("foo://Bar/a/../b", "foo://Bar/b"), ("foo:/a/./b", "foo:/a/b"), ("foo://", "foo://"), ("foo:/..//b", "foo:/.//b"),
+    ("ws://a.b:80/", "ws://a.b/"), ("javascript:alert(1)", "javascript:alert(1)"), ("blob:x", "blob:x"), (None, None)])
+def test_urls(spark, text, want):
+    from tessera.urls import href
+
+    assert column(spark, [text, text], href)[0] == want
+
+
+def test_urls_are_normal(spark):
+    s = S.object_({"u": S.url})
+    assert parsed(spark, s, ['{"u":"HTTP://A.b/x/.."}', '{"u":"x y"}'])[0][0]["u"] == "http://a.b/"
+    assert parsed(spark, s, ['{"u":"x y"}'])[0][1] == ("invalid_input", ["u"], 'Expected URL, received "x y"')
