@@ -13,7 +13,8 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alone, json_in, wrapped_json
@@ -21,6 +22,7 @@ from ..plans import ERROR, Compiler, Options, Out, failure, first, none, rendere
 from ..schema import DEFAULTS, Schema, SchemaError, as_schema
 
 _PARSED, _STRICT, _OUT, _RESULT = "__tessera_parsed", "__tessera_strict", "__tessera_out", "__tessera_result"
+_PIECES = pa.schema([("task", pa.int32()), ("nth", pa.int32()), ("column", pa.int32()), ("n", pa.int64()), ("text", pa.string())])
 _VALUE, _ERROR, _ENTERED = "__tessera_v", "__tessera_e", "__tessera_n"
 
 
@@ -301,6 +303,43 @@ def columns_of(s: Schema, order_by: str) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
 
 
+def column_pieces(df: DataFrame, s: Schema, order_by: str | list[str], most: int = 1 << 16) -> DataFrame:
+    """All rows of df as one compact columns text, in pieces: `position`, `column`, `first_row`, `text`, whose texts in
+    order of position make the JSON text. Rows are ranged over tasks by order_by and each task writes pieces of its own
+    rows, `most` cells at most, so no task holds a column or the table. first_row counts the rows before a piece; ties in
+    order_by are broken by the cells. Without rows the text has empty columns."""
+    if s.kind != "object":
+        raise SchemaError("compact columns need an object schema")
+    names = [n for n, _ in s.props]
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    cell = lambda n, kind: F.coalesce(Compiler().text(kind, F.col(f"`{n}`"), (n,)).value, F.lit("null"))
+    cells = df.select(*(F.col(k).alias(f"__tessera_o{i}") for i, k in enumerate(keys)), *(cell(n, t).alias(f"__tessera_c{j}") for j, (n, t) in enumerate(s.props)))
+    order = [c for c in cells.columns]
+    ranged = cells.repartitionByRange(*order[:len(keys)]).sortWithinPartitions(*order).select(*order[len(keys):], F.spark_partition_id().alias("__tessera_p"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nth = 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, most):
+                batch = whole.slice(at, most)
+                task = batch.column(len(names))[0].as_py()
+                texts = [",".join(batch.column(j).to_pylist()) for j in range(len(names))]
+                yield pa.RecordBatch.from_pydict({"task": [task] * len(names), "nth": [nth] * len(names), "column": list(range(len(names))), "n": [batch.num_rows] * len(names), "text": texts}, _PIECES)
+                nth += 1
+
+    pieces = ranged.mapInArrow(write, "task int, nth int, column int, n long, text string")
+    # One row per piece is what the windows see; the number of rows before a piece is the same for every column.
+    ordered = Window.partitionBy("column").orderBy("task", "nth")
+    pieces = pieces.select("column", "task", "nth", (F.sum("n").over(ordered) - F.col("n")).alias("first_row"), F.row_number().over(ordered).alias("at"),
+                           F.count(F.lit(1)).over(Window.partitionBy("column")).alias("of"), "text")
+    start = F.when(F.col("at") > 1, ",").when(F.col("column") == 0, "[[").otherwise(",[")
+    end = F.when(F.col("at") < F.col("of"), "").when(F.col("column") == len(names) - 1, "]]").otherwise("]")
+    position = (F.col("column").cast("long") * F.col("of") + F.col("at") - 1).alias("position")
+    made = pieces.select(position, "column", "first_row", F.concat(start, "text", end).alias("text"))
+    empty = df.sparkSession.createDataFrame([(0, 0, 0, "[" + ",".join("[]" for _ in names) + "]")], made.schema)
+    return made.unionByName(empty.join(df.limit(1).select(F.lit(1).alias("__tessera_any")), F.lit(True), "left_anti")).orderBy("position")
+
+
 def error_statistics(df: DataFrame, error: str = "value_error") -> DataFrame:
     """Failing rows by code and path."""
     return df.filter(F.col(error).isNotNull()).groupBy(

@@ -263,6 +263,19 @@ def o7_assert(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["o7_assert"] = o7_assert
 SQL["o7_assert"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
 
+def s11_columns_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as compact columns, read back from its pieces: cells by place, per column."""
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    pieces = O.column_pieces(rows, S.object_({"l_orderkey": S.number, "l_partkey": S.number, "l_quantity": S.nullable(S.number)}), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    cells = pieces.select("column", "first_row", F.posexplode(F.split(F.regexp_replace("text", r"^[\[,]+|\]+$", ""), ",")).alias("i", "cell"))
+    return cells.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("first_row") + F.col("i") + 1) % 1009 * F.col("cell").cast("long")).alias("said"))
+
+
+QUERIES["s11_columns_lineitem"] = s11_columns_lineitem
+SQL["s11_columns_lineitem"] = """
+SELECT c AS "column", count(*) AS n, sum(i % 1009 * CASE c WHEN 0 THEN l_orderkey WHEN 1 THEN l_partkey ELSE l_quantity::BIGINT END)::BIGINT AS said
+FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS i FROM lineitem), (VALUES (0), (1), (2)) AS v(c) GROUP BY c"""
+
 # --- JSON Schema ----------------------------------------------------------------------------------
 _DOC = {"type": "object", "properties": {"id": {"type": "integer"}, "s": {"enum": ["F", "O"]}}, "required": ["id"]}
 valid("j7_from_json_schema", "orders", _ORDER, from_json_schema(_DOC), "o_orderstatus IN ('F', 'O')", "json")

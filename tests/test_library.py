@@ -631,3 +631,15 @@ def test_urls_are_normal(spark):
     s = S.object_({"u": S.url})
     assert parsed(spark, s, ['{"u":"HTTP://A.b/x/.."}', '{"u":"x y"}'])[0][0]["u"] == "http://a.b/"
     assert parsed(spark, s, ['{"u":"x y"}'])[0][1] == ("invalid_input", ["u"], 'Expected URL, received "x y"')
+
+
+def test_columns_in_pieces(spark):
+    rows = spark.createDataFrame([(i, f'q"{i}', None if i % 3 else i * 0.5) for i in range(1000)], "k int, t string, x double").repartition(5)
+    s = S.object_({"k": S.int32, "t": S.string, "x": S.nullable(S.number)})
+    got = O.column_pieces(rows, s, "k", most=70).collect()
+    assert [r.position for r in got] == list(range(len(got))) and len(got) >= 3 * 15
+    assert json.loads("".join(r.text for r in got)) == [list(range(1000)), [f'q"{i}' for i in range(1000)], [None if i % 3 else i * 0.5 for i in range(1000)]]
+    assert {(r.column, r.first_row) for r in got if r.first_row == 0} == {(0, 0), (1, 0), (2, 0)}
+    assert [r.text for r in O.column_pieces(rows.limit(0), s, "k").collect()] == ["[[],[],[]]"]
+    back = O.parse(spark.createDataFrame([("".join(r.text for r in got),)], "t string"), "t", S.compact_columns(s)).select(F.inline("value"))
+    assert back.count() == 1000 and back.filter("k = 999").first().t == 'q"999'
