@@ -15,8 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPACE = " \t\n\x0b\x0c\r"
-_SYMBOLS = "#*$%&|<>"
+_SPACE = r"[ \t-\r]"
 
 #: Common short words of the corpus languages; a text of running prose has some of them.
 STOP_WORDS = (
@@ -62,10 +61,9 @@ def measured(docs: DataFrame) -> DataFrame:
     """docs with the columns of MEASURES."""
     carried = [c for c in docs.columns if c not in MEASURES]
     text = F.coalesce("text", F.lit(""))
-    spaced = F.translate(text, "\t\n\x0b\x0c\r", "     ")
     base = docs.select(
-        *carried, text.alias("__tessera_t"), F.array_remove(F.split(spaced, " "), "").alias("__tessera_w"),
-        F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _SPACE, "")) > 0).alias("__tessera_l"))
+        *carried, text.alias("__tessera_t"), F.array_remove(F.split(text, f"{_SPACE}+"), "").alias("__tessera_w"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]")).alias("__tessera_l"))
     n = F.size("__tessera_w")
     grams = F.when(n >= 3, F.arrays_zip(
         F.slice("__tessera_w", F.lit(1), F.greatest(n - 2, F.lit(0))).alias("a"), F.slice("__tessera_w", F.lit(2), F.greatest(n - 2, F.lit(0))).alias("b"),
@@ -86,8 +84,8 @@ def measured(docs: DataFrame) -> DataFrame:
     long = lambda c, name: c.cast("long").alias(name)
     # A one-row generator: filters on measures stay above it, so nothing below is computed twice.
     return base.select(*carried, F.inline(F.array(F.struct(
-        long(F.size("__tessera_w"), "n_words"), long(F.length(F.translate("__tessera_t", _SPACE, "")), "word_chars"),
-        long(F.length("__tessera_t") - F.length(F.translate("__tessera_t", _SYMBOLS, "")), "n_symbols"),
+        long(F.size("__tessera_w"), "n_words"), long(F.length(F.array_join("__tessera_w", "")), "word_chars"),
+        long(F.length(F.regexp_replace("__tessera_t", r"[^#*$%&|<>]+", "")), "n_symbols"),
         long(F.size("__tessera_l"), "n_lines"), long(F.size("__tessera_l") - F.size(F.array_distinct("__tessera_l")), "n_dup_lines"),
         long(F.coalesce(covered, F.lit(0)), "n_repeat_words"),
         long(F.size(F.filter("__tessera_w", lambda w: F.lower(w).isin(*STOP_WORDS))), "n_stop_words")))))
