@@ -67,7 +67,7 @@ def _is(s: Schema, v: Any) -> bool:
         return plain and not (isinstance(v, float) and math.isnan(v))
     if k == "nan":
         return isinstance(v, float) and math.isnan(v)
-    if k == "bigint":
+    if k in ("bigint", "wide"):
         return isinstance(v, int) and not isinstance(v, bool)
     if k == "undefined":
         return v is ABSENT
@@ -193,7 +193,7 @@ def _back(a: Schema, b: Schema, v: Any) -> Any:
             return "true" if v else "false"
         if p == "literal":
             return v if isinstance(v, str) else "null" if v is None else number(v)
-        if p in ("number", "integer", "int32", "port", "bigint"):
+        if p in ("number", "integer", "int32", "port", "bigint", "wide"):
             return number(v)
         if p == "date":
             return v.astimezone(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.") + f"{v.microsecond // 1000:03d}Z" if isinstance(v, datetime.datetime) and v.tzinfo else f"{v:%Y-%m-%dT%H:%M:%S}.000Z"

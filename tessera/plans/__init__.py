@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .. import formats, patterns, urls
 from ..functions import (alone, bound, indented, is_multiple, iso_text, json_in, number_text, quoted, strict_json, text_of_bytes,
                          to_bigint, to_number, trimmed, utf16_length, wrapped_json)
+from ..functions import wide
 from ..schema import ABSENT, AUTO, DEFAULTS, NEVER, Place, Schema, SchemaError, expression, literal_text
 
 ERROR = "struct<code:string,path:array<string>,reason:string>"
@@ -40,7 +41,7 @@ BIG = "decimal(38,0)"
 #: First letters of the type names of numbers in a VARIANT.
 _NUMBERS = ("BIG", "DEC", "DOU", "FLO", "INT", "SMA", "TIN")
 TYPES = {"string": "string", "trimmed": "string", "number": "double", "int32": "int", "integer": "double", "port": "int",
-         "bigint": BIG, "boolean": "boolean", "date": "timestamp", "url": "string", "bytes": "binary", "blob": "binary",
+         "bigint": BIG, "wide": "string", "boolean": "boolean", "date": "timestamp", "url": "string", "bytes": "binary", "blob": "binary",
          "file": "struct<name:string,content:binary>", "json": "variant", "jsonString": "string", "unknown": "variant",
          "nan": "double", "undefined": "string", "never": "string", "ref": "variant"}
 WRAPS = ("optional", "nullable", "nullish")
@@ -214,8 +215,14 @@ def checked(s: Schema, x: Column, kind: str, path: tuple, before: bool = False)
     errors: list[Column] = []
     show = _variant(x, kind)
     for key, bound in () if before else s.bounds:
-        other = F.lit(bound)
-        if key in ("gt", "gte", "lt", "lte"):
+        large = isinstance(bound, int) and abs(bound) >= 2**63
+        other = F.lit(str(bound)).try_cast(BIG) if large else F.lit(bound)
+        if s.kind == "wide" and key in ("gt", "gte", "lt", "lte"):
+            order = wide.compared(x, bound)
+            test = {"gt": order > 0, "gte": order >= 0, "lt": order < 0, "lte": order <= 0}[key]
+        elif s.kind == "wide" and key == "multipleOf":
+            test = wide.is_multiple(x, bound)
+        elif key in ("gt", "gte", "lt", "lte"):
             test = {"gt": x > other, "gte": x >= other, "lt": x < other, "lte": x <= other}[key]
             if kind == "double":
                 test = test & ~F.isnan(x)
@@ -310,6 +317,11 @@ class Compiler:
                 x = F.when(text, to_bigint(get("string")))
                 return self._tag(s, v, kind, path, text & x.isNotNull(), x)
             return self._tag(s, v, kind, path, tag.rlike(r"^DECIMAL\(\d+,0\)" if kind == "typed" else r"^(?:BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))"), get(BIG))
+        if k == "wide":
+            if kind == "json":
+                return together([Out(F.when(text, wide.canonical(get("string"))), None, weight=LIGHT)], lambda o: self._tag(s, v, kind, path, text & o[0].value.isNotNull(), o[0].value))
+            whole = tag.rlike(r"^(?:BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))")
+            return self._tag(s, v, kind, path, whole, get("decimal(38,0)").cast("string"))
         if k in ("date", "url", "bytes"):
             if kind == "json":
                 got = self.convert(Schema("string"), s, get("string"), path)
@@ -836,6 +848,8 @@ class Compiler:
                 return bad(y.isNotNull(), y)
             if q == "bigint":
                 return bad(to_bigint(x).isNotNull(), to_bigint(x))
+            if q == "wide":
+                return together([Out(wide.canonical(x), None, weight=LIGHT)], lambda o: Out(o[0].value, unless(o[0].value.isNotNull(), expected(b, show, path))))
             if q == "date":
                 y = iso_date_time(x)
                 return Out(y, unless(y.isNotNull(), expected(b, "invalid Date", path)))
@@ -855,8 +869,14 @@ class Compiler:
             return Out(number_text(x.cast("double")), None)
         if p in numbers and q == "bigint":
             return bad(x.cast("double") % 1 == 0, x.try_cast(BIG))
-        if p in ("bigint", "boolean") and q == "string":
+        if p in ("bigint", "boolean", "wide") and q == "string":
             return Out(x.cast("string"), None)
+        if p == "wide" and q in ("bigint", *numbers):
+            y = x.try_cast(BIG if q == "bigint" else "double")
+            return bad(y.isNotNull() if q == "bigint" else self.fits(q, y), y if q == "bigint" else self.narrow(q, y))
+        if q == "wide" and p in ("bigint", *numbers):
+            y = x.cast("string") if p != "number" and p != "integer" else F.when((x % 1 == 0) & (F.abs(x) < 1e21), number_text(x))
+            return bad(y.isNotNull(), y)
         if p == "date" and q == "string":
             return Out(iso_text(x), None)
         if p in ("bytes", "blob") and q == "string":
@@ -956,7 +976,7 @@ class Compiler:
             return Out(number_text(y) if k in ("number", "integer") else x.cast("string"), bad)
         if k == "boolean":
             return Out(x.cast("string"), None)
-        if k == "bigint":
+        if k in ("bigint", "wide"):
             return Out(F.concat(F.lit('"'), x.cast("string"), F.lit('"')), None)
         if k == "date":
             return Out(F.concat(F.lit('"'), iso_text(x), F.lit('"')), None)
@@ -1223,8 +1243,8 @@ def mask(s: Schema, kind: str, inner: tuple[str, ...] = ()) -> frozenset[str]:
     if k == "nan":
         return frozenset({"null"} if json else {"number"} if kind == "typed" else ())
     if json:
-        return frozenset({"string"} if k in ("bigint", "date", "url", "bytes") else ())
-    return frozenset({"bigint": {"number"}, "date": {"date"}, "bytes": {"bytes"}, "url": {"string"} if kind == "typed" else ()}.get(k, ()))
+        return frozenset({"string"} if k in ("bigint", "wide", "date", "url", "bytes") else ())
+    return frozenset({"bigint": {"number"}, "wide": {"number"}, "date": {"date"}, "bytes": {"bytes"}, "url": {"string"} if kind == "typed" else ()}.get(k, ()))
 
 
 def plain(s: Schema) -> bool:

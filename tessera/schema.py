@@ -256,8 +256,8 @@ _PAIRS = (("minLength", "maxLength"), ("minSize", "maxSize"))
 def narrowed(s: Schema, key: str, value: Any) -> tuple[tuple[str, Any], ...]:
     """Bounds with one more: the tighter of two on a side stays; what no value can meet raises."""
     allowed = {
-        "gt": {"number", "int32", "integer", "port", "bigint", "date"}, "minLength": {"string", "array", "trimmed"},
-        "minSize": {"blob", "file", "bytes"}, "multipleOf": {"number", "int32", "integer", "port", "bigint"}}
+        "gt": {"number", "int32", "integer", "port", "bigint", "wide", "date"}, "minLength": {"string", "array", "trimmed"},
+        "minSize": {"blob", "file", "bytes"}, "multipleOf": {"number", "int32", "integer", "port", "bigint", "wide"}}
     group = "gt" if key in _LOWER | _UPPER else "minLength" if "Length" in key else "minSize" if "Size" in key else key
     if s.kind not in allowed[group]:
         raise SchemaError(f"{key} is not for {s.input_expression()}")
@@ -295,7 +295,8 @@ number = Schema("number")
 int32 = Schema("int32")
 integer = Schema("integer")
 port = Schema("port")
-bigint = Schema("bigint")
+bigint = Schema("bigint")  # 38 digits, a decimal
+wide_bigint = Schema("wide")  # of any size, as canonical decimal text
 boolean = Schema("boolean")
 date = Schema("date")
 url = Schema("url")
@@ -528,7 +529,7 @@ def literal_text(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
-_TEXT = {"date": "Date", "bytes": "Uint8Array", "url": "URL", "blob": "Blob", "file": "File", "json": "JSON",
+_TEXT = {"wide": "bigint", "date": "Date", "bytes": "Uint8Array", "url": "URL", "blob": "Blob", "file": "File", "json": "JSON",
          "jsonString": "JSON string", "nan": "NaN", "trimmed": "string"}
 _FORMAT_TEXT = {"date-time": "UTC date-time"}
 

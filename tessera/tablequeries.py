@@ -110,6 +110,12 @@ value("c4_literal_to_string", "part", "CAST(p_size AS STRING)", S.literal(12).co
 value("c5_string_to_boolean", "lineitem", "CASE l_returnflag WHEN 'A' THEN '\"true\"' WHEN 'R' THEN '\"false\"' ELSE '\"TRUE\"' END", S.string.convert(S.boolean), "CASE l_returnflag WHEN 'A' THEN true WHEN 'R' THEN false END")
 value("c6_string_to_bigint", "orders", "'\"' || CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE '' END || CAST(o_orderkey AS STRING) || '00000000000000000000' || CAST(o_custkey AS STRING) || CASE WHEN o_orderkey % 7 = 0 THEN '.5' ELSE '' END || '\"'", S.string.convert(S.bigint),
       "CASE WHEN o_orderkey % 7 <> 0 THEN trim(x, '\"')::HUGEINT::VARCHAR END", lambda v: v.cast("string"))
+# Numbers of 60 to 100 digits: a key, a run of its last digits, another key.
+_LONG = "CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE '' END || CAST(1 + o_orderkey AS STRING) || repeat(CAST(o_orderkey % 10 AS STRING), CAST(60 + o_custkey % 40 AS INT)) || CAST(o_custkey % 10 AS STRING)"
+value("c6_string_to_bigint_of_any_size", "orders", "'\"+0' || " + _LONG.replace("'-'", "'.'") + " || '\"'", S.string.convert(S.wide_bigint), "CASE WHEN NOT contains(x, '.') THEN substr(x, 4, length(x) - 4) END")
+valid("c6_bounds_of_any_size", "orders", "'\"' || " + _LONG + " || '\"'", S.string.convert(S.wide_bigint.gt(10**70).lte(5 * 10**90).multiple_of(6)),
+      "NOT contains(x, '-') AND length(x) - 2 BETWEEN 71 AND 91 AND (length(x) - 2 > 71 OR regexp_matches(x, '^.10{69}[1-9]') OR NOT regexp_matches(x, '^.10')) AND (length(x) - 2 < 91 OR substr(x, 2, 1) < '5' OR regexp_matches(x, '^.50*.$')) AND o_custkey % 2 = 0 "
+      "AND list_sum(list_transform(string_split(trim(x, '\"'), ''), lambda c: coalesce(try_cast(c AS INT), 0))) % 3 = 0")
 value("c7_number_to_bigint", "orders", "CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE floor(o_totalprice) END AS STRING)", S.number.convert(S.bigint), "CASE WHEN x::DOUBLE = floor(x::DOUBLE) THEN floor(o_totalprice)::BIGINT::VARCHAR END", lambda v: v.cast("string"))
 value("c8_string_to_literal", "part", "'\"' || CAST(p_size AS STRING) || '\"'", S.string.convert(S.literal(5)), "CASE WHEN p_size = 5 THEN 5.0::DOUBLE END")
 value("c9_literal_to_literal", "orders", "'\"' || o_orderstatus || '\"'", S.literal("F").convert(S.literal(True)), "CASE WHEN o_orderstatus = 'F' THEN true END")

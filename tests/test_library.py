@@ -643,3 +643,24 @@ def test_columns_in_pieces(spark):
     assert [r.text for r in O.column_pieces(rows.limit(0), s, "k").collect()] == ["[[],[],[]]"]
     back = O.parse(spark.createDataFrame([("".join(r.text for r in got),)], "t string"), "t", S.compact_columns(s)).select(F.inline("value"))
     assert back.count() == 1000 and back.filter("k = 999").first().t == 'q"999'
+
+
+def test_whole_numbers_of_any_size(spark):
+    from tessera.functions import wide
+
+    values = ["0", "-0", "+007", "", " 12 ", "9" * 100, "-" + "0" * 5 + "1" * 100, "0x" + "F" * 80, "0o" + "7" * 70, "0b" + "10" * 90, "1.5", "0x", "--1", "1e3", "-0x1", None]
+    want = ["0", "0", "7", "0", "12", "9" * 100, "-" + "1" * 100, str(int("F" * 80, 16)), str(int("7" * 70, 8)), str(int("10" * 90, 2)), None, None, None, None, None, None]
+    assert column(spark, values, wide.canonical) == want
+    numbers = [0, 5, -5, 10**50, 10**50 + 1, -(10**50), 10**99, 123456789012345678901234567890, -17 * 10**40]
+    for to in (0, 5, -5, 10**50, -(10**50), 10**60):
+        assert column(spark, [str(n) for n in numbers], lambda x, to=to: wide.compared(x, to)) == [(n > to) - (n < to) for n in numbers]
+    for of in (1, 7, 10**9, 17 * 10**15):
+        assert column(spark, [str(n) for n in numbers], lambda x, of=of: wide.is_multiple(x, of)) == [n % of == 0 for n in numbers]
+    s = S.object_({"n": S.wide_bigint.gt(10**60).multiple_of(3)})
+    big = 3 * 10**99
+    got = parsed(spark, s, [f'{{"n":"{big}"}}', f'{{"n":"{big + 1}"}}', '{"n":"9"}', '{"n":9}'])
+    assert got[0][0]["n"] == str(big) and [g[1] is None for g in got] == [True, False, False, False] and got[3][1][2].startswith("Expected bigint (> 1")
+    row = spark.createDataFrame([(str(big),)], "x string").select(F.struct("x").alias("x")).select(F.struct(F.col("x.x").alias("n")).alias("x"))
+    assert row.select(O.encoder(S.json_string.convert(s))("x").value).first()[0] == f'{{"n":"{big}"}}'
+    assert [v for v, _ in parsed(spark, S.number.convert(S.wide_bigint), ["12", "1.5", "1e20"])] == ["12", None, "1" + "0" * 20]
+    assert [v for v, _ in parsed(spark, S.string.convert(S.wide_bigint).convert(S.bigint).convert(S.string), ['"0012"', '"' + "9" * 39 + '"'])] == ["12", None]
