@@ -586,7 +586,7 @@ class Compiler:
             ok = ok | F.try_variant_get(v, "$", "double").isin(*map(float, sizes)) & is_number(tag)
         ok = F.coalesce(ok, F.lit(False))
         if any(a.const is None for a in arms):
-            ok = ok | F.coalesce(F.is_variant_null(v), F.lit(False))
+            ok = ok | F.coalesce(F.is_variant_null(v), F.lit(False)) | (v.isNull() if kind == "typed" else F.lit(False))
         value = F.when(~F.is_variant_null(v), v) if whole == "variant" else F.try_variant_get(v, "$", whole)
         return Out(F.when(ok, value), None if not s.validates else unless(ok, self.unfit(s, v, path, [])), F.lit(True), weight=4)
 

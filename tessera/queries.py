@@ -97,10 +97,9 @@ def multiple_of_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", O.decoder(S.number.multiple_of(2).multiple_of(3))("l_quantity").valid.alias("valid"))
 
 
-@query("SELECT doc_id, length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) BETWEEN 200 AND 2000 AS valid FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, coalesce(length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) BETWEEN 200 AND 2000, false) AS valid FROM documents")
 def length_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").filter("text is not null")
-    return rows.select("doc_id", O.decoder(S.string.min_length(200).max_length(2000))("text").valid.alias("valid"))
+    return _table(spark, sf_dir, "documents").select("doc_id", O.decoder(S.string.min_length(200).max_length(2000))("text").valid.alias("valid"))
 
 
 @query("SELECT page_id, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^\\s/?#]+[^\\s]*$') AND page_id % 3 <> 0 AS valid FROM pages")
@@ -129,10 +128,10 @@ def date_encode_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", O.encoder(S.string.convert(S.date))(F.col("o_orderdate").cast("timestamp")).value.alias("t"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(regexp_replace(chr(9) || ' ' || text || chr(10), '^\\s+', ''), '\\s+$', '')) AS t FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(chr(9) || ' ' || text || chr(10), '^\\s+', ''), '\\s+$', '')) AS t FROM documents")
 def trim_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = F.concat(F.lit("\t "), F.col("text"), F.lit("\n"))
-    return _table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.md5(O.decoder(S.string.trim())(padded).value).alias("t"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(O.decoder(S.string.trim())(padded).value).alias("t"))
 
 
 @query(f"SELECT event_id, len(json_keys(p)) > 1 AS extra FROM (SELECT event_id, {_BROKEN_SQL} AS p FROM events)")
@@ -258,9 +257,9 @@ def error_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.error_statistics(rows)
 
 
-@query("SELECT l_orderkey, l_linenumber, (l_quantity::BIGINT)::VARCHAR AS t FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, regexp_replace((l_extendedprice * l_discount)::VARCHAR, '\\.0$', '') AS t FROM lineitem")
 def number_text_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", number_text(F.col("l_quantity")).alias("t"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", number_text(F.col("l_extendedprice") * F.col("l_discount")).alias("t"))
 
 
 QUERIES.update(tablequeries.QUERIES)

@@ -664,3 +664,11 @@ def test_whole_numbers_of_any_size(spark):
     assert row.select(O.encoder(S.json_string.convert(s))("x").value).first()[0] == f'{{"n":"{big}"}}'
     assert [v for v, _ in parsed(spark, S.number.convert(S.wide_bigint), ["12", "1.5", "1e20"])] == ["12", None, "1" + "0" * 20]
     assert [v for v, _ in parsed(spark, S.string.convert(S.wide_bigint).convert(S.bigint).convert(S.string), ['"0012"', '"' + "9" * 39 + '"'])] == ["12", None]
+
+
+def test_null_among_constants_in_typed_values(spark):
+    s = S.array(S.object_({"k": S.enum(["a", None]), "n": S.union(S.number, S.object_({"x": S.nullable(S.bigint)}))}))
+    text = '[{"k":"a","n":1.5},{"k":null,"n":{"x":null}},{"k":"a","n":{"x":"7"}}]'
+    df = O.parse(spark.createDataFrame([(text,)], "x string"), "x", s)
+    assert df.select("value_error").first()[0] is None
+    assert df.select(O.encoder(S.json_string.convert(s))("value").value).first()[0] == text
