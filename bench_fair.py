@@ -4,8 +4,6 @@ One JSON line: rows a second of each, best of three. BENCH_SF_DIR names the tabl
 parse `props`, keep rows whose k is a whole number from 0 to 99, and sum it per event type.
 """
 
-from __future__ import annotations
-
 import json
 import os
 import sys
