@@ -7,13 +7,14 @@ Below order 0 all byte values are equally likely. A text's code length under a l
 over its whole bytes; the language with the shortest code wins, and the score is its share of
 2 ** -(bits per byte gained), a number from 0 to 1.
 
-The trees are flattened once into tables of bits: a row per context that any language has seen, so
-scoring is one look-up per byte and language. Texts are scored in steps of STEP bytes.
+The trees are kept sparse: for every language and order the grams that its sample has, as sorted numbers
+with the bits of their last byte, and the contexts with the bits of their escape. Texts are scored in steps
+of STEP bytes: the distinct grams of a step are looked up once a language, and every byte takes its gram's bits.
 
 Bounds: `per_language` texts expected per language, drawn by a hash of doc_id, texts over `max_bytes`
-not among them; the fit alone is on a sample, every whole text is scored. The tables that are broadcast
-have MODEL_BYTES at most: of the contexts of order 3 those seen most are kept, and a context that is not
-kept is read as the next shorter one.
+not among them; the fit alone is on a sample, every whole text is scored. What the sample has seen is kept
+whole, whatever the number of languages; the broadcast trees grow with the distinct grams of the sample (8 bytes
+each, and 8 a context), never with the documents.
 
 Defined cases: a null text, or one without a letter (\\p{L}), is `und` with score 0; ties go to the
 language first in order; rows with a null lang or text are not learned from; repeated rows are scored
@@ -22,7 +23,6 @@ each; an empty table gives an empty result; without a single labelled row every
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +35,7 @@ from ._util import in_chunks
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 _OUT_DDL = "doc_id long, held_out boolean, lang_pred string, score double"
 ORDER = 3
-#: Bytes of the tables of bits, and of text scored at once.
-MODEL_BYTES = 128 << 20
+#: Bytes of text scored at once.
 STEP = 1 << 20
 
 
@@ -59,83 +58,72 @@ def training_sample(docs: DataFrame, per_language: int = 400, max_bytes: int = 6
     return {k: v for k, v in found.items() if v}
 
 
-class Trees:
-    """Frozen statistics of all languages as tables of bits."""
+class Tree:
+    """One language's frozen contexts. A gram is a number of up to four bytes, the last one the byte told."""
 
-    def __init__(self, samples: dict[str, list[bytes]]) -> None:
-        self.languages = sorted(samples)
-        if not samples:
-            return
-        trees = [self._counted(samples[k]) for k in self.languages]
-        seen = sorted({b for t in trees for b in t[b""]} | {b for t in trees for c in t for b in c})
-        # Bytes that no language has seen share the last symbol; nothing distinguishes them.
-        self.symbol = np.full(256, len(seen), np.int64)
-        self.symbol[seen] = np.arange(len(seen))
-        self.width = w = len(seen) + 1
-        place = {b: i for i, b in enumerate(seen)}
-        said = Counter()
-        for t in trees:
-            said.update({c: sum(n.values()) for c, n in t.items()})
-        short = [c for c in sorted(said) if len(c) < ORDER]
-        room = max(0, MODEL_BYTES // (4 * w * len(trees)) - len(short))
-        contexts = [b"", *(c for c in short if c), *sorted((c for c in said if len(c) == ORDER), key=lambda c: (-said[c], c))[:room]]
-        self.bits = np.stack([np.stack([self._bits(t, c, place) for t in trees], -1) for c in contexts]).astype(np.float32).reshape(-1, len(trees))
-        #: The row of the longest context kept, by its three symbols.
-        self.row = np.zeros((w, w, w), np.int32)
-        for i, c in sorted(enumerate(contexts), key=lambda x: len(x[1])):
-            at = tuple(int(self.symbol[x]) for x in c)
-            self.row[(slice(None),) * (ORDER - len(at)) + at] = i
-        self.row = self.row.ravel()
-
-    @staticmethod
-    def _counted(texts: list[bytes]) -> dict[bytes, Counter]:
+    def __init__(self, texts: list[bytes]) -> None:
         said = np.frombuffer(b"".join(b"\n" * ORDER + t for t in texts), np.uint8).astype(np.uint32)
-        inside = np.ones(len(said) - ORDER, bool)
+        inside = np.ones(max(0, len(said) - ORDER), bool)
         ends = np.cumsum([len(t) + ORDER for t in texts[:-1]], dtype=np.int64)
         for k in range(1, ORDER + 1):  # no window runs on into the next text's line feeds
             inside[ends - k] = False
         codes = said[:-3] << 24 | said[1:-2] << 16 | said[2:-1] << 8 | said[3:]
-        values, counts = np.unique(codes[inside], return_counts=True)
-        grams = {int(v).to_bytes(4, "big"): int(n) for v, n in zip(values, counts, strict=True)}
-        tree: dict[bytes, Counter] = {}
-        for gram, n in grams.items():
-            for k in range(ORDER + 1):
-                tree.setdefault(gram[k:ORDER], Counter())[gram[ORDER]] += n
-        tree.setdefault(b"", Counter())
-        return tree
-
-    @staticmethod
-    def _bits(tree: dict[bytes, Counter], context: bytes, place: dict[int, int]) -> np.ndarray:
-        """Bits of every symbol after context; the last is a byte never seen."""
-        out = np.full(len(place) + 1, np.nan)
-        spent = 0.0
-        for k in range(len(context) + 1):
-            found = tree.get(context[k:])
-            if not found:
-                continue
-            whole = sum(found.values()) + len(found)
-            at = np.fromiter((place[v] for v in found), np.int64, len(found))
-            cost = spent - np.log2(np.fromiter(found.values(), float, len(found)) / whole)
-            out[at] = np.where(np.isnan(out[at]), cost, out[at])
-            spent -= np.log2(len(found) / whole)
-        return np.where(np.isnan(out), spent + 8.0, out)
+        whole, counts = np.unique(codes[inside], return_counts=True)
+        #: By order, the highest first: mask, grams, their bits, contexts, the bits of their escapes.
+        self.orders = []
+        for k in range(ORDER, -1, -1):
+            mask = np.uint32((1 << 8 * (k + 1)) - 1)
+            grams, at = np.unique(whole & mask, return_inverse=True)
+            contexts, of = np.unique(grams >> 8, return_inverse=True)
+            n, distinct = np.bincount(at, counts, len(grams)), np.bincount(of, minlength=len(contexts))
+            total = np.bincount(of, n, len(contexts)) + distinct
+            if len(grams):
+                self.orders.append((mask, grams, np.log2(total[of] / n).astype(np.float32), contexts, np.log2(total / distinct).astype(np.float32)))
+
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for order in self.orders for a in order[1:])
+
+    def bits(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of every gram of four bytes."""
+        out, left = np.zeros(len(codes)), np.arange(len(codes))
+        for mask, grams, bits, contexts, escapes in self.orders:
+            own = codes[left] & mask
+            at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+            hit = grams[at] == own
+            out[left[hit]] += bits[at[hit]]
+            left, own = left[~hit], own[~hit] >> 8
+            at = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
+            out[left] += np.where(contexts[at] == own, escapes[at], 0)
+        out[left] += 8
+        return out
+
+
+class Trees:
+    """Frozen statistics of all languages."""
+
+    def __init__(self, samples: dict[str, list[bytes]]) -> None:
+        self.languages = sorted(samples)
+        self.trees = [Tree(samples[k]) for k in self.languages]
 
     def lengths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Bits of the texts data[starts[i]:starts[i + 1]], a column per language; no text is empty."""
-        w, total = self.width, np.zeros((len(starts) - 1, len(self.languages)))
+        total = np.zeros((len(starts) - 1, len(self.languages)))
         for lo in range(0, len(data), STEP):
             hi, lead = min(lo + STEP, len(data)), min(lo, ORDER)
-            s = np.concatenate([np.full(ORDER - lead, self.symbol[10]), self.symbol[data[lo - lead:hi]]])
+            s = np.concatenate([np.full(ORDER - lead, 10, np.uint8), data[lo - lead:hi]]).astype(np.uint32)
             i, j = np.searchsorted(starts, lo, side="right") - 1, np.searchsorted(starts, hi, side="left")
-            before = []
+            codes = s[ORDER:].copy()
             for k in range(1, ORDER + 1):
                 own = s[ORDER - k:len(s) - k].copy()
                 for back in range(k):  # each text starts after line feeds
                     at = starts[max(0, i):j] + back
-                    own[at[(at >= lo) & (at < np.minimum(starts[max(0, i) + 1:j + 1], hi))] - lo] = self.symbol[10]
-                before.append(own)
-            row = self.row[(before[2] * w + before[1]) * w + before[0]].astype(np.int64)
-            total[i:j] += np.add.reduceat(self.bits[row * w + s[ORDER:]], np.maximum(starts[i:j], lo) - lo, axis=0, dtype=np.float64)
+                    own[at[(at >= lo) & (at < np.minimum(starts[max(0, i) + 1:j + 1], hi))] - lo] = 10
+                codes |= own << 8 * k
+            found = pa.array(codes).dictionary_encode()
+            distinct, at = found.dictionary.to_numpy(), found.indices.to_numpy()
+            for column, tree in enumerate(self.trees):
+                total[i:j, column] += np.add.reduceat(tree.bits(distinct)[at], np.maximum(starts[i:j], lo) - lo)
         return total
 
 

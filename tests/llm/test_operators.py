@@ -556,9 +556,22 @@ def test_code_lengths_against_plain_ppm(step, monkeypatch):
     trees = langid.Trees(samples)
     got = trees.lengths(np.frombuffer(b"".join(texts), np.uint8), starts)
     assert np.allclose(got, [[_ppm(samples[k], t) for k in trees.languages] for t in texts], rtol=1e-5)
-    monkeypatch.setattr(langid, "MODEL_BYTES", 4000)  # only the contexts of order 2 and below stay
-    short = langid.Trees(samples)
-    assert len(short.bits) < len(trees.bits) and (short.lengths(np.frombuffer(b"".join(texts), np.uint8), starts) > 0).all()
+
+
+def test_trees_of_many_languages_are_whole_and_sparse():
+    """40 languages of 256 byte values: what tables of all symbols would need room for stays exact and small."""
+    rng = np.random.default_rng(3)
+    samples = {f"l{k:02d}": [rng.choice(256, 3000, p=rng.dirichlet(np.full(256, .2))).astype(np.uint8).tobytes() for _ in range(3)] for k in range(40)}
+    trees = langid.Trees(samples)
+    texts = [samples[k][0][100:160] + samples["l07"][1][:9] for k in list(samples)[::4]] + [bytes(range(256)), b"\xff"]
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = trees.lengths(np.frombuffer(b"".join(texts), np.uint8), starts)
+    assert np.allclose(got, [[_ppm(samples[k], t) for k in trees.languages] for t in texts], rtol=1e-5)
+    assert [trees.languages[i] for i in got[:10].argmin(1)] == list(samples)[::4]
+    size = sum(len(t) for own in samples.values() for t in own)
+    assert sum(t.nbytes for t in trees.trees) < 64 * size
+    longer = langid.Trees({k: v * 5 for k, v in samples.items()})  # repeats add no grams
+    assert sum(t.nbytes for t in longer.trees) <= sum(t.nbytes for t in trees.trees) + 40 * 16 * 4 * 3
 
 
 def test_language_of_an_empty_table(spark):
