@@ -9,9 +9,11 @@ rows are located by walking to the nearest sampled suffix position. Occurrences
 Words: A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. A window is `window` consecutive words
 of an item; a shorter item with a word is one window.
 
-The benchmark is a stated query set: it is read in blocks of bounded bytes, each broadcast by itself
-and searched in every shard. At most ROUND_BLOCKS are held at once: a larger benchmark is searched in
-rounds, each a table of the spans and items that it found, which are merged by document at the end.
+The benchmark is a stated query set: tasks parse it into blocks of bounded bytes, which are searched in every
+shard. A block is arrays alone: its vocabulary, its words as numbers, the first place of every distinct window
+and lists of items by offset. The driver only passes blocks on, ROUND_BLOCKS broadcasts at once and one block
+more: a larger benchmark is searched in rounds, each a table of the spans and items that it found, and a round's
+broadcasts are destroyed before the next one's are made. Rounds are merged by document at the end.
 
 Defined cases: null and empty texts have no words; an item without words matches nothing; repeated
 rows are searched each; repeated item_ids count once; a null item_id is the string `null`; empty
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
@@ -41,6 +44,9 @@ SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
 #: Blocks of the benchmark in a round.
 ROUND_BLOCKS = 16
+#: Windows searched at once, and pairs of occurrences and items listed at once.
+SEARCHED = 1 << 16
+LISTED = 1 << 20
 #: Every SAMPLE-th text position of an index keeps its suffix position.
 SAMPLE = 8
 
@@ -142,70 +148,146 @@ class FMIndex:
 
 
 class Block:
-    """A part of the benchmark: its vocabulary, and its windows by length."""
+    """A part of the benchmark as arrays: vocabulary, words by number, distinct windows by length, their items."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
-        self.ids: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, text in items:
-            own = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
-            n = min(window, len(own))
-            for i in range(len(own) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(own[i:i + n]), set()).add(item)
-        self.bits = (len(self.ids) + 2).bit_length()
-        self.windows = {n: (np.array(list(w), np.int64), list(w.values())) for n, w in found.items()}
-        self.least = min(found, default=0)
-
-
-def benchmark_rounds(benchmark: DataFrame, window: int) -> Iterator[list]:
-    """Lists of up to ROUND_BLOCKS broadcasts of Block, each of about BLOCK_BYTES of text."""
-    sc, blocks, items, size = benchmark.sparkSession.sparkContext, [], [], 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text").cast("binary")).filter("text is not null")
-    for item, text in rows.toLocalIterator():
-        items.append((item, bytes(text)))
-        size += len(text)
-        if size >= BLOCK_BYTES:
-            blocks.append(sc.broadcast(Block(items, window)))
-            items, size = [], 0
-            if len(blocks) == ROUND_BLOCKS:
-                yield blocks
-                blocks = []
-    if items:
-        blocks.append(sc.broadcast(Block(items, window)))
-    if blocks:
-        yield blocks
-
-
-def _occurrences(block: Block, texts: list[list[bytes]]) -> Iterator[tuple[int, int, int, set[str]]]:
-    """(document, first word, words, items) of every occurrence in a shard."""
-    get = block.ids.get
-    n = sum(map(len, texts)) + len(texts)
-    seq, doc, word = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int32)
-    at = 0
-    for i, t in enumerate(texts):
-        seq[at:at + len(t)] = [get(w, 0) for w in t]
-        doc[at:at + len(t) + 1], word[at:at + len(t)] = i, np.arange(len(t))
-        at += len(t) + 1
-    # Separators that follow separators and runs shorter than any window go.
-    known = np.concatenate([[False], seq > 0, [False]])
-    starts, ends = (np.flatnonzero(x) for x in (known[1:] & ~known[:-1], known[:-1] & ~known[1:]))
-    long = ends - starts >= block.least
-    keep = np.zeros(n + 1, np.int64)
-    keep[starts[long]] += 1
-    keep[np.minimum(ends[long] + 1, n)] -= 1
-    kept = np.flatnonzero(np.cumsum(keep)[:n] > 0)
-    if not len(kept):
-        return
-    index = FMIndex(seq[kept], block.bits)
-    for size, (patterns, items) in block.windows.items():
-        low, high = index.search(patterns)
-        some = np.flatnonzero(high > low)
-        counts = high[some] - low[some]
-        which = np.repeat(some, counts)
-        rows = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low[some], counts)
-        places = kept[index.locate(rows)]
-        for w, p in zip(which.tolist(), places.tolist(), strict=True):
-            yield int(doc[p]), int(word[p]), size, items[w]
+        split = [words(text) for _, text in items]
+        sizes = np.array([len(w) for w in split], np.int64)
+        said = pa.array([w for own in split for w in own], pa.binary()).dictionary_encode()
+        self.vocabulary = said.dictionary
+        self.tokens = said.indices.to_numpy(zero_copy_only=False).astype(np.int32) + 1
+        named = pa.array([i for i, _ in items], pa.string()).dictionary_encode()
+        self.items = named.dictionary
+        self.bits = (len(self.vocabulary) + 2).bit_length()
+        item, begin = named.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(sizes) - sizes
+        #: By length: first places of the distinct windows, where each one's items begin, and these.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        lengths = np.minimum(sizes, window)
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == n)
+            many = sizes[own] - n + 1
+            places = np.repeat(begin[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            order = np.lexsort([self.tokens[places + k] for k in range(n)])
+            places, of = places[order], np.repeat(item[own], many)[order]
+            new = np.zeros(len(places), bool)
+            new[0] = True
+            for k in range(n):
+                new[1:] |= self.tokens[places[1:] + k] != self.tokens[places[:-1] + k]
+            pairs = np.unique((np.cumsum(new) - 1) * len(self.items) + of)
+            offsets = np.searchsorted(pairs, np.arange(new.sum() + 1) * len(self.items))
+            self.windows[n] = places[new].astype(np.int32), offsets, (pairs % len(self.items)).astype(np.int32)
+        self.least = min(self.windows, default=0)
+
+    @property
+    def nbytes(self) -> int:
+        return self.vocabulary.nbytes + self.items.nbytes + self.tokens.nbytes + sum(a.nbytes for w in self.windows.values() for a in w)
+
+
+def benchmark_blocks(benchmark: DataFrame, window: int) -> Iterator[bytes]:
+    """Pickled blocks of about BLOCK_BYTES of text, or one item, made in tasks and fetched a task at a time."""
+    most = BLOCK_BYTES
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text")).filter("text is not null")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: list[tuple[str, bytes]] = []
+        held = 0
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if items and held + len(text) > most:
+                    yield _pickled(items, window)
+                    items, held = [], 0
+                items.append((item, text))
+                held += len(text)
+        if items:
+            yield _pickled(items, window)
+
+    parts = -(-size // most)
+    spread = rows.coalesce(1) if parts <= 1 else rows.repartition(parts)
+    for row in spread.mapInArrow(run, "block binary").toLocalIterator():
+        yield bytes(row.block)
+
+
+def _pickled(items: list[tuple[str, bytes]], window: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Block(items, window))], pa.binary())], names=["block"])
+
+
+class Shard:
+    """The words of a slice of documents, in one row; a separator follows every document."""
+
+    def __init__(self, texts: list[bytes | None]) -> None:
+        split = [words(t) for t in texts]
+        self.sizes = np.array([len(w) for w in split], np.int64)
+        self.begin = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.said = pa.array([w for own in split for w in own], pa.binary())
+        self.n = int(self.sizes.sum()) + len(texts)
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes + 1)
+        #: Starts less ends of occurrences, by place; and the items of every document.
+        self.edges = np.zeros(self.n + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in texts]
+
+    def search(self, block: Block) -> None:
+        """Mark all occurrences of the block's windows. At a place at most one window of a length occurs."""
+        seq = np.zeros(self.n, np.int64)
+        is_word = np.ones(self.n, bool)
+        is_word[self.begin + self.sizes] = False
+        seq[is_word] = pa.compute.index_in(self.said, value_set=block.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        # Separators that follow separators and runs shorter than any window go.
+        known = np.concatenate([[False], seq > 0, [False]])
+        starts, ends = (np.flatnonzero(x) for x in (known[1:] & ~known[:-1], known[:-1] & ~known[1:]))
+        long = ends - starts >= block.least
+        keep = np.zeros(self.n + 1, np.int64)
+        keep[starts[long]] += 1
+        keep[np.minimum(ends[long] + 1, self.n)] -= 1
+        kept = np.flatnonzero(np.cumsum(keep)[:self.n] > 0)
+        if not len(kept):
+            return
+        index = FMIndex(seq[kept], block.bits)
+        for size, (first, offsets, listed) in block.windows.items():
+            for lo in range(0, len(first), SEARCHED):
+                low, high = index.search(block.tokens[first[lo:lo + SEARCHED, None] + np.arange(size)].astype(np.int64))
+                some = np.flatnonzero(high > low)
+                if not len(some):
+                    continue
+                counts = high[some] - low[some]
+                places = kept[index.locate(_ranges(low[some], counts))]
+                np.add.at(self.edges, places, 1)
+                np.add.at(self.edges, places + size, -1)
+                self._named(np.unique(np.repeat(some + lo, counts) * len(self.sizes) + self.doc[places]), offsets, listed, block.items)
+
+    def _named(self, pairs: np.ndarray, offsets: np.ndarray, listed: np.ndarray, names: pa.Array) -> None:
+        """Give documents the items of their windows; pairs are window * documents + document."""
+        window, doc = pairs // len(self.sizes), pairs % len(self.sizes)
+        counts = offsets[window + 1] - offsets[window]
+        ends = np.cumsum(counts)
+        at = 0
+        while at < len(pairs):
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] - counts[at] + LISTED, side="right")))
+            own = slice(at, upto)
+            item = listed[_ranges(offsets[window[own]], counts[own])]
+            for d, i in zip(*_distinct(np.repeat(doc[own], counts[own]), item, len(names)), strict=True):
+                self.items[d].add(names[i].as_py())
+            at = upto
+
+    def spans(self) -> list[list[tuple[int, int]]]:
+        """Merged [first, end) word spans of every document."""
+        hit = np.concatenate([[False], np.cumsum(self.edges)[:self.n] > 0, [False]])
+        starts, ends = (np.flatnonzero(x) for x in (hit[1:] & ~hit[:-1], hit[:-1] & ~hit[1:]))
+        out: list[list[tuple[int, int]]] = [[] for _ in self.sizes]
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            d = int(self.doc[a])
+            out[d].append((a - int(self.begin[d]), b - int(self.begin[d])))
+        return out
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, start + count), one after another."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, many: int) -> tuple[list[int], list[int]]:
+    both = np.unique(a * many + b)
+    return (both // many).tolist(), (both % many).tolist()
 
 
 def _spans(marked: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -221,15 +303,10 @@ def _spans(marked: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _searched(batch: pa.RecordBatch, blocks: list) -> Iterator[tuple[bytes | None, int, list[tuple[int, int]], set[str]]]:
     texts = raw(batch.column(batch.schema.get_field_index("text")))
-    split = [words(t) for t in texts]
-    marked: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
+    shard = Shard(texts)
     for block in blocks:
-        for doc, first, n, found in _occurrences(block.value, split):
-            marked[doc].append((first, n))
-            items[doc] |= found
-    for text, w, m, i in zip(texts, split, marked, items, strict=True):
-        yield text, len(w), _spans(m), i
+        shard.search(pickle.loads(block.value))
+    yield from zip(texts, shard.sizes.tolist(), shard.spans(), shard.items, strict=True)
 
 
 def _counted(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> tuple:
@@ -241,21 +318,25 @@ _Result = tuple[bytes | None, int, list[tuple[int, int]], set[str]]
 
 def _applied(docs: DataFrame, benchmark: DataFrame, window: int, finish: Callable[[pa.RecordBatch, Iterator[_Result]], pa.RecordBatch], schema: T.StructType) -> DataFrame:
     """finish(batch, its texts with words, spans and items) over docs, in one round or after several."""
-    rounds = benchmark_rounds(benchmark, window)
-    first, second = next(rounds, []), next(rounds, None)
-    if second is None:
+    sc, blocks = docs.sparkSession.sparkContext, benchmark_blocks(benchmark, window)
+    first, ahead = list(itertools.islice(blocks, ROUND_BLOCKS)), list(itertools.islice(blocks, 1))
+    if not ahead:
+        held = [sc.broadcast(b) for b in first]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in in_chunks(batches, "text", SHARD_BYTES):
-                yield finish(batch, _searched(batch, first))
+                yield finish(batch, _searched(batch, held))
 
         return docs.mapInArrow(run, schema)
     own = docs.withColumn("__tessera_mark", F.xxhash64("text"))
     found = None
-    for blocks in itertools.chain([first, second], rounds):
-        got, _ = written(_round(own, blocks))
-        for block in blocks:
-            block.unpersist()
+    while first:
+        held = [sc.broadcast(b) for b in first]
+        got, _ = written(_round(own, held))
+        for block in held:
+            block.destroy()
         found = got if found is None else found.union(got)
+        first, ahead = ahead + list(itertools.islice(blocks, ROUND_BLOCKS - len(ahead))), []
     merged = found.groupBy("d", "m").agg(F.flatten(F.collect_list("spans")).alias("__tessera_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__tessera_items"))
     both = own.join(merged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__tessera_mark") == F.col("m")), "left").select(*docs.columns, "__tessera_spans", "__tessera_items")
 

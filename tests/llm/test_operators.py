@@ -308,6 +308,61 @@ def test_decontamination(spark, docs, texts, empty, monkeypatch):
     assert decontam.hits(empty, benchmark).count() == 0 and decontam.hits(docs, benchmark.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_decontamination_holds_one_round(spark, docs, texts, monkeypatch):
+    """No more than ROUND_BLOCKS broadcasts are alive at once, and each is destroyed after its round."""
+    from pyspark.core.broadcast import Broadcast
+    live, most, made = set(), [], spark.sparkContext.broadcast
+
+    def broadcast(value):
+        got = made(value)
+        live.add(id(got))
+        most.append((len(live), len(value)))
+        return got
+
+    destroy = Broadcast.destroy
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, blocking=False: (live.discard(id(self)), destroy(self, blocking)))
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(decontam, "ROUND_BLOCKS", 2)
+    benchmark = spark.createDataFrame([(k, " ".join((t or "").split()[:20])) for k, t in texts[:30]], "item_id long, text string")
+    got = decontam.hits(docs, benchmark)
+    assert len(most) > 6 and max(n for n, _ in most) == 2 and not live
+    assert got.filter("n_hit > 0").count() > 5  # the result outlives the broadcasts
+
+
+def test_block_of_the_benchmark_is_a_few_times_its_text():
+    rng = random.Random(6)
+    texts = [prose(rng, 40) for _ in range(300)] + ["".join(chr(97 + rng.randrange(26)) for _ in range(7)) + f" {k}" for k in range(2000)]
+    items = [(f"i{k}", t.encode()) for k, t in enumerate(texts)] + [("same", texts[0].encode()), ("same", texts[0].encode())]
+    block = decontam.Block(items, 10)
+    assert block.nbytes < 8 * sum(len(t) for _, t in items)
+    want = collections.defaultdict(set)
+    for i, t in items:
+        w = decontam.words(t)
+        n = min(10, len(w))
+        for j in range(len(w) - n + 1):
+            want[tuple(w[j:j + n])].add(i)
+    got = {}
+    for n, (first, offsets, listed) in block.windows.items():
+        for k, at in enumerate(first.tolist()):
+            window = tuple(block.vocabulary[int(x) - 1].as_py() for x in block.tokens[at:at + n])
+            assert window not in got
+            got[window] = {block.items[int(x)].as_py() for x in listed[offsets[k]:offsets[k + 1]]}
+    assert got == want
+
+
+@pytest.mark.parametrize("listed", [1 << 20, 3])
+def test_items_are_listed_in_bounded_steps(listed, monkeypatch):
+    monkeypatch.setattr(decontam, "LISTED", listed)
+    monkeypatch.setattr(decontam, "SEARCHED", 2)
+    block = decontam.Block([(f"i{k}", b"a b c d e f") for k in range(9)] + [("z", b"c d e g"), ("s", b"q")], 3)
+    shard = decontam.Shard([b"x a b c d y c d e g", None, b"q Q", b"", b"d e f"])
+    shard.search(block)
+    nine = {f"i{k}" for k in range(9)}
+    assert shard.spans() == [[(1, 5), (6, 10)], [], [(0, 2)], [], [(0, 3)]]
+    assert shard.items == [nine | {"z"}, set(), {"s"}, set(), nine]
+
+
 def test_fm_index():
     rng = np.random.default_rng(0)
     for _ in range(30):
