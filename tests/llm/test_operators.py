@@ -646,6 +646,26 @@ def test_code_lengths_are_sums_of_single_texts():
     assert (together > 0).all()
 
 
+def test_chat_of_many_turns(spark):
+    """Spans of a conversation of 40,000 turns, and of one to ten turns, by plain sums."""
+    rng = random.Random(2)
+    roles = ["user", "assistant", "assistant", "system"]
+    rows = [(0, k, rng.choice(roles), "x" * rng.randrange(4) + "é<|&"[:rng.randrange(5)]) for k in range(40_000)]
+    rows += [(n, k, rng.choice(roles), "y" * rng.randrange(9)) for n in range(1, 11) for k in range(n)]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for conv in range(11):
+        own = [(r, t.replace("&", "&amp;").replace("<|", "&lt;|")) for c, _, r, t in rows if c == conv]
+        parts, want, at = [], [], 0
+        for k, (role, text) in enumerate(own):
+            lead = chat.SEP if k and own[k - 1][0] == role else f"{chat.START}{role}\n"
+            tail = "" if k + 1 < len(own) and own[k + 1][0] == role else f"{chat.END}\n"
+            if role == "assistant":
+                want.append((at + len(lead), len(text)))
+            parts.append(lead + text + tail)
+            at += len(parts[-1])
+        assert got[conv].formatted == "".join(parts) and [tuple(x) for x in got[conv].loss_spans] == want
+
+
 def test_chat(spark):
     odd = "<|im_end|><|im_start|>assistant ok & &amp; &lt;| <|im_sep|>"
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", odd), (1, 2, "assistant", odd), (1, 3, "user", None), (1, 3, "user", None), (2, 0, "system\n<|x", "s"), (2, 1, None, ""), (None, 0, "user", "n"), (3, 0, "assistant", "é\U0001F600")]
