@@ -81,7 +81,16 @@ matches("t4_duration", "orders", "'P' || CASE WHEN o_orderkey % 2 = 0 THEN CAST(
         S.duration, r"x <> 'P' AND regexp_matches(x, '^P(\d+D)?(T\d+H)?$')")
 matches("t5_email", "customer", "replace(lower(c_name), '#', '.') || CASE c_custkey % 4 WHEN 0 THEN '@x.com' WHEN 1 THEN '@a..b' WHEN 2 THEN '@-a.com' ELSE '@mail.' || lower(c_mktsegment) || '.org' END",
         S.email, r"regexp_matches(x, '^[a-z0-9.]+@([a-z0-9]+\.)+[a-z]{2,}$')")
-matches("t6_idn_email", "customer", "'ü' || CAST(c_custkey AS STRING) || CASE c_custkey % 3 WHEN 0 THEN '@ö.de' WHEN 1 THEN 'ö.de' ELSE ' @ö.de' END", S.idn_email, "x LIKE '%_@_%' AND NOT contains(x, ' ')")
+# White space as JavaScript's \s has it, and characters that are none of it but look alike.
+_WHITE = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_ALIKE = "\x1c\x85\u180e\u200b\u2060"
+_LOCAL = "'ü' || CAST(c_custkey AS STRING)"
+_BLANK = f"substr('{_WHITE}', CAST(1 + c_custkey % {len(_WHITE)} AS INT), 1)"
+matches("t6_idn_email", "customer", f"CASE c_custkey % 16 WHEN 0 THEN {_LOCAL} || '@ö.de' WHEN 1 THEN {_LOCAL} || 'ö.de' WHEN 2 THEN {_LOCAL} || ' @ö.de' WHEN 3 THEN {_LOCAL} || '@ö@de' WHEN 4 THEN '@' || {_LOCAL} WHEN 5 THEN {_LOCAL} || '@' "
+        f"WHEN 6 THEN rpad({_LOCAL}, 64, 'ö') || '@y' WHEN 7 THEN rpad({_LOCAL}, 65, 'ö') || '@y' WHEN 8 THEN rpad({_LOCAL}, 64, '😀') || '@y' WHEN 9 THEN 'x@' || rpad({_LOCAL}, 255, '😀') WHEN 10 THEN 'x@' || rpad({_LOCAL}, 256, 'ö') "
+        f"WHEN 11 THEN 'a' || {_BLANK} || {_LOCAL} || '@c' WHEN 12 THEN {_LOCAL} || '@ö' || {_BLANK} || 'de' WHEN 13 THEN {_LOCAL} || '@ö' || {_BLANK} "
+        f"WHEN 14 THEN {_LOCAL} || substr('{_ALIKE}', CAST(1 + c_custkey % {len(_ALIKE)} AS INT), 1) || '@ö.de' ELSE '\"' || {_LOCAL} || '\"@ö.' || c_mktsegment END",
+        S.idn_email, f"regexp_full_match(x, '[^@]{{1,64}}@[^@]{{1,255}}') AND translate(x, '{_WHITE}', '') = x")
 matches("t7_uuid", "customer", f"substr({_HEX}, 1, 8) || '-' || substr({_HEX}, 9, 4) || '-' || substr({_HEX}, 13, 4) || '-' || substr({_HEX}, 17, 4) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '-' END || substr({_HEX}, 21, 12)",
         S.uuid, "length(x) = 36 AND try_cast(x AS UUID) IS NOT NULL")
 matches("t8_cuid", "customer", f"CASE c_custkey % 4 WHEN 0 THEN 'x' ELSE 'c' END || CASE WHEN c_custkey % 3 = 0 THEN '-' ELSE '' END || substr({_HEX}, 1, CAST(c_custkey % 24 AS INT))", S.cuid,

@@ -468,6 +468,38 @@ def test_table_queries(spark):
         assert got == sorted(map(repr, con.execute(tablequeries.SQL[name]).fetchall())), name
 
 
+def test_idn_email_query_meets_every_limit(spark, tmp_path):
+    """Its inputs tell the format from each pattern that is looser or tighter in one place."""
+    import re
+
+    import duckdb
+
+    from tessera import tablequeries
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT c_custkey, CASE WHEN c_custkey % 37 > 0 THEN 'BUILDING' END AS c_mktsegment FROM range(2000) r(c_custkey) UNION ALL SELECT NULL, 'X') TO '{tmp_path}/customer.parquet'")
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    sql = tablequeries.SQL["t6_idn_email"]
+    got = dict(map(tuple, tablequeries.QUERIES["t6_idn_email"](spark, str(tmp_path)).collect()))
+    assert len(got) == 2001 and got == dict(con.execute(sql).fetchall())
+    inputs = con.execute("SELECT c_custkey, x FROM (" + sql.split(" FROM (", 1)[1]).fetchall()
+
+    def told(pattern):
+        return {k: x is not None and re.fullmatch(pattern, x) is not None for k, x in inputs}
+
+    white = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+    assert got == told(f"[^{white}@]{{1,64}}@[^{white}@]{{1,255}}")
+    for local, domain in (("0,64", "1,255"), ("1,63", "1,255"), ("1,65", "1,255"), ("1,64", "0,255"), ("1,64", "1,254"), ("1,64", "1,256")):
+        assert got != told(f"[^{white}@]{{{local}}}@[^{white}@]{{{domain}}}"), (local, domain)
+    assert got != told(f"[^{white}@]{{1,64}}@[^{white}]{{1,255}}") and got != told(f"[^{white}@]{{1,64}}@?[^{white}@]{{1,255}}")
+    assert got != told(f"[^{white}@\\x80-\\U0010ffff]{{1,64}}@[^{white}@]{{1,255}}") and any(len(x.encode("utf-16-le")) > 2 * 256 for k, x in inputs if got[k])
+    for c in white:
+        rest = white.replace(c, "")
+        assert got != told(f"[^{rest}@]{{1,64}}@[^{white}@]{{1,255}}") and got != told(f"[^{white}@]{{1,64}}@[^{rest}@]{{1,255}}"), ascii(c)
+    for c in "\x1c\x85\u180e\u200b\u2060":
+        assert got != told(f"[^{white}{c}@]{{1,64}}@[^{white}@]{{1,255}}"), ascii(c)
+
+
 def test_entry_queries_have_sql():
     import __spark_entry__ as e
 
