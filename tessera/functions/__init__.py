@@ -46,7 +46,11 @@ def _radix(s: Column, kind: str) -> Column:
 
 def to_number(s: Column) -> Column:
     """Text to double: empty is 0, hexadecimal and the like count, null if it is no number."""
-    t = trimmed(s)
+    return number_of(trimmed(s))
+
+
+def number_of(t: Column) -> Column:
+    """Trimmed text to double."""
     return (F.when(t == "", F.lit(0.0))
             .when(t.rlike(r"^[+-]?Infinity\z"), F.when(t.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
             .when(t.rlike(_DECIMAL), t.try_cast("double"))

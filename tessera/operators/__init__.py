@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import alone, json_in, wrapped_json
+from ..functions import alone, bound, json_in, wrapped_json
 from ..plans import ERROR, Compiler, Options, Out, failure, first, none, rendered, together, type_of, unless
+from ..plans.recursion import refers, unread
 from ..schema import DEFAULTS, Schema, SchemaError, as_schema
 
 _PARSED, _STRICT, _OUT, _RESULT = "__tessera_parsed", "__tessera_strict", "__tessera_out", "__tessera_result"
@@ -58,14 +59,19 @@ def parser(*schemas: Any, options: Options | None = None) -> Callable[..., Resul
 
     def run(column: Column | str, source: str = "string") -> Result:
         c = F.col(column) if isinstance(column, str) else column
-        compiler = Compiler(options)
-        if source == "string":
-            out = _from_text(compiler, s, c, wrapped_json(c))
-        elif source in ("json", "unknown"):
-            out = compiler.parse(s, c, source)
-        else:
+
+        def made(compiler: Compiler) -> Out:
+            if source == "string":
+                return _from_text(compiler, s, c, wrapped_json(c))
+            if source in ("json", "unknown"):
+                return compiler.parse(s, c, source)
             raise SchemaError(f"no such source: {source}")
-        return _result(s, out)
+
+        if not refers(s):
+            return _result(s, made(Compiler(options)))
+        # Errors and values of recursive schemas are columns of their own: what a query doesn't ask for is not computed.
+        out, told = made(Compiler(options)), made(Compiler(options, values=not unread(s, s.defs)))
+        return Result(out.value, rendered(told.error), type_of(s), told.error.isNull())
 
     return run
 
@@ -106,10 +112,20 @@ def parse(df: DataFrame, column: str, s: Any, into: str = "value", mode: str = "
 
 
 def _from_text(compiler: Compiler, s: Schema, text: Column, parsed: Column) -> Out:
-    out = compiler.parse(s, json_in(parsed), "json")
-    ok = text.isNull() | (parsed.isNotNull() if compiler.o.trusted_json else alone(parsed))
-    bad = unless(ok, failure((), "Expected JSON string, received ", got=text.cast("variant")))
-    return together([out], lambda o: Out(o[0].value, first(bad, o[0].error)), 1)
+    shape: list[Out] = []
+
+    def run(parsed: Column) -> Column:
+        out = compiler.parse(s, json_in(parsed), "json")
+        ok = text.isNull() | (parsed.isNotNull() if compiler.o.trusted_json else alone(parsed))
+        bad = unless(ok, failure((), "Expected JSON string, received ", got=text.cast("variant")))
+        shape.append(together([out], lambda o: Out(o[0].value, first(bad, o[0].error)), 1))
+        return shape[-1].held()
+
+    if refers(s):  # all of it is interpreted, so the text is parsed once only if it is bound
+        pair = bound(parsed, run)
+        return shape[-1].inside(pair, shape[-1].weight)
+    run(parsed)
+    return shape[-1]
 
 
 def _staged(df: DataFrame, below: DataFrame, out: Out, s: Schema, into: str, mode: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import formats, patterns, urls
-from ..functions import (alone, bound, indented, is_multiple, iso_text, json_in, number_text, quoted, strict_json, text_of_bytes,
+from ..functions import (alone, bound, indented, is_multiple, iso_text, json_in, number_of, number_text, quoted, strict_json, text_of_bytes,
                          to_bigint, to_number, trimmed, utf16_length, wrapped_json)
 from ..functions import wide
 from ..schema import ABSENT, AUTO, DEFAULTS, NEVER, Place, Schema, SchemaError, expression, literal_text
@@ -251,8 +251,8 @@ def step(name: str) -> str:
 
 
 class Compiler:
-    def __init__(self, options: Options | None = None, defs: dict | None = None) -> None:
-        self.o, self.defs = options or Options(), defs or {}
+    def __init__(self, options: Options | None = None, defs: dict | None = None, values: bool = True) -> None:
+        self.o, self.defs, self.valued = options or Options(), defs or {}, values
         self.walk: Walk | None = None  # set inside the body of a recursive schema
 
     def parse(self, s: Schema, v: Column, kind: str, path: tuple = (), tag: Column | None = None) -> Out:
@@ -391,7 +391,7 @@ class Compiler:
     def recursive(self, s: Schema, v: Column, kind: str, path: tuple) -> Out:
         if self.walk is not None and s.slot is not None:
             return self.walk.child(self, s, v, kind, path)
-        return Walk({**self.defs, **s.defs}, self.o).run(s, v, kind, path)
+        return Walk({**self.defs, **s.defs}, self.o, self.valued).run(s, v, kind, path)
 
     def wrapped(self, s: Schema, v: Column, kind: str, path: tuple) -> Out:
         # At this place itself errors name the whole.
@@ -403,9 +403,14 @@ class Compiler:
 
         def body(o: list[Out]) -> Out:
             error = None if o[0].error is None else F.when(~missing, o[0].error)
-            return Out(F.when(missing, self.default(s)).otherwise(o[0].value), error, missing | (o[0].entered if o[0].entered is not None else F.lit(True)))
+            value = none(type_of(s)) if self.mute(s) else F.when(missing, self.default(s)).otherwise(o[0].value)
+            return Out(value, error, missing | (o[0].entered if o[0].entered is not None else F.lit(True)))
 
-        return together([inner], body, 1)
+        return replace(body([inner]), weight=LIGHT) if self.mute(s) else together([inner], body, 1)
+
+    def mute(self, s: Schema) -> bool:
+        """Are only the errors of s asked for? Its parts are used once then, and need not be bound."""
+        return self.walk is not None and not self.walk.values and refers(s)
 
     def default(self, s: Schema) -> Column:
         kind = type_of(s.items[0])
@@ -460,6 +465,8 @@ class Compiler:
         """Objects and tuples; known is a field of constants that the caller has found to be right."""
         place = lambda n: step(n) if s.kind == "object" else f"$[{int(n[1:]) - 1}]"
         at = {n: F.try_variant_get(v, place(n), "variant") for n, _ in fields_of(s)}
+        if self.walk is not None:
+            at |= {n: x for n, k in fields_of(s) if (x := self.walk.given(k)) is not None}
         if s.kind == "object":
             found = F.try_variant_get(v, "$", "map<string,variant>")
             # A field that is there tells the type too, and is cheaper than all of them.
@@ -481,9 +488,10 @@ class Compiler:
             if s.kind == "object" and s.extras == "strict":
                 extra = F.get(F.filter(F.map_keys(found), lambda k: ~k.isin(*kinds)) if kinds else F.map_keys(found), F.lit(0))
                 errors.append(F.when(extra.isNotNull(), failure(path, F.concat(F.lit("Unrecognized key "), quoted(extra)), "unrecognized_keys")))
-            return Out(self.assembled(s, {n: c.value for n, c in zip(kinds, children, strict=True)}, ok), first(*errors), entered)
+            value = none(type_of(s)) if self.mute(s) else self.assembled(s, {n: c.value for n, c in zip(kinds, children, strict=True)}, ok)
+            return Out(value, first(*errors), entered)
 
-        return together(outs, body, 1)
+        return replace(body(outs), weight=LIGHT) if self.mute(s) else together(outs, body, 1)
 
     def assembled(self, s: Schema, children: dict[str, Column], ok: Column | None) -> Column:
         """The output struct of an object or tuple, in its shape."""
@@ -839,10 +847,14 @@ class Compiler:
             if q == "trimmed":
                 return Out(trimmed(x), None)
             if q in numbers:
-                y = to_number(x)
-                ok = y.isNotNull() & ~F.isnan(y)
-                after = unless(self.fits(q, y), expected(b, _variant(y, "double"), path)) if q != "number" else None
-                return Out(self.narrow(q, y), first(unless(ok, expected(b, show, path)), after))
+                def number(o: list[Out]) -> Out:
+                    y = o[0].value
+                    ok = y.isNotNull() & ~F.isnan(y)
+                    after = unless(self.fits(q, y), expected(b, _variant(y, "double"), path)) if q != "number" else None
+                    return Out(self.narrow(q, y), first(unless(ok, expected(b, show, path)), after))
+
+                # Bound in bodies of recursive schemas, which are always interpreted.
+                return number([Out(to_number(x), None)]) if self.walk is None else together([Out(bound(trimmed(x), number_of), None, weight=LIGHT)], number)
             if q == "boolean":
                 y = F.when(x == "true", F.lit(True)).when(x == "false", F.lit(False))
                 return bad(y.isNotNull(), y)
@@ -1283,4 +1295,4 @@ def discriminator(s: Schema) -> tuple[str, Schema] | None:
     return next(((k, x) for k, x in fields_of(s) if x.kind == "literal" and not x.to), None)
 
 
-from .recursion import Walk  # noqa: E402
+from .recursion import Walk, refers  # noqa: E402

@@ -1,10 +1,14 @@
 """Recursive schemas without a limit of depth, inside a row and without user functions.
 
 The places where a schema's body refers to a recursive schema are numbered slots. A value is first unfolded level by
-level to a list of nodes: each has the slot and path at which its parent holds it, and how many children it has; as
-many levels as its JSON text nests brackets are enough. Then the nodes are compiled bottom up: the body is one
-expression, in which a slot reads the child's result instead of going down. So expressions grow with the schema, and
-work with the nodes of the value, one more list per level aside.
+level to a list of nodes: each has the slot and path at which its parent holds it, and its children; as many levels as
+its JSON text opens brackets, once per schema, are enough, and those that find no nodes cost next to nothing. Then the
+nodes are compiled bottom up: the body is one expression, in which a slot reads the child's result instead of going
+down. Results wait in a queue until their parent takes them. So expressions grow with the schema, and work with the
+nodes of the value; what is copied per level are lists of references, and the text below a node once.
+
+Lambdas are interpreted and share nothing by themselves, so what a body uses again is bound. Where only errors are
+asked for and nothing in the schemas reads a converted value, no values are made.
 
 A converted value is a VARIANT, since its type has no end. An absent value at a slot is read as the body reads
 absence. A body that reaches itself only behind a check or a conversion is refused.
@@ -22,8 +26,10 @@ from ..functions import bound
 from ..schema import Schema, SchemaError, expression
 from . import FOUND, WRAPS, Compiler, Options, Out, as_type, at_path, fields_of, label, none, step, type_of
 
-_NODE = "struct<ref:int,slot:int,path:array<string>,v:variant,kids:int>"
-_DONE = f"struct<slot:int,path:array<string>,v:variant,e:{FOUND}>"
+_NODE = "struct<ref:int,slot:int,path:array<string>,v:variant>"
+_DONE = f"struct<slot:int,path:array<string>,x:variant,v:variant,e:{FOUND}>"
+#: Opening brackets of a text up to which those in strings are not told apart.
+FEW = 64
 #: Recursive schemas whose bodies are being compiled.
 _compiling: list[tuple[int, str]] = []
 
@@ -36,21 +42,30 @@ def refers(s: Schema) -> bool:
     return s.kind == "ref" or any(map(refers, _children(s)))
 
 
-def levels(v: Column) -> Column:
-    """How deep the brackets of a VARIANT's JSON text nest."""
-    text = F.replace(F.replace(F.to_json(v), F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
-    brackets = F.split(F.regexp_replace(text, r'"[^"]*+"|[^\[\]{}"]++', ""), "")
-    turn = lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    return F.coalesce(F.aggregate(brackets, start, lambda a, c: F.struct((a["now"] + turn(c)).alias("now"), F.greatest(a["most"], a["now"] + turn(c)).alias("most")),
-                                  lambda a: a["most"]), F.lit(0))
+def unread(s: Schema, defs: dict[str, Schema], seen: tuple[str, ...] = ()) -> bool:
+    """Does nothing read the value of a recursive schema in s, so that it need not be made to tell errors?"""
+    if s.kind == "ref" and s.ref not in seen:
+        defs = {**s.defs, **defs}
+        if s.ref in defs and not unread(defs[s.ref], defs, (*seen, s.ref)):
+            return False
+    if (s.kind == "ref" or refers(s)) and (s.to is not None or s.bounds or s.format or s.checks or s.input_checks):
+        return False
+    return all(unread(x, defs, seen) for x in _children(s))
+
+
+def brackets(v: Column) -> Column:
+    """How many brackets the JSON text of a VARIANT opens, at least: with few of them, those in strings count too."""
+    opened = lambda t: F.octet_length(t) - F.octet_length(F.replace(F.replace(t, F.lit("{"), F.lit("")), F.lit("["), F.lit("")))
+    outside = lambda t: F.regexp_replace(F.replace(F.replace(t, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit("")), r'"[^"]*+"', "")
+    known = bound(F.to_json(v), lambda t: bound(opened(t), lambda n: F.when(n > FEW, opened(outside(t))).otherwise(n)))
+    return F.coalesce(known, F.lit(0))
 
 
 class Walk:
     """The compilation of one recursive schema and those it refers to."""
 
-    def __init__(self, defs: dict[str, Schema], options: Options) -> None:
-        self.defs, self.options = defs, options
+    def __init__(self, defs: dict[str, Schema], options: Options, values: bool = True) -> None:
+        self.defs, self.options, self.values = defs, options, values
         self.nest: list[int] = []  # of each slot: the lists and records around it in its body
         self.slots: list[str] = []  # of each slot: what it refers to
         self.bodies: dict[str, Schema] = {}
@@ -81,8 +96,12 @@ class Walk:
         return replace(s, items=tuple(self.numbered(x, deeper) for x in s.items), props=tuple((k, self.numbered(x, nest)) for k, x in s.props),
                        arms=tuple(self.numbered(x, nest) for x in s.arms))
 
+    def place(self, path: tuple) -> Column:
+        """The path by which a child is found, where its number alone doesn't tell."""
+        return at_path(path) if max(self.nest, default=0) > 1 else none("array<string>")
+
     def node(self, name: str, slot: int, path: tuple, v: Column) -> Column:
-        return F.struct(F.lit(list(self.bodies).index(name)).alias("ref"), F.lit(slot).alias("slot"), at_path(path).alias("path"), v.alias("v"), F.lit(0).alias("kids")).cast(_NODE)
+        return F.struct(F.lit(list(self.bodies).index(name)).alias("ref"), F.lit(slot).alias("slot"), self.place(path).alias("path"), v.alias("v"))
 
     def holes(self, s: Schema, v: Column, path: tuple = (), always: bool = False) -> Column:
         """The nodes at the slots of s, in the order of slots. In lists every item has one, so that numbers find them."""
@@ -91,7 +110,7 @@ class Walk:
             return empty
         if s.kind == "ref":
             one = F.array(self.node(s.ref, s.slot, path, v))
-            return one if always else F.when(v.isNotNull(), one).otherwise(empty)
+            return one if always else F.filter(one, lambda n: n["v"].isNotNull())
         if s.kind in WRAPS:
             return self.holes(s.items[0], v, path, always)
         if s.kind == "array":
@@ -112,17 +131,15 @@ class Walk:
         names = list(self.bodies)
         return functools.reduce(lambda rest, i: F.when(n["ref"] == i, make(names[i])).otherwise(rest), reversed(range(len(names) - 1)), make(names[-1]))
 
-    def unfolded(self, root: Column, depth: Column) -> Column:
-        """All nodes below root, parents before children, the children of one side by side."""
-        def level(a: Column, _: Column) -> Column:
-            new = F.slice(a["all"], a["at"] + 1, F.greatest(F.size(a["all"]) - a["at"], F.lit(0)))
-            grown = F.transform(new, lambda n: F.struct(n.alias("n"), self.of_node(n, lambda name: self.holes(self.bodies[name], n["v"])).alias("k")))
-            return bound(grown, lambda g: F.struct(F.concat(
-                F.slice(a["all"], F.lit(1), a["at"]), F.transform(g, lambda x: x["n"].withField("kids", F.size(x["k"])).cast(_NODE)),
-                F.flatten(F.transform(g, lambda x: x["k"]))).alias("all"), F.size(a["all"]).alias("at")))
+    def unfolded(self, root: Column, most: Column) -> Column:
+        """All nodes from root on, each with its children: parents before children, the children of one side by side."""
+        grown = lambda nodes: F.transform(nodes, lambda n: F.struct(n.alias("n"), self.of_node(n, lambda name: self.holes(self.bodies[name], n["v"])).alias("k")))
 
-        start = F.struct(F.array(root).alias("all"), F.lit(0).alias("at"))
-        return F.aggregate(F.sequence(F.lit(0), depth), start, level, lambda a: a["all"])
+        def level(all_: Column, _: Column) -> Column:
+            last = F.element_at(all_, -1)
+            return F.when(F.size(last) == 0, all_).otherwise(F.concat(all_, F.array(grown(F.flatten(last["k"])))))
+
+        return F.flatten(F.aggregate(F.sequence(F.lit(1), (most + 1) * len(self.bodies)), F.array(grown(F.array(root))), level))
 
     def judged(self, n: Column, kids: Column, kind: str) -> Column:
         """A node's result, by its children's."""
@@ -134,23 +151,32 @@ class Walk:
                 compiler = Compiler(self.options, self.defs)
                 compiler.walk, self.kids, self.numbers = self, by_slot, []
                 out = compiler.parse(body, n["v"], kind)
-                value = F.when(n["v"].isNotNull(), as_type(out.value, type_of(body), "variant"))
-                if out.pair is None:
-                    return F.struct(n["slot"].alias("slot"), n["path"].alias("path"), value.alias("v"), (none() if out.error is None else out.error).alias("e")).cast(_DONE)
-                return bound(out.pair, lambda p: F.struct(
-                    n["slot"].alias("slot"), n["path"].alias("path"), F.when(n["v"].isNotNull(), as_type(p["v"], type_of(body), "variant")).alias("v"),
-                    (none() if out.error is None else p["e"]).alias("e")).cast(_DONE))
+
+                def done(o: Out) -> Column:
+                    value = F.when(n["v"].isNotNull(), as_type(o.value, type_of(body), "variant")) if self.values else none("variant")
+                    return F.struct(n["slot"].alias("slot"), n["path"].alias("path"), n["v"].alias("x"), value.alias("v"), (none() if o.error is None else o.error).alias("e"))
+
+                return done(out) if out.pair is None or not self.values else bound(out.pair, lambda p: done(out.inside(p)))
 
             if not own:
                 return run(kids)
-            of_slot = lambda i: F.filter(kids, lambda k: k["slot"] == i)
-            return bound(F.struct(*(of_slot(i).alias(f"s{i}") for i in own)), run)
+            of_slot = lambda i: kids if len(own) == 1 else F.filter(kids, lambda k: k["slot"] == i)
+            by_slot = F.struct(*(of_slot(i).alias(f"s{i}") for i in own))
+            return run(by_slot) if len(own) == 1 and self.nest[own[0]] == 0 else bound(by_slot, run)
 
         return self.of_node(n, make)
 
     def slot_in(self, s: Schema, i: int) -> bool:
         return s.slot == i or any(self.slot_in(x, i) for x in _children(s))
 
+    def given(self, s: Schema) -> Column | None:
+        """What stands at a place that is a slot itself, as its node has it: what is read again is copied again."""
+        while s.kind in WRAPS:
+            s = s.items[0]
+        if s.kind == "ref" and s.slot is not None and self.nest[s.slot] == 0:
+            return F.get(self.kids[f"s{s.slot}"], F.lit(0))["x"]
+        return None
+
     def child(self, compiler: Compiler, s: Schema, v: Column, kind: str, path: tuple) -> Out:
         """What has been found at a slot."""
         kids = self.kids[f"s{s.slot}"]
@@ -158,12 +184,14 @@ class Walk:
         got = F.get(kids, F.lit(0)) if n == 0 else F.get(kids, self.numbers[-1]) if n == 1 else F.get(F.filter(kids, lambda k: k["path"] == at_path(path)), F.lit(0))
         absent = Compiler(self.options, self.defs).parse(_blunt(self.bodies[s.ref]), none("variant"), kind, path).error
 
-        def run(k: Column) -> Column:
+        def told(k: Column) -> Column:
             e = k["e"]
             moved = F.when(e.isNotNull(), e.withField("path", F.concat(at_path(path), e["path"])))
-            return F.struct(k["v"].alias("v"), F.when(k.isNull(), none() if absent is None else absent).otherwise(moved).alias("e"))
+            return F.when(k.isNull(), none() if absent is None else absent).otherwise(moved)
 
-        return Out(kids, none()).inside(bound(got, run), 64)
+        if not self.values:
+            return Out(none("variant"), bound(got, told), weight=64)
+        return Out(kids, none()).inside(bound(got, lambda k: F.struct(k["v"].alias("v"), told(k).alias("e"))), 64)
 
     def run(self, s: Schema, v: Column, kind: str, path: tuple) -> Out:
         mark = (id(self.defs.get(s.ref)), s.ref)
@@ -173,17 +201,16 @@ class Walk:
         try:
             self.body(s.ref)
 
-            def all_(nodes: Column) -> Column:
-                def up(a: Column, n: Column) -> Column:
-                    kids = F.reverse(F.slice(a["done"], F.size(nodes) - a["at"] + 1, n["kids"]))
-                    return F.struct(F.concat(a["done"], F.array(self.judged(n, kids, kind))).alias("done"), (a["at"] - n["kids"]).alias("at"))
+            def up(waiting: Column, x: Column) -> Column:
+                n = F.size(x["k"])
+                made = self.judged(x["n"], F.reverse(F.slice(waiting, F.lit(1), n)), kind)
+                return F.concat(F.slice(waiting, n + 1, F.size(waiting)), F.array(made))
 
-                start = F.struct(F.array().cast(f"array<{_DONE}>").alias("done"), F.size(nodes).alias("at"))
-                return F.aggregate(F.reverse(nodes), start, up, lambda a: F.element_at(a["done"], -1))
+            def whole(v: Column) -> Column:
+                nodes = self.unfolded(self.node(s.ref, -1, (), v), brackets(v))
+                return F.aggregate(F.reverse(nodes), F.array().cast(f"array<{_DONE}>"), up, lambda done: F.get(done, F.lit(0)))
 
-            root = self.node(s.ref, -1, (), v)
-            done = bound(self.unfolded(root, levels(v)), all_)
-            pair = bound(done, lambda d: F.struct(d["v"].alias("v"), F.when(d["e"].isNotNull(), d["e"].withField("path", F.concat(at_path(path), d["e"]["path"]))).alias("e"), F.lit(True).alias("n")))
+            pair = bound(bound(v, whole), lambda d: F.struct(d["v"].alias("v"), F.when(d["e"].isNotNull(), d["e"].withField("path", F.concat(at_path(path), d["e"]["path"]))).alias("e"), F.lit(True).alias("n")))
             return Out(v, none(), F.lit(True)).inside(pair, 64)
         finally:
             _compiling.pop()

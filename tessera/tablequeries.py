@@ -21,12 +21,15 @@ _KEYS = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderke
          "documents": "doc_id", "events": "event_id", "conversations": "conv_id, turn"}
 
 
-def over(name: str, table: str, x: str, made: Callable[[Column], Column], sql: str) -> None:
-    """made(x) per row of a table, called `said`; sql computes the same from x."""
+def over(name: str, table: str, x: str, made: Callable[[Column], Column], sql: str, dear: bool = False) -> None:
+    """made(x) per row of a table, called `said`; sql computes the same from x. Where a row is much work (dear), rows are
+    dealt to all cores: a file of few bytes is read by few tasks, in one if it is one row group."""
     keys = _KEYS[table].split(", ")
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+        if dear:
+            rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)
         return rows.select("*", F.expr(x).alias("x")).select(*keys, made(F.col("x")).alias("said"))
 
     run.__name__ = name
@@ -34,8 +37,8 @@ def over(name: str, table: str, x: str, made: Callable[[Column], Column], sql: s
     SQL[name] = f"SELECT {_KEYS[table]}, {sql} AS said FROM (SELECT *, {x} AS x FROM {table})"
 
 
-def valid(name: str, table: str, x: str, s: object, sql: str, source: str = "string") -> None:
-    over(name, table, x, lambda c: O.is_valid(s, c if source == "string" else F.try_parse_json(c), source), f"coalesce({sql}, false)")
+def valid(name: str, table: str, x: str, s: object, sql: str, source: str = "string", dear: bool = False) -> None:
+    over(name, table, x, lambda c: O.is_valid(s, c if source == "string" else F.try_parse_json(c), source), f"coalesce({sql}, false)", dear)
 
 
 def matches(name: str, table: str, x: str, s: object, sql: str) -> None:
@@ -242,7 +245,7 @@ value("l4_record", "lineitem", "'{\"' || l_returnflag || '\":' || CAST(l_quantit
 # A chain of as many links as the key says, up to 40; the last link of some is wrong.
 _CHAIN = "repeat('{\"v\":\"1\",\"next\":', CAST(c_custkey % 40 AS INT)) || '{\"v\":\"' || CASE WHEN c_custkey % 7 = 0 THEN c_name ELSE CAST(c_custkey AS STRING) END || '\"}' || repeat('}', CAST(c_custkey % 40 AS INT))"
 _NODE = S.recursive("Node", lambda n: S.object_({"v": S.string.convert(S.number), "next": S.optional(n)}))
-valid("l6_recursive", "customer", _CHAIN, _NODE, "c_custkey % 7 <> 0")
+valid("l6_recursive", "customer", _CHAIN, _NODE, "c_custkey % 7 <> 0", dear=True)
 over("l7_recursive_values", "customer", _CHAIN, lambda x: F.array_join(O.parser(_NODE)(x).error["path"], "."), "CASE WHEN c_custkey % 7 = 0 THEN repeat('next.', (c_custkey % 40)::INT) || 'v' END")
 
 # --- operations -----------------------------------------------------------------------------------

@@ -241,6 +241,34 @@ def test_recursive_schemas_that_hold_each_other(spark):
         O.parser(from_json_schema({"type": "object", "properties": {"a": {"$ref": "#"}}, "allOf": [{"properties": {"a": {"$ref": "#"}}}]}))("x")
 
 
+def test_recursive_schemas_that_hold_each_other_at_one_place(spark):
+    """Levels of nodes are more than brackets there."""
+    s = S.recursive("A", lambda a: S.union(S.recursive("B", lambda b: S.object_({"a": a})), S.number))
+    texts = ["1"]
+    for _ in range(5):
+        texts.append(f'{{"a":{texts[-1]}}}')
+    assert verdicts(spark, s, [*texts, texts[-1].replace("1", '"x"')]) == [True] * 6 + [False]
+
+
+def test_checks_of_recursive_schemas_make_no_values(spark):
+    df = spark.createDataFrame([('{"v":"1","next":{"v":"2"}}',)], "x string")
+    plan = lambda c: df.select(c)._jdf.queryExecution().optimizedPlan().toString()
+    node = S.recursive("Node", lambda n: S.object_({"v": S.string.convert(S.number), "next": S.optional(n)}))
+    assert "to_variant_object" not in plan(O.is_valid(node, "x")) and plan(O.is_valid(node, "x")).count("parseJson") == 1
+    assert "to_variant_object" in plan(O.parser(node)("x").value)
+    # Strings full of brackets are not levels, and a check that reads a value gets it.
+    deep = json.dumps({"v": "1", "next": {"v": "[" * 500, "next": {"v": "2"}}})
+    assert verdicts(spark, node, [deep, deep.replace("[" * 500, '\\"' * 100), deep.replace("[" * 500, "3")]) == [False, False, True]
+    read = S.recursive("Node", lambda n: S.object_({"v": S.string, "next": S.optional(n)}).refine(lambda o: F.coalesce(F.try_variant_get(o["next"], "$.v", "string"), F.lit("")) != "2", "no 2"))
+    assert verdicts(spark, read, ['{"v":"2","next":{"v":"1"}}', '{"v":"1","next":{"v":"1","next":{"v":"2"}}}']) == [True, False]
+
+
+def test_rows_of_a_small_file_are_dealt_to_all_cores(spark):
+    from tessera import tablequeries
+
+    assert tablequeries.QUERIES["l6_recursive"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_merge_reverse_text():
     a, b = S.object_({"x": S.string, "y": S.number}), S.object_({"y": S.boolean})
     assert S.expression(S.merge(a, b)) == "{ x: string; y: boolean; }"
