@@ -71,7 +71,7 @@ def parser(*schemas: Any, options: Options | None = None) -> Callable[..., Resul
             return _result(s, made(Compiler(options)))
         # Errors and values of recursive schemas are columns of their own: what a query doesn't ask for is not computed.
         out, told = made(Compiler(options)), made(Compiler(options, values=not unread(s, s.defs)))
-        return Result(out.value, rendered(told.error), type_of(s), told.error.isNull())
+        return Result(out.value, rendered(told.error, once=True), type_of(s), told.error.isNull())
 
     return run
 

@@ -118,10 +118,11 @@ def failure(path: tuple, reason: Column | str, code: str = "invalid_input", got:
     return F.struct(F.lit(code).alias("code"), at_path(path).alias("path"), (parts if tail is None else F.concat(parts, tail)).alias("parts"))
 
 
-def rendered(error: Column) -> Column:
-    """The error as it is returned."""
+def rendered(error: Column, once: bool = False) -> Column:
+    """The error as it is returned; once: it is dear, and not to be computed again for failing rows."""
     said = lambda e: F.array_join(F.transform(e["parts"], lambda p: F.concat(p["text"], F.when(p["shown"], received_variant(p["got"])).otherwise(F.lit("")))), "")
-    return F.when(error.isNotNull(), bound(error, lambda e: F.struct(e["code"].alias("code"), e["path"].alias("path"), said(e).alias("reason"))))
+    made = lambda e: F.struct(e["code"].alias("code"), e["path"].alias("path"), said(e).alias("reason"))
+    return bound(error, lambda e: F.when(e.isNotNull(), made(e))) if once else F.when(error.isNotNull(), bound(error, made))
 
 
 def first(*errors: Column | None) -> Column | None:

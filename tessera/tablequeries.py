@@ -246,7 +246,7 @@ value("l4_record", "lineitem", "'{\"' || l_returnflag || '\":' || CAST(l_quantit
 _CHAIN = "repeat('{\"v\":\"1\",\"next\":', CAST(c_custkey % 40 AS INT)) || '{\"v\":\"' || CASE WHEN c_custkey % 7 = 0 THEN c_name ELSE CAST(c_custkey AS STRING) END || '\"}' || repeat('}', CAST(c_custkey % 40 AS INT))"
 _NODE = S.recursive("Node", lambda n: S.object_({"v": S.string.convert(S.number), "next": S.optional(n)}))
 valid("l6_recursive", "customer", _CHAIN, _NODE, "c_custkey % 7 <> 0", dear=True)
-over("l7_recursive_values", "customer", _CHAIN, lambda x: F.array_join(O.parser(_NODE)(x).error["path"], "."), "CASE WHEN c_custkey % 7 = 0 THEN repeat('next.', (c_custkey % 40)::INT) || 'v' END")
+over("l7_recursive_values", "customer", _CHAIN, lambda x: F.array_join(O.parser(_NODE)(x).error["path"], "."), "CASE WHEN c_custkey % 7 = 0 THEN repeat('next.', (c_custkey % 40)::INT) || 'v' END", dear=True)
 
 # --- operations -----------------------------------------------------------------------------------
 _BAD = "CASE WHEN event_id % 5 = 0 THEN '{\"k\":[' || CAST(user_id AS STRING) || ',\"' || event_type || '\"]}' ELSE '{\"k\":[' || CAST(user_id AS STRING) || ']}' END"

@@ -263,10 +263,18 @@ def test_checks_of_recursive_schemas_make_no_values(spark):
     assert verdicts(spark, read, ['{"v":"2","next":{"v":"1"}}', '{"v":"1","next":{"v":"1","next":{"v":"2"}}}']) == [True, False]
 
 
-def test_rows_of_a_small_file_are_dealt_to_all_cores(spark):
+def test_errors_of_recursive_schemas_are_found_once(spark):
+    node = S.recursive("Node", lambda n: S.object_({"v": S.string.convert(S.number), "next": S.optional(n)}))
+    df = spark.createDataFrame([('{"v":"1","next":{"v":"x"}}',)], "x string").select(O.parser(node)("x").error.alias("e"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert tuple(df.first().e) == ("invalid_input", ["next", "v"], 'Expected number, received "x"')
+
+
+@pytest.mark.parametrize("name", ["l6_recursive", "l7_recursive_values"])
+def test_rows_of_a_small_file_are_dealt_to_all_cores(spark, name):
     from tessera import tablequeries
 
-    assert tablequeries.QUERIES["l6_recursive"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert tablequeries.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
 def test_merge_reverse_text():
