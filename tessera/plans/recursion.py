@@ -42,11 +42,13 @@ def refers(s: Schema) -> bool:
     return s.kind == "ref" or any(map(refers, _children(s)))
 
 
-def unread(s: Schema, defs: dict[str, Schema], seen: tuple[str, ...] = ()) -> bool:
+def unread(s: Schema, defs: dict[str, Schema], seen: set[str] | None = None) -> bool:
     """Does nothing read the value of a recursive schema in s, so that it need not be made to tell errors?"""
+    seen = set() if seen is None else seen
     if s.kind == "ref" and s.ref not in seen:
+        seen.add(s.ref)
         defs = {**s.defs, **defs}
-        if s.ref in defs and not unread(defs[s.ref], defs, (*seen, s.ref)):
+        if s.ref in defs and not unread(defs[s.ref], defs, seen):
             return False
     if (s.kind == "ref" or refers(s)) and (s.to is not None or s.bounds or s.format or s.checks or s.input_checks):
         return False

@@ -12,6 +12,7 @@ from tessera import functions as fn
 from tessera import operators as O
 from tessera import schema as S
 from tessera.jsonschema import from_json_schema, to_json_schema
+from tessera.plans.recursion import unread
 
 
 def column(spark, values, f, kind="string"):
@@ -259,6 +260,9 @@ def test_checks_of_recursive_schemas_make_no_values(spark):
     # Strings full of brackets are not levels, and a check that reads a value gets it.
     deep = json.dumps({"v": "1", "next": {"v": "[" * 500, "next": {"v": "2"}}})
     assert verdicts(spark, node, [deep, deep.replace("[" * 500, '\\"' * 100), deep.replace("[" * 500, "3")]) == [False, False, True]
+    names = [f"d{i}" for i in range(14)]  # each definition is looked at once, not once per way to it
+    each = S.Schema("object", props=tuple((n, S.Schema("ref", ref=n)) for n in names))
+    assert unread(S.Schema("ref", ref="d0", defs=dict.fromkeys(names, each)), {})
     read = S.recursive("Node", lambda n: S.object_({"v": S.string, "next": S.optional(n)}).refine(lambda o: F.coalesce(F.try_variant_get(o["next"], "$.v", "string"), F.lit("")) != "2", "no 2"))
     assert verdicts(spark, read, ['{"v":"2","next":{"v":"1"}}', '{"v":"1","next":{"v":"1","next":{"v":"2"}}}']) == [True, False]
 
